@@ -132,9 +132,9 @@ def column_samples(
     """
     if distinct is None:
         distinct = {r["column_name"]: r["distinct_count"] for r in column_stats(df).collect()}
+    aim = k * SAMPLE_MARGIN
     bounds = {
-        c: None if n <= SMALL_DOMAIN else _hex_bound(min(1.0, k * SAMPLE_MARGIN / n))
-        for c, n in distinct.items()
+        c: None if n <= max(SMALL_DOMAIN, aim) else _hex_bound(aim / n) for c, n in distinct.items()
     }
     samples = None
     columns = list(bounds)
@@ -145,7 +145,8 @@ def column_samples(
     if all(bound is None for bound in bounds.values()):
         return samples
     samples = cut_lineage(samples)
-    found = {r["column_name"]: r["n"] for r in samples.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = samples.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["column_name"]: r["n"] for r in counts.collect()}
     short = [c for c, bound in bounds.items() if bound is not None and found.get(c, 0) < k]
     if short:
         again = _bottom(_values_below(df, {c: None for c in short}), k)
@@ -180,7 +181,7 @@ def column_signatures(df: DataFrame) -> DataFrame:
     so they are computed once and kept.
     """
     stats = cut_lineage(column_stats(df))
-    distinct = {r["column_name"]: r["distinct_count"] for r in stats.select("column_name", "distinct_count").collect()}
+    distinct = {r["column_name"]: r["distinct_count"] for r in stats.collect()}
     hashes = sample_hashes(column_samples(df, distinct=distinct))
     empty = F.sha2(F.lit(EMPTY_SAMPLE), 256)
     return stats.join(hashes, "column_name", "left").withColumn(
