@@ -108,8 +108,8 @@ def match_columns(children: DataFrame, parents: DataFrame, exclusive: bool = Fal
         first = Window.partitionBy("version_id", "logical_id").orderBy(order, "position")
         matched = matched.withColumn("_taken", F.row_number().over(first) > 1)
         matched = matched.withColumn(
-            "strategy", F.when("_taken", F.lit("new")).otherwise(F.col("strategy"))
-        ).withColumn("logical_id", F.when("_taken", fresh).otherwise(F.col("logical_id")))
+            "strategy", F.when(F.col("_taken"), F.lit("new")).otherwise(F.col("strategy"))
+        ).withColumn("logical_id", F.when(F.col("_taken"), fresh).otherwise(F.col("logical_id")))
     return matched.select(*children.columns, "logical_id", "strategy")
 
 

@@ -61,8 +61,9 @@ def _number(value) -> float | None:
 def _values(value) -> tuple[str, ...] | None:
     if value is None:
         return None
-    items = value.split(",") if isinstance(value, str) else [str(v) for v in value]
-    return tuple(item.strip() for item in items if item.strip())
+    if isinstance(value, str):
+        return tuple(item.strip() for item in value.split(",") if item.strip())
+    return tuple(str(item) for item in value)
 
 
 def _regex_pairs(spec) -> list[tuple[str | None, str | None]]:
@@ -110,7 +111,7 @@ def rule_problem(rule: Rule) -> str | None:
     if rule.family == CONSTRAINT:
         if rule.check not in CONSTRAINT_CHECKS:
             return f"unknown check '{rule.check}'"
-        if rule.check == "allowed_values" and not rule.values:
+        if rule.check == "allowed_values" and all(map(_is_blank, rule.values or ())):
             return "at least one allowed value is needed"
         finite = rule.threshold is not None and math.isfinite(rule.threshold)
         if rule.check == "completeness" and not (finite and 0 <= rule.threshold <= 1):
@@ -164,10 +165,6 @@ def _rule(family: Column, check: Column, column: Column, threshold=None, values=
     )
 
 
-def _clean_values(values: Column) -> Column:
-    return F.filter(F.transform(values, F.trim), lambda v: F.length(v) > 0)
-
-
 def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFrame:
     """One row per rule for a table of stored rule sets (one JSON text per row).
 
@@ -184,9 +181,7 @@ def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFram
         default = F.when(
             (item["type"] == "completeness") & item["threshold"].isNull(), F.lit(1.0)
         ).otherwise(number)
-        return _rule(
-            F.lit(CONSTRAINT), item["type"], item["column"], default, _clean_values(item["values"])
-        )
+        return _rule(F.lit(CONSTRAINT), item["type"], item["column"], default, item["values"])
 
     regex_text = _json(json_column, "$.regex")
     regex_list = F.from_json(regex_text, "array<struct<column:string,rule_type:string>>")
@@ -261,7 +256,8 @@ def validate_rule_rows(rules: DataFrame) -> DataFrame:
             F.concat(F.lit("unknown check '"), check, F.lit("'")),
         )
         .when(
-            (check == "allowed_values") & (F.coalesce(F.size("values"), F.lit(0)) <= 0),
+            (check == "allowed_values")
+            & ~F.coalesce(F.exists("values", lambda v: F.trim(v) != ""), F.lit(False)),
             F.lit("at least one allowed value is needed"),
         )
         .when(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablekeep.functions.lineage import cut_lineage
 from tablekeep.functions.textsim import partial_ratio
 from tablekeep.functions.vocab import (
     CLOSE_OVERLAP,
@@ -85,8 +86,11 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     )
     frequency = long.groupBy("project_id", "column_name").agg(F.count(F.lit(1)).alias("frequency"))
     rarity = Window.partitionBy("project_id", "profile_id").orderBy("frequency", "column_name")
-    ordered = long.join(frequency, ["project_id", "column_name"]).withColumn(
-        "rank", F.row_number().over(rarity)
+    # Read by three joins: written once.
+    ordered = cut_lineage(
+        long.join(frequency, ["project_id", "column_name"])
+        .withColumn("rank", F.row_number().over(rarity))
+        .select("project_id", "profile_id", "n", "column_name", "sample_hash", "rank")
     )
     prefix = ordered.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * MIN_OVERLAP) + 1)
     key = ["project_id", "column_name"]
@@ -102,7 +106,7 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
         )
 
     overlap = pair(prefix, prefix, key, None)
-    samples = pair(long, long, key + ["sample_hash"], None)
+    samples = pair(ordered, ordered, key + ["sample_hash"], None)
     contained = pair(ordered.filter("rank = 1"), ordered, key, "a != b AND n_a <= n_b")
     return overlap.unionByName(samples).unionByName(contained).distinct()
 
@@ -220,9 +224,9 @@ def similar_datasets(
     ``published`` lists the ``dataset_id`` that may be a parent; ``wanted`` limits
     the datasets a parent is looked for. Equal scores go to the smaller id.
     """
-    datasets = dataset_profiles(signatures)
+    datasets = cut_lineage(dataset_profiles(signatures))
     profiles = distinct_profiles(datasets)
-    scores = pair_scores(profiles, adaptive)
+    scores = cut_lineage(pair_scores(profiles, adaptive))
     directed = scores.filter("accept_a_for_b").select(
         "project_id",
         F.col("profile_b").alias("profile_id"),

@@ -1,6 +1,7 @@
 """Files in and out: tables, content fingerprints, registries and run documents."""
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,7 +58,8 @@ def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+            # Spark writes local paths with one slash, which is no valid URI here.
+            uri = re.sub("^file:/+", "file:///", path)
             system, name = fs.FileSystem.from_uri(uri)
             digest = hashlib.sha256()
             with system.open_input_stream(name) as stream:
@@ -129,19 +131,25 @@ def append_table(df: DataFrame, path: str) -> None:
 # --- run documents -----------------------------------------------------------------------------
 
 
-def write_run_documents(documents: DataFrame, folder: str) -> None:
-    """One JSON file per run, below a folder named after the run."""
-    keyed = documents.withColumn("run_id", F.col("dag_run_id"))
-    keyed.repartition("run_id").write.mode("append").partitionBy("run_id").json(folder)
+def write_run_documents(documents: DataFrame, folder: str, per_run: bool = True) -> None:
+    """Append run documents as JSON lines.
+
+    ``per_run`` gives every run a folder of its own; a bulk of many thousand runs is
+    better kept in one folder per ``execution_date``, many runs to a file.
+    """
+    partition = F.col("dag_run_id") if per_run else F.col("execution_date")
+    keyed = documents.withColumn("part", partition)
+    if per_run:
+        keyed = keyed.repartition("part")
+    keyed.write.mode("append").partitionBy("part").json(folder)
 
 
 def read_run_documents(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame:
-    """Run documents, or only one run's: the others' folders are not opened then."""
-    schema = T.StructType(RUN_SCHEMA.fields + [T.StructField("run_id", T.StringType())])
-    documents = spark.read.schema(schema).json(folder)
+    """Run documents, or only one run's; an unknown run gives no rows."""
+    documents = spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True).json(folder)
     if run_id is not None:
-        documents = documents.filter(F.col("run_id") == run_id)
-    return documents.drop("run_id")
+        documents = documents.filter(F.col("dag_run_id") == run_id)
+    return documents
 
 
 # --- signatures and push history ---------------------------------------------------------------
