@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablekeep.functions.rounding import round_exact
 from tablekeep.functions.vocab import (
     DQ_FAILED,
     DQ_SUCCESS,
@@ -162,13 +163,6 @@ def stored_results(checks: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _percent(part: Column, total: Column) -> Column:
-    """Share in per cent to one decimal; quarters are exact ties and go to even."""
-    percent = part / total * 100
-    tie = (percent * 4) % 1 == 0
-    return F.when(tie, F.bround(percent, 1)).otherwise(F.round(percent, 1))
-
-
 def quality_summary(checks: DataFrame, key: str = "version_id") -> DataFrame:
     """Counts, success rate, readable text and fallback tag per version."""
     word, rows = _word("status"), F.count(F.lit(1))
@@ -178,7 +172,7 @@ def quality_summary(checks: DataFrame, key: str = "version_id") -> DataFrame:
         F.count_if(word.isin(FAILURE_WORDS)).alias("failed"),
     )
     summary = summary.withColumn("warnings", F.expr("total - success - failed")).withColumn(
-        "success_rate", _percent(F.col("success"), F.col("total"))
+        "success_rate", round_exact(F.col("success") / F.col("total") * 100, 1)
     )
     text = F.concat(
         F.lit("✅ "),
@@ -205,7 +199,11 @@ def report_summary(checks: DataFrame, key: str = "version_id") -> DataFrame:
         F.count_if(mapped == PASSED).alias("success"),
         F.count_if(mapped == FAILED).alias("failed"),
     )
-    rate = F.format_string("%.1f%%", F.round(F.col("success") / F.nullif("total", F.lit(0)) * 100, 1))
+    percent = F.col("success") / F.nullif("total", F.lit(0)) * 100
+    # Only quarters lie exactly between two tenths; a report rounds those up.
+    tie = (percent * 4) % 1 == 0
+    rounded = F.when(tie, F.round(percent, 1)).otherwise(round_exact(percent, 1))
+    rate = F.format_string("%.1f%%", rounded)
     return summary.withColumn(
         "rate", F.when(F.col("total") > 0, rate).otherwise(F.lit("N/A"))
     ).withColumn("colour", F.when(F.col("failed") > 0, F.lit("red")).otherwise(F.lit("green")))

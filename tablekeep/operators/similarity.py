@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablekeep.functions.lineage import cut_lineage
+from tablekeep.functions.rounding import round_exact
 from tablekeep.functions.textsim import partial_ratio
 from tablekeep.functions.vocab import (
     CLOSE_OVERLAP,
@@ -301,7 +302,7 @@ def suggested_descriptions(similar: DataFrame, descriptions: DataFrame) -> DataF
         "description",
         F.col("parent_id").alias("source_dataset"),
         F.col("version_number").alias("source_version"),
-        F.round("score", 3).alias("similarity_score"),
+        round_exact(F.col("score"), 3).alias("similarity_score"),
     )
     best = found.groupBy("dataset_id", "column_name").agg(F.min_by(fields, "rank").alias("s"))
     return best.select("dataset_id", "column_name", "s.*")

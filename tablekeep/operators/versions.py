@@ -62,7 +62,10 @@ def next_version_numbers(pushes: DataFrame, versions: DataFrame) -> DataFrame:
         F.max("version_number").alias("_own"),
         F.max(F.when(published, F.col("version_number"))).alias("_own_published"),
     )
-    by_parent = F.greatest(F.col("_parent_number") + 1, F.coalesce("_own_published", F.lit(0)) + 1)
+    by_parent = F.when(
+        F.col("_parent_number").isNotNull(),
+        F.greatest(F.col("_parent_number") + 1, F.coalesce("_own_published", F.lit(0)) + 1),
+    )
     by_own = F.coalesce("_own", F.lit(0)) + 1
     return (
         pushes.join(parents, "parent_version_id", "left")

@@ -331,9 +331,7 @@ SELECT *,
        CASE WHEN failed = 0 THEN 'DQ_SUCCESS' ELSE 'DQ_WARNING' END AS fallback_tag
 FROM (
     SELECT version_id, total, success, failed, total - success - failed AS warnings,
-           CASE WHEN (success / total * 100 * 4) % 1 = 0
-                THEN round_even(success / total * 100, 1)
-                ELSE round(success / total * 100, 1) END AS success_rate
+           CAST(printf('%.1f', success / total * 100) AS DOUBLE) AS success_rate
     FROM counts
 )""",
     f"""
@@ -349,7 +347,9 @@ oracle(
     "checks",
     """
 SELECT *, CASE WHEN total = 0 THEN 'N/A'
-               ELSE printf('%.1f', round(success / total * 100, 1)) || '%' END AS rate,
+               WHEN (success / total * 100 * 4) % 1 = 0
+               THEN printf('%.1f', round(success / total * 100, 1)) || '%'
+               ELSE printf('%.1f', success / total * 100) || '%' END AS rate,
        CASE WHEN failed > 0 THEN 'red' ELSE 'green' END AS colour
 FROM counts""",
     f"""
@@ -556,7 +556,7 @@ oracle(
     recursive=True,
 )
 
-# All dataset pairs of a project, scored one by one. Thresholds leave room for rounding.
+# All dataset pairs of a project, scored one by one.
 _SCORED = f"""
 sizes AS (
     SELECT project_id, dataset_id, name_base, count(*) AS n,
@@ -579,7 +579,7 @@ shared AS (
 ),
 scored AS (
     SELECT *, 0.60 * (0.7 * jaccard + 0.3 * type_agreement) + 0.30 * name_similarity
-              + 0.10 * sample_agreement AS score
+              + sample_agreement * 0.10 AS score
     FROM (
         SELECT sa.project_id, a, b, sa.profile_id AS profile_a, sb.profile_id AS profile_b,
                CAST(common AS DOUBLE) / (sa.n + sb.n - common) AS jaccard,
@@ -592,9 +592,9 @@ scored AS (
 ),
 accepted AS (
     SELECT *, score >= CASE WHEN b_in_a THEN 0.45 WHEN jaccard > 0.8 THEN 0.55 ELSE 0.60 END
-                       - 1e-12 AS accept_b_for_a,
+               AS accept_b_for_a,
            score >= CASE WHEN a_in_b THEN 0.45 WHEN jaccard > 0.8 THEN 0.55 ELSE 0.60 END
-                    - 1e-12 AS accept_a_for_b
+               AS accept_a_for_b
     FROM scored
 )"""
 oracle(
@@ -615,8 +615,8 @@ oracle(
     "signatures published",
     """
 SELECT a AS dataset_id, b AS parent_id, round(score, 6) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS place
-      FROM accepted JOIN published ON b = dataset_id WHERE score >= 0.60 - 1e-12)
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place
+      FROM accepted JOIN published ON b = dataset_id WHERE score >= 0.60)
 WHERE place = 1""",
     _SCORED,
     recursive=True,
@@ -624,7 +624,7 @@ WHERE place = 1""",
 _RANKED = f"""{_SCORED},
 ranked AS (
     SELECT a AS dataset_id, b AS parent_id, score,
-           row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS rank
+           row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank
     FROM accepted JOIN published ON b = dataset_id WHERE accept_b_for_a
 )"""
 oracle(
@@ -639,7 +639,7 @@ oracle(
     "signatures published descriptions",
     """
 SELECT dataset_id, column_name, description, parent_id AS source_dataset,
-       round(score, 3) AS similarity_score
+       CAST(printf('%.3f', score) AS DOUBLE) AS similarity_score
 FROM (SELECT ranked.*, column_name, description,
              row_number() OVER (PARTITION BY dataset_id, column_name ORDER BY rank) AS place
       FROM ranked JOIN descriptions ON version_id = parent_id WHERE rank <= 5)
@@ -647,3 +647,682 @@ WHERE place = 1""",
     _RANKED,
     recursive=True,
 )
+
+# --- columns -----------------------------------------------------------------------------------
+
+# Every child column against every column of its parent version.
+_MATCH = f"""
+lcs_pairs AS (
+    SELECT DISTINCT lower(c.column_name) AS s, lower(k.column_name) AS t
+    FROM child_columns c JOIN known_columns k ON k.version_id = c.parent_version_id
+),
+{_LCS},
+usable AS (SELECT * FROM known_columns WHERE logical_id IS NOT NULL),
+fuzzy AS (
+    SELECT version_id, column_name, logical_id AS fuzzy_id
+    FROM (
+        SELECT c.version_id, c.column_name, u.logical_id,
+               row_number() OVER (PARTITION BY c.version_id, c.column_name
+                                  ORDER BY 2.0 * n / (len(s) + len(t)) DESC, u.position) AS place
+        FROM child_columns c JOIN usable u ON u.version_id = c.parent_version_id
+        JOIN lcs ON s = lower(c.column_name) AND t = lower(u.column_name)
+        WHERE n * 200 >= 82 * (len(s) + len(t))
+    )
+    WHERE place = 1
+),
+matched AS (
+    SELECT c.*,
+           left(sha256(c.qualified_name || '.' || c.column_name), 32) AS fresh_id,
+           coalesce(existing_id, byname.logical_id, bypos.logical_id, fuzzy_id,
+                    left(sha256(c.qualified_name || '.' || c.column_name), 32)) AS logical_id,
+           CASE WHEN existing_id IS NOT NULL THEN 'existing'
+                WHEN byname.logical_id IS NOT NULL THEN 'exact_name'
+                WHEN bypos.logical_id IS NOT NULL THEN 'position'
+                WHEN fuzzy_id IS NOT NULL THEN 'fuzzy' ELSE 'new' END AS strategy
+    FROM child_columns c
+    LEFT JOIN usable byname ON byname.version_id = c.parent_version_id
+                               AND byname.column_name = c.column_name
+    LEFT JOIN usable bypos ON bypos.version_id = c.parent_version_id
+                              AND bypos.position = c.position
+    LEFT JOIN fuzzy ON fuzzy.version_id = c.version_id AND fuzzy.column_name = c.column_name
+)"""
+_MATCH_TABLES = "child_columns known_columns lineage"
+oracle(
+    "col_match",
+    _MATCH_TABLES,
+    "SELECT version_id, column_name, logical_id, strategy FROM matched",
+    _MATCH,
+    recursive=True,
+)
+oracle(
+    "col_match_exclusive",
+    _MATCH_TABLES,
+    """
+SELECT version_id, column_name,
+       CASE WHEN place > 1 THEN fresh_id ELSE logical_id END AS logical_id,
+       CASE WHEN place > 1 THEN 'new' ELSE strategy END AS strategy
+FROM (
+    SELECT *, row_number() OVER (
+        PARTITION BY version_id, logical_id
+        ORDER BY CASE strategy WHEN 'existing' THEN 1 WHEN 'exact_name' THEN 2
+                               WHEN 'position' THEN 3 WHEN 'fuzzy' THEN 4 ELSE 5 END,
+                 position) AS place
+    FROM matched
+)""",
+    _MATCH,
+    recursive=True,
+)
+oracle(
+    "col_match_counts",
+    _MATCH_TABLES,
+    """
+SELECT version_id, count(*) AS columns, count(*) FILTER (WHERE known) AS propagated,
+       count(DISTINCT logical_id) - count(*) FILTER (WHERE known) AS new_ids
+FROM (SELECT m.*, EXISTS (SELECT 1 FROM known_columns k WHERE k.version_id = m.parent_version_id
+                          AND k.logical_id = m.logical_id) AS known
+      FROM matched m)
+GROUP BY version_id""",
+    _MATCH,
+    recursive=True,
+)
+
+oracle(
+    "col_parent_lookup",
+    "version_columns",
+    """
+SELECT dataset_id, column_name FROM names
+UNION ALL
+SELECT o_orderkey, p.column_name
+FROM orders JOIN prefixed p ON p.owner_name = 'ds.v' || o_orderkey
+WHERE o_orderkey NOT IN (SELECT dataset_id FROM names)""",
+    """
+names AS (SELECT version_id AS dataset_id, column_name FROM version_columns WHERE flag <> 'A'),
+prefixed AS (
+    SELECT 'ds.v' || version_id AS owner_name, column_name FROM version_columns
+)""",
+)
+
+oracle(
+    "col_edges",
+    "version_columns versions",
+    """
+SELECT c.external_id AS child, p.external_id AS parent, c.column_name
+FROM named c JOIN versions v ON v.id = c.version_id
+JOIN named p ON p.version_id = v.parent_version_id AND p.column_name = c.column_name
+WHERE c.external_id <> p.external_id AND c.external_id NOT LIKE '-col-%'
+  AND p.external_id NOT LIKE '-col-%'""",
+    """
+named AS (
+    SELECT version_id, column_name,
+           CASE WHEN quantity = 7 THEN '-col-' || position
+                WHEN quantity <> 9 THEN md5(version_id || '|' || column_name) END AS external_id
+    FROM version_columns
+)""",
+)
+
+_LINEAGE = f"""{_MATCH},
+linked AS (
+    SELECT m.version_id AS dataset_version_id, m.column_name, m.logical_id AS logical_column_id,
+           CASE WHEN m.column_name IN (SELECT l.column_name FROM lineage l
+                                       WHERE l.dataset_version_id = m.parent_version_id)
+                THEN (SELECT min(l.id) FROM lineage l
+                      WHERE l.dataset_version_id = m.parent_version_id
+                        AND l.logical_column_id = m.logical_id) END AS parent_column_id
+    FROM matched m
+)"""
+oracle(
+    "col_lineage",
+    _MATCH_TABLES,
+    """
+SELECT dataset_version_id, column_name, logical_column_id,
+       coalesce(parent_column_id, '') AS parent_column_id
+FROM linked""",
+    _LINEAGE,
+    recursive=True,
+)
+
+# Walk from every node to its ancestors; the walk of a cyclic node never meets a root.
+_WALK = """
+up AS (
+    SELECT id, parent_id, rank_1, rank_2 FROM nodes
+    WHERE parent_id IN (SELECT id FROM nodes) OR parent_id IS NULL
+    UNION ALL
+    SELECT id, NULL, rank_1, rank_2 FROM nodes
+    WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM nodes)
+),
+walk AS (
+    SELECT id AS node, id AS ancestor, parent_id, CAST(0 AS BIGINT) AS steps, [id] AS seen FROM up
+    UNION ALL
+    SELECT node, up.id, up.parent_id, steps + 1, seen || [up.id]
+    FROM walk JOIN up ON up.id = walk.parent_id WHERE NOT list_contains(seen, up.id)
+),
+rooted AS (
+    SELECT node, ancestor AS root_id, steps + 1 AS depth FROM walk WHERE parent_id IS NULL
+),
+newest AS (
+    SELECT ancestor, node AS latest_id
+    FROM (SELECT w.ancestor, w.node,
+                 row_number() OVER (PARTITION BY w.ancestor
+                                    ORDER BY w.steps DESC, u.rank_1 DESC, u.rank_2 DESC) AS place
+          FROM walk w JOIN rooted r ON r.node = w.node JOIN up u ON u.id = w.node)
+    WHERE place = 1
+)"""
+oracle(
+    "col_history",
+    _MATCH_TABLES,
+    """
+SELECT id, coalesce(root_id, '') AS root_id, coalesce(depth, -1) AS depth,
+       CASE WHEN depth IS NULL THEN '' ELSE latest_id END AS latest_id,
+       CAST(depth IS NULL AS BIGINT) AS is_cyclic
+FROM up LEFT JOIN rooted ON rooted.node = id LEFT JOIN newest ON newest.ancestor = id""",
+    f"""{_LINEAGE},
+nodes AS (
+    SELECT md5(dataset_version_id || '|' || column_name) AS id, parent_column_id AS parent_id,
+           0 AS rank_1, md5(dataset_version_id || '|' || column_name) AS rank_2
+    FROM linked
+),
+{_WALK}""",
+    recursive=True,
+)
+
+# --- versions ----------------------------------------------------------------------------------
+
+_CHAIN = f"""
+nodes AS (
+    SELECT id, parent_version_id AS parent_id, version_number AS rank_1, id AS rank_2 FROM versions
+),
+{_WALK}"""
+oracle(
+    "version_chain",
+    "versions",
+    """
+SELECT id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth,
+       CASE WHEN depth IS NULL THEN -1 ELSE latest_id END AS latest_id,
+       CAST(depth IS NULL AS BIGINT) AS is_cyclic
+FROM up LEFT JOIN rooted ON rooted.node = id LEFT JOIN newest ON newest.ancestor = id""",
+    _CHAIN,
+    recursive=True,
+)
+
+_NUMBERED = """
+own AS (
+    SELECT dataset_id, max(version_number) AS highest,
+           max(version_number) FILTER (WHERE external_id IS NOT NULL) AS published
+    FROM versions GROUP BY dataset_id
+),
+numbered AS (
+    SELECT p.dataset_id, p.parent_version_id,
+           CAST(CASE WHEN v.id IS NOT NULL
+                     THEN greatest(v.version_number + 1, coalesce(own.published, 0) + 1)
+                     ELSE coalesce(own.highest, 0) + 1 END AS BIGINT) AS next_version
+    FROM pushes p LEFT JOIN versions v ON v.id = p.parent_version_id
+    LEFT JOIN own ON own.dataset_id = p.dataset_id
+)"""
+oracle(
+    "version_next",
+    "versions pushes",
+    """
+SELECT dataset_id, next_version, coalesce(depth, 0) + 1 AS process_version,
+       'Reupload v' || (coalesce(depth, 0) + 1) AS process_name
+FROM numbered LEFT JOIN rooted ON node = parent_version_id""",
+    f"{_CHAIN}, {_NUMBERED}",
+    recursive=True,
+)
+oracle(
+    "version_process",
+    "versions",
+    """
+SELECT parent_version_id || '_to_' || id AS process_id,
+       'Reupload v' || (coalesce(depth, 0) + 1) AS process_name,
+       'TRANSFORMATION' AS operation_type, parent_version_id AS input_version_id,
+       id AS output_version_id, 'SUCCESS' AS status
+FROM versions LEFT JOIN rooted ON node = parent_version_id
+WHERE parent_version_id IS NOT NULL""",
+    _CHAIN,
+    recursive=True,
+)
+oracle(
+    "version_latest",
+    "versions",
+    """
+SELECT l.dataset_id, l.id, CAST(l.version_number AS BIGINT) AS version_number,
+       coalesce(p.id, -1) AS published_id, coalesce(p.external_id, '') AS external_id
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY version_number DESC) AS place
+      FROM versions) l
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dataset_id
+                                        ORDER BY version_number DESC) AS place
+           FROM versions WHERE external_id IS NOT NULL) p
+  ON p.dataset_id = l.dataset_id AND p.place = 1
+WHERE l.place = 1""",
+)
+oracle(
+    "version_drafts",
+    "versions pushes",
+    """
+SELECT n.dataset_id, n.next_version, CAST(d.id IS NOT NULL AS BIGINT) AS reuse_draft,
+       coalesce(d.id, -1) AS draft_id,
+       CASE WHEN d.id IS NULL THEN coalesce(f.id, -1) ELSE -1 END AS transfer_from
+FROM numbered n
+LEFT JOIN versions d ON d.dataset_id = n.dataset_id AND d.external_id IS NULL
+                        AND d.version_number = n.next_version
+LEFT JOIN (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id
+                                                     ORDER BY version_number) AS place
+           FROM versions WHERE external_id IS NULL) f
+  ON f.dataset_id = n.dataset_id AND f.place = 1""",
+    _NUMBERED,
+)
+oracle(
+    "version_publish",
+    "versions",
+    """
+SELECT id, 'new' || id AS external_id, 'Push depuis ' || dataset_id AS change_comment,
+       CAST(version_number AS BIGINT) AS version_number
+FROM versions WHERE external_id IS NULL""",
+)
+oracle(
+    "version_edges",
+    "versions",
+    """
+SELECT c.external_id AS child, p.external_id AS parent
+FROM versions c JOIN versions p ON p.id = c.parent_version_id
+WHERE c.external_id <> p.external_id""",
+)
+oracle(
+    "version_names",
+    "versions",
+    """
+SELECT id,
+       CASE WHEN dataset_id % 2 = 0 THEN dataset_id || '_' ELSE '' END || md5(CAST(id AS VARCHAR))
+       || CASE WHEN version_number > 1 THEN '_v' || version_number ELSE '' END
+       || CASE WHEN external_id IS NULL THEN '_' || CAST(epoch(created_at) AS BIGINT) ELSE '' END
+           AS qualified_name,
+       CASE WHEN external_id IS NULL THEN CAST(-1 AS BIGINT) ELSE 1 END AS known
+FROM versions""",
+)
+
+# --- descriptions ------------------------------------------------------------------------------
+
+oracle(
+    "desc_upsert",
+    "descriptions edits",
+    """
+SELECT coalesce(d.version_id, e.version_id) AS version_id,
+       coalesce(d.column_name, e.column_name) AS column_name,
+       coalesce(last_text, description) AS description,
+       coalesce(created_by, first_user) AS created_by,
+       CASE WHEN d.version_id IS NULL THEN first_time ELSE TIMESTAMP '2024-01-01' END AS created_at,
+       CASE WHEN n > 1 OR (n = 1 AND d.version_id IS NOT NULL) THEN last_user ELSE '' END
+           AS updated_by,
+       CASE WHEN n > 1 OR (n = 1 AND d.version_id IS NOT NULL)
+            THEN CAST(last_time AS VARCHAR) ELSE '' END AS updated_at
+FROM descriptions d
+FULL JOIN (
+    SELECT version_id, column_name, count(*) AS n,
+           arg_min(user_id, place) AS first_user, arg_min(submitted_at, place) AS first_time,
+           arg_max(user_id, place) AS last_user, arg_max(submitted_at, place) AS last_time,
+           arg_max(trim(description), place) AS last_text
+    FROM (SELECT *, row_number() OVER (PARTITION BY version_id, column_name
+                                       ORDER BY submitted_at, seq) AS place
+          FROM edits WHERE trim(description) <> '')
+    GROUP BY version_id, column_name
+) e ON d.version_id = e.version_id AND d.column_name = e.column_name""",
+)
+oracle(
+    "desc_upsert_text",
+    "",
+    """
+SELECT conv_id AS version_id, role AS column_name, arg_max(trim(text), turn) AS description,
+       CAST(min(turn) AS VARCHAR) AS created_by,
+       CASE WHEN count(*) > 1 THEN CAST(max(turn) AS VARCHAR) ELSE '' END AS updated_by
+FROM conversations WHERE trim(text) <> '' GROUP BY conv_id, role""",
+)
+oracle(
+    "desc_latest",
+    "versions descriptions",
+    """
+SELECT l.dataset_id, version_id, CAST(version_number AS BIGINT) AS version_number, column_name,
+       description, published
+FROM (
+    SELECT id, version_number, dataset_id, CAST(0 AS BIGINT) AS published
+    FROM versions WHERE (dataset_id, version_number) IN
+        (SELECT (dataset_id, max(version_number)) FROM versions GROUP BY dataset_id)
+    UNION ALL
+    SELECT id, version_number, dataset_id, 1
+    FROM versions WHERE (dataset_id, version_number) IN
+        (SELECT (dataset_id, max(version_number)) FROM versions
+         WHERE external_id IS NOT NULL GROUP BY dataset_id)
+) l JOIN descriptions ON version_id = l.id""",
+)
+oracle(
+    "desc_coverage",
+    "versions descriptions",
+    """
+SELECT dataset_id, CAST(count(version_id) > 0 AS BIGINT) AS has_descriptions,
+       count(DISTINCT version_id) AS versions_count, count(version_id) AS total_descriptions
+FROM versions LEFT JOIN descriptions ON version_id = id GROUP BY dataset_id""",
+)
+oracle(
+    "desc_delete",
+    "versions descriptions",
+    """
+SELECT version_id, count(*) AS n,
+       CASE WHEN any_value(external_id) IS NULL THEN 'deleted' ELSE 'kept' END AS state
+FROM descriptions JOIN versions ON id = version_id GROUP BY version_id""",
+)
+oracle(
+    "desc_copy",
+    "versions descriptions",
+    """
+SELECT id AS version_id, column_name, description, CAST(dataset_id AS VARCHAR) AS created_by,
+       created_at
+FROM versions JOIN descriptions d ON d.version_id = parent_version_id""",
+)
+oracle(
+    "desc_inherited",
+    "versions descriptions",
+    """
+SELECT dataset_id, v.id AS version_id, CAST(version_number AS BIGINT) AS version_number,
+       string_agg(column_name || '=' || description, '|' ORDER BY column_name) AS descriptions
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY version_number DESC) AS place
+      FROM versions WHERE external_id IS NOT NULL) v
+JOIN descriptions d ON d.version_id = v.id WHERE place <= 5
+GROUP BY dataset_id, v.id, version_number""",
+)
+oracle(
+    "desc_final",
+    "version_columns",
+    """
+SELECT version_id, column_name,
+       CASE WHEN flag = 'A' THEN type WHEN quantity > 30 THEN 'old ' || type
+            ELSE 'Colonne ' || column_name END AS description
+FROM version_columns""",
+)
+oracle(
+    "desc_autofill",
+    "version_columns edits",
+    """
+SELECT dataset_id, count(*) FILTER (WHERE blank AND offer IS NOT NULL) AS filled,
+       string_agg(column_name || coalesce('=' || text, ''), '|'
+                  ORDER BY column_name || coalesce('=' || text, '')) AS descriptions
+FROM (
+    SELECT *, CASE WHEN blank THEN coalesce(offer, given) ELSE given END AS text
+    FROM (
+        SELECT c.version_id AS dataset_id, c.column_name, flag <> 'N' AS blank, offer,
+               CASE flag WHEN 'R' THEN ' ' WHEN 'N' THEN type END AS given
+        FROM version_columns c
+        LEFT JOIN (SELECT version_id, column_name, trim(max(description)) AS offer FROM edits
+                   GROUP BY version_id, column_name HAVING trim(max(description)) <> '') o
+          ON o.version_id = c.version_id AND o.column_name = c.column_name
+    )
+)
+GROUP BY dataset_id""",
+)
+
+# --- classifications ---------------------------------------------------------------------------
+
+_VALID = """
+valid AS (
+    SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id, column_name
+                                 ORDER BY applied_at DESC, id DESC) AS place
+    FROM class_log
+    WHERE (entity_type = 'DATASET' AND classification IN ('PUBLIC', 'RESTRICTED'))
+       OR (entity_type = 'COLUMN' AND classification IN ('PII', 'SENSITIVE'))
+)"""
+oracle(
+    "class_valid",
+    "class_log",
+    """
+SELECT id, entity_type, classification,
+       CASE entity_type WHEN 'DATASET' THEN 'not a dataset class'
+                        WHEN 'COLUMN' THEN 'not a column class'
+                        ELSE 'unknown entity type' END AS problem
+FROM class_log WHERE id NOT IN (SELECT id FROM valid)""",
+    _VALID,
+)
+oracle(
+    "class_history",
+    "class_log",
+    """
+SELECT id, entity_type, entity_id, coalesce(column_name, '') AS column_name,
+       CAST(place = 1 AS BIGINT) AS is_active
+FROM valid""",
+    _VALID,
+)
+oracle(
+    "class_active",
+    "class_log",
+    """
+SELECT entity_id AS dataset_id,
+       coalesce(max(classification) FILTER (WHERE entity_type = 'DATASET'), '') AS security_class,
+       coalesce(string_agg(column_name || '=' || classification, '|' ORDER BY column_name)
+                FILTER (WHERE entity_type = 'COLUMN'), '') AS columns
+FROM valid WHERE place = 1 GROUP BY entity_id""",
+    _VALID,
+)
+oracle(
+    "class_allowed",
+    "class_log",
+    """
+SELECT c_custkey AS dataset_id, coalesce(classification, 'RESTRICTED') AS security_class,
+       'PII|SENSITIVE' AS allowed
+FROM customer
+LEFT JOIN valid ON entity_id = c_custkey AND entity_type = 'DATASET' AND place = 1""",
+    _VALID,
+)
+oracle(
+    "class_consistency",
+    "class_log",
+    """
+SELECT l.entity_id AS dataset_id, CAST(l.id AS VARCHAR) AS column_name, l.classification,
+       coalesce(v.classification, 'RESTRICTED') AS security_class
+FROM class_log l
+LEFT JOIN valid v ON v.entity_id = l.entity_id AND v.entity_type = 'DATASET' AND v.place = 1
+WHERE l.classification NOT IN ('PII', 'SENSITIVE')""",
+    _VALID,
+)
+oracle(
+    "class_defaults",
+    "class_log users",
+    """
+SELECT id, classification,
+       CASE WHEN classification = 'RESTRICTED'
+            THEN 'department=' || coalesce(department, 'UNKNOWN') || '|' ELSE '' END
+       || CASE WHEN id % 10 = 1 THEN 'note=x' ELSE '' END
+       || CASE WHEN id % 10 = 1 AND classification IN ('RESTRICTED', 'PUBLIC') THEN '|' ELSE '' END
+       || CASE WHEN id % 10 = 0 THEN 'visibility_scope=TEAM'
+               WHEN classification = 'RESTRICTED' THEN 'visibility_scope=DEPARTMENT'
+               WHEN classification = 'PUBLIC' THEN 'visibility_scope=ENTERPRISE' ELSE '' END
+           AS attributes
+FROM class_log LEFT JOIN users ON employee_id = applied_by""",
+)
+_TAGS = """
+tags AS (SELECT DISTINCT entity_id, classification AS tag FROM class_log),
+changes AS (
+    SELECT entity_id, CASE WHEN max(id) % 2 = 0 THEN 'PUBLIC' ELSE 'RESTRICTED' END AS tag
+    FROM class_log WHERE entity_type = 'TABLE' GROUP BY entity_id
+)"""
+oracle(
+    "class_replace",
+    "class_log",
+    """
+SELECT entity_id, string_agg(tag, '|' ORDER BY tag) AS tags
+FROM (SELECT * FROM tags
+      WHERE tag NOT IN ('PUBLIC', 'RESTRICTED')
+         OR entity_id NOT IN (SELECT entity_id FROM changes)
+      UNION ALL SELECT * FROM changes)
+GROUP BY entity_id""",
+    _TAGS,
+)
+oracle(
+    "class_tags",
+    "class_log",
+    """
+SELECT entity_id, string_agg(tag, '|' ORDER BY tag) AS tags, count(*) AS rows
+FROM ((SELECT * FROM tags UNION SELECT * FROM changes
+       UNION SELECT entity_id, 'DQ_SUMMARY' FROM class_log)
+      EXCEPT SELECT entity_id, 'PII' FROM class_log WHERE classification = 'UNKNOWN')
+GROUP BY entity_id""",
+    _TAGS,
+)
+
+# --- graph and access --------------------------------------------------------------------------
+
+oracle(
+    "graph_datasets",
+    "versions",
+    """
+SELECT external_id AS node_id,
+       c_nationkey || '_' || md5(c_name) || '_v' || version_number AS qualified_name,
+       c_name || '.csv' AS name,
+       CASE WHEN c_acctbal > 0 THEN c_mktsegment
+            ELSE 'Dataset importé depuis /data/' || c_name END AS description,
+       CASE WHEN parent_version_id IS NULL THEN 'Version initiale'
+            ELSE 'Version dérivée de v' || parent_version_id END AS version_comment,
+       columns_count, columns_list, CAST(c_custkey AS VARCHAR) AS owner,
+       CAST(c_nationkey AS VARCHAR) AS project
+FROM versions JOIN customer ON c_custkey = dataset_id
+JOIN (SELECT o_custkey, count(DISTINCT p_type) AS columns_count,
+             string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS columns_list
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+      GROUP BY o_custkey) ON o_custkey = dataset_id
+WHERE external_id IS NOT NULL""",
+)
+
+_COLUMN_NODES = f"""{_MATCH},
+column_nodes AS (
+    SELECT sha256(m.qualified_name || '.' || m.column_name) AS node_id,
+           m.qualified_name || '.' || m.column_name AS qualified_name, m.column_name AS name,
+           v.type, CAST(m.position AS BIGINT) AS position, m.logical_id,
+           coalesce(CASE WHEN trim(d.description) <> '' THEN d.description END,
+                    CASE WHEN v.quantity > 40 THEN 'old ' || v.type END,
+                    'Colonne ' || m.column_name) AS description,
+           m.version_id, m.parent_version_id
+    FROM matched m JOIN version_columns v
+      ON v.version_id = m.version_id AND v.column_name = m.column_name
+    LEFT JOIN descriptions d ON d.version_id = m.version_id AND d.column_name = m.column_name
+)"""
+oracle(
+    "graph_columns",
+    f"{_MATCH_TABLES} version_columns descriptions",
+    "SELECT * EXCLUDE (version_id, parent_version_id) FROM column_nodes",
+    _COLUMN_NODES,
+    recursive=True,
+)
+
+_CHECK_NODES = """
+check_nodes AS (
+    SELECT sha256(unique_name) AS node_id, unique_name AS qualified_name,
+           rule_type || ' - ' || coalesce(column_name, 'dataset') AS name,
+           upper(rule_type) AS check_type, coalesce(column_name, '') AS column_name, error_count,
+           round(CASE WHEN ratio IN ('junk', '', '1/2/3') OR ratio IS NULL THEN 0.0
+                WHEN ratio = '0.5' THEN 0.5 WHEN split_part(ratio, '/', 2) = '0' THEN 0.0
+                ELSE CAST(split_part(ratio, '/', 1) AS DOUBLE)
+                     / CAST(split_part(ratio, '/', 2) AS DOUBLE) END, 6) AS ratio,
+           dag_run_id, '["' || example || '"]' AS examples,
+           CASE WHEN lower(status) IN ('réussi', 'success', 'pass', 'succès', 'passed')
+                    THEN 'DQ_SUCCESS'
+                WHEN lower(status) IN ('échoué', 'failed', 'fail', 'echec') THEN 'DQ_FAILED'
+                ELSE 'DQ_WARNING' END AS quality_tag,
+           version_id,
+           CASE WHEN column_name IS NOT NULL AND known
+                THEN sha256('p_' || version_id || '.' || column_name) ELSE '' END AS column_node
+    FROM (
+        SELECT c.*, v.column_name IS NOT NULL AS known,
+               'g' || c.version_id || '.' || coalesce(c.column_name, 'dataset') || '.'
+               || rule_type || '.' || dag_run_id AS unique_name
+        FROM checks c LEFT JOIN version_columns v
+          ON v.version_id = c.version_id AND v.column_name = c.column_name AND v.flag <> 'N'
+    )
+)"""
+oracle(
+    "graph_checks",
+    "checks version_columns",
+    "SELECT * EXCLUDE (version_id) FROM check_nodes",
+    _CHECK_NODES,
+)
+oracle(
+    "graph_check_links",
+    "checks version_columns",
+    """
+SELECT 'g' || version_id AS version_node, count(*) FILTER (WHERE column_node <> '') AS on_columns,
+       count(*) FILTER (WHERE column_node = '') AS on_dataset
+FROM check_nodes GROUP BY version_id""",
+    _CHECK_NODES,
+)
+oracle(
+    "graph_edges",
+    f"{_MATCH_TABLES} version_columns descriptions checks",
+    """
+SELECT 'dataset_columns' AS edge_type, 'g' || version_id AS source, node_id AS target
+FROM column_nodes
+UNION ALL
+SELECT 'dataset_versioning', c.external_id, p.external_id
+FROM versions c JOIN versions p ON p.id = c.parent_version_id
+WHERE c.external_id <> p.external_id
+UNION ALL
+SELECT 'column_versioning', c.node_id, p.node_id
+FROM column_nodes c JOIN column_nodes p
+  ON p.version_id = c.parent_version_id AND p.name = c.name AND p.node_id <> c.node_id
+UNION ALL
+SELECT 'datasetversion_dqchecks', 'g' || version_id, node_id FROM check_nodes
+UNION ALL
+SELECT 'column_dqchecks', column_node, node_id FROM check_nodes WHERE column_node <> ''""",
+    f"{_COLUMN_NODES}, {_CHECK_NODES}",
+    recursive=True,
+)
+
+# Every user against every project, as the rules are worded.
+_ACCESS = """
+pairs AS (
+    SELECT u.employee_id, u.role, u.department, p.project_id, p.owner_employee_id,
+           u.role = 'ADMIN' OR (u.role = 'DATA_OWNER' AND (p.visibility = 'PUBLIC'
+               OR coalesce(o.department = u.department, false))) AS upload
+    FROM users u CROSS JOIN projects p
+    LEFT JOIN users o ON o.employee_id = p.owner_employee_id
+)"""
+oracle(
+    "access_grants",
+    "users projects",
+    """
+SELECT project_id, role, '*' AS department, action
+FROM projects CROSS JOIN (VALUES ('ADMIN', 'view'), ('AUDIT', 'view'), ('ADMIN', 'upload'))
+     AS r(role, action)
+UNION ALL
+SELECT project_id, 'DATA_OWNER', '*', action
+FROM projects CROSS JOIN (VALUES ('view'), ('upload')) AS a(action) WHERE visibility = 'PUBLIC'
+UNION ALL
+SELECT project_id, 'DATA_OWNER', department, action
+FROM projects JOIN users ON employee_id = owner_employee_id
+CROSS JOIN (VALUES ('view'), ('upload')) AS a(action) WHERE visibility = 'DEPARTMENT'""",
+)
+oracle(
+    "access_counts",
+    "users projects",
+    """
+SELECT employee_id, count(*) FILTER (WHERE upload OR role = 'AUDIT') AS view,
+       count(*) FILTER (WHERE upload) AS upload
+FROM pairs GROUP BY employee_id""",
+    _ACCESS,
+)
+oracle(
+    "access_owners",
+    "users projects",
+    """
+SELECT employee_id, count(*) AS projects,
+       count(*) FILTER (WHERE owner_employee_id = employee_id) AS own_projects
+FROM pairs WHERE upload AND role = 'DATA_OWNER'
+  AND employee_id IN (SELECT owner_employee_id FROM projects)
+GROUP BY employee_id""",
+    _ACCESS,
+)
+oracle(
+    "access_overview",
+    "users projects project_datasets",
+    """
+SELECT p.project_id, p.name, count(d.dataset_id) AS datasets_count,
+       CASE WHEN count(d.dataset_id) = 0 AND any_value(role) IN ('ADMIN', 'DATA_OWNER')
+            THEN CAST(1 AS BIGINT) ELSE -1 END AS deletable
+FROM projects p LEFT JOIN project_datasets d ON d.project_id = p.project_id
+LEFT JOIN users ON employee_id = owner_employee_id
+GROUP BY p.project_id, p.name""",
+)

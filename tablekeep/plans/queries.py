@@ -486,7 +486,7 @@ def sim_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description",
     )
     return sim.suggested_descriptions(found, texts).select(
-        "dataset_id", "column_name", "description", "source_dataset", _double("similarity_score", digits=3)
+        "dataset_id", "column_name", "description", "source_dataset", "similarity_score"
     )
 
 
