@@ -194,7 +194,7 @@ def failing_examples(df: DataFrame, rules: list[Rule], k: int = MAX_EXAMPLES) ->
             )
             for rule in some
         ]
-        return df.select(F.inline(F.filter(F.array(*hits), lambda hit: hit.isNotNull())))
+        return df.select(F.inline(F.array(*hits))).filter(F.col("rule_id").isNotNull())
 
     counted = [r for r in rules if r.check in ("completeness", "allowed_values")]
     once = [r.rule_id for r in counted if r.check == "allowed_values"]

@@ -102,17 +102,16 @@ def _hex_bound(share: float) -> str:
 
 
 def _values_below(df: DataFrame, bounds: dict[str, str | None]) -> DataFrame:
-    """Distinct ``column_name, hash, value`` with a hash not above the column's bound."""
+    """Distinct ``column_name, value, hash`` with a hash not above the column's bound."""
 
     def entry(column: str, bound: str | None) -> Column:
         value = _col(column).cast("string")
-        digest = F.md5(value)
-        row = F.struct(F.lit(column).alias("column_name"), digest.alias("hash"), value.alias("value"))
-        keep = value.isNotNull() if bound is None else digest <= bound
-        return F.when(keep, row)
+        kept = value if bound is None else F.when(F.md5(value) <= bound, value)
+        return F.struct(F.lit(column).alias("column_name"), kept.alias("value"))
 
-    entries = F.array(*[entry(c, b) for c, b in bounds.items()])
-    return df.select(F.inline(F.filter(entries, lambda e: e.isNotNull()))).distinct()
+    values = df.select(F.inline(F.array(*[entry(c, b) for c, b in bounds.items()])))
+    distinct = values.filter(F.col("value").isNotNull()).distinct()
+    return distinct.withColumn("hash", F.md5("value"))
 
 
 def _bottom(values: DataFrame, k: int) -> DataFrame:

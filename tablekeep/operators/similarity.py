@@ -66,9 +66,7 @@ def dataset_profiles(signatures: DataFrame) -> DataFrame:
 
 def distinct_profiles(datasets: DataFrame) -> DataFrame:
     """One row per (project, profile)."""
-    return datasets.groupBy("project_id", "profile_id").agg(
-        F.first("name_base").alias("name_base"), F.first("columns").alias("columns")
-    )
+    return datasets.select("project_id", "profile_id", "name_base", "columns").distinct()
 
 
 def candidate_pairs(profiles: DataFrame) -> DataFrame:
@@ -186,10 +184,12 @@ def pair_scores(profiles: DataFrame, adaptive: bool = True) -> DataFrame:
     )
     data = F.col("sample_agreement") * F.lit(WEIGHT_SAMPLE)
     lowest = _threshold(F.col("a_in_b") | F.col("b_in_a"), F.col("jaccard"), adaptive)
-    reachable = parts.filter(structure + data + F.lit(WEIGHT_NAME + EPSILON) >= lowest)
-
-    first, second = F.least("name_a", "name_b"), F.greatest("name_a", "name_b")
-    reachable = reachable.withColumn("name_1", first).withColumn("name_2", second)
+    # Read again for its names: written once.
+    reachable = cut_lineage(
+        parts.filter(structure + data + F.lit(WEIGHT_NAME + EPSILON) >= lowest)
+        .withColumn("name_1", F.least("name_a", "name_b"))
+        .withColumn("name_2", F.greatest("name_a", "name_b"))
+    )
     names = (
         reachable.filter(F.col("name_1") != F.col("name_2"))
         .select("name_1", "name_2")

@@ -1326,3 +1326,113 @@ FROM projects p LEFT JOIN project_datasets d ON d.project_id = p.project_id
 LEFT JOIN users ON employee_id = owner_employee_id
 GROUP BY p.project_id, p.name""",
 )
+
+# --- publishing --------------------------------------------------------------------------------
+
+# Drafts have no published version, so their parent is the most similar published dataset.
+_PUSH = f"""{_SCORED},
+parents AS (
+    SELECT a AS dataset_id, b AS parent_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place
+          FROM accepted JOIN published ON b = dataset_id WHERE score >= 0.60)
+    WHERE place = 1
+),
+pushed AS (
+    SELECT o_orderkey AS dataset_id, parent_id, coalesce(score, 0.0) AS score, o_totalprice,
+           o_custkey, o_orderdate,
+           -- The draft is version 1 and only reused when the parent does not ask for 2.
+           CAST(2 AS BIGINT) AS version_number,
+           o_custkey || '_' || md5(CAST(o_orderkey AS VARCHAR)) || '_v2' AS qualified_name
+    FROM orders LEFT JOIN parents ON parents.dataset_id = o_orderkey
+    WHERE o_orderpriority = '5-LOW'
+),
+push_pairs AS (
+    SELECT DISTINCT lower(c.column_name) AS s2, lower(k.column_name) AS t2
+    FROM pushed JOIN version_columns c ON c.version_id = pushed.dataset_id
+    JOIN known_columns k ON k.version_id = pushed.parent_id
+),
+push_rows AS (
+    SELECT s2, t2, CAST(0 AS BIGINT) AS i,
+           list_transform(range(len(s2) + 1), lambda k: CAST(0 AS BIGINT)) AS cells
+    FROM push_pairs
+    UNION ALL
+    SELECT s2, t2, i + 1,
+           list_transform(range(len(s2) + 1), lambda k: list_max(
+               list_transform(range(k + 1), lambda j:
+                   greatest(cells[j + 1],
+                            CASE WHEN j > 0 AND substr(s2, j, 1) = substr(t2, i + 1, 1)
+                                 THEN cells[j] + 1 ELSE 0 END))))
+    FROM push_rows WHERE i < len(t2)
+),
+push_lcs AS (SELECT s2, t2, cells[len(s2) + 1] AS n FROM push_rows WHERE i = len(t2)),
+push_usable AS (SELECT * FROM known_columns WHERE logical_id IS NOT NULL),
+push_fuzzy AS (
+    SELECT version_id, column_name, logical_id
+    FROM (
+        SELECT c.version_id, c.column_name, u.logical_id,
+               row_number() OVER (PARTITION BY c.version_id, c.column_name
+                   ORDER BY 2.0 * n / (len(s2) + len(t2)) DESC, u.position) AS place
+        FROM pushed JOIN version_columns c ON c.version_id = pushed.dataset_id
+        JOIN push_usable u ON u.version_id = pushed.parent_id
+        JOIN push_lcs ON s2 = lower(c.column_name) AND t2 = lower(u.column_name)
+        WHERE n * 200 >= 82 * (len(s2) + len(t2))
+    )
+    WHERE place = 1
+),
+push_columns AS (
+    SELECT c.version_id, c.column_name, pushed.parent_id,
+           coalesce(byname.logical_id, bypos.logical_id, f.logical_id) AS logical_id
+    FROM pushed JOIN version_columns c ON c.version_id = pushed.dataset_id
+    LEFT JOIN push_usable byname ON byname.version_id = parent_id
+                                    AND byname.column_name = c.column_name
+    LEFT JOIN push_usable bypos ON bypos.version_id = parent_id AND bypos.position = c.position
+    LEFT JOIN push_fuzzy f ON f.version_id = c.version_id AND f.column_name = c.column_name
+),
+push_counts AS (
+    SELECT version_id, count(*) AS columns_count, count(*) FILTER (WHERE taken) AS propagated
+    FROM (SELECT p.*, EXISTS (SELECT 1 FROM lineage l WHERE l.dataset_version_id = p.parent_id
+                              AND l.column_name = p.column_name)
+                 AND EXISTS (SELECT 1 FROM lineage l WHERE l.dataset_version_id = p.parent_id
+                             AND l.logical_column_id = p.logical_id) AS taken
+          FROM push_columns p)
+    GROUP BY version_id
+),
+report AS (
+    SELECT dataset_id, left(sha256(qualified_name), 32) AS version_id, version_number,
+           coalesce(CAST(parent_id AS VARCHAR), '') AS parent_version_id,
+           CASE WHEN parent_id IS NULL THEN 'Reupload v1' ELSE 'Reupload v2' END AS process_name,
+           coalesce(columns_count, 0) AS columns_count,
+           CAST(floor(o_totalprice) AS BIGINT) AS rows_count,
+           coalesce(propagated, 0) AS propagated, round(score, 6) AS similarity_score,
+           (SELECT count(*) FROM checks WHERE version_id = dataset_id) AS data_quality_checks,
+           o_custkey, o_orderdate
+    FROM pushed LEFT JOIN push_counts ON push_counts.version_id = dataset_id
+)"""
+_PUSH_TABLES = "signatures published version_columns known_columns lineage checks"
+oracle(
+    "push_report",
+    _PUSH_TABLES,
+    """
+SELECT * EXCLUDE (o_custkey, o_orderdate),
+       CAST(data_quality_checks > 0 AS BIGINT) AS quality_summary_added,
+       CAST(0 AS BIGINT) AS dataset_existed
+FROM report""",
+    _PUSH,
+    recursive=True,
+)
+oracle(
+    "push_history",
+    _PUSH_TABLES,
+    """
+SELECT dataset_id, o_orderdate AS pushed_at, CAST(o_custkey AS VARCHAR) AS pushed_by,
+       'SUCCESS' AS status, '' AS error_message, columns_count, rows_count,
+       CAST(parent_version_id <> '' AS BIGINT) AS parent_found,
+       CASE WHEN similarity_score > 0 THEN similarity_score ELSE -1.0 END AS similarity_score,
+       propagated AS propagated_columns_count
+FROM report
+UNION ALL
+SELECT doc_id, TIMESTAMP '2024-01-01', source, 'FAILED', left(text, 500), -1, -1, -1, -1.0, -1
+FROM documents""",
+    _PUSH,
+    recursive=True,
+)

@@ -23,6 +23,7 @@ from tablekeep.operators import results as res
 from tablekeep.operators import rules as rul
 from tablekeep.operators import similarity as sim
 from tablekeep.operators import versions as ver
+from tablekeep.plans.publish import Catalogue, publish
 from tablekeep.plans.star_catalogue import catalogue
 from tablekeep.sources import files
 from tablekeep.streaming import pickup
@@ -1093,3 +1094,101 @@ def access_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     deletable = empty.filter(may).select("project_id", F.lit(1).alias("deletable"))
     overview = acc.project_overview(projects, datasets).join(deletable, "project_id", "left")
     return overview.select("project_id", "name", "datasets_count", _long("deletable"))
+
+
+# --- publishing --------------------------------------------------------------------------------
+
+
+def _publish(spark: SparkSession, sf_dir: str):
+    """All orders that are drafts yet, pushed in one batch against the published ones."""
+    orders = catalogue(spark, sf_dir, "orders")
+    draft = F.col("o_orderpriority") == "5-LOW"
+    # Every published order is the only version of its own dataset here.
+    versions = orders.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_orderkey").alias("dataset_id"),
+        F.lit(1).alias("version_number"),
+        F.when(~draft, F.concat(F.lit("g"), F.col("o_orderkey").cast("string"))).alias("external_id"),
+        F.lit(None).cast("string").alias("parent_version_id"),
+    )
+    pending = orders.filter(draft).select(
+        F.col("o_orderkey").alias("dataset_id"),
+        F.col("o_custkey").alias("project_id"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("hash"),
+        F.col("o_totalprice").cast("bigint").alias("rows_count"),
+        F.col("o_custkey").cast("string").alias("pushed_by"),
+        F.col("o_orderdate").alias("pushed_at"),
+    )
+    text_id = F.col("version_id").cast("string").alias("version_id")
+    known = catalogue(spark, sf_dir, "known_columns").select(
+        text_id,
+        "column_name",
+        "position",
+        "logical_id",
+        F.md5(F.concat_ws("#", "version_id", "column_name")).alias("external_id"),
+    )
+    lineage = catalogue(spark, sf_dir, "lineage").withColumn(
+        "dataset_version_id", F.col("dataset_version_id").cast("string")
+    )
+    columns = catalogue(spark, sf_dir, "version_columns").select(
+        F.col("version_id").alias("dataset_id"), "column_name", "position", "type"
+    )
+    checks = _checks(spark, sf_dir).withColumnRenamed("version_id", "dataset_id")
+    texts = catalogue(spark, sf_dir, "descriptions").select(text_id, "column_name", "description")
+    nodes = pending.select(ver.qualified_name("hash", "project_id", F.lit(9)).alias("qualified_name"))
+    known_now = Catalogue(
+        versions, catalogue(spark, sf_dir, "signatures"), known, lineage, texts, nodes
+    )
+    return publish(pending, columns, checks, known_now)
+
+
+@query
+def push_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6: report of publishing all drafts in one batch."""
+    report = _publish(spark, sf_dir).report
+    return report.select(
+        "dataset_id",
+        "version_id",
+        _long("version_number"),
+        _text("parent_version_id"),
+        "process_name",
+        "columns_count",
+        "rows_count",
+        "propagated",
+        _double("similarity_score"),
+        "data_quality_checks",
+        _long("quality_summary_added"),
+        _long("dataset_existed"),
+    )
+
+
+@query
+def push_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-13: history rows of the same batch, with a failed push for every existing version."""
+    done = _publish(spark, sf_dir).history
+    failed = catalogue(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("dataset_id"),
+        F.to_timestamp(F.lit("2024-01-01")).alias("pushed_at"),
+        F.col("source").alias("pushed_by"),
+        F.col("text").alias("error_message"),
+        F.lit(None).cast("int").alias("execution_time_ms"),
+        F.lit(1).alias("columns_count"),
+        "n_chars",
+        F.lit(None).cast("string").alias("parent_version_id"),
+        F.lit(0.0).alias("similarity_score"),
+        F.lit(0).alias("propagated"),
+    )
+    rows = files.push_history_rows(failed.withColumnRenamed("n_chars", "rows_count"))
+    both = done.unionByName(rows)
+    return both.select(
+        "dataset_id",
+        "pushed_at",
+        "pushed_by",
+        "status",
+        _text("error_message"),
+        _long("columns_count"),
+        _long("rows_count"),
+        _long("parent_found"),
+        _double("similarity_score"),
+        _long("propagated_columns_count"),
+    )
