@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +76,8 @@ def content_hashes(
     """``path, length, hash`` (SHA-256 of the content) of every file.
 
     Files are spread over the tasks. Only the small ones are loaded as a column;
-    the length filter keeps Spark from opening the others there.
+    the length filter keeps Spark from opening the others there. A scan leaves out
+    empty files, which are added back from the file listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.filter(F.col("length") <= in_memory).select(
@@ -85,7 +87,13 @@ def content_hashes(
     streamed = large.repartition("path").mapInPandas(
         _hash_streams, "path string, length bigint, hash string"
     )
-    return small.unionByName(streamed)
+    found = small.unionByName(streamed)
+    listed = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
+    names = spark.createDataFrame(listed, "path string")
+    empty = names.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(""), 256).alias("hash")
+    )
+    return found.unionByName(empty)
 
 
 def identical_uploads(hashes: DataFrame) -> DataFrame:
