@@ -73,19 +73,24 @@ def _double(state: DataFrame, order: list[str]) -> DataFrame:
         .agg(F.max(offer).alias("offer"))
     )
     above = state.select(
-        F.col("id").alias("jump"),
+        F.col("id").alias("target"),
         F.col("jump").alias("next_jump"),
         F.col("root").alias("next_root"),
         F.col("steps").alias("next_steps"),
     )
+    active = F.col("jump").isNotNull()
+    # Finished nodes look up themselves: as null keys they would all meet in one task.
     return (
         state.join(offers, "id", "left")
-        .join(above, "jump", "left")
+        .withColumn("target", F.coalesce("jump", "id"))
+        .join(above, "target")
         .select(
             "id",
-            F.col("next_jump").alias("jump"),
-            F.coalesce("next_root", "root").alias("root"),
-            (F.col("steps") + F.coalesce("next_steps", F.lit(0))).alias("steps"),
+            F.when(active, F.col("next_jump")).alias("jump"),
+            F.when(active, F.col("next_root")).otherwise(F.col("root")).alias("root"),
+            F.when(active, F.col("steps") + F.col("next_steps"))
+            .otherwise(F.col("steps"))
+            .alias("steps"),
             F.greatest("best", F.coalesce("offer", "best")).alias("best"),
         )
     )

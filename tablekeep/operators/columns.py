@@ -49,18 +49,28 @@ def fuzzy_matches(children: DataFrame, parents: DataFrame) -> DataFrame:
         "position",
     )
     pairs = names.join(targets, ["parent_version_id", "parent_length"])
-    lcs = lcs_length(F.col("name"), F.col("parent_name"))
     total = F.length("name") + F.length("parent_name")
-    close = pairs.withColumn("lcs", lcs).filter(F.col("lcs") * 200 >= total * percent)
+
+    def occurring(text: str, other: str) -> Column:
+        rest = F.call_function("translate", F.col(text), F.col(other), F.lit(""))
+        return F.length(text) - F.length(rest)
+
+    # Characters of one name that occur in the other at all bound the common ones.
+    shared = F.least(occurring("name", "parent_name"), occurring("parent_name", "name"))
+    possible = pairs.filter(shared * 200 >= total * percent)
+    scored = possible.withColumn("lcs", lcs_length(F.col("name"), F.col("parent_name")))
+    # Accepted inside the aggregate: a filter on lcs would be pushed below and compute it twice.
+    accepted = F.col("lcs") * 200 >= total * percent
     ratio = 2.0 * F.col("lcs") / total
     best = F.max_by(
         F.struct(F.col("logical_id").alias("fuzzy_id"), ratio.alias("fuzzy_ratio")),
-        F.struct(ratio, -F.col("position"), "logical_id"),
+        F.when(accepted, F.struct(ratio, -F.col("position"), "logical_id")),
     )
     return (
-        close.groupBy("parent_version_id", "name")
+        scored.groupBy("parent_version_id", "name")
         .agg(best.alias("m"))
         .select("parent_version_id", "name", "m.*")
+        .filter(F.col("fuzzy_id").isNotNull())
     )
 
 

@@ -65,12 +65,16 @@ def dataset_profiles(signatures: DataFrame) -> DataFrame:
 
 
 def distinct_profiles(datasets: DataFrame) -> DataFrame:
-    """One row per (project, profile)."""
-    return datasets.select("project_id", "profile_id", "name_base", "columns").distinct()
+    """One row per (project, profile), with a short ``key`` that stands for it in joins.
+
+    The key is fixed by writing the table: it only has to be unique within one run.
+    """
+    profiles = datasets.select("project_id", "profile_id", "name_base", "columns").distinct()
+    return cut_lineage(profiles.withColumn("key", F.monotonically_increasing_id()))
 
 
 def candidate_pairs(profiles: DataFrame) -> DataFrame:
-    """Unordered profile pairs of a project that can reach a threshold.
+    """Unordered profile pairs ``a < b`` (keys) of a project that can reach a threshold.
 
     A pair is accepted only if it (a) overlaps in at least ``MIN_OVERLAP`` of all
     its columns, or (b) agrees on the sample of some column, or (c) holds all
@@ -78,35 +82,38 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     rare in the project: with n columns, the n - ceil(t * n) + 1 rarest of both
     sides must share one. For (c) the rarest column of the contained side must be
     among the other's. Columns common to the whole project are so left out of
-    both joins.
+    both joins. Names and samples are joined by their hashes: a collision only adds
+    a pair, which the exact overlap then weighs like any other.
     """
-    long = profiles.select(
-        "project_id", "profile_id", F.size("columns").alias("n"), F.inline("columns")
+    long = profiles.select("project_id", "key", F.size("columns").alias("n"), F.inline("columns"))
+    tokens = long.select(
+        "project_id",
+        "key",
+        "n",
+        F.xxhash64("column_name").alias("token"),
+        F.xxhash64("column_name", "sample_hash").alias("sample"),
     )
-    frequency = long.groupBy("project_id", "column_name").agg(F.count(F.lit(1)).alias("frequency"))
-    rarity = Window.partitionBy("project_id", "profile_id").orderBy("frequency", "column_name")
+    frequency = tokens.groupBy("project_id", "token").agg(F.count(F.lit(1)).alias("frequency"))
+    rarity = Window.partitionBy("project_id", "key").orderBy("frequency", "token")
     # Read by three joins: written once.
     ordered = cut_lineage(
-        long.join(frequency, ["project_id", "column_name"])
+        tokens.join(frequency, ["project_id", "token"])
         .withColumn("rank", F.row_number().over(rarity))
-        .select("project_id", "profile_id", "n", "column_name", "sample_hash", "rank")
+        .drop("frequency")
     )
     prefix = ordered.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * MIN_OVERLAP) + 1)
-    key = ["project_id", "column_name"]
 
-    def pair(left: DataFrame, right: DataFrame, on: list[str], condition: str | None) -> DataFrame:
-        a = left.select(*on, F.col("profile_id").alias("a"), F.col("n").alias("n_a"))
-        b = right.select(*on, F.col("profile_id").alias("b"), F.col("n").alias("n_b"))
-        joined = a.join(b, on).filter(condition or "a < b")
+    def pair(left: DataFrame, right: DataFrame, token: str, condition: str) -> DataFrame:
+        a = left.select("project_id", token, F.col("key").alias("a"), F.col("n").alias("n_a"))
+        b = right.select("project_id", token, F.col("key").alias("b"), F.col("n").alias("n_b"))
+        joined = a.join(b, ["project_id", token]).filter(condition)
         return joined.select(
-            "project_id",
-            F.least("a", "b").alias("profile_a"),
-            F.greatest("a", "b").alias("profile_b"),
+            "project_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         )
 
-    overlap = pair(prefix, prefix, key, None)
-    samples = pair(ordered, ordered, key + ["sample_hash"], None)
-    contained = pair(ordered.filter("rank = 1"), ordered, key, "a != b AND n_a <= n_b")
+    overlap = pair(prefix, prefix, "token", "a < b")
+    samples = pair(ordered, ordered, "sample", "a < b")
+    contained = pair(ordered.filter("rank = 1"), ordered, "token", "a != b AND n_a <= n_b")
     return overlap.unionByName(samples).unionByName(contained).distinct()
 
 
@@ -122,13 +129,14 @@ def _with_overlap(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         columns = profiles.select(
             "project_id",
+            F.col("key").alias(side),
             F.col("profile_id").alias(f"profile_{side}"),
             F.col("name_base").alias(f"name_{side}"),
             listed("column_name").alias(f"names_{side}"),
             listed("data_type", "column_name").alias(f"types_{side}"),
             listed("sample_hash", "column_name").alias(f"samples_{side}"),
         )
-        pairs = pairs.join(columns, ["project_id", f"profile_{side}"])
+        pairs = pairs.join(columns, ["project_id", side])
 
     def shared(lists: str) -> Column:
         return F.size(F.array_intersect(f"{lists}_a", f"{lists}_b"))
@@ -160,7 +168,7 @@ def _threshold(contained: Column, jaccard: Column, adaptive: bool) -> Column:
 def pair_scores(profiles: DataFrame, adaptive: bool = True) -> DataFrame:
     """Scores of all profile pairs accepted in at least one direction.
 
-    ``accept_a_for_b`` says that profile a is an acceptable parent of profile b.
+    Each pair stands once, either way round. ``accept_a_for_b`` says that profile a is an acceptable parent of profile b.
     With ``adaptive`` the threshold is lower for contained and close structures.
     """
     pairs = _with_overlap(candidate_pairs(profiles), profiles)

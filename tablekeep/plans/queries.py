@@ -443,16 +443,22 @@ def sim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-1 to M-5: scores of the signature pairs that reach a threshold."""
     datasets = cut_lineage(sim.dataset_profiles(catalogue(spark, sf_dir, "signatures")))
     scores = sim.pair_scores(sim.distinct_profiles(datasets))
-    return scores.select(
+    ordered = F.col("profile_a") < F.col("profile_b")
+    accept = F.struct("accept_a_for_b", "accept_b_for_a")
+    swapped = F.struct(
+        F.col("accept_b_for_a").alias("accept_a_for_b"),
+        F.col("accept_a_for_b").alias("accept_b_for_a"),
+    )
+    return scores.withColumn("accept", F.when(ordered, accept).otherwise(swapped)).select(
         "project_id",
-        "profile_a",
-        "profile_b",
+        F.least("profile_a", "profile_b").alias("profile_a"),
+        F.greatest("profile_a", "profile_b").alias("profile_b"),
         *[
             _double(c)
             for c in ("jaccard", "type_agreement", "sample_agreement", "name_similarity", "score")
         ],
-        _long("accept_a_for_b"),
-        _long("accept_b_for_a"),
+        _long(F.col("accept.accept_a_for_b"), "accept_a_for_b"),
+        _long(F.col("accept.accept_b_for_a"), "accept_b_for_a"),
     )
 
 

@@ -3,7 +3,7 @@
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,9 +59,12 @@ def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            # Spark writes local paths with one slash, which is no valid URI here.
-            uri = re.sub("^file:/+", "file:///", path)
-            system, name = fs.FileSystem.from_uri(uri)
+            # The root names the file system; the path itself is not URL-encoded.
+            root, name = re.fullmatch(r"(?:([^:/]+:)/*)?(.*)", path).groups()
+            if root is None or root == "file:":
+                system, name = fs.LocalFileSystem(), "/" + name.lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(f"{root}//{quote(name)}")
             digest = hashlib.sha256()
             with system.open_input_stream(name) as stream:
                 while chunk := stream.read(CHUNK_BYTES):
