@@ -1,5 +1,6 @@
 """Picking up finished run documents as they arrive in a folder."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,5 +41,10 @@ def pick_up_results(
 
 
 def picked_up_checks(spark: SparkSession, target: str) -> DataFrame:
-    """The checks stored so far."""
-    return spark.read.parquet(target).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    """The checks stored so far; none when nothing has been picked up yet."""
+    try:
+        stored = spark.read.parquet(target)
+    except AnalysisException:
+        empty = flatten_documents(spark.createDataFrame([], RUN_SCHEMA))
+        stored = empty.withColumn("batch_id", F.lit(None))
+    return stored.withColumn("batch_id", F.col("batch_id").cast("bigint"))
