@@ -3,7 +3,7 @@ import random
 from tablekeep.operators.chains import follow_chains
 
 
-def _follow(spark, links, order=None):
+def _follow(spark, links):
     frame = spark.createDataFrame(links, "id string, parent_id string")
     return {r.id: r for r in follow_chains(frame).collect()}
 
