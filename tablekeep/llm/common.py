@@ -1,16 +1,27 @@
 """Small helpers shared by the operators of this subpackage."""
 
+import io
 import string
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
+from pyspark.sql.types import StructType
 
 from tablekeep.functions.lineage import scratch_path
 
 #: Separators of plain words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 
+#: Text that is handled at once in a task, in bytes, beside a single longer text.
+PIECE_BYTES = 8 << 20
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +40,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, through a file in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    name = f"{scratch_path(spark, 'package')}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(where)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    files.deleteOnExit(where)
+    context.addPyFile(name)
+    _SHIPPED.add(context.applicationId)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -70,3 +102,39 @@ def union_length(spans: Column) -> Column:
 def crc_rest(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return (F.crc32(doc_id.cast("string")) % modulus).cast("int")
+
+
+def text_columns(
+    df: DataFrame,
+    fields: str,
+    make: Callable[[], Callable[[list], list]],
+    text: str = "text",
+    drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """``df`` with columns computed from its texts in Arrow batches.
+
+    ``fields`` is the DDL of the new columns and ``make``, called once per task, gives the function from a list
+    of texts to one list per new column. Batches are cut into pieces of about PIECE_BYTES, so memory
+    follows the longest text and not the number of rows. Columns of the same name are replaced.
+    """
+    added = StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in added.names and f.name not in drop]
+    schema = StructType([*kept, *added.fields])
+    names = [f.name for f in kept]
+    types = [pa_type(f.dataType) for f in added.fields]
+    at = df.columns.index(text)
+    places = [df.columns.index(n) for n in names]
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                piece = batch.slice(start, step)
+                found = compute(piece.column(at).to_pylist())
+                arrays = [piece.column(i) for i in places]
+                arrays += [pa.array(x, type=t) for x, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added.names])
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

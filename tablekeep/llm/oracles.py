@@ -25,15 +25,22 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 _OP5 = """
-WITH bits AS (
-  SELECT doc_id, source, coalesce(text, '') AS t, 1 + strlen(coalesce(text, '')) AS size FROM documents),
-bytes AS (
-  SELECT doc_id, list_transform(range(size - 1),
-           lambda i: CAST('0x' || substr(hex(t), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM bits),
-crc AS (
-  SELECT doc_id, xor(4294967295, list_reduce(b,
-    lambda c, x: xor(c >> 8, [0][1]), 4294967295)) AS text_crc32 FROM bytes)
-SELECT 1
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n:
+    list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS tab),
+d AS (SELECT doc_id, source, coalesce(text, '') AS t, hex(coalesce(text, '')) AS h FROM documents),
+c AS (
+  SELECT doc_id, source, CAST(strlen(t) + 1 AS BIGINT) AS size,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(range(strlen(t)),
+             lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM d, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id) AS r,
+             count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), source NULLS FIRST, r) - 1 AS p FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * 16 // total AS INTEGER) AS shard,
+       p - ((p * 16 // total) * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 
 _OP8 = r"""
@@ -64,4 +71,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failed_bits = 0 AS kept, failed_bits FROM g
 """
 
-ORACLES = {"op1_decontaminate": _OP1, "op8_rules": _OP8}
+ORACLES = {"op1_decontaminate": _OP1, "op5_shard": _OP5, "op8_rules": _OP8}

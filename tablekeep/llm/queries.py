@@ -2,15 +2,17 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import decontaminate, rule_ledger, sharding
+from tablekeep.llm import bpe, decontaminate, rule_ledger, secrets, sharding
 from tablekeep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 16
 SEED = 17
+VOCABULARY = "word_bpe_49k.json"
 
 
 def query(function):
@@ -71,3 +73,32 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule_ledger.passes(rule_ledger.STRICT).alias("kept"),
         "failed_bits",
     )
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, those inside nested encodings included."""
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda x: x.layer == "")
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda x: (x.layer == "") & (x.kind == kind))).cast("long")
+
+    return rows.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.listing(base), 256).alias("base_sha256"),
+        secrets.listing(F.col("found")).alias("spans"),
+        "refused",
+    )
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    return bpe.encode(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path(VOCABULARY),
+        ("n_tokens", "ids_sha256", "decoded_sha256"),
+        drop=("text",),
+    )
