@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, decontaminate, rule_ledger, secrets, sharding
-from tablekeep.llm.common import table
+from tablekeep.llm import bpe, decontaminate, langid, quality, rule_ledger, secrets, sharding
+from tablekeep.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 16
@@ -102,3 +102,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("n_tokens", "ids_sha256", "decoded_sha256"),
         drop=("text",),
     )
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a classifier that learned from the labels of four folds out of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, drop=("text",)).select(
+        "doc_id",
+        (crc_rest(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by its nearest centroid."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model, drop=("text",)).select(
+        "doc_id",
+        (crc_rest(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT).alias("held_out"),
+        F.col("nearest").alias("lang_pred"),
+        "score",
+        "rejected",
+    )
