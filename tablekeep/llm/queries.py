@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekeep.llm import bpe, decontaminate, langid, quality, rule_ledger, secrets, sharding
+from tablekeep.llm import (
+    bpe,
+    context_tree,
+    decontaminate,
+    langid,
+    quality,
+    rule_ledger,
+    secrets,
+    sharding,
+)
 from tablekeep.llm.common import crc_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +138,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "rejected",
     )
+
+
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text by words alone and by the context tree."""
+    return context_tree.score(table(spark, sf_dir, "documents"))
