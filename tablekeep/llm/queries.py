@@ -15,6 +15,7 @@ from tablekeep.llm import (
     rule_ledger,
     secrets,
     sharding,
+    wrappers,
 )
 from tablekeep.llm.common import crc_rest, table
 
@@ -144,3 +145,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every text by words alone and by the context tree."""
     return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    return wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
