@@ -10,6 +10,7 @@ from tablekeep.llm import (
     bpe,
     context_tree,
     decontaminate,
+    jaccard_join,
     langid,
     quality,
     rule_ledger,
@@ -153,3 +154,9 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.Rule(3, 90, 100))
