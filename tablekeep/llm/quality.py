@@ -130,8 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([t for _, t in texts], [label_of[i] for i, _ in texts])
 
 
-def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``score``, the share of label 1. Null and empty texts get the score of the bias."""
+def score(
+    docs: DataFrame, model: Model, drop: tuple[str, ...] = (), name: str = "score"
+) -> DataFrame:
+    """``docs`` with column ``name``, the share of label 1. Null and empty texts get the score of the bias."""
 
     def make():
         def compute(texts: list) -> list[list]:
@@ -139,4 +141,4 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
 
         return compute
 
-    return text_columns(docs, "score double", make, drop=drop)
+    return text_columns(docs, f"{name} double", make, drop=drop)
