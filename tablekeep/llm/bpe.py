@@ -24,6 +24,8 @@ NONE = np.iinfo(np.int32).max
 AT = 6
 #: Words of more symbols than this are merged one by one.
 SHORT = 32
+#: Text that is encoded at once: words that it repeats are merged once.
+PIECE_BYTES = 8 << 20
 #: White space of Unicode.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _GAPS = regex.compile(f"[{_SPACE}]+")
@@ -348,4 +350,4 @@ def encode(
     tokens. Existing columns of the same names are replaced.
     """
     fields = ", ".join(f"{o} {COLUMNS[o]}" for o in outputs)
-    return text_columns(docs, fields, _encoder(path, outputs), drop=drop)
+    return text_columns(docs, fields, _encoder(path, outputs), drop=drop, piece_bytes=PIECE_BYTES)

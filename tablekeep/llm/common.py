@@ -18,7 +18,7 @@ from tablekeep.functions.lineage import scratch_path
 SPACES = r"\x20\x09-\x0D"
 
 #: Text that is handled at once in a task, in bytes, beside a single longer text.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 #: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
 
@@ -110,11 +110,12 @@ def text_columns(
     make: Callable[[], Callable[[list], list]],
     text: str = "text",
     drop: tuple[str, ...] = (),
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """``df`` with columns computed from its texts in Arrow batches.
 
     ``fields`` is the DDL of the new columns and ``make``, called once per task, gives the function from a list
-    of texts to one list per new column. Batches are cut into pieces of about PIECE_BYTES, so memory
+    of texts to one list per new column. Batches are cut into pieces of about ``piece_bytes``, so memory
     follows the longest text and not the number of rows. Columns of the same name are replaced.
     """
     added = StructType.fromDDL(fields)
@@ -128,7 +129,7 @@ def text_columns(
     def run(batches):
         compute = make()
         for batch in batches:
-            step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * piece_bytes / max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, step):
                 piece = batch.slice(start, step)
                 found = compute(piece.column(at).to_pylist())

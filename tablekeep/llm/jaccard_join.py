@@ -36,7 +36,7 @@ SMALL_SHINGLES = 20_000
 LEAF = 1024
 PIVOTS = 8
 #: Keys that a task holds before it hands them on.
-BATCH_KEYS = 2_000_000
+BATCH_KEYS = 1_000_000
 #: Bits of the filter that says which sets are tied to another: one megabyte.
 FILTER_BITS = 1 << 23
 
