@@ -269,7 +269,7 @@ class WordBpe:
             np.arange(len(numbers)),
             np.ones(len(numbers), dtype=np.int64),
         )
-        return special.followed_by(found).take(np.array(of_words, dtype=np.int64), np.array(counts))
+        return special.followed_by(found).take(np.array(of_words, dtype=np.int64), np.array(counts, dtype=np.int64))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space, as a vocabulary without a decoder gives them."""
@@ -282,7 +282,7 @@ class WordBpe:
         every = pa.array(chain.from_iterable(split), type=pa.large_string()).dictionary_encode()
         words = self.encode_words(every.dictionary.to_pylist())
         use = every.indices.to_numpy().astype(np.int64)
-        found = words.take(use, np.array([len(s) for s in split]))
+        found = words.take(use, np.array([len(s) for s in split], dtype=np.int64))
         out = []
         for at, size in zip(found.at.tolist(), found.size.tolist(), strict=True):
             ids = found.flat[at : at + size]

@@ -139,15 +139,13 @@ def document_anchors(docs: DataFrame, prints: DataFrame) -> DataFrame:
         shifted = F.call_function("shiftright", word, hash_.bitwiseAND(F.lit(63)).cast("int"))
         return shifted.bitwiseAND(F.lit(1)) != 0
 
+    def whole(words: Column, n: int) -> Column:
+        places = indexes(F.size(words) - (n - 1))
+        return _whole(words, n, F.filter(places, lambda at: may_match(_hash(words, at, n))))
+
     def anchors(words: Column) -> Column:
-        parts = [
-            let(_ordered_grams(words), lambda g: _anchors(words, _kept(g, may_match)))
-        ]
-        for n in lengths:
-            likely = F.filter(
-                indexes(F.size(words) - (n - 1)), lambda at, n=n: may_match(_hash(words, at, n))
-            )
-            parts.append(_whole(words, n, likely))
+        parts = [let(_ordered_grams(words), lambda g: _anchors(words, _kept(g, may_match)))]
+        parts += [whole(words, n) for n in lengths]
         return F.concat(*parts)
 
     found = docs.select(

@@ -106,10 +106,27 @@ def is_noise(name: str, signature: str) -> bool:
 
 
 def _key(node) -> str:
-    """Nodes with equal keys are aligned: equal tokens, and groups that begin alike."""
+    """Nodes with equal keys are aligned: equal tokens, and repeated groups that begin alike."""
+    repeated = ""
     while isinstance(node, list):
+        repeated = repeated or node[0].strip("?")
         node = node[1][0]
-    return node
+    return repeated + node
+
+
+def _regroup(nodes: list, other: list) -> list:
+    """Single occurrences of what the other wrapper repeats, as groups."""
+    for body in sorted((n[1] for n in other if isinstance(n, list) and n[0] == "+"), key=len, reverse=True):
+        out, i = [], 0
+        while i < len(nodes):
+            if nodes[i : i + len(body)] == body:
+                out.append(["+", body])
+                i += len(body)
+            else:
+                out.append(nodes[i])
+                i += 1
+        nodes = out
+    return fold(nodes)
 
 
 def fold(nodes: list) -> list:
@@ -167,6 +184,7 @@ def align(a: list, b: list) -> list:
                 out.append(["?", [node]])
                 fresh.append(out[-1])
 
+    a, b = _regroup(a, b), _regroup(b, a)
     fresh: list = []
     matcher = difflib.SequenceMatcher(None, [_key(n) for n in a], [_key(n) for n in b], autojunk=False)
     for op, i, j, k, m in matcher.get_opcodes():

@@ -123,7 +123,8 @@ def brute_probability(train, text, depth):
                     cell[data[i] >> (7 - k) & 1] += 1
     log_weighted: dict = {}
     for d in range(depth, -1, -1):
-        for (e, context, node), (a, b) in list(counts.items()):
+        for (e, context, node), cell in list(counts.items()):
+            a, b = cell[:2]
             if e != d:
                 continue
             kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tablekeep.llm.oracles import ORACLES
@@ -22,6 +23,6 @@ def test_query_equals_sql(spark, name):
     assert sorted(mine.columns) == columns
 
     def plain(frame):
-        return sorted(tuple(None if v != v or v is None else str(v) for v in row) for row in frame[columns].itertuples(index=False))
+        return sorted(tuple(None if pd.isna(v) else str(v) for v in row) for row in frame[columns].itertuples(index=False))
 
     assert plain(mine) == plain(theirs)
