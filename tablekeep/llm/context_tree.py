@@ -176,6 +176,33 @@ class Model:
         return total
 
 
+class Cache:
+    """What a model says of the grams of one block; neighbouring searches follow the order of its keys."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.grams = np.empty(0, dtype=np.int64)
+        self.logs = np.empty(0)
+
+    def log10(self, distinct: np.ndarray) -> np.ndarray:
+        order = np.argsort(distinct)
+        wanted = distinct[order]
+        at = np.searchsorted(self.grams, wanted)
+        known = np.zeros(len(wanted), dtype=bool)
+        inside = at < len(self.grams)
+        known[inside] = self.grams[at[inside]] == wanted[inside]
+        found = np.empty(len(wanted))
+        found[known] = self.logs[at[known]]
+        new = wanted[~known]
+        found[~known] = self.model.log10(new)
+        grams = np.concatenate([self.grams, new])
+        merged = np.argsort(grams, kind="stable")
+        self.grams, self.logs = grams[merged], np.concatenate([self.logs, found[~known]])[merged]
+        out = np.empty(len(wanted))
+        out[order] = found
+        return out
+
+
 def _pieces(batch: pa.RecordBatch):
     step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, step):
@@ -224,7 +251,8 @@ def train(docs: DataFrame, nodes: int = NODES) -> Model:
         rows.filter("depth = 2")
         .groupBy(last.alias("last"), node.alias("node"))
         .agg(*[F.sum(c).alias(c) for c in ("a", "b", "weighted")])
-        .toPandas()
+        .toArrow()
+        .to_pandas()
         .sort_values(["last", "node"])
     )
     shape = (256, 256)
@@ -245,7 +273,7 @@ def train(docs: DataFrame, nodes: int = NODES) -> Model:
         ones = [one0, base1 + scale1 * one1]
     # the most visited decisions of the levels below, as many as fit without splitting a tie
     room, least = nodes - sum(map(len, keys)), 1
-    capped = F.least("visits", F.lit(100_000))
+    capped = F.least("visits", F.lit(10_000))
     sizes = rows.groupBy(capped.alias("visits")).count().orderBy(F.desc("visits")).collect()
     taken = 0
     for r in sizes:
@@ -253,8 +281,8 @@ def train(docs: DataFrame, nodes: int = NODES) -> Model:
             least = r.visits + 1
             break
         taken += r["count"]
-    low = rows.filter(F.col("visits") >= least).select("key", "p").toPandas()
-    k = low["key"].to_numpy().astype(np.int64)
+    low = rows.filter(F.col("visits") >= least).select("key", F.col("p").cast("float").alias("p")).toArrow()
+    k = low["key"].to_numpy()
     at = (k >> 8) & 255, k & 255
     keys.append(k)
     ones.append(base[at] + scale[at] * low["p"].to_numpy())
@@ -365,7 +393,7 @@ def score(docs: DataFrame) -> DataFrame:
         words, c = words[order], known.column("c").to_numpy()[order]
         logs = np.log10(c + 0.5) - floor
         end = np.log10(ends + 0.5) - floor
-        tree = model.value
+        cache = Cache(model.value)
         out = []
         for batch in texts.combine_chunks().to_batches():
             for piece in _pieces(batch):
@@ -377,7 +405,7 @@ def score(docs: DataFrame) -> DataFrame:
                 raw = streams(column)
                 keys, start, stop = grams(raw)
                 codes, distinct_grams = pd.factorize(keys)
-                bits = np.concatenate([[0.0], np.cumsum(tree.log10(distinct_grams)[codes])])
+                bits = np.concatenate([[0.0], np.cumsum(cache.log10(distinct_grams)[codes])])
                 out.append(
                     pa.table(
                         {

@@ -336,7 +336,7 @@ def _tied_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         .select("at", F.expr("shiftleft(1L, bit)").alias("bits"))
         .groupBy("at")
         .agg(F.bit_or("bits").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     table = np.zeros(FILTER_BITS // 32, dtype=np.int64)
     table[rows["at"].to_numpy()] = rows["bits"].to_numpy()
