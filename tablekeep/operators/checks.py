@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablekeep.functions.lineage import cut_lineage
 from tablekeep.functions.vocab import (
     BLANK_EXAMPLE,
     FAILED,
@@ -33,8 +32,6 @@ from tablekeep.operators.rules import (
 MAX_EXAMPLES = 5
 # Rules per aggregate: more would leave generated methods too long to compile.
 RULES_PER_PASS = 80
-# Row hashes held by a broadcast when duplicate rows are looked up (16 bytes each).
-HASH_BROADCAST_ROWS = 2_000_000
 
 RESULT_COLUMNS = [
     "rule_id",
@@ -325,13 +322,12 @@ def _has_map(kind: T.DataType) -> bool:
     return False
 
 
-def repeated_rows(df: DataFrame, hash_limit: int = HASH_BROADCAST_ROWS) -> DataFrame:
+def repeated_rows(df: DataFrame) -> DataFrame:
     """Rows that occur more than once, each with its ``occurrences``.
 
-    Equal rows have equal hashes, so a first pass shuffles only 8-byte hashes and
-    the exact grouping then sees nothing but rows whose hash repeats. When there
-    are more such hashes than a broadcast should hold, or a map column that cannot
-    be hashed, whole rows are grouped instead.
+    Equal rows have equal hashes, so a first pass shuffles only 8-byte hashes, counted
+    inside the tasks first, and the exact grouping then sees nothing but rows whose hash
+    repeats. Tables with a map column, which cannot be hashed, are grouped at once.
     """
     candidates = df
     if not any(_has_map(field.dataType) for field in df.schema.fields):
@@ -343,13 +339,9 @@ def repeated_rows(df: DataFrame, hash_limit: int = HASH_BROADCAST_ROWS) -> DataF
             .filter(F.col("_n") > 1)
             .select("_hash")
         )
-        hashes = cut_lineage(hashes)
-        if hashes.count() <= hash_limit:
-            candidates = (
-                df.withColumn("_hash", row_hash)
-                .join(F.broadcast(hashes), "_hash", "left_semi")
-                .drop("_hash")
-            )
+        candidates = (
+            df.withColumn("_hash", row_hash).join(hashes, "_hash", "left_semi").drop("_hash")
+        )
     return (
         candidates.groupBy(*[_col(c) for c in df.columns])
         .agg(F.count(F.lit(1)).alias("occurrences"))
@@ -357,11 +349,9 @@ def repeated_rows(df: DataFrame, hash_limit: int = HASH_BROADCAST_ROWS) -> DataF
     )
 
 
-def duplicate_rows(
-    df: DataFrame, k: int = MAX_EXAMPLES, hash_limit: int = HASH_BROADCAST_ROWS
-) -> DataFrame:
+def duplicate_rows(df: DataFrame, k: int = MAX_EXAMPLES) -> DataFrame:
     """One row ``duplicates, rows, examples``: surplus copies, the table's rows, JSON examples."""
-    groups = repeated_rows(df, hash_limit)
+    groups = repeated_rows(df)
     surplus = groups.agg(
         F.coalesce(F.sum(F.col("occurrences") - 1), F.lit(0)).cast("bigint").alias("duplicates")
     )
@@ -370,13 +360,15 @@ def duplicate_rows(
     top = groups.select("occurrences", as_json.alias("value")).orderBy(F.desc("occurrences"), "value")
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("n"), "value")))
     examples = top.limit(k).agg(F.transform(pairs, lambda p: p["value"]).alias("examples"))
-    # Three one-row frames: the joins below never multiply rows.
-    key = F.lit(1).alias("_one")
+    # three one-row frames in one aggregate, each column set in exactly one of them
     return (
-        surplus.select(key, "duplicates")
-        .join(total.select(key, "rows"), "_one")
-        .join(examples.select(key, "examples"), "_one")
-        .drop("_one")
+        surplus.unionByName(total, allowMissingColumns=True)
+        .unionByName(examples, allowMissingColumns=True)
+        .agg(
+            F.max("duplicates").alias("duplicates"),
+            F.max("rows").alias("rows"),
+            F.first("examples", ignorenulls=True).alias("examples"),
+        )
     )
 
 

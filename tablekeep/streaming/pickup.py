@@ -44,7 +44,9 @@ def picked_up_checks(spark: SparkSession, target: str) -> DataFrame:
     """The checks stored so far; none when nothing has been picked up yet."""
     try:
         stored = spark.read.parquet(target)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         empty = flatten_documents(spark.createDataFrame([], RUN_SCHEMA))
         stored = empty.withColumn("batch_id", F.lit(None))
     return stored.withColumn("batch_id", F.col("batch_id").cast("bigint"))

@@ -162,9 +162,8 @@ def test_duplicate_counts_against_brute_force_with_a_hot_value(spark):
         top = sorted(((-n, str(v)) for v, n in counts.items() if n > 1))[:5]
         assert found[name].examples == [v for _, v in top]
     surplus = len(rows) - len(set(rows))
-    for limit in (chk.HASH_BROADCAST_ROWS, 0):
-        row = chk.duplicate_rows(table, hash_limit=limit).first()
-        assert (row.duplicates, row["rows"]) == (surplus, len(rows))
+    row = chk.duplicate_rows(table).first()
+    assert (row.duplicates, row["rows"]) == (surplus, len(rows))
 
 
 def test_row_duplicates_with_map_column(table):
@@ -172,8 +171,7 @@ def test_row_duplicates_with_map_column(table):
     assert (row.duplicates, row["rows"], len(row.examples)) == (1, 6, 1)
 
 
-def test_hash_lookup_broadcasts_only_below_the_limit(spark):
+def test_row_duplicates_need_no_nested_loop(spark):
     table = spark.createDataFrame([(1,), (1,), (2,)], "a int")
-    few = chk.repeated_rows(table)._jdf.queryExecution().executedPlan().toString()
-    many = chk.repeated_rows(table, hash_limit=0)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in few and "Broadcast" not in many
+    plan = chk.duplicate_rows(table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
