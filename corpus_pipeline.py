@@ -16,7 +16,7 @@ from tablekeep.llm.common import staged, table
 ORACLE_SQL = None
 VOCABULARY = "word_bpe_49k.json"
 #: Near duplicates share four fifths of their five-word shingles.
-NEAR = jaccard_join.Rule(5, 80, 100)
+NEAR = jaccard_join.Rule(5, 80, 100, rare=True)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

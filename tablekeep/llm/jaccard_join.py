@@ -6,6 +6,9 @@ Texts are sets of hashed word shingles; equal sets are one point. The join works
    a size class are dealt to more classes than that by their hash, two linked sets agree on a whole class. Sets
    that agree on a class are tied, and tied sets form a region. Pivots drawn from a whole corpus would not do:
    unrelated texts are all at distance one from them, and the windows would copy every text into every cell.
+   At low thresholds a class holds few shingles, and passages of many texts would tie unrelated ones. A rule with
+   ``rare`` ties sets by their rarest shingles instead: n - ceil(t n) + 1 of them, in one order for all sets, must
+   share one if two sets are linked. The order is by counts of all texts, in a sketch of fixed size.
 2. Inside a region: pivots create Voronoi cells. A set whose distance to another pivot exceeds that to its own by
    no more than twice the radius is copied into that cell too (triangle inequality), so every linked pair meets in
    a cell. Cells are split again until they are small and then joined exactly. Regions that are too large for a
@@ -14,7 +17,8 @@ Texts are sets of hashed word shingles; equal sets are one point. The join works
 Links are returned as a forest that spans every component; no pair of a group is emitted beyond that.
 """
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,15 +43,22 @@ PIVOTS = 8
 BATCH_KEYS = 1_000_000
 #: Bits of the filter that says which sets are tied to another: one megabyte.
 FILTER_BITS = 1 << 23
+#: Counters of the sketch of shingle counts, as a power of two, and counters that are added up together.
+SKETCH_BITS = 25
+SKETCH_BLOCK = 1 << 17
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length and threshold: num/den of the union must be shared."""
+    """Shingle length and threshold: num/den of the union must be shared.
+
+    ``rare`` ties sets by their rarest shingles, not by classes of shingles; links are the same.
+    """
 
     words: int
     num: int
     den: int
+    rare: bool = False
 
     @property
     def radius(self) -> float:
@@ -123,6 +134,13 @@ def region_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def rare_keys(shingles: np.ndarray, rule: Rule, sketch: np.ndarray) -> np.ndarray:
+    """The rarest shingles, of which two linked sets share one. Equal counts go by hash."""
+    kept = len(shingles) + rule.num * len(shingles) // -rule.den + 1
+    order = np.argsort(sketch[shingles >> np.uint64(64 - SKETCH_BITS)], kind="stable")
+    return shingles[order[:kept]].view(np.int64)
+
+
 # --- exact join of a region ----------------------------------------------------------------------
 
 
@@ -223,7 +241,53 @@ def join_cell(sets: list[np.ndarray], cell: np.ndarray, rule: Rule, forest: Fore
 # --- Spark -----------------------------------------------------------------------------------------
 
 
-def _key_batches(rule: Rule, parts: int):
+def _sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How often the shingles of each counter occur in all texts, as one byte that grows with the logarithm.
+
+    Tasks count into an array of fixed size and hand on what they met in compressed blocks, added up one by one.
+    """
+    blocks = (1 << SKETCH_BITS) // SKETCH_BLOCK
+
+    def count(batches):
+        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), False
+        for batch in batches:
+            step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                sets = shingle_sets(batch.column(0).slice(start, step).to_pylist(), rule.words)
+                at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[at] += times.astype(np.uint32)
+                seen = True
+        if seen:
+            used = np.flatnonzero(counts)
+            cuts = np.searchsorted(used, np.arange(blocks + 1) * SKETCH_BLOCK)
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                gaps = np.diff(used[a:b], prepend=used[a : a + 1] // SKETCH_BLOCK * SKETCH_BLOCK)
+                found.append(zlib.compress(np.concatenate([gaps.astype(np.uint32), counts[used[a:b]]]).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(blocks), type=pa.int32()), pa.array(found, type=pa.binary())], names=["block", "counts"]
+            )
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                gaps, times = np.frombuffer(zlib.decompress(counts.as_buffer()), dtype=np.uint32).reshape(2, -1)
+                total.setdefault(block, np.zeros(SKETCH_BLOCK, dtype=np.int64))[np.cumsum(gaps)] += times
+        grades = [np.minimum(255, 6 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(total.keys(), type=pa.int32()), pa.array(grades, type=pa.binary())], names=["block", "counts"]
+        )
+
+    schema = "block int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    sketch = np.zeros((blocks, SKETCH_BLOCK), dtype=np.uint8)
+    for block, grades in zip(rows["block"].to_pylist(), rows["counts"], strict=True):
+        sketch[block] = np.frombuffer(grades.as_buffer(), dtype=np.uint8)
+    return sketch.reshape(-1)
+
+
+def _key_batches(rule: Rule, parts: int, key_of: Callable[[np.ndarray], np.ndarray]):
     """Keys and set ids of a task, dealt to parts; sets that agree inside the task are tied at once."""
 
     def hand_on(keys: list, ids: list) -> Iterator[pa.RecordBatch]:
@@ -258,7 +322,7 @@ def _key_batches(rule: Rule, parts: int):
                     if name in seen:
                         continue
                     seen.add(name)
-                    keys.append(region_keys(shingles, rule))
+                    keys.append(key_of(shingles))
                     ids.append(name)
                     held += len(keys[-1])
                     if held > BATCH_KEYS:
@@ -283,10 +347,20 @@ def _tie(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ties(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Different pairs (a, b) of tied sets: b is the smallest id that agrees with a on some class."""
+    """Different pairs (a, b) of tied sets: b is the smallest id that shares some key with a."""
     spark = docs.sparkSession
+    if rule.rare:
+        sketch = spark.sparkContext.broadcast(_sketch(docs, rule))
+
+        def key_of(shingles: np.ndarray) -> np.ndarray:
+            return rare_keys(shingles, rule, sketch.value)
+    else:
+
+        def key_of(shingles: np.ndarray) -> np.ndarray:
+            return region_keys(shingles, rule)
+
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    packed = docs.select("text").mapInArrow(_key_batches(rule, parts), "part int, keys binary, ids binary, ties binary")
+    packed = docs.select("text").mapInArrow(_key_batches(rule, parts, key_of), "part int, keys binary, ids binary, ties binary")
 
     def tie(group: pd.DataFrame) -> pd.DataFrame:
         key = np.frombuffer(b"".join(group["keys"]), dtype=np.int64)
@@ -441,21 +515,24 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
     named = text_columns(texts, "n_shingles bigint, set_id bigint", make)
     members = staged(named.drop("text"), "members")
     regions = staged(components(_ties(texts, rule)), "regions")
-    tied = _tied_sets(named, regions.select("node"), rule)
-    rows = staged(
-        tied.join(regions, tied.set_id == regions.node).select("label", "set_id", "shingles"), "tied"
-    )
-    weight = rows.groupBy("label").agg(F.sum(F.length("shingles") / 8).alias("weight"))
-    sized = rows.join(weight, "label")
+    # The weight of a region is known from the sizes of its sets, before any shingles are sent.
+    sizes = members.select(F.col("set_id").alias("node"), "n_shingles").distinct()
+    sized = regions.join(sizes, "node")
+    weight = sized.groupBy("label").agg(F.sum("n_shingles").alias("weight"))
+    sized = staged(sized.join(weight, "label").select("node", "label", "weight"), "weights")
     packs = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fits = sized.filter(F.col("weight") <= TASK_SHINGLES)
+
+    def rows(nodes: DataFrame) -> DataFrame:
+        return _tied_sets(named, nodes.select("node"), rule).join(nodes.withColumnRenamed("node", "set_id"), "set_id")
+
+    fits, large = sized.filter(F.col("weight") <= TASK_SHINGLES), sized.filter(F.col("weight") > TASK_SHINGLES)
     task = F.when(F.col("weight") <= SMALL_SHINGLES, F.pmod(F.xxhash64("label"), F.lit(packs))).otherwise(F.col("label"))
-    pieces, links = _shells(sized.filter(F.col("weight") > TASK_SHINGLES).drop("weight"), rule)
-    joined = fits.select(task.alias("task"), F.col("label").alias("region"), "set_id", "shingles").union(
-        pieces.select(F.col("region").alias("task"), "region", "set_id", "shingles")
-    )
-    found = joined.groupBy("task").applyInPandas(_region_links(rule), "a bigint, b bigint").union(links)
-    labels = components(found)
+    joined, links = rows(fits).select(task.alias("task"), F.col("label").alias("region"), "set_id", "shingles"), None
+    if not large.isEmpty():
+        pieces, links = _shells(staged(rows(large).select("label", "set_id", "shingles"), "tied"), rule)
+        joined = joined.union(pieces.select(F.col("region").alias("task"), "region", "set_id", "shingles"))
+    found = joined.groupBy("task").applyInPandas(_region_links(rule), "a bigint, b bigint")
+    labels = components(found if links is None else found.union(links))
     grouped = members.join(labels, members.set_id == labels.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label")
     )

@@ -48,11 +48,11 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("rule", [(3, 90, 100), (5, 80, 100)])
+@pytest.mark.parametrize("rule", [(3, 90, 100), (5, 80, 100), (3, 90, 100, True), (5, 80, 100, True)])
 def test_components(spark, rule):
     texts = near_texts()
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, texts), jaccard_join.Rule(*rule)).collect()}
-    assert [rows[i] for i in range(len(texts))] == brute_components(texts, *rule)
+    assert [rows[i] for i in range(len(texts))] == brute_components(texts, *rule[:3])
 
 
 def test_components_of_large_regions(spark, monkeypatch):
@@ -96,6 +96,29 @@ def test_size_classes_meet():
                 assert (100 - num) * (small + large) // (100 + num) < own[1]
 
 
+def test_linked_sets_share_a_rare_key():
+    rng = np.random.default_rng(5)
+    sketch = rng.integers(0, 9, 1 << jaccard_join.SKETCH_BITS, dtype=np.uint8)
+    for num, size in [(80, 5), (80, 40), (80, 333), (90, 11), (90, 250)]:
+        rule = jaccard_join.Rule(5, num, 100, rare=True)
+        for _ in range(40):
+            both = np.unique(rng.integers(0, 2**63, size * 2, dtype=np.uint64))
+            changed = size * (100 - num) // (100 + num)
+            left, right = both[:size], np.sort(np.concatenate([both[changed:size], both[size : size + changed]]))
+            assert rule.linked(np.array(size - changed), size, len(right))
+            assert set(jaccard_join.rare_keys(left, rule, sketch)) & set(jaccard_join.rare_keys(right, rule, sketch))
+
+
+def test_sketch_counts_all_texts(spark):
+    texts = near_texts()[:60] + [None, "", "short text"]
+    rule = jaccard_join.Rule(5, 80, 100, rare=True)
+    flat = np.concatenate(jaccard_join.shingle_sets(texts, 5)) >> np.uint64(64 - jaccard_join.SKETCH_BITS)
+    expected = np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.int64)
+    np.add.at(expected, flat, 1)
+    found = jaccard_join._sketch(documents(spark, texts), rule)
+    assert (found == (6 * np.log2(1 + expected)).astype(np.uint8)).all()
+
+
 def test_connected(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)]
