@@ -69,6 +69,19 @@ def visible_project_counts(users: DataFrame, grants: DataFrame) -> DataFrame:
     )
 
 
+def own_project_counts(users: DataFrame, projects: DataFrame, grants: DataFrame) -> DataFrame:
+    """How many of their own projects users see; a user without any has no row.
+
+    Starts from the one owner of each project, so no list of all users and projects arises.
+    """
+    owners = projects.select("project_id", F.col("owner_employee_id").alias("employee_id")).join(users, "employee_id")
+    own = F.array(_audience("role", F.lit(ANY)), _audience("role", F.col("department")))
+    granted = grants.select("project_id", _audience("role", F.col("department")).alias("audience"))
+    seen = owners.select("employee_id", "project_id", F.explode(own).alias("audience"))
+    seen = seen.join(granted, ["project_id", "audience"], "left_semi").select("employee_id", "project_id").distinct()
+    return seen.groupBy("employee_id").agg(F.count(F.lit(1)).alias("own_projects"))
+
+
 def project_overview(projects: DataFrame, datasets: DataFrame) -> DataFrame:
     """Every project with its ``datasets_count``."""
     counts = datasets.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -92,6 +105,9 @@ def may_delete(role: Column | str, employee_id: Column | str, owner: Column | st
     return (role == ADMIN) | ((role == DATA_OWNER) & F.coalesce(employee_id == owner, F.lit(False)))
 
 
-def owned_by(datasets: DataFrame, employee_id: str) -> DataFrame:
-    """Datasets a user may preview, describe or profile: their own."""
-    return datasets.filter(F.col("owner_employee_id") == employee_id)
+def owned_by(datasets: DataFrame, employees: str | DataFrame) -> DataFrame:
+    """Datasets a user may preview, describe or profile: their own. ``employees`` is an id or a table with ``employee_id``."""
+    if isinstance(employees, str):
+        return datasets.filter(F.col("owner_employee_id") == employees)
+    ids = employees.select(F.col("employee_id").alias("owner_employee_id")).distinct()
+    return datasets.join(ids, "owner_employee_id", "left_semi")

@@ -34,6 +34,13 @@ RULE_SCHEMA = T.StructType(
 )
 
 
+# A rule set that is no JSON object.
+UNREADABLE = "unreadable"
+UNREADABLE_PROBLEM = "the rule set is no JSON object"
+# Texts of a flag that is not set.
+NOT_SET = ("", "false", "0", "0.0", "none", "null")
+
+
 @dataclass(frozen=True)
 class Rule:
     """One check on one column (no column for whole-row duplicates)."""
@@ -66,18 +73,36 @@ def _values(value) -> tuple[str, ...] | None:
     return tuple(str(item) for item in value)
 
 
+def _listed(value) -> list:
+    """A single text counts as a list of one."""
+    return [value] if isinstance(value, str) else list(value or [])
+
+
+def _flag(value) -> bool:
+    return str(value).strip().lower() not in NOT_SET
+
+
 def _regex_pairs(spec) -> list[tuple[str | None, str | None]]:
     """(column, pattern) pairs; a dict with a pattern name as key lists columns."""
     if isinstance(spec, dict):
         by_pattern = any(key in PATTERNS for key in spec)
-        pairs = [(key, item) for key, items in spec.items() for item in items]
+        pairs = [(key, item) for key, items in spec.items() for item in _listed(items)]
         return [(item, key) for key, item in pairs] if by_pattern else pairs
     return [(item.get("column"), item.get("rule_type")) for item in spec or []]
 
 
 def parse_rules(spec: dict | str) -> list[Rule]:
-    """Normal form of one rule set, in the order constraints, regex, duplicates."""
-    spec = json.loads(spec) if isinstance(spec, str) else spec
+    """Normal form of one rule set, in the order constraints, regex, duplicates.
+
+    A text that is no JSON object gives one rule that cannot run.
+    """
+    if isinstance(spec, str):
+        try:
+            spec = json.loads(spec)
+        except ValueError:
+            spec = None
+    if not isinstance(spec, dict):
+        return [Rule("r001", UNREADABLE, UNREADABLE)]
     found = []
     for item in spec.get("deequ") or spec.get("constraints") or []:
         check, threshold = item.get("type"), _number(item.get("threshold"))
@@ -89,9 +114,9 @@ def parse_rules(spec: dict | str) -> list[Rule]:
     duplicates = spec.get("duplicates") or {}
     if isinstance(duplicates, list):
         duplicates = {"sensitive": duplicates, "full_row": False}
-    for column in duplicates.get("sensitive") or []:
+    for column in _listed(duplicates.get("sensitive")):
         found.append((DUPLICATES, COLUMN_DUPLICATES, column, None, None))
-    if duplicates.get("full_row"):
+    if _flag(duplicates.get("full_row", "")):
         found.append((DUPLICATES, ROW_DUPLICATES, None, None, None))
     return [Rule(f"r{i:03d}", *rule) for i, rule in enumerate(found, 1)]
 
@@ -102,6 +127,8 @@ def _is_blank(text: str | None) -> bool:
 
 def rule_problem(rule: Rule) -> str | None:
     """Why a rule cannot run, whatever the table; None when it can."""
+    if rule.family == UNREADABLE:
+        return UNREADABLE_PROBLEM
     if rule.check == ROW_DUPLICATES:
         return None
     if _is_blank(rule.column):
@@ -148,7 +175,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 # --- many stored rule sets at once -------------------------------------------------------------
 
-_CONSTRAINT_ITEM = "array<struct<type:string,column:string,threshold:string,values:array<string>>>"
+_CONSTRAINT_ITEM = "struct<type:string,column:string,threshold:string,values:string>"
 
 
 def _json(column: str, path: str) -> Column:
@@ -169,24 +196,37 @@ def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFram
     """One row per rule for a table of stored rule sets (one JSON text per row).
 
     Keeps the other columns of ``runs`` and adds ``position`` plus the columns of
-    a rule. Accepts the same shapes as :func:`parse_rules`.
+    a rule. Accepts the same shapes as :func:`parse_rules`; a text that is no JSON
+    object gives one row that cannot run, a null none.
     """
     constraints = F.from_json(
         F.coalesce(_json(json_column, "$.deequ"), _json(json_column, "$.constraints")),
-        _CONSTRAINT_ITEM,
+        "array<string>",
     )
 
-    def constraint(item: Column) -> Column:
+    def constraint(text: Column) -> Column:
+        item = F.from_json(text, _CONSTRAINT_ITEM)
         number = item["threshold"].try_cast("double")
-        default = F.when(
-            (item["type"] == "completeness") & item["threshold"].isNull(), F.lit(1.0)
-        ).otherwise(number)
-        return _rule(F.lit(CONSTRAINT), item["type"], item["column"], default, item["values"])
+        # A threshold that is left out counts as 1, one that is null as missing.
+        named = F.array_contains(F.json_object_keys(text), "threshold")
+        number = F.when((item["type"] == "completeness") & ~named, F.lit(1.0)).otherwise(number)
+        commas = F.filter(
+            F.transform(F.split(item["values"], ","), lambda v: F.trim(v)), lambda v: v != ""
+        )
+        values = F.when(
+            F.startswith(item["values"], F.lit("[")),
+            F.coalesce(F.from_json(item["values"], "array<string>"), commas),
+        ).otherwise(commas)
+        return _rule(F.lit(CONSTRAINT), item["type"], item["column"], number, values)
+
+    def listed(text: Column) -> Column:
+        many = F.from_json(text, "array<string>")
+        return F.when(F.startswith(text, F.lit("[")), many).when(text.isNotNull(), F.array(text))
 
     regex_text = _json(json_column, "$.regex")
     regex_list = F.from_json(regex_text, "array<struct<column:string,rule_type:string>>")
     regex_map = F.from_json(
-        F.when(~F.startswith(regex_text, F.lit("[")), regex_text), "map<string,array<string>>"
+        F.when(~F.startswith(regex_text, F.lit("[")), regex_text), "map<string,string>"
     )
     names = F.array(*[F.lit(name) for name in PATTERNS])
     by_pattern = F.arrays_overlap(F.map_keys(regex_map), names)
@@ -194,7 +234,7 @@ def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFram
         F.transform(
             F.map_entries(regex_map),
             lambda entry: F.transform(
-                entry["value"],
+                F.coalesce(listed(entry["value"]), F.array().cast("array<string>")),
                 lambda item: _rule(
                     F.lit(REGEX),
                     F.when(by_pattern, entry["key"]).otherwise(item),
@@ -211,18 +251,23 @@ def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFram
     duplicates_text = _json(json_column, "$.duplicates")
     sensitive = F.when(
         F.startswith(duplicates_text, F.lit("[")), F.from_json(duplicates_text, "array<string>")
-    ).otherwise(F.from_json(_json(json_column, "$.duplicates.sensitive"), "array<string>"))
+    ).otherwise(listed(_json(json_column, "$.duplicates.sensitive")))
     column_duplicates = F.transform(
         sensitive, lambda column: _rule(F.lit(DUPLICATES), F.lit(COLUMN_DUPLICATES), column)
     )
     row_duplicates = F.when(
-        _json(json_column, "$.duplicates.full_row") == "true",
+        ~F.lower(F.trim(_json(json_column, "$.duplicates.full_row"))).isin(list(NOT_SET)),
         F.array(_rule(F.lit(DUPLICATES), F.lit(ROW_DUPLICATES), F.lit(None).cast("string"))),
     )
     kind = (
         "array<struct<family:string,check:string,column:string,threshold:double,"
         "values:array<string>>>"
     )
+    is_object = F.schema_of_variant(F.try_parse_json(json_column)).startswith("OBJECT")
+    unreadable = F.when(
+        F.col(json_column).isNotNull() & ~F.coalesce(is_object, F.lit(False)),
+        F.array(_rule(F.lit(UNREADABLE), F.lit(UNREADABLE), F.lit(None).cast("string"))),
+    )
     parts = [
         F.coalesce(part.cast(kind), F.array().cast(kind))
         for part in (
@@ -230,6 +275,7 @@ def normalise_rule_sets(runs: DataFrame, json_column: str = "rules") -> DataFram
             regex,
             column_duplicates,
             row_duplicates,
+            unreadable,
         )
     ]
     kept = [c for c in runs.columns if c != json_column]
@@ -245,7 +291,8 @@ def validate_rule_rows(rules: DataFrame) -> DataFrame:
     finite = threshold.isNotNull() & ~F.isnan(threshold) & (F.abs(threshold) < float("inf"))
     constraint, regex = F.col("family") == CONSTRAINT, F.col("family") == REGEX
     problem = (
-        F.when(check == ROW_DUPLICATES, F.lit(None))
+        F.when(F.col("family") == UNREADABLE, F.lit(UNREADABLE_PROBLEM))
+        .when(check == ROW_DUPLICATES, F.lit(None))
         .when(F.coalesce(F.trim("column"), F.lit("")) == "", F.lit("no column named"))
         .when(
             regex & ~F.coalesce(check, F.lit("")).isin(list(PATTERNS)),

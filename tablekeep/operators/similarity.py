@@ -51,14 +51,10 @@ def dataset_profiles(signatures: DataFrame) -> DataFrame:
     per_dataset = signatures.groupBy("project_id", "dataset_id", "name_base").agg(
         columns.alias("columns")
     )
-    text = F.transform(
-        F.col("columns"),
-        lambda c: F.concat_ws(":", c["column_name"], c["data_type"], c["sample_hash"]),
-    )
     return per_dataset.select(
         "project_id",
         "dataset_id",
-        F.sha2(F.concat_ws("\n", "name_base", F.array_join(text, "\n")), 256).alias("profile_id"),
+        F.sha2(F.to_json(F.struct("name_base", "columns")), 256).alias("profile_id"),
         "name_base",
         "columns",
     )

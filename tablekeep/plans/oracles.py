@@ -272,9 +272,15 @@ JOIN (VALUES
      'at least one allowed value is needed'),
     (3, 3, 'constraint', 'unique', 'small ring', -1.0, '', 'unknown check ''unique'''),
     (3, 4, 'regex', 'date', 'small ring', -1.0, '', ''),
-    (3, 5, 'duplicates', 'column_duplicates', 'small ring', -1.0, '', '')
+    (3, 5, 'duplicates', 'column_duplicates', 'small ring', -1.0, '', ''),
+    (4, 1, 'constraint', 'allowed_values', 'small ring', -1.0, 'a|b', ''),
+    (4, 2, 'constraint', 'completeness', 'hot ring', -1.0, '', 'threshold must be between 0 and 1'),
+    (4, 3, 'regex', 'email', 'hot ring', -1.0, '', ''),
+    (4, 4, 'duplicates', 'column_duplicates', 'old_gear', -1.0, '', ''),
+    (4, 5, 'duplicates', 'row_duplicates', '', -1.0, '', ''),
+    (5, 1, 'unreadable', 'unreadable', '', -1.0, '', 'the rule set is no JSON object')
 ) AS shapes(kind, position, family, check_name, column_name, threshold, allowed, problem)
-  ON kind = o_orderkey % 4
+  ON kind = o_orderkey % 6
 LEFT JOIN version_columns AS v
   ON v.version_id = o_orderkey AND v.column_name = shapes.column_name""",
 )
@@ -374,7 +380,11 @@ SELECT rule_type,
 FROM checks GROUP BY ALL""",
 )
 
-for _key in ("dq_json_roundtrip", "dq_stream_pickup"):
+for _key, _wanted in (
+    ("dq_json_roundtrip", ""),
+    ("dq_stream_pickup", ""),
+    ("dq_one_run", " WHERE dag_run_id = (SELECT min(dag_run_id) FROM checks)"),
+):
     oracle(
         _key,
         "checks",
@@ -383,7 +393,8 @@ SELECT dag_run_id, CAST(version_id AS VARCHAR) AS dataset_version_id,
        CAST(year(o_orderdate) AS VARCHAR) AS execution_date, rule_type,
        coalesce(column_name, '') AS column_name, coalesce(status, '') AS status, error_count,
        coalesce(ratio, '') AS ratio, example AS examples
-FROM checks JOIN orders ON o_orderkey = version_id""",
+FROM checks JOIN orders ON o_orderkey = version_id"""
+        + _wanted,
     )
 
 # --- datasets and profiles ---------------------------------------------------------------------
@@ -1308,13 +1319,34 @@ oracle(
     "access_owners",
     "users projects",
     """
-SELECT employee_id, count(*) AS projects,
-       count(*) FILTER (WHERE owner_employee_id = employee_id) AS own_projects
-FROM pairs WHERE upload AND role = 'DATA_OWNER'
-  AND employee_id IN (SELECT owner_employee_id FROM projects)
-GROUP BY employee_id""",
+SELECT employee_id, count(*) FILTER (WHERE upload OR role = 'AUDIT') AS projects,
+       count(*) FILTER (WHERE (upload OR role = 'AUDIT') AND owner_employee_id = employee_id)
+           AS own_projects
+FROM pairs GROUP BY employee_id""",
     _ACCESS,
 )
+oracle(
+    "access_owned",
+    "users projects project_datasets",
+    """
+SELECT dataset_id, owner_employee_id
+FROM project_datasets JOIN projects USING (project_id)
+WHERE owner_employee_id IN (SELECT employee_id FROM users)""",
+)
+oracle(
+    "ds_identical",
+    "",
+    """
+SELECT hash, count(*) AS copies, min(path) AS first_path
+FROM (SELECT 'documents/' || doc_id AS path, sha256(text) AS hash FROM documents
+      UNION ALL SELECT 'pages/' || page_id, sha256(html) FROM pages) AS uploads
+GROUP BY hash HAVING count(*) > 1""",
+)
+oracle(
+    "ds_csv_import",
+    "",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+)
 oracle(
     "access_overview",
     "users projects project_datasets",

@@ -347,6 +347,37 @@ def ds_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashes.select(name, "length", "hash")
 
 
+@query
+def ds_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4: contents uploaded more than once: texts and pages as files, by their fingerprints."""
+    uploads = [
+        catalogue(spark, sf_dir, table).select(
+            F.concat(F.lit(f"{table}/"), F.col(key).cast("string")).alias("path"), F.sha2(content, 256).alias("hash")
+        )
+        for table, key, content in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
+    ]
+    return files.identical_uploads(uploads[0].unionByName(uploads[1]))
+
+
+@query
+def ds_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-1, S-2, S-3: a whole table written as CSV with a header, imported and read back."""
+    source, target = scratch_path(spark, "upload"), scratch_path(spark, "imported")
+    orders = catalogue(spark, sf_dir, "orders").drop("o_orderdate")
+    orders.write.option("header", True).csv(source)
+    return files.import_csv(spark, source, target, orders.schema)
+
+
+@query
+def dq_one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-9: the documents of one run, the first by name, out of many; only the folder of its date is read."""
+    folder = scratch_path(spark, "documents")
+    documents = _documents(spark, sf_dir)
+    files.write_run_documents(documents, folder, per_run=False)
+    run, date = documents.agg(F.min(F.struct("dag_run_id", "execution_date"))).first()[0]
+    return _flat(res.flatten_documents(files.read_run_documents(spark, folder, run, date)))
+
+
 @query
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-1, P-2, P-4, S-7: class and statistics of every column, rows of the table."""
@@ -1072,19 +1103,20 @@ def access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def access_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-1, A-4: the projects that project owners see, and which of them are their own."""
+    """A-1: how many projects every user sees, and how many of them are their own."""
     projects, users = catalogue(spark, sf_dir, "projects"), catalogue(spark, sf_dir, "users")
-    owners = users.join(
-        projects.select(F.col("owner_employee_id").alias("employee_id")).distinct(), "employee_id"
-    ).filter(F.col("role") == acc.DATA_OWNER)
-    seen = acc.visible_projects(owners, _grants(spark, sf_dir, "view"))
-    own = projects.select(
-        "project_id", F.col("owner_employee_id").alias("employee_id"), F.lit(1).alias("own")
-    )
-    joined = seen.join(own, ["project_id", "employee_id"], "left")
-    return joined.groupBy("employee_id").agg(
-        F.count(F.lit(1)).alias("projects"), F.count("own").alias("own_projects")
-    )
+    grants = _grants(spark, sf_dir, "view")
+    own = acc.own_project_counts(users, projects, grants)
+    joined = acc.visible_project_counts(users, grants).join(own, "employee_id", "left")
+    return joined.select("employee_id", "projects", F.coalesce("own_projects", F.lit(0)).cast("bigint").alias("own_projects"))
+
+
+@query
+def access_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-4: the datasets that owners may preview, describe or profile."""
+    owner = catalogue(spark, sf_dir, "projects").select("project_id", "owner_employee_id")
+    datasets = catalogue(spark, sf_dir, "project_datasets").join(owner, "project_id")
+    return acc.owned_by(datasets, catalogue(spark, sf_dir, "users")).select("dataset_id", "owner_employee_id")
 
 
 @query

@@ -64,7 +64,7 @@ RECIPES = {
     # Stored rule sets, one per order, in all accepted shapes.
     "rule_sets": """
         SELECT o_orderkey AS run_id, o_orderkey AS dataset_id,
-               CASE o_orderkey % 4
+               CASE o_orderkey % 6
                WHEN 0 THEN '{{"deequ":[{{"type":"completeness","column":"red bolt"}},'
                    || '{{"type":"min","column":"old_gear","threshold":'
                    || CAST(o_custkey AS STRING) || '}},'
@@ -75,12 +75,17 @@ RECIPES = {
                WHEN 2 THEN '{{"regex":{{"blue_bolt":["phone","word"]}},'
                    || '"deequ":[{{"type":"completeness","column":"blue_bolt","threshold":1.5}},'
                    || '{{"type":"max","column":"blue_bolt"}}]}}'
-               ELSE '{{"regex":[{{"column":"small ring","rule_type":"date"}}],'
+               WHEN 3 THEN '{{"regex":[{{"column":"small ring","rule_type":"date"}}],'
                    || '"deequ":[{{"type":"allowed_values","column":"small ring",'
                    || '"values":[" A ","","B"]}},'
                    || '{{"type":"allowed_values","column":"small ring","values":[" "]}},'
                    || '{{"type":"unique","column":"small ring"}}],'
                    || '"duplicates":{{"sensitive":["small ring"],"full_row":false}}}}'
+               WHEN 4 THEN '{{"regex":{{"email":"hot ring"}},'
+                   || '"deequ":[{{"type":"allowed_values","column":"small ring","values":"a, b"}},'
+                   || '{{"type":"completeness","column":"hot ring","threshold":null}}],'
+                   || '"duplicates":{{"sensitive":"old_gear","full_row":1}}}}'
+               ELSE 'rules of ' || CAST(o_custkey AS STRING)
                END AS rules
         FROM {orders}""",
     # Columns of a version: the distinct parts of an order, half of them spelt with "_".

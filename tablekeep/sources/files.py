@@ -3,19 +3,20 @@
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablekeep.functions.lineage import cut_lineage
 from tablekeep.operators.results import RUN_SCHEMA
 
 PREVIEW_ROWS = 100
 ERROR_TEXT_LENGTH = 500
-# Larger files are hashed as streams; a binary column cell cannot hold 2 GiB.
-IN_MEMORY_BYTES = 64 << 20
+# Bytes that one task hashes, about.
+TASK_BYTES = 1 << 30
 CHUNK_BYTES = 4 << 20
 
 
@@ -52,51 +53,76 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: list[str] | None = N
 # --- fingerprints and the registry -------------------------------------------------------------
 
 
-def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of whole files, read in chunks where the task runs."""
+def _opened(path: str):
+    """File system of a path, the path inside it, and what stands before that in the full name."""
+    from pyarrow import fs
+
+    # The root names the file system; the path itself is not URL-encoded.
+    root, name = re.fullmatch(r"(?:([^:/]+:)/*)?(.*)", path).groups()
+    if root is None or root == "file:":
+        return fs.LocalFileSystem(), "/" + name.lstrip("/"), "file:"
+    system, inside = fs.FileSystem.from_uri(f"{root}//{quote(name)}")
+    return system, inside, f"{root}//{name}".removesuffix(inside)
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each folder holds; hidden names are left out, and a file stands for itself."""
     from pyarrow import fs
 
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            system, name, prefix = _opened(path)
+            entry = system.get_file_info(name)
+            if entry.type == fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            inside = [entry]
+            if entry.type == fs.FileType.Directory:
+                inside = [e for e in system.get_file_info(fs.FileSelector(name)) if e.base_name[0] not in "._"]
+            found += [(prefix + e.path, e.size or 0, e.type == fs.FileType.Directory) for e in inside]
+        yield pd.DataFrame(found, columns=["path", "length", "folder"])
+
+
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length`` of all files below the paths, listed in tasks, one level of folders after the other."""
+    paths = [path] if isinstance(path, str) else path
+    level = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = None
+    while True:
+        spread = level.repartition(spark.sparkContext.defaultParallelism, "path")
+        entries = cut_lineage(spread.mapInPandas(_list_folders, "path string, length bigint, folder boolean"))
+        files = entries.filter("NOT folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        level = entries.filter("folder").select("path")
+        if level.isEmpty():
+            return found
+
+
+def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of whole files, read in chunks where the task runs."""
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            # The root names the file system; the path itself is not URL-encoded.
-            root, name = re.fullmatch(r"(?:([^:/]+:)/*)?(.*)", path).groups()
-            if root is None or root == "file:":
-                system, name = fs.LocalFileSystem(), "/" + name.lstrip("/")
-            else:
-                system, name = fs.FileSystem.from_uri(f"{root}//{quote(name)}")
+            system, name, _ = _opened(path)
             digest = hashlib.sha256()
-            with system.open_input_stream(name) as stream:
+            with system.open_input_stream(name, compression=None) as stream:
                 while chunk := stream.read(CHUNK_BYTES):
                     digest.update(chunk)
             digests.append(digest.hexdigest())
         yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "hash": digests})
 
 
-def content_hashes(
-    spark: SparkSession, path: str | list[str], in_memory: int = IN_MEMORY_BYTES
-) -> DataFrame:
-    """``path, length, hash`` (SHA-256 of the content) of every file.
+def content_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length, hash`` (SHA-256 of the content) of every file, empty ones included.
 
-    Files are spread over the tasks. Only the small ones are loaded as a column;
-    the length filter keeps Spark from opening the others there. A scan leaves out
-    empty files, which are added back from the file listing.
+    Files of any size are read as streams, spread over as many tasks as their bytes ask for.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= in_memory).select(
-        "path", "length", F.sha2("content", 256).alias("hash")
-    )
-    large = files.filter(F.col("length") > in_memory).select("path", "length")
-    streamed = large.repartition("path").mapInPandas(
-        _hash_streams, "path string, length bigint, hash string"
-    )
-    found = small.unionByName(streamed)
-    listed = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
-    names = spark.createDataFrame(listed, "path string")
-    empty = names.join(files.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(""), 256).alias("hash")
-    )
-    return found.unionByName(empty)
+    files = list_files(spark, path)
+    total = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    # A given number of partitions is not merged by adaptive execution, which sees only the short rows.
+    wanted = max(2 * spark.sparkContext.defaultParallelism, -(-total.bytes // TASK_BYTES))
+    spread = files.repartition(max(1, min(total.n, wanted)), "path")
+    return spread.mapInPandas(_hash_streams, "path string, length bigint, hash string")
 
 
 def identical_uploads(hashes: DataFrame) -> DataFrame:
@@ -155,12 +181,20 @@ def write_run_documents(documents: DataFrame, folder: str, per_run: bool = True)
     keyed.write.mode("append").partitionBy("part").json(folder)
 
 
-def read_run_documents(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame:
-    """Run documents, or only one run's; an unknown run gives no rows."""
-    documents = spark.read.schema(RUN_SCHEMA).option("recursiveFileLookup", True).json(folder)
+def read_run_documents(
+    spark: SparkSession, folder: str, run_id: str | None = None, part: str | None = None
+) -> DataFrame:
+    """Run documents, or only one run's; an unknown run gives no rows.
+
+    ``part`` limits the scan to one folder: that of a run, or of an execution date that many runs share.
+    """
+    schema = T.StructType([*RUN_SCHEMA.fields, T.StructField("part", T.StringType())])
+    documents = spark.read.schema(schema).json(folder)
     if run_id is not None:
         documents = documents.filter(F.col("dag_run_id") == run_id)
-    return documents
+    if part is not None:
+        documents = documents.filter(F.col("part") == part)
+    return documents.drop("part")
 
 
 # --- signatures and push history ---------------------------------------------------------------

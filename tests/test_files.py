@@ -28,10 +28,14 @@ def test_content_hashes_small_and_streamed(spark, tmp_path):
     for name, content in contents.items():
         (folder / name).write_bytes(content)
     expected = {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
-    for limit in (files.IN_MEMORY_BYTES, 100, 0):
-        hashes = files.content_hashes(spark, str(folder), in_memory=limit)
-        found = {r.path.rsplit("/", 1)[-1]: r.hash for r in hashes.collect()}
-        assert found == expected
+    (folder / "below").mkdir()
+    for i in range(40):
+        (folder / "below" / f"{i}.csv.gz").write_bytes(bytes([i]))
+        expected[f"{i}.csv.gz"] = hashlib.sha256(bytes([i])).hexdigest()
+    hashes = files.content_hashes(spark, str(folder))
+    assert {r.path.rsplit("/", 1)[-1]: r.hash for r in hashes.collect()} == expected
+    # Many tasks share the files, large or small.
+    assert hashes.select(F.spark_partition_id()).distinct().count() > 4
     twice = files.identical_uploads(files.content_hashes(spark, str(folder))).collect()
     assert [(r.copies, r.first_path[-5:]) for r in twice] == [(2, "a.csv")]
 
@@ -62,9 +66,10 @@ def test_run_documents(spark, tmp_path):
         folder = str(tmp_path / f"docs-{per_run}")
         files.write_run_documents(_documents(spark, ["r1", "r2"]), folder, per_run)
         assert res.flatten_documents(files.read_run_documents(spark, folder)).count() == 4
-        one = files.read_run_documents(spark, folder, "r2")
+        one = files.read_run_documents(spark, folder, "r2", "r2" if per_run else "2024")
         assert rows(res.flatten_documents(one), "dag_run_id", "error_count") == [("r2", 1), ("r2", 2)]
         assert files.read_run_documents(spark, folder, "missing").count() == 0
+        assert "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pickup_takes_every_file_once(spark, tmp_path):

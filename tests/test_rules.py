@@ -50,6 +50,22 @@ def test_row_validation_agrees_with_literal_validation(spark):
     assert found == {r.rule_id: rul.rule_problem(r) for r in rules}
 
 
+@pytest.mark.parametrize("text", [
+    '{"regex":{"email":"ab"}}', '{"duplicates":{"full_row":1,"sensitive":"a"}}', '{"duplicates":{"full_row":0}}',
+    "no JSON", "[1]", "", "{}", '{"deequ":[{"type":"allowed_values","column":"c","values":"a, b,"}]}',
+    '{"deequ":[{"type":"completeness","column":"c","threshold":null},{"type":"completeness","column":"c"}]}',
+    '{"deequ":[{"type":"allowed_values","column":"c","values":["x",2]}],"regex":{"c":["email","ip"]}}',
+])
+def test_stored_and_literal_rule_sets_agree(spark, text):
+    stored = rul.normalise_rule_sets(spark.createDataFrame([(text,)], "rules string"))
+    found = [
+        (r.family, r["check"], r.column, r.threshold, None if r["values"] is None else tuple(r["values"]), r.problem)
+        for r in rul.validate_rule_rows(stored).orderBy("position").collect()
+    ]
+    literal = rul.parse_rules(text)
+    assert found == [(r.family, r.check, r.column, r.threshold, r.values, rul.rule_problem(r)) for r in literal]
+
+
 def test_comma_list_is_trimmed():
     spec = {"deequ": [{"type": "allowed_values", "column": "a", "values": "x, y ,,z "}]}
     assert rul.parse_rules(spec)[0].values == ("x", "y", "z")
