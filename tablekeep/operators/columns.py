@@ -192,8 +192,10 @@ def lineage_rows(matched: DataFrame, parent_lineage: DataFrame) -> DataFrame:
 
     The parent row has the same logical id in the parent version, and the column's
     name is known there. ``parent_lineage`` holds ``id, dataset_version_id,
-    logical_column_id, column_name``.
+    logical_column_id, column_name``. The id of a row digests its version and name, and
+    ``data_type`` is the ``type`` of the matched column, where there is one.
     """
+    kind = F.col("type") if "type" in matched.columns else F.lit(None)
     above = parent_lineage.select(
         F.col("dataset_version_id").alias("parent_version_id"),
         F.col("logical_column_id").alias("logical_id"),
@@ -210,11 +212,14 @@ def lineage_rows(matched: DataFrame, parent_lineage: DataFrame) -> DataFrame:
     joined = matched.join(above, ["parent_version_id", "logical_id"], "left").join(
         names, ["parent_version_id", "column_name"], "left"
     )
+    identity = F.to_json(F.struct(F.col("version_id").cast("string"), "column_name"))
     return joined.select(
+        F.substring(F.sha2(identity, 256), 1, 32).alias("id"),
         F.col("version_id").alias("dataset_version_id"),
         "column_name",
         F.col("logical_id").alias("logical_column_id"),
         F.when(F.col("_known"), F.col("parent_row")).alias("parent_column_id"),
+        kind.cast("string").alias("data_type"),
     )
 
 

@@ -51,21 +51,41 @@ def dataset_profiles(signatures: DataFrame) -> DataFrame:
     per_dataset = signatures.groupBy("project_id", "dataset_id", "name_base").agg(
         columns.alias("columns")
     )
+    text = F.transform(
+        F.col("columns"),
+        lambda c: F.concat_ws(":", c["column_name"], c["data_type"], c["sample_hash"]),
+    )
     return per_dataset.select(
         "project_id",
         "dataset_id",
-        F.sha2(F.to_json(F.struct("name_base", "columns")), 256).alias("profile_id"),
+        F.sha2(F.concat_ws("\n", "name_base", F.array_join(text, "\n")), 256).alias("profile_id"),
         "name_base",
         "columns",
     )
 
 
-def distinct_profiles(datasets: DataFrame) -> DataFrame:
+def distinct_profiles(
+    datasets: DataFrame, wanted: DataFrame | None = None, published: DataFrame | None = None
+) -> DataFrame:
     """One row per (project, profile), with a short ``key`` that stands for it in joins.
 
-    The key is fixed by writing the table: it only has to be unique within one run.
+    ``wanted`` and ``published`` say whether a member is listed there (all are, without a
+    list); profiles of neither are left out. The key is fixed by writing the table: it
+    only has to be unique within one run.
     """
-    profiles = datasets.select("project_id", "profile_id", "name_base", "columns").distinct()
+    flags = []
+    for name, listed in (("wanted", wanted), ("published", published)):
+        if listed is None:
+            datasets = datasets.withColumn(name, F.lit(True))
+        else:
+            marked = listed.select("dataset_id", F.lit(True).alias(name)).distinct()
+            datasets = datasets.join(marked, "dataset_id", "left")
+        flags.append(F.coalesce(F.bool_or(name), F.lit(False)).alias(name))
+    profiles = (
+        datasets.groupBy("project_id", "profile_id")
+        .agg(F.any_value("name_base").alias("name_base"), F.any_value("columns").alias("columns"), *flags)
+        .filter("wanted OR published")
+    )
     return cut_lineage(profiles.withColumn("key", F.monotonically_increasing_id()))
 
 
@@ -79,13 +99,16 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     sides must share one. For (c) the rarest column of the contained side must be
     among the other's. Columns common to the whole project are so left out of
     both joins. Names and samples are joined by their hashes: a collision only adds
-    a pair, which the exact overlap then weighs like any other.
+    a pair, which the exact overlap then weighs like any other. One side must be
+    wanted and the other published.
     """
-    long = profiles.select("project_id", "key", F.size("columns").alias("n"), F.inline("columns"))
+    flags = ("wanted", "published")
+    long = profiles.select("project_id", "key", *flags, F.size("columns").alias("n"), F.inline("columns"))
     tokens = long.select(
         "project_id",
         "key",
         "n",
+        *flags,
         F.xxhash64("column_name").alias("token"),
         F.xxhash64("column_name", "sample_hash").alias("sample"),
     )
@@ -100,9 +123,16 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     prefix = ordered.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * MIN_OVERLAP) + 1)
 
     def pair(left: DataFrame, right: DataFrame, token: str, condition: str) -> DataFrame:
-        a = left.select("project_id", token, F.col("key").alias("a"), F.col("n").alias("n_a"))
-        b = right.select("project_id", token, F.col("key").alias("b"), F.col("n").alias("n_b"))
-        joined = a.join(b, ["project_id", token]).filter(condition)
+        def side(rows: DataFrame, name: str) -> DataFrame:
+            named = [F.col(c).alias(f"{c}_{name}") for c in ("n", *flags)]
+            return rows.select("project_id", token, F.col("key").alias(name), *named)
+
+        joined = (
+            side(left, "a")
+            .join(side(right, "b"), ["project_id", token])
+            .filter(condition)
+            .filter("(wanted_a AND published_b) OR (wanted_b AND published_a)")
+        )
         return joined.select(
             "project_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         )
@@ -227,10 +257,14 @@ def similar_datasets(
     """The ``k`` best acceptable parents of each dataset: ``..., score, rank``.
 
     ``published`` lists the ``dataset_id`` that may be a parent; ``wanted`` limits
-    the datasets a parent is looked for. Equal scores go to the smaller id.
+    the datasets a parent is looked for; then only their projects are read, and only
+    pairs of a wanted and a published profile are scored. Equal scores go to the smaller id.
     """
+    if wanted is not None:
+        projects = signatures.join(wanted.select("dataset_id").distinct(), "dataset_id", "left_semi")
+        signatures = signatures.join(projects.select("project_id").distinct(), "project_id", "left_semi")
     datasets = cut_lineage(dataset_profiles(signatures))
-    profiles = distinct_profiles(datasets)
+    profiles = distinct_profiles(datasets, wanted, published)
     scores = cut_lineage(pair_scores(profiles, adaptive))
     directed = scores.filter("accept_a_for_b").select(
         "project_id",

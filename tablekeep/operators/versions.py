@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablekeep.operators.chains import follow_chains
 
 DRAFT_COMMENT = "Version temporaire (en attente de push)"
+PUSH_COMMENT = "Push depuis "
 
 
 def latest_versions(versions: DataFrame, published_only: bool = False) -> DataFrame:

@@ -38,9 +38,14 @@ class Catalogue:
 
 @dataclass
 class Published:
-    """Rows to append, and the report of the push."""
+    """Rows to append, and the report of the push.
+
+    ``drafts`` are no new rows: the drafts in ``versions`` that the push published, with
+    their external id and comment, for :func:`versions.publish_versions`.
+    """
 
     versions: DataFrame
+    drafts: DataFrame
     column_nodes: DataFrame
     check_nodes: DataFrame
     lineage: DataFrame
@@ -51,18 +56,16 @@ class Published:
     history: DataFrame
 
 
-def find_push_parents(pending: DataFrame, catalogue: Catalogue) -> DataFrame:
+def find_push_parents(pending: DataFrame, catalogue: Catalogue, chains: DataFrame) -> DataFrame:
     """Add ``parent_version_id`` and ``similarity_score`` to pending datasets.
 
     A dataset with a published version goes on from the newest version of its
     chain; any other from the best similar dataset of its project, whose score is
-    kept (0 otherwise).
+    kept (0 otherwise). ``chains`` are the chain positions of the known versions.
     """
     published = versions.latest_versions(catalogue.versions, published_only=True)
     newest = published.select("dataset_id", F.col("id").alias("own_version"))
-    chain = versions.chain_positions(catalogue.versions).select(
-        F.col("id").alias("own_version"), "latest_id"
-    )
+    chain = chains.select(F.col("id").alias("own_version"), "latest_id")
     external = catalogue.versions.select(F.col("id").alias("latest_id"), "external_id")
     # A draft at the end of the chain is no parent: the published version is.
     end = F.when(F.col("external_id").isNotNull(), F.col("latest_id"))
@@ -91,12 +94,11 @@ def new_versions(pending: DataFrame, catalogue: Catalogue) -> DataFrame:
     The id of a reused draft is kept; a fresh id and the external id are derived from
     the qualified name, so a push that is run again gives the same rows.
     """
-    placed = cut_lineage(find_push_parents(pending, catalogue))
+    chains = cut_lineage(versions.chain_positions(catalogue.versions))
+    placed = cut_lineage(find_push_parents(pending, catalogue, chains))
     numbered = versions.next_version_numbers(placed, catalogue.versions)
     numbered = versions.plan_drafts(numbered, catalogue.versions)
-    numbered = versions.next_process_version(
-        numbered, versions.chain_positions(catalogue.versions)
-    )
+    numbered = versions.next_process_version(numbered, chains)
     name = versions.qualified_name("hash", "project_id", "next_version")
     parent = catalogue.versions.select(
         F.col("id").alias("parent_version_id"),
@@ -206,13 +208,19 @@ def publish(
             "pushed_at",
         )
     )
-    version_rows = pushed.select(
+    version_rows = pushed.filter(F.col("draft_id").isNull()).select(
         F.col("version_id").alias("id"),
         "dataset_id",
         F.col("next_version").alias("version_number"),
         "external_id",
         "parent_version_id",
     )
+    origin = F.col("file_path" if "file_path" in pushed.columns else "hash")
+    drafts = pushed.filter(F.col("draft_id").isNotNull()).select(
+        F.col("version_id").alias("id"),
+        "external_id",
+        F.concat(F.lit(versions.PUSH_COMMENT), origin).alias("change_comment"),
+    )
     processes = versions.process_records(
         pushed.withColumn("id", F.col("version_id")).withColumn(
             "parent_version_id", F.col("parent_version_id").cast("string")
@@ -224,5 +232,5 @@ def publish(
         )
     )
     return Published(
-        version_rows, nodes, check_nodes, lineage, processes, edges, summary, report, history
+        version_rows, drafts, nodes, check_nodes, lineage, processes, edges, summary, report, history
     )

@@ -588,7 +588,8 @@ def col_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return col.lineage_rows(_matched(spark, sf_dir), catalogue(spark, sf_dir, "lineage"))
+    found = col.lineage_rows(_matched(spark, sf_dir), catalogue(spark, sf_dir, "lineage"))
+    return found.drop("id", "data_type")
 
 
 @query

@@ -78,6 +78,9 @@ def test_projects_do_not_mix_and_wanted_limits_the_search(spark):
     everything = signatures.select("dataset_id")
     found = sim.find_parents(signatures, everything)
     assert {(r.dataset_id, r.parent_id) for r in found.collect()} == {(1, 2), (2, 1)}
+    listed = sim.dataset_profiles(signatures)
+    pairs = sim.candidate_pairs(sim.distinct_profiles(listed, everything.filter("dataset_id < 0"), everything))
+    assert pairs.count() == 0
     one = sim.find_parents(signatures, everything, wanted=everything.filter("dataset_id = 2"))
     assert {(r.dataset_id, r.parent_id) for r in one.collect()} == {(2, 1)}
 
