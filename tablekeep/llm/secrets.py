@@ -2,8 +2,9 @@
 
 A worklist holds layers of text, first the document itself. Each layer is scanned and then searched for tokens
 in URL escapes, Unicode escapes and base64 (plain or of compressed bytes); what they decode to becomes a layer
-of its own until nothing new turns up. A layer that was seen before is not opened again, so cycles end. Every
-character of a layer knows the stretch of the document it comes from, and spans are reported there.
+of its own until nothing new turns up. Every character of a layer knows the stretch of the document it comes from,
+and spans are reported there. A layer that was seen before at the same stretch is not opened again, so cycles end;
+the same layer at another place is.
 """
 
 import base64
@@ -163,7 +164,7 @@ def _tokens(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
     """All secrets of a text as (start, end, kind, layer), and how many layers were refused."""
     found = {(s, e, k): "" for s, e, k in scan_layer(text)}
-    seen, refused = {text}, 0
+    seen, refused = set(), 0
     work = deque([(text, None, None, "")])
     while work:
         layer, starts, ends, name = work.popleft()
@@ -178,13 +179,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
             if decoded:
                 opened.append((m.start(), decoded, kind))
         for at, (inner, low, high), kind in opened:
-            if inner in seen:
-                continue
-            seen.add(inner)
             if starts is None:
                 low, high = [at + x for x in low], [at + x for x in high]
             else:
                 low, high = [starts[at + x] for x in low], [ends[at + x - 1] for x in high]
+            place = inner, hash(tuple(low)), hash(tuple(high))
+            if place in seen:
+                continue
+            seen.add(place)
             path = f"{name}/{kind}" if name else kind
             for s, e, k in scan_layer(inner):
                 found.setdefault((low[s], high[e - 1], k), path)

@@ -43,6 +43,19 @@ def test_layers():
     assert not secrets.scan_layer("toKen: longenough")
 
 
+def test_secrets_repeated():
+    secret = "password=hunter2abcd"
+    for token in (
+        base64.b64encode(secret.encode()).decode(),
+        base64.b64encode(gzip.compress(secret.encode())).decode(),
+        urllib.parse.quote(secret),
+        base64.b64encode(base64.b64encode(secret.encode())).decode(),
+    ):
+        text = f"a {token} b\nc {token} d\n{token}"
+        spans = [text[s:e] for s, e, _, _ in secrets.scan(text)[0]]
+        assert len(spans) == 3 and len(set(spans)) == 1
+
+
 def test_find_and_redact(spark):
     texts = [*odd_texts(), "api_key: abcdef1234 and AKIA" + "B" * 16, "secret='" + "ab" * 20 + "'"]
     docs = documents(spark, texts)
