@@ -4,21 +4,23 @@ A text is its lower-cased words joined by one space and closed by a line feed. E
 decisions; each decision has a Krichevsky-Trofimov estimate in the context of the last 0 to DEPTH bytes, and
 context-tree weighting mixes the estimates of all depths by how well each coded the training texts.
 
-The counts of all training texts are gathered as (context, byte) grams, summed up in the shuffle, and weighted in
-one group per last two context bytes; the two levels above hold 65,536 decisions at most. What tasks receive is
-the table of the NODES decisions visited most often, a fixed bound on memory: a decision outside the table is
-taken from the longest context in which it is. The probabilities stay proper, as each is a mixture for that bit.
+The distinct grams (context, byte) of every block of rows and their training counts are dealt to parts by the last
+TOP context bytes. A part is weighed by itself from depth TOP on; what its decisions sum up to above that is gathered
+once, at most 65,536 contexts of 255 decisions whatever the corpus. Then every part scores its own grams, by the whole
+tree, and the scores go back to the blocks that have them. No decision is left out for want of room.
 
 Training counts of words, for the unigram base, reach the documents by block of rows: a block's distinct words
 are looked up once, and block and counts meet in one group, so no vocabulary is broadcast.
 """
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from tablekeep.llm.common import PIECE_BYTES, crc_rest, ship_package, staged
 from tablekeep.llm.features import pack, word_hashes
 
 DEPTH = 5
-NODES = 1 << 21
+#: Context bytes that decisions of one part share; the levels above are gathered.
+TOP = 3
 #: Consecutive rows of a file that share the lookup of their words.
 BLOCK_ROWS = 8192
 FOLDS, HELD_OUT = 5, 1
@@ -96,12 +99,8 @@ def decisions(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.
     return found, a, b
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> dict[str, np.ndarray]:
-    """Weigh the part of the tree from depth ``top`` on that the grams span.
-
-    Per decision: key, zeros and ones, the log weighted probability of its part of the tree, and the probability
-    of a one if this is the longest context known, mixed with the levels from ``top`` on.
-    """
+def upward(keys: np.ndarray, n: np.ndarray, top: int) -> list[tuple]:
+    """Per depth from DEPTH to ``top``: depth, decisions, zeros, ones, own and children's log probability, their mix."""
     levels = []
     below: tuple[np.ndarray, np.ndarray] | None = None
     for depth in range(DEPTH, top - 1, -1):
@@ -118,6 +117,16 @@ def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> dict[str, np.ndarray]:
             weighted = np.logaddexp(kt, children) - math.log(2)
         below = (found, weighted)
         levels.append((depth, found, a, b, kt, children, weighted))
+    return levels
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> dict[str, np.ndarray]:
+    """Weigh the part of the tree from depth ``top`` on that the grams span.
+
+    Per decision: key, zeros and ones, the log weighted probability of its part of the tree, and the probability
+    of a one if this is the longest context known, mixed with the levels from ``top`` on.
+    """
+    levels = upward(keys, n, top)
     out: dict[str, list] = {c: [] for c in ("key", "depth", "a", "b", "weighted", "p")}
     above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     for depth, found, a, b, kt, children, weighted in reversed(levels):
@@ -139,8 +148,8 @@ def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> dict[str, np.ndarray]:
     return {c: np.concatenate(v) for c, v in out.items()}
 
 
-def mix_top(depth: int, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One, share of the own estimate, and weighted log probability of decisions above the groups."""
+def mix_top(a: np.ndarray, b: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One, share of the own estimate, and weighted log probability of decisions above the parts."""
     kt = log_kt(a, b)
     own = 1 / (1 + np.exp(np.clip(children - kt, -700, 700)))
     return (b + 0.5) / (a + b + 1), own, np.logaddexp(kt, children) - math.log(2)
@@ -149,12 +158,45 @@ def mix_top(depth: int, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> t
 # --- the model ---------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Top:
+    """The levels above the parts: probability of a one per decision, in the order of their keys.
+
+    ``base`` and ``scale`` belong to the last level and say what it and those above add to the levels below.
+    """
+
+    keys: np.ndarray
+    ones: np.ndarray
+    last: np.ndarray
+    base: np.ndarray
+    scale: np.ndarray
+
+
+def top_levels(last: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> Top:
+    """``last``: sorted (context, node) of depth TOP - 1, with zeros, ones and the log weights of its children."""
+    levels, found = [], last
+    for depth in range(TOP - 1, -1, -1):
+        one, own, weighted = mix_top(a, b, children)
+        above, up = np.unique(found & ((1 << (8 * depth)) - 1), return_inverse=True)
+        levels.append((depth, found, one, own, up))
+        found, a, b, children = above, *[np.bincount(up, x, len(above)) for x in (a, b, weighted)]
+    keys, ones = [], []
+    base, scale = np.zeros(len(found)), np.ones(len(found))
+    for depth, found, one, own, up in reversed(levels):
+        base, scale = base[up], scale[up]
+        keys.append(node_key(depth, found >> 8, found & 255))
+        ones.append(base + scale * one)
+        base, scale = base + scale * own * one, scale * (1 - own)
+    return Top(np.concatenate(keys), np.concatenate(ones), last, base, scale)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Decisions in the order of their keys, with the probability of a one."""
+    """Decisions of one part in the order of their keys, with the probability of a one, and the levels above."""
 
     keys: np.ndarray
     ones: np.ndarray
+    top: Top
 
     def log10(self, distinct: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each gram after the bytes before it."""
@@ -165,42 +207,31 @@ class Model:
             p = np.full(len(distinct), 0.5)
             rest = np.arange(len(distinct))
             for depth in range(DEPTH, -1, -1):
-                if not len(rest) or not len(self.keys):
-                    break
+                keys, ones = (self.keys, self.ones) if depth >= TOP else (self.top.keys, self.top.ones)
+                if not len(rest) or not len(keys):
+                    continue
                 want = node_key(depth, context[rest] & ((1 << (8 * depth)) - 1), node[rest])
-                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-                hit = self.keys[at] == want
-                p[rest[hit]] = self.ones[at[hit]]
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[at] == want
+                p[rest[hit]] = ones[at[hit]]
                 rest = rest[~hit]
+            p = np.clip(p, 1e-9, 1 - 1e-9)
             total += np.log10(np.where((byte >> (7 - k)) & 1, p, 1 - p))
         return total
 
 
-class Cache:
-    """What a model says of the grams of one block; neighbouring searches follow the order of its keys."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.grams = np.empty(0, dtype=np.int64)
-        self.logs = np.empty(0)
-
-    def log10(self, distinct: np.ndarray) -> np.ndarray:
-        order = np.argsort(distinct)
-        wanted = distinct[order]
-        at = np.searchsorted(self.grams, wanted)
-        known = np.zeros(len(wanted), dtype=bool)
-        inside = at < len(self.grams)
-        known[inside] = self.grams[at[inside]] == wanted[inside]
-        found = np.empty(len(wanted))
-        found[known] = self.logs[at[known]]
-        new = wanted[~known]
-        found[~known] = self.model.log10(new)
-        grams = np.concatenate([self.grams, new])
-        merged = np.argsort(grams, kind="stable")
-        self.grams, self.logs = grams[merged], np.concatenate([self.logs, found[~known]])[merged]
-        out = np.empty(len(wanted))
-        out[order] = found
-        return out
+def model(keys: np.ndarray, n: np.ndarray, top: Top) -> Model:
+    """The part of the tree that the training grams of one part span."""
+    if not len(keys):
+        return Model(keys, np.empty(0), top)
+    found = subtree(keys, n, TOP)
+    # a decision seen once says no more than the level above it
+    kept = found["a"] + found["b"] > 1
+    key, p = found["key"][kept], found["p"][kept]
+    order = np.argsort(key)
+    key, p = key[order], p[order]
+    at = np.searchsorted(top.last, key & ((1 << (8 * TOP)) - 1))
+    return Model(key, top.base[at] + top.scale[at] * p, top)
 
 
 def _pieces(batch: pa.RecordBatch):
@@ -209,87 +240,110 @@ def _pieces(batch: pa.RecordBatch):
         yield batch.slice(start, step)
 
 
-def _count_grams(batches):
-    """Grams of the texts of a task, each distinct one with its count; merged as they come."""
-    known = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _blocks_of(batches) -> Iterator[tuple[int | None, pa.RecordBatch | None]]:
+    """Pieces of text, held_out and block that lie in one block, with (block, None) where a block ends."""
+    block = None
     for batch in batches:
         for piece in _pieces(batch):
-            keys, _, _ = grams(streams(piece.column(0).to_pylist()))
-            found, n = np.unique(keys, return_counts=True)
-            keys = np.concatenate([known[0], found])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], np.concatenate([known[1], n])[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-            known = keys[first], np.add.reduceat(n, first) if len(keys) else n
-    for start in range(0, len(known[0]), 1 << 16):
-        part = slice(start, start + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(known[0][part]), pa.array(known[1][part])], names=["gram", "n"])
-
-
-def train(docs: DataFrame, nodes: int = NODES) -> Model:
-    """Weigh the tree of all texts of ``docs``; nulls count as empty texts, and no rows give an empty model."""
-    ship_package(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_count_grams, "gram bigint, n bigint")
-    counts = counts.groupBy("gram").agg(F.sum("n").alias("n"))
-
-    def weigh(group: pd.DataFrame) -> pd.DataFrame:
-        found = subtree(group["gram"].to_numpy(), group["n"].to_numpy(), 2)
-        frame = pd.DataFrame(found)
-        frame["visits"] = (frame["a"] + frame["b"]).astype("int64")
-        # a decision seen once says no more than the level above it
-        return frame[(frame["depth"] == 2) | (frame["visits"] > 1)]
-
-    schema = "key bigint, depth int, a double, b double, weighted double, p double, visits bigint"
-    rows = staged(
-        counts.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("last_two")).applyInPandas(weigh, schema),
-        "decisions",
+            blocks = piece.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if block is not None and blocks[a] != block:
+                    yield block, None
+                block = blocks[a]
+                yield block, piece.slice(a, b - a)
+    if block is not None:
+        yield block, None
+
+
+def _block_grams(parts: int) -> Callable:
+    """Distinct grams of each block of a task, dealt to parts, and how often training texts have them."""
+
+    def run(batches):
+        keys, counts, held = [], [], 0
+        for block, piece in _blocks_of(batches):
+            if piece is not None:
+                found, start, stop = grams(streams(piece.column(0).to_pylist()))
+                learned = np.repeat(~piece.column(1).to_numpy(zero_copy_only=False), stop - start)
+                codes, distinct = pd.factorize(found)
+                keys.append(distinct)
+                counts.append(np.bincount(codes, learned, len(distinct)).astype(np.int64))
+                held += len(distinct)
+                if held > 1 << 22:
+                    keys, counts = [[x] for x in _summed(keys, counts)]
+                    held = 0
+                continue
+            found, n = _summed(keys, counts)
+            keys, counts, held = [], [], 0
+            last = (found >> 8) & ((1 << (8 * TOP)) - 1)
+            part = ((last * 0x9E3779B1) & 0xFFFFFFFF) * parts >> 32
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            full = np.flatnonzero(cuts[1:] > cuts[:-1])
+            rows = [order[cuts[p] : cuts[p + 1]] for p in full]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(full), block)),
+                    pa.array(full.astype(np.int32)),
+                    pa.array([found[r].tobytes() for r in rows], type=pa.binary()),
+                    pa.array([n[r].astype(np.uint32).tobytes() for r in rows], type=pa.binary()),
+                ],
+                names=["block", "part", "grams", "counts"],
+            )
+
+    return run
+
+
+def _arrays(column, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=dtype) for x in column]
+
+
+def gram_scores(rows: DataFrame) -> DataFrame:
+    """block, grams and logs: log10 probability of the distinct grams of every block, in any number of rows.
+
+    ``rows`` has text, held_out and block; what is not held out trains the tree. Nulls count as empty texts.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // BLOCK_ROWS)
+    uses = rows.select("text", "held_out", "block").mapInArrow(
+        _block_grams(parts), "block bigint, part int, grams binary, counts binary"
     )
-    # the two levels above: at most 256 contexts of 255 decisions each
-    node = F.col("key").bitwiseAND(F.lit(255))
-    last = F.shiftright("key", 8).bitwiseAND(F.lit(255))
-    top = (
-        rows.filter("depth = 2")
-        .groupBy(last.alias("last"), node.alias("node"))
+    uses = staged(uses, "grams")
+
+    def weigh(group: pa.Table) -> pa.Table:
+        keys, n = _summed(_arrays(group.column("grams"), np.int64), _arrays(group.column("counts"), np.uint32))
+        keys, n = keys[n > 0], n[n > 0]
+        _, found, a, b, _, _, weighted = upward(keys, n, TOP)[-1]
+        above, up = np.unique(found & ((1 << (8 * TOP)) - 1), return_inverse=True)
+        named = ("a", a), ("b", b), ("weighted", weighted)
+        return pa.table({"last": above, **{c: np.bincount(up, x, len(above)).astype(float) for c, x in named}})
+
+    sums = (
+        uses.groupBy("part")
+        .applyInArrow(weigh, "last bigint, a double, b double, weighted double")
+        .groupBy("last")
         .agg(*[F.sum(c).alias(c) for c in ("a", "b", "weighted")])
         .toArrow()
-        .to_pandas()
-        .sort_values(["last", "node"])
+        .sort_by("last")
     )
-    shape = (256, 256)
-    base, scale = np.zeros(shape), np.ones(shape)
-    keys, ones = [], []
-    if len(top):
-        at = top["last"].to_numpy(), top["node"].to_numpy()
-        one1, own1, weighted1 = mix_top(1, top["a"].to_numpy(), top["b"].to_numpy(), top["weighted"].to_numpy())
-        sums = [np.bincount(at[1], x, 256) for x in (top["a"], top["b"], weighted1)]
-        seen = np.flatnonzero(sums[0] + sums[1])
-        one0, own0, _ = mix_top(0, *[s[seen] for s in sums])
-        zero = {int(s): i for i, s in enumerate(seen)}
-        up = np.array([zero[int(i)] for i in at[1]])
-        base1, scale1 = own0[up] * one0[up], 1 - own0[up]
-        base[at] = base1 + scale1 * own1 * one1
-        scale[at] = scale1 * (1 - own1)
-        keys = [node_key(0, np.zeros(len(seen), dtype=np.int64), seen), node_key(1, at[0].astype(np.int64), at[1].astype(np.int64))]
-        ones = [one0, base1 + scale1 * one1]
-    # the most visited decisions of the levels below, as many as fit without splitting a tie
-    room, least = nodes - sum(map(len, keys)), 1
-    capped = F.least("visits", F.lit(10_000))
-    sizes = rows.groupBy(capped.alias("visits")).count().orderBy(F.desc("visits")).collect()
-    taken = 0
-    for r in sizes:
-        if taken + r["count"] > room:
-            least = r.visits + 1
-            break
-        taken += r["count"]
-    low = rows.filter(F.col("visits") >= least).select("key", F.col("p").cast("float").alias("p")).toArrow()
-    k = low["key"].to_numpy()
-    at = (k >> 8) & 255, k & 255
-    keys.append(k)
-    ones.append(base[at] + scale[at] * low["p"].to_numpy())
-    every = np.concatenate(keys)
-    order = np.argsort(every)
-    values = np.concatenate(ones)[order]
-    return Model(every[order], np.clip(values, 1e-9, 1 - 1e-9).astype(np.float32))
+    top = spark.sparkContext.broadcast(top_levels(*[sums[c].to_numpy() for c in ("last", "a", "b", "weighted")]))
+
+    def look_up(group: pa.Table) -> pa.Table:
+        own = _arrays(group.column("grams"), np.int64)
+        distinct, n = _summed(own, _arrays(group.column("counts"), np.uint32))
+        logs = model(distinct[n > 0], n[n > 0], top.value).log10(distinct).astype(np.float32)
+        found = [logs[np.searchsorted(distinct, x)].tobytes() for x in own]
+        return pa.table({"block": group.column("block"), "grams": group.column("grams"), "logs": pa.array(found, type=pa.binary())})
+
+    return uses.groupBy("part").applyInArrow(look_up, "block bigint, grams binary, logs binary")
 
 
 # --- blocks and words --------------------------------------------------------------------------
@@ -328,13 +382,17 @@ def _word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _block_words(batches):
     """Distinct words of each block of a task and how often training texts have them."""
-    block, keys, counts = None, [], []
-
-    def flush():
-        if block is None:
-            return
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+    keys, counts = [], []
+    for block, piece in _blocks_of(batches):
+        if piece is not None:
+            hashes, first, last = _word_keys(piece.column(0).to_pylist())
+            learned = ~np.repeat(piece.column(1).to_numpy(zero_copy_only=False), last - first)
+            found, at = np.unique(hashes, return_inverse=True)
+            keys.append(found)
+            counts.append(np.bincount(at, learned, len(found)))
+            continue
+        found, n = _summed(keys, counts)
+        keys, counts = [], []
         for start in range(0, len(found), 1 << 16):
             part = slice(start, start + (1 << 16))
             size = len(found[part])
@@ -343,24 +401,6 @@ def _block_words(batches):
                 names=["block", "word", "n"],
             )
 
-    for batch in batches:
-        for piece in _pieces(batch):
-            blocks = piece.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b == a:
-                    continue
-                if blocks[a] != block:
-                    yield from flush()
-                    block, keys, counts = blocks[a], [], []
-                part = piece.slice(a, b - a)
-                hashes, first, last = _word_keys(part.column(0).to_pylist())
-                learned = ~np.repeat(part.column(1).to_numpy(zero_copy_only=False), last - first)
-                found, at = np.unique(hashes, return_inverse=True)
-                keys.append(found)
-                counts.append(np.bincount(at, learned, len(found)))
-    yield from flush()
-
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
@@ -371,7 +411,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     rows = blocked(docs)
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.filter(~F.col("held_out"))))
+    scores = gram_scores(rows)
     uses = rows.select("text", "held_out", "block").mapInArrow(_block_words, "block bigint, word bigint, n bigint")
     by_word = Window.partitionBy("word")
     counts = staged(
@@ -388,12 +428,18 @@ def score(docs: DataFrame) -> DataFrame:
     floor = math.log10(total + 0.5 * (distinct + 1)) if total else 0.0
 
     def compute(texts: pa.Table, known: pa.Table) -> pa.Table:
+        scored = known.filter(pc.is_valid(known.column("grams")))
+        known = known.filter(pc.is_valid(known.column("word")))
         words = known.column("word").to_numpy().view(np.uint64)
         order = np.argsort(words)
         words, c = words[order], known.column("c").to_numpy()[order]
+        # a block that two tasks read has grams twice, with the same scores
+        gram = np.concatenate([np.empty(0, dtype=np.int64), *_arrays(scored.column("grams"), np.int64)])
+        log = np.concatenate([np.empty(0, dtype=np.float32), *_arrays(scored.column("logs"), np.float32)])
+        order = np.argsort(gram)
+        gram, log = gram[order], log[order].astype(np.float64)
         logs = np.log10(c + 0.5) - floor
         end = np.log10(ends + 0.5) - floor
-        cache = Cache(model.value)
         out = []
         for batch in texts.combine_chunks().to_batches():
             for piece in _pieces(batch):
@@ -405,7 +451,7 @@ def score(docs: DataFrame) -> DataFrame:
                 raw = streams(column)
                 keys, start, stop = grams(raw)
                 codes, distinct_grams = pd.factorize(keys)
-                bits = np.concatenate([[0.0], np.cumsum(cache.log10(distinct_grams)[codes])])
+                bits = np.concatenate([[0.0], np.cumsum(log[np.searchsorted(gram, distinct_grams)][codes])])
                 out.append(
                     pa.table(
                         {
@@ -421,7 +467,8 @@ def score(docs: DataFrame) -> DataFrame:
                 )
         return pa.concat_tables(out) if out else pa.schema(_RESULT).empty_table()
 
-    joined = rows.groupBy("block").cogroup(counts.select("block", "word", "c").groupBy("block"))
+    known = counts.select("block", "word", "c").unionByName(scores, allowMissingColumns=True)
+    joined = rows.groupBy("block").cogroup(known.groupBy("block"))
     found = joined.applyInArrow(
         compute,
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint",

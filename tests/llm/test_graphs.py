@@ -196,6 +196,30 @@ def test_context_tree_odd(spark):
     assert all(r.score == pytest.approx(r.n_bytes * 8 * math.log10(0.5)) for r in alone)
 
 
+def test_context_tree_keeps_every_decision(spark):
+    """More than two million decisions, seen by each training text once: the score is that of the whole tree."""
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~", k=120_000))
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(40)]
+    ids = [held.index(False), held.index(False, held.index(False) + 1), held.index(True)]
+    docs = documents(spark, [text if i in ids else None for i in range(40)]).filter(F.col("doc_id").isin(ids))
+    row = next(r for r in context_tree.score(docs).collect() if r.held_out)
+    keys, _, _ = context_tree.grams(context_tree.streams([text]))
+    distinct, n = np.unique(keys, return_counts=True)
+    tree = context_tree.subtree(distinct, 2 * n, 0)
+    kept = (tree["depth"] < 3) | (tree["a"] + tree["b"] > 1)
+    assert kept.sum() > 1 << 21
+    order = np.argsort(tree["key"][kept])
+    known, p = tree["key"][kept][order], tree["p"][kept][order]
+    total = 0.0
+    for k in range(8):
+        want = context_tree.node_key(5, keys >> 8, (1 << k) | (keys & 255) >> (8 - k))
+        at = np.searchsorted(known, want)
+        assert (known[at] == want).all()
+        total += np.log10(np.where((keys >> (7 - k)) & 1, p[at], 1 - p[at])).sum()
+    assert row.score == pytest.approx(total, rel=1e-4)
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 
 
