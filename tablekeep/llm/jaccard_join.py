@@ -400,9 +400,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tied_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """set_id and shingles of the sets among ``nodes``, each once per task that has it.
+    """set_id and shingles of the sets among ``nodes``, each once.
 
     A bit set of fixed size tells tasks which texts to send on; the join afterwards drops what slipped through.
+    Copies are dropped inside the tasks as far as a set was sent before, and the rest by one aggregate over set_id
+    that merges before its shuffle, so no group meets a set twice.
     """
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     rows = (
@@ -417,23 +419,27 @@ def _tied_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     present = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
             step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, step):
                 piece = batch.slice(start, step)
                 at = piece.column(1).to_numpy()
                 hit = (present.value[at >> 5] >> (at & 31)) & 1 == 1
+                hit &= np.array([name not in sent for name in piece.column(2).to_pylist()])
                 if not hit.any():
                     continue
                 sets = shingle_sets(piece.column(0).filter(pa.array(hit)).to_pylist(), rule.words)
                 found = {set_id(s): s for s in sets if len(s)}
+                sent.update(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.keys(), type=pa.int64()), pa.array([s.tobytes() for s in found.values()], type=pa.binary())],
                     names=["set_id", "shingles"],
                 )
 
-    named = docs.select("text", F.pmod(F.xxhash64("set_id"), F.lit(FILTER_BITS)).alias("bit")).filter("bit is not null")
-    return named.mapInArrow(run, "set_id bigint, shingles binary")
+    named = docs.select("text", F.pmod(F.xxhash64("set_id"), F.lit(FILTER_BITS)).alias("bit"), "set_id").filter("bit is not null")
+    sets = named.mapInArrow(run, "set_id bigint, shingles binary")
+    return sets.groupBy("set_id").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _region_links(rule: Rule):

@@ -55,6 +55,16 @@ def test_components(spark, rule):
     assert [rows[i] for i in range(len(texts))] == brute_components(texts, *rule[:3])
 
 
+def test_tied_sets_are_sent_once(spark):
+    rule = jaccard_join.Rule(3, 90, 100)
+    texts = near_texts()[:20] * 30
+    rows = [(t, jaccard_join.set_id(x)) for t in texts if t and len(x := jaccard_join.shingle_sets([t], 3)[0])]
+    docs = spark.createDataFrame(rows, "text string, set_id bigint").repartition(6)
+    nodes = docs.select(F.col("set_id").alias("node")).distinct()
+    found = [r.set_id for r in jaccard_join._tied_sets(docs, nodes, rule).collect()]
+    assert sorted(found) == sorted({name for _, name in rows})
+
+
 def test_components_of_large_regions(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", 1500)
     texts = near_texts()
