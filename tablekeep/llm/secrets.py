@@ -1,8 +1,8 @@
 """Secret scans through nested encodings.
 
-A worklist holds layers of text, first the document itself. Each layer is scanned and then searched for tokens
-in URL escapes, Unicode escapes and base64 (plain or of compressed bytes); what they decode to becomes a layer
-of its own until nothing new turns up. Every character of a layer knows the stretch of the document it comes from,
+A worklist holds layers of text, first the document itself. Each layer is scanned. With all
+its URL escapes or all its Unicode escapes decoded in place it becomes a further layer, and so does what its base64
+runs (plain or of compressed bytes, also wrapped over lines) decode to, until nothing new turns up. Every character of a layer knows the stretch of the document it comes from,
 and spans are reported there. A layer that was seen before at the same stretch is not opened again, so cycles end;
 the same layer at another place is.
 """
@@ -12,6 +12,7 @@ import binascii
 import re
 import zlib
 from collections import deque
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _PERCENT_PARTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_SPACE = " \t\n\x0b\x0c\r\""
+#: Runs wrapped over several lines, which may be indented.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_BREAK = " \t\r\n"
 #: A compressed layer that unpacks to more bytes than this is taken for a bomb: not opened, but reported.
 LARGEST_LAYER = 1 << 26
 
@@ -52,16 +55,14 @@ def scan_layer(text: str) -> list[tuple[int, int, int]]:
 
 
 def _bytes_to_layer(raw: bytes, scale) -> tuple[str, list, list] | None:
-    """Text of UTF-8 bytes and, per character, the source offsets that ``scale`` gives for byte offsets."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or not all(c.isprintable() or c in "\t\n\r" for c in text):
+    """Text of bytes, UTF-8 as far as they are, and, per character, the source offsets that ``scale`` gives for byte offsets."""
+    text = raw.decode("utf-8", "surrogateescape")
+    # most runs are no base64: nothing in them is found or opens further
+    if not scan_layer(text) and not any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64, _WRAPPED)):
         return None
     starts, ends, at = [], [], 0
     for c in text:
-        size = 1 if c < "\x80" else len(c.encode("utf-8"))
+        size = 1 if c < "\x80" or "\ud800" <= c <= "\udfff" else len(c.encode("utf-8"))
         low, high = scale(at, at + size)
         starts.append(low)
         ends.append(high)
@@ -111,9 +112,14 @@ def _escapes(token: str) -> tuple[str, list, list]:
     return "".join(chars), starts, ends
 
 
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin like a gzip or zlib stream."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 15 == 8 and not (raw[0] << 8 | raw[1]) % 31
+
+
 def _unpack(raw: bytes) -> bytes | None:
     """Bytes of a gzip or zlib stream; empty if it is too large, None if it is none."""
-    if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31):
+    if not _packed(raw):
         return None
     try:
         stream = zlib.decompressobj(wbits=47)
@@ -146,18 +152,18 @@ def _base64(token: str) -> tuple[tuple[str, list, list] | None, str, bool]:
     )
 
 
-def _tokens(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
-    """Stretches without white space or quotes around matches of a pattern."""
-    found, done = [], 0
-    for m in pattern.finditer(text):
-        if m.start() < done:
-            continue
-        start = 1 + max(text.rfind(c, done, m.start()) for c in _SPACE)
-        start = max(start, done)
-        ends = [i for c in _SPACE if (i := text.find(c, m.end(), m.end() + 4096)) >= 0]
-        end = min(ends) if ends else min([i for c in _SPACE if (i := text.find(c, m.end())) >= 0], default=len(text))
-        found.append((start, end))
-        done = end
+def _runs(layer: str) -> list[tuple[str, Sequence[int]]]:
+    """Base64 tokens with the place of each character: every run as it stands, and runs joined over line breaks."""
+    found = [(m[0], range(m.start(), m.end())) for m in _BASE64.finditer(layer)]
+    for m in _WRAPPED.finditer(layer):
+        places = [i for i in range(m.start(), m.end()) if layer[i] not in _BREAK]
+        token = "".join([layer[i] for i in places])
+        # words of the lines around may be joined too: any of four alignments, and compressed bytes from any line on
+        starts = set(range(4))
+        for i in range(4, len(places) - 3):
+            if places[i] > places[i - 1] + 1 and _packed(base64.b64decode(token[i : i + 4].replace("=", "A"), b"-_")):
+                starts.add(i)
+        found += [(token[i:], places[i:]) for i in sorted(starts) if len(places) - i >= 16]
     return found
 
 
@@ -170,14 +176,16 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
         layer, starts, ends, name = work.popleft()
         opened = []
         if "%" in layer:
-            opened += [(a, _percent(layer[a:b]), "url") for a, b in _tokens(layer, _PERCENT)]
+            opened += [(0, _percent(layer), "url")] if _PERCENT.search(layer) else []
         if "\\" in layer:
-            opened += [(a, _escapes(layer[a:b]), "unicode") for a, b in _tokens(layer, _ESCAPE)]
-        for m in _BASE64.finditer(layer):
-            decoded, kind, too_large = _base64(m[0])
+            opened += [(0, _escapes(layer), "unicode")] if _ESCAPE.search(layer) else []
+        for token, places in _runs(layer):
+            decoded, kind, too_large = _base64(token)
             refused += too_large
             if decoded:
-                opened.append((m.start(), decoded, kind))
+                inner, low, high = decoded
+                low, high = [places[x] for x in low], [places[x - 1] + 1 for x in high]
+                opened.append((0, (inner, low, high), kind))
         for at, (inner, low, high), kind in opened:
             if starts is None:
                 low, high = [at + x for x in low], [at + x for x in high]

@@ -56,6 +56,16 @@ def test_secrets_repeated():
         assert len(spans) == 3 and len(set(spans)) == 1
 
 
+def test_secrets_beside_spaces_and_over_lines():
+    for text in ("password%3D hunter22abc", "api%5Fkey = abc123def", "\\u0070assword: hunter22", '{"p\\u0061ssword": "hunter22"}'):
+        found, _ = secrets.scan(text)
+        assert any(k == 0 and text[s:e].rstrip('"}').endswith(text.split()[-1].strip('"}')) for s, e, k, _ in found)
+    packed = base64.encodebytes(("x" * 45 + "\npassword=" + "hunter22abc" * 5).encode()).decode().rstrip()
+    for text in (packed, packed.replace("\n", "\r\n  "), f"-----BEGIN-----\n{packed}\n-----END-----"):
+        spans = [text[s:e] for s, e, k, _ in secrets.scan(text)[0] if k == 0]
+        assert any(span.split()[-1] == packed.rstrip("=").split()[-1] for span in spans)
+
+
 def test_find_and_redact(spark):
     texts = [*odd_texts(), "api_key: abcdef1234 and AKIA" + "B" * 16, "secret='" + "ab" * 20 + "'"]
     docs = documents(spark, texts)
