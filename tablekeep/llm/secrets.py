@@ -34,9 +34,9 @@ _PERCENT_PARTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs wrapped over several lines, which may be indented.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 _BREAK = " \t\r\n"
-#: A compressed layer that unpacks to more bytes than this is taken for a bomb: not opened, but reported.
+#: A compressed layer that unpacks to more bytes than this is taken for a bomb: opened up to there, and reported.
 LARGEST_LAYER = 1 << 26
 
 FOUND = "found array<struct<kind:string,start:int,end:int,layer:string>>, refused int"
@@ -54,12 +54,32 @@ def scan_layer(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _bytes_to_layer(raw: bytes, scale) -> tuple[str, list, list] | None:
+class _Same:
+    """One offset for every character of a compressed layer."""
+
+    def __init__(self, value: int):
+        self.value = value
+
+    def __getitem__(self, _at: int) -> int:
+        return self.value
+
+
+def _mapped(offsets, f):
+    return _Same(f(offsets.value)) if isinstance(offsets, _Same) else [f(x) for x in offsets]
+
+
+def _mark(offsets) -> int:
+    return offsets.value if isinstance(offsets, _Same) else hash(tuple(offsets))
+
+
+def _bytes_to_layer(raw: bytes, scale, whole: int = 0) -> tuple | None:
     """Text of bytes, UTF-8 as far as they are, and, per character, the source offsets that ``scale`` gives for byte offsets."""
     text = raw.decode("utf-8", "surrogateescape")
     # most runs are no base64: nothing in them is found or opens further
     if not scan_layer(text) and not any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64, _WRAPPED)):
         return None
+    if scale is None:
+        return text, _Same(0), _Same(whole)
     starts, ends, at = [], [], 0
     for c in text:
         size = 1 if c < "\x80" or "\ud800" <= c <= "\udfff" else len(c.encode("utf-8"))
@@ -117,16 +137,28 @@ def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 15 == 8 and not (raw[0] << 8 | raw[1]) % 31
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """Bytes of a gzip or zlib stream; empty if it is too large, None if it is none."""
-    if not _packed(raw):
-        return None
-    try:
-        stream = zlib.decompressobj(wbits=47)
-        data = stream.decompress(raw, LARGEST_LAYER)
-        return b"" if stream.unconsumed_tail else data
-    except zlib.error:
-        return None
+def _unpack(raw: bytes) -> tuple[bytes | None, bool]:
+    """Bytes of all members of a gzip or zlib stream, None if it is none, and whether it holds more than that."""
+    out, size, rest = [], 0, raw
+    while _packed(rest):
+        stream, part = zlib.decompressobj(wbits=47), rest
+        while part and not stream.eof:
+            try:
+                out.append(stream.decompress(part, min(1 << 16, LARGEST_LAYER - size + 1)))
+            except zlib.error:
+                return (b"".join(out) if size else None), False
+            size += len(out[-1])
+            if size > LARGEST_LAYER:
+                return b"".join(out)[:LARGEST_LAYER], True
+            part = stream.unconsumed_tail
+        if not stream.eof:
+            out.append(stream.flush())
+            break
+        rest = stream.unused_data
+    else:
+        if out:
+            out.append(rest)
+    return (b"".join(out) if out else None), False
 
 
 def _base64(token: str) -> tuple[tuple[str, list, list] | None, str, bool]:
@@ -138,12 +170,17 @@ def _base64(token: str) -> tuple[tuple[str, list, list] | None, str, bool]:
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
     except binascii.Error:
         return None, "", False
-    packed = _unpack(raw)
-    if packed is not None:
-        if not packed:
-            return None, "", True
-        layer = _bytes_to_layer(packed, lambda _low, _high: (0, len(token)))
-        return layer, "compressed", False
+    name, refused, opened = "", False, {raw}
+    while True:
+        packed, more = _unpack(raw)
+        refused |= more
+        if packed is None or packed in opened:
+            break
+        opened.add(packed)
+        raw, name = packed, f"{name}/compressed" if name else "compressed"
+    if name:
+        layer = _bytes_to_layer(raw, None, len(token))
+        return layer, name, refused
     size = len(body)
     return (
         _bytes_to_layer(raw, lambda low, high: (low * 4 // 3, min(size, -(-high * 4 // 3)))),
@@ -184,14 +221,17 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
             refused += too_large
             if decoded:
                 inner, low, high = decoded
-                low, high = [places[x] for x in low], [places[x - 1] + 1 for x in high]
+                low, high = _mapped(low, places.__getitem__), _mapped(high, lambda x, p=places: p[x - 1] + 1)
                 opened.append((0, (inner, low, high), kind))
         for at, (inner, low, high), kind in opened:
             if starts is None:
-                low, high = [at + x for x in low], [at + x for x in high]
+                low, high = _mapped(low, lambda x, a=at: a + x), _mapped(high, lambda x, a=at: a + x)
+            elif isinstance(starts, _Same):
+                low, high = starts, ends
             else:
-                low, high = [starts[at + x] for x in low], [ends[at + x - 1] for x in high]
-            place = inner, hash(tuple(low)), hash(tuple(high))
+                low = _mapped(low, lambda x, a=at: starts[a + x])
+                high = _mapped(high, lambda x, a=at: ends[a + x - 1])
+            place = inner, _mark(low), _mark(high)
             if place in seen:
                 continue
             seen.add(place)
@@ -219,7 +259,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Offsets count code points of the whole text, the end is exclusive. The layer is empty for what stands in
     the text itself, else the path of decodings such as ``url/base64``. Null and empty texts have no secrets;
-    ``refused`` counts compressed layers that unpack to more than LARGEST_LAYER bytes. A secret seen in the
+    ``refused`` counts compressed layers that unpack to more than LARGEST_LAYER bytes; the rest of those is not scanned. A secret seen in the
     same place through several layers is listed once per kind, with the first layer.
     """
     return text_columns(docs, FOUND, _scanner, drop=("text",))

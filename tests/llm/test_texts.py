@@ -66,6 +66,23 @@ def test_secrets_beside_spaces_and_over_lines():
         assert any(span.split()[-1] == packed.rstrip("=").split()[-1] for span in spans)
 
 
+def test_secrets_in_odd_bytes_and_members(monkeypatch):
+    secret = b"password=hunter2abcd"
+    for raw in (
+        secret + b" \x00\xff",
+        "\ufeff\u00a0\u200b".encode() + secret,
+        gzip.compress(gzip.compress(secret)),
+        gzip.compress(b"first") + gzip.compress(secret),
+        gzip.compress(b"\x00" + secret),
+        gzip.compress(b"first") + secret,
+    ):
+        found, refused = secrets.scan(base64.b64encode(raw).decode())
+        assert [k for _, _, k, _ in found] == [0] and refused == 0
+    monkeypatch.setattr(secrets, "LARGEST_LAYER", 1000)
+    found, refused = secrets.scan(base64.b64encode(gzip.compress(secret + b" " * 2000)).decode())
+    assert [k for _, _, k, _ in found] == [0] and refused == 1
+
+
 def test_find_and_redact(spark):
     texts = [*odd_texts(), "api_key: abcdef1234 and AKIA" + "B" * 16, "secret='" + "ab" * 20 + "'"]
     docs = documents(spark, texts)
