@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 
 from tablekeep.llm import (
     bpe,
+    collocations,
     context_tree,
     decontaminate,
     jaccard_join,
     langid,
+    minhash,
     quality,
+    repetitions,
     rule_ledger,
     secrets,
     sharding,
     wrappers,
 )
-from tablekeep.llm.common import crc_rest, table
+from tablekeep.llm.common import SPACES, crc_rest, split_words, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 16
@@ -160,3 +163,48 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their three-word shingles."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.Rule(3, 90, 100))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two thousand best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, by crc32 of the id, goes on periodically from some word."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    some = (
+        docs.withColumn("_h", crc)
+        .withColumn("_w", F.when(F.col("_h") % 10 == 0, split_words(F.col("text"), SPACES)))
+        .selectExpr("*", "_h div 10 as _g")
+        .selectExpr("*", "case when size(_w) > 0 then cast(_g % size(_w) as int) end as _a")
+        .selectExpr("*", "cast(1 + (size(_w) - _a) div (3 + _g % 8) as int) as _p")
+    )
+    planted = F.expr("array_join(transform(_w, (x, i) -> if(i < _a, x, _w[_a + (i - _a) % _p])), ' ')")
+    return some.withColumn("text", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, with runs planted in a tenth of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetitions.periodic_runs(_with_planted_runs(docs))
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, and the class of near duplicates it belongs to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = staged(minhash.compared_with_next(docs), "fingerprints")
+    classes = minhash.near_classes(docs, rows.select("text_id", "bands"))
+    return rows.join(classes, "text_id", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        F.coalesce("near_class", "text_id").alias("near_class"),
+    )
