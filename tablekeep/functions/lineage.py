@@ -1,20 +1,27 @@
-"""Cutting the plan of an iterative job in storage every executor can read."""
+"""Cutting the plan of an iterative job in storage every executor can read, and code that tasks can import."""
 
+import io
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only where driver and tasks are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="tablekeep-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -22,12 +29,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _deleted_at_exit(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    return files, where
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder as Parquet and go on from there.
+
+    What is read back is pruned and has a size, unlike a checkpoint; the files outlive lost executors and go when the
+    driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    _deleted_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written and read back."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, through a file in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    name = f"{scratch_path(spark, 'package')}.zip"
+    files, where = _deleted_at_exit(spark, name)
+    stream = files.create(where)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    context.addPyFile(name)
+    _SHIPPED.add(context.applicationId)

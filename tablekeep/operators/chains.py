@@ -56,6 +56,37 @@ def follow_chains(nodes: DataFrame, order: list[str] | None = None) -> DataFrame
     )
 
 
+def extend_chains(state: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Rows of a stored chain state that a batch of nodes adds or changes.
+
+    ``state`` is what :func:`follow_chains` gave for the nodes so far, with their ``parent_id`` and the ``order``
+    columns; ``batch`` holds ``id, parent_id`` and the same columns, and replaces nodes of the state that it repeats.
+    The result has the columns of ``state`` and supersedes its rows by id; all other rows stay as they are.
+
+    Only the trees that the batch touches are followed again: those of its parents, of nodes that waited for a parent
+    it brings, and of nodes it replaces. They are found by their roots, so no other chain is read into a round. Nodes
+    on cycles have no root and are few; they are always followed.
+    """
+    order = order or []
+    links = ["id", "parent_id", *order]
+    batch = cut_lineage(batch.select(*links))
+    ids = batch.select("id")
+    frontier = ids.union(batch.filter("parent_id IS NOT NULL").select("parent_id")).distinct()
+    touched = (
+        state.join(frontier, "id", "left_semi")
+        .select("root_id")
+        # a root whose parent was missing so far
+        .union(state.join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("root_id"))
+        .filter("root_id IS NOT NULL")
+        .distinct()
+    )
+    rows = state.filter(~F.col("is_cyclic")).join(touched, "root_id", "left_semi").select(*links)
+    rows = rows.union(state.filter("is_cyclic").select(*links)).join(ids, "id", "left_anti")
+    nodes = cut_lineage(rows.union(batch))
+    followed = follow_chains(nodes, order)
+    return nodes.join(followed, "id").select(*state.columns)
+
+
 def _waiting(state: DataFrame) -> int:
     return state.filter(F.col("jump").isNotNull()).count()
 

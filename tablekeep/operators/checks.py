@@ -5,12 +5,17 @@ however many rules it has; the examples of the failing rules take a second
 scan that keeps at most a few values per rule and task.
 """
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tablekeep.functions.faults import data_fault
+from tablekeep.functions.lineage import cut_lineage
 from tablekeep.functions.vocab import (
     BLANK_EXAMPLE,
     FAILED,
@@ -409,7 +414,7 @@ def skipped_results(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def technical_failures(df: DataFrame, failed: list[tuple[Rule, str]]) -> DataFrame:
-    """Results of rules Spark cannot analyse on this table: every row counts as an error."""
+    """Results of rules that cannot be evaluated on this table: every row counts as an error."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
     rows = [
         _result(rule, F.lit(FAILED), F.col("n"), F.col("n"), message=message[:200])
@@ -422,31 +427,67 @@ def technical_failures(df: DataFrame, failed: list[tuple[Rule, str]]) -> DataFra
     )
 
 
-def _analysis_error(df: DataFrame, rule: Rule) -> str | None:
+def isolate(
+    make: Callable[[list[Rule]], DataFrame], rules: list[Rule]
+) -> tuple[list[DataFrame], list[tuple[Rule, str]]]:
+    """Results of ``make(rules)``, run at once, and the rules whose evaluation raises with the reason.
+
+    All rules share one run. Only if it raises over the data is the group halved, until a bad rule stands alone, so one
+    bad rule among n costs log2(n) more runs and the others stay together. Errors that are no fault of the data, such
+    as a lost executor, are raised.
+    """
+    if not rules:
+        return [], []
     try:
-        df.select(failure_condition(rule, df.schema))
-    except AnalysisException as error:
-        return str(error)
-    return None
+        return [cut_lineage(make(rules))], []
+    except (PySparkException, Py4JJavaError) as error:
+        message = data_fault(error)
+        if message is None:
+            raise
+    if len(rules) == 1:
+        return [], [(rules[0], message)]
+    half = len(rules) // 2
+    first, second = isolate(make, rules[:half]), isolate(make, rules[half:])
+    return first[0] + second[0], first[1] + second[1]
+
+
+def _failed_examples(df: DataFrame, frames: list[DataFrame], rules: list[Rule], k: int) -> list[DataFrame]:
+    """Results with examples, which are gathered for the rules that failed only."""
+    out = []
+    by_id = {r.rule_id: r for r in rules}
+    for frame in frames:
+        failed = [by_id[r.rule_id] for r in frame.filter(F.col("status") == FAILED).select("rule_id").collect()]
+        if failed:
+            out.append(_with_examples(frame, failing_examples(df, failed, k)))
+        else:
+            out.append(frame.withColumn("examples", F.array().cast("array<string>")))
+    return [frame.select(*RESULT_COLUMNS) for frame in out]
 
 
 def validate(df: DataFrame, rules: list[Rule] | dict | str, k: int = MAX_EXAMPLES) -> DataFrame:
-    """Run every family of a rule set over one table; one result row per rule."""
+    """Run every family of a rule set over one table; one result row per rule.
+
+    The rules are evaluated when this is called. A rule that raises over the data, or that cannot be analysed, fails
+    with every row as an error and the reason in ``message``; the others are not touched by it (:func:`isolate`).
+    """
     parsed = rules if isinstance(rules, list) else parse_rules(rules)
     bound = bind_rules(parsed, df.schema)
     skipped = [r for r in bound if r.problem]
     runnable = [r for r in bound if not r.problem]
+    frames: list[DataFrame] = []
+    broken: list[tuple[Rule, str]] = []
+
+    def run(make: Callable[[list[Rule]], DataFrame], some: list[Rule]) -> list[DataFrame]:
+        found, bad = isolate(make, some)
+        broken.extend(bad)
+        return found
+
     fused = [r for r in runnable if r.family != DUPLICATES]
-    errors = {r.rule_id: _analysis_error(df, r) for r in fused}
-    broken = [(r, errors[r.rule_id]) for r in fused if errors[r.rule_id]]
-    fused = [r for r in fused if not errors[r.rule_id]]
+    frames += _failed_examples(df, run(lambda some: constraint_results(df, some), fused), fused, k)
     by_column = [r for r in runnable if r.check == COLUMN_DUPLICATES]
-    frames = []
-    if fused:
-        frames.append(check_constraints(df, fused, k))
-    if by_column:
-        frames.append(check_column_duplicates(df, by_column, k))
-    frames += [check_row_duplicates(df, r, k) for r in runnable if r.check == ROW_DUPLICATES]
+    frames += run(lambda some: check_column_duplicates(df, some, k), by_column)
+    for rule in (r for r in runnable if r.check == ROW_DUPLICATES):
+        frames += run(lambda some: check_row_duplicates(df, some[0], k), [rule])
     if skipped:
         frames.append(skipped_results(df, skipped))
     if broken:

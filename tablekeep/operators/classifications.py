@@ -90,11 +90,17 @@ def column_classes(active: DataFrame) -> DataFrame:
     )
 
 
-def allowed_column_classes(datasets: DataFrame, active: DataFrame) -> DataFrame:
-    """Security class of each dataset (RESTRICTED by default) and the column classes it admits."""
+def allowed_column_classes(
+    datasets: DataFrame, active: DataFrame, default: str | None = DEFAULT_DATASET_CLASS
+) -> DataFrame:
+    """Security class of each dataset and the column classes it admits.
+
+    A dataset without a class counts as ``default``; with None as default it admits none.
+    """
     joined = datasets.select("dataset_id").join(security_class(active), "dataset_id", "left")
-    known = F.coalesce("security_class", F.lit(DEFAULT_DATASET_CLASS))
-    allowed = F.array(*[F.lit(c) for c in sorted(COLUMN_CLASSES)])
+    known = F.coalesce("security_class", F.lit(default).cast("string"))
+    every = F.array(*[F.lit(c) for c in sorted(COLUMN_CLASSES)])
+    allowed = F.when(known.isNotNull(), every).otherwise(F.array().cast("array<string>"))
     return joined.select("dataset_id", known.alias("security_class"), allowed.alias("allowed"))
 
 

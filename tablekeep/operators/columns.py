@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablekeep.functions.joins import lookup
+from tablekeep.functions.lineage import cut_lineage
 from tablekeep.functions.textsim import lcs_length
 from tablekeep.functions.vocab import COLUMN_NAME_PERCENT
 from tablekeep.operators.chains import follow_chains
@@ -23,12 +25,12 @@ def new_logical_id(qualified_name: Column | str, column_name: Column | str) -> C
     return F.substring(F.sha2(F.concat_ws(".", qualified_name, column_name), 256), 1, 32)
 
 
-def fuzzy_matches(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """``parent_version_id, name, fuzzy_id, fuzzy_ratio``: the closest parent column name.
+def close_names(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``parent_version_id, name, logical_id, position, lcs, total`` of the parent columns that may be close by name.
 
-    Compares lower-cased names once per distinct (parent version, name). A ratio of
+    Close are those with ``lcs * 200 >= total * COLUMN_NAME_PERCENT``. Compares lower-cased names once per distinct (parent version, name). A ratio of
     82 % bounds the length of the other name, so each name is joined only to parent
-    columns of a fitting length. Ties go to the first parent column.
+    columns of a fitting length.
     """
     percent = COLUMN_NAME_PERCENT
     length = F.length("name")
@@ -58,22 +60,91 @@ def fuzzy_matches(children: DataFrame, parents: DataFrame) -> DataFrame:
     # Characters of one name that occur in the other at all bound the common ones.
     shared = F.least(occurring("name", "parent_name"), occurring("parent_name", "name"))
     possible = pairs.filter(shared * 200 >= total * percent)
-    scored = possible.withColumn("lcs", lcs_length(F.col("name"), F.col("parent_name")))
+    return possible.select(
+        "parent_version_id", "name", "logical_id", "position", lcs_length(F.col("name"), F.col("parent_name")).alias("lcs"), total.alias("total")
+    )
+
+
+def _close() -> Column:
+    return F.col("lcs") * 200 >= F.col("total") * COLUMN_NAME_PERCENT
+
+
+def fuzzy_matches(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``parent_version_id, name, fuzzy_id, fuzzy_ratio``: the closest parent column name; ties go to the first column."""
     # Accepted inside the aggregate: a filter on lcs would be pushed below and compute it twice.
-    accepted = F.col("lcs") * 200 >= total * percent
-    ratio = 2.0 * F.col("lcs") / total
+    ratio = 2.0 * F.col("lcs") / F.col("total")
     best = F.max_by(
         F.struct(F.col("logical_id").alias("fuzzy_id"), ratio.alias("fuzzy_ratio")),
-        F.when(accepted, F.struct(ratio, -F.col("position"), "logical_id")),
+        F.when(_close(), F.struct(ratio, -F.col("position"), "logical_id")),
     )
     return (
-        scored.groupBy("parent_version_id", "name")
+        close_names(children, parents)
+        .groupBy("parent_version_id", "name")
         .agg(best.alias("m"))
         .select("parent_version_id", "name", "m.*")
         .filter(F.col("fuzzy_id").isNotNull())
     )
 
 
+def assign_columns(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Like :func:`match_columns`, but every id of a version goes to one column, and losers try their next best.
+
+    Pairs of a child and a parent column are ranked by strategy, ratio, child and parent position. The best pair of a
+    version is taken, both ends leave, and so on. Every round takes all pairs that are the best of both their ends,
+    which is what taking them one by one gives, and needs far fewer rounds. Ids that columns have already are theirs.
+    """
+    key, spread = ["version_id", "column_name"], ["version_id", "column_name"]
+    existing = F.nullif("existing_id", F.lit(""))
+    usable = parents.filter(F.coalesce("logical_id", F.lit("")) != "")
+    taken_before = children.filter(existing.isNotNull())
+    first = taken_before.groupBy("version_id", existing.alias("logical_id")).agg(
+        F.min_by("column_name", F.struct("position", "column_name")).alias("column_name")
+    )
+    free = children.filter(existing.isNull() & F.col("parent_version_id").isNotNull())
+
+    def pairs(joined: DataFrame, rank: int, ratio: Column) -> DataFrame:
+        order = F.struct(
+            F.lit(rank).alias("rank"),
+            (-ratio).alias("ratio"),
+            F.col("position").cast("bigint").alias("position"),
+            F.col("parent_position").cast("bigint").alias("parent_position"),
+            "logical_id",
+        )
+        return joined.select(*key, "logical_id", order.alias("order"))
+
+    own = usable.select(F.col("version_id").alias("parent_version_id"), "column_name", "logical_id", F.col("position").alias("parent_position"))
+    by_name = pairs(free.join(own, ["parent_version_id", "column_name"]), 1, F.lit(1.0))
+    same = own.drop("column_name").withColumn("position", F.col("parent_position"))
+    by_position = pairs(free.join(same, ["parent_version_id", "position"]), 2, F.lit(1.0))
+    near = close_names(free, usable).withColumnRenamed("position", "parent_position")
+    named = free.withColumn("name", F.lower("column_name"))
+    by_fuzzy = pairs(
+        named.join(near, ["parent_version_id", "name"]).filter(_close()), 3, 2.0 * F.col("lcs") / F.col("total")
+    )
+    every = by_name.unionByName(by_position).unionByName(by_fuzzy).join(first.select("version_id", "logical_id"), ["version_id", "logical_id"], "left_anti")
+    left = every.groupBy(*key, "logical_id").agg(F.min("order").alias("order"))
+    taken: DataFrame | None = None
+    while True:
+        best = [F.min("order").over(Window.partitionBy("version_id", end)) for end in ("column_name", "logical_id")]
+        ranked = cut_lineage(left.withColumn("mutual", (F.col("order") == best[0]) & (F.col("order") == best[1])))
+        winners = ranked.filter("mutual").drop("mutual")
+        if winners.isEmpty():
+            break
+        taken = winners if taken is None else taken.unionByName(winners)
+        left = ranked.filter("NOT mutual").drop("mutual")
+        for end in ("column_name", "logical_id"):
+            left = left.join(winners.select("version_id", end), ["version_id", end], "left_anti")
+    names = F.array(*[F.lit(s) for s in STRATEGIES])
+    kept = first.select(*key, "logical_id", F.lit(STRATEGIES[0]).alias("strategy"))
+    if taken is not None:
+        kept = kept.unionByName(taken.select(*key, "logical_id", F.get(names, F.col("order.rank")).alias("strategy")))
+    return lookup(children, kept, key, spread).select(
+        *children.columns,
+        F.coalesce("logical_id", new_logical_id("qualified_name", "column_name")).alias("logical_id"),
+        F.coalesce("strategy", F.lit("new")).alias("strategy"),
+    )
+
+
 def match_columns(children: DataFrame, parents: DataFrame, exclusive: bool = False) -> DataFrame:
     """Give every child column a ``logical_id`` and the ``strategy`` that found it.
 
@@ -93,15 +164,15 @@ def match_columns(children: DataFrame, parents: DataFrame, exclusive: bool = Fal
         F.col("logical_id").alias("position_id"),
     )
     existing = F.nullif("existing_id", F.lit(""))
-    found = children.join(by_name, ["parent_version_id", "column_name"], "left").join(
-        by_position, ["parent_version_id", "position"], "left"
-    )
+    spread = ["version_id", "column_name"]
+    found = lookup(children, by_name, ["parent_version_id", "column_name"], spread)
+    found = lookup(found, by_position, ["parent_version_id", "position"], spread)
     found = found.withColumn("known_id", F.coalesce(existing, "name_id", "position_id"))
     unmatched = found.filter(F.col("known_id").isNull())
     fuzzy = fuzzy_matches(unmatched, usable)
     # Only unmatched columns look up a close name: the key is null for the others.
-    lookup = F.when(F.col("known_id").isNull(), F.lower("column_name"))
-    matched = found.withColumn("name", lookup).join(fuzzy, ["parent_version_id", "name"], "left")
+    wanted = F.when(F.col("known_id").isNull(), F.lower("column_name"))
+    matched = lookup(found.withColumn("name", wanted), fuzzy, ["parent_version_id", "name"], spread)
     fresh = new_logical_id("qualified_name", "column_name")
     strategy = (
         F.when(existing.isNotNull(), F.lit("existing"))
@@ -212,7 +283,7 @@ def lineage_rows(matched: DataFrame, parent_lineage: DataFrame) -> DataFrame:
     joined = matched.join(above, ["parent_version_id", "logical_id"], "left").join(
         names, ["parent_version_id", "column_name"], "left"
     )
-    identity = F.to_json(F.struct(F.col("version_id").cast("string"), "column_name"))
+    identity = F.to_json(F.struct(F.col("version_id").cast("string").alias("version_id"), "column_name"))
     return joined.select(
         F.substring(F.sha2(identity, 256), 1, 32).alias("id"),
         F.col("version_id").alias("dataset_version_id"),

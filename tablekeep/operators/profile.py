@@ -1,11 +1,16 @@
 """Profiling a table into a signature other tables can be compared with."""
 
+import hashlib
+from bisect import bisect, insort
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablekeep.functions.lineage import cut_lineage
+from tablekeep.operators.checks import value_counts
 
 NUMERIC = "numeric"
 DATETIME = "datetime"
@@ -14,10 +19,9 @@ SAMPLE_SIZE = 20
 ALGO_VERSION = "v1"
 # Columns per aggregate; a columnar scan of each group reads only its own columns.
 COLUMNS_PER_PASS = 40
-# Up to this many distinct values, counting all of them in the tasks is cheap.
-SMALL_DOMAIN = 2000
-# Distinct values aimed at below the sampling bound, per value kept.
-SAMPLE_MARGIN = 10
+# Relative error of an estimate of distinct values, and the size of the sketches that are stored, as a power of two.
+DISTINCT_ERROR = 0.02
+SKETCH_BITS = 14
 
 
 def column_class(kind: T.DataType) -> str:
@@ -49,12 +53,11 @@ def _col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _group_stats(df: DataFrame, columns: list[tuple[int, T.StructField]], exact: bool) -> DataFrame:
+def _group_stats(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:
     aggs, rows = [F.count(F.lit(1)).alias("rows_count")], []
     for i, field in columns:
         column, kind = _col(field.name), column_class(field.dataType)
-        distinct = F.count_distinct(column) if exact else F.approx_count_distinct(column)
-        aggs.append(distinct.alias(f"d{i}"))
+        aggs.append(F.approx_count_distinct(column, DISTINCT_ERROR).alias(f"d{i}"))
         if kind == NUMERIC:
             aggs += [
                 F.min(column).cast("double").alias(f"min{i}"),
@@ -82,75 +85,129 @@ def _group_stats(df: DataFrame, columns: list[tuple[int, T.StructField]], exact:
 def column_stats(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: class, min, max, mean, sample deviation, distinct count, rows.
 
-    Distinct counts are HyperLogLog++ estimates unless ``exact_distinct``; either
-    way one aggregate serves a whole group of columns.
+    Distinct counts are HyperLogLog++ estimates unless ``exact_distinct``: then one more scan counts the values of all
+    columns together, merged inside the tasks before anything is shuffled.
     """
     fields = list(enumerate(df.schema.fields))
     out = None
     for start in range(0, len(fields), COLUMNS_PER_PASS):
-        part = _group_stats(df, fields[start : start + COLUMNS_PER_PASS], exact_distinct)
+        part = _group_stats(df, fields[start : start + COLUMNS_PER_PASS])
         out = part if out is None else out.unionByName(part)
-    return out
+    if not exact_distinct:
+        return out
+    exact = value_counts(df, df.columns).groupBy("column_name").agg(F.count("value").alias("exact"))
+    return (
+        out.join(exact, "column_name", "left")
+        .withColumn("distinct_count", F.coalesce("exact", F.lit(0).cast("bigint")))
+        .select(*out.columns)
+    )
 
 
-# --- samples -----------------------------------------------------------------------------------
+# --- profiles that merge -----------------------------------------------------------------------
 
 
-def _hex_bound(share: float) -> str:
-    """32 hex digits below which about ``share`` of all MD5 values lie."""
-    return f"{int(share * (1 << 64)):016x}" + "f" * 16
+def column_sketches(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What is kept of every column so that profiles of parts can be merged, per group of ``by`` (a file, a day).
 
+    Moments are kept as count, mean and sum of squared deviations, distinct values as a sketch; nothing of the rows is
+    needed again. See :func:`merge_sketches`.
+    """
+    by = by or []
+    groups = []
+    fields = list(enumerate(df.schema.fields))
+    for start in range(0, len(fields), COLUMNS_PER_PASS):
+        aggs, rows = [F.count(F.lit(1)).alias("rows_count")], []
+        for i, field in fields[start : start + COLUMNS_PER_PASS]:
+            column, kind = _col(field.name), column_class(field.dataType)
+            known = isinstance(field.dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType))
+            aggs += [
+                F.count(column).alias(f"n{i}"),
+                F.hll_sketch_agg(column if known else column.cast("string"), SKETCH_BITS).alias(f"s{i}"),
+            ]
+            stats = {name: F.lit(None).cast("double") for name in ("min", "max", "mean", "deviations")}
+            if kind == NUMERIC:
+                number = column.cast("double")
+                aggs += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}")]
+                aggs += [F.avg(number).alias(f"mean{i}"), (F.var_pop(number) * F.count(number)).alias(f"deviations{i}")]
+                stats = {name: F.col(f"{name}{i}") for name in stats}
+            rows.append(
+                F.struct(
+                    F.lit(i).alias("position"),
+                    F.lit(field.name).alias("column_name"),
+                    F.lit(kind).alias("data_type"),
+                    F.col(f"n{i}").alias("n"),
+                    *[value.alias(name) for name, value in stats.items()],
+                    F.col(f"s{i}").alias("sketch"),
+                )
+            )
+        groups.append(df.groupBy(*by).agg(*aggs).select(*by, "rows_count", F.inline(F.array(*rows))))
+    out = groups[0]
+    for part in groups[1:]:
+        out = out.unionByName(part)
+    return out
 
-def _values_below(df: DataFrame, bounds: dict[str, str | None]) -> DataFrame:
-    """Distinct ``column_name, value, hash`` with a hash not above the column's bound."""
 
-    def entry(column: str, bound: str | None) -> Column:
-        value = _col(column).cast("string")
-        kept = value if bound is None else F.when(F.md5(value) <= bound, value)
-        return F.struct(F.lit(column).alias("column_name"), kept.alias("value"))
+def merge_sketches(sketches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The profile of all parts of a key (a version), as :func:`column_stats` has it.
 
-    values = df.select(F.inline(F.array(*[entry(c, b) for c, b in bounds.items()])))
-    distinct = values.filter(F.col("value").isNotNull()).distinct()
-    return distinct.withColumn("hash", F.md5("value"))
+    Squared deviations are moved to the common mean part by part, which stays exact where sums of squares would cancel.
+    """
+    keys = keys or []
+    column = [*keys, "position", "column_name", "data_type"]
+    whole = sketches.groupBy(*column).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("whole"))
+    shifted = F.col("deviations") + F.col("n") * F.pow(F.col("mean") - F.col("whole"), 2)
+    return (
+        sketches.join(whole, column)
+        .groupBy(*column)
+        .agg(
+            F.sum("rows_count").alias("rows_count"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            F.max("whole").alias("mean"),
+            F.sqrt(F.sum(shifted) / F.nullif(F.greatest(F.sum("n") - 1, F.lit(0)), F.lit(0))).alias("std"),
+            F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count"),
+        )
+        .select(*keys, "rows_count", "position", "column_name", "data_type", "min", "max", "mean", "std", "distinct_count")
+    )
 
 
-def _bottom(values: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("column_name").orderBy("hash", "value")
-    return values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+# --- samples -----------------------------------------------------------------------------------
 
 
-def column_samples(
-    df: DataFrame, k: int = SAMPLE_SIZE, distinct: dict[str, int] | None = None
-) -> DataFrame:
-    """The ``k`` distinct values with the smallest MD5 per column: a repeatable sample.
+def _smallest(names: list[str], k: int):
+    """Task side of the sample: the ``k`` distinct values of each column with the smallest hashes, held at any time.
 
-    ``distinct`` gives an estimate of each column's distinct values (computed when
-    left out). It sets a bound on the hash, so that only about ``k * SAMPLE_MARGIN``
-    values of a column leave the scan; a column left with fewer than k values is
-    read again without a bound, so the sample is always the exact one.
+    It stands for itself, so that workers need nothing of this package.
     """
-    if distinct is None:
-        distinct = {r["column_name"]: r["distinct_count"] for r in column_stats(df).collect()}
-    aim = k * SAMPLE_MARGIN
-    bounds = {
-        c: None if n <= max(SMALL_DOMAIN, aim) else _hex_bound(aim / n) for c, n in distinct.items()
-    }
-    samples = None
-    columns = list(bounds)
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        group = columns[start : start + COLUMNS_PER_PASS]
-        part = _bottom(_values_below(df, {c: bounds[c] for c in group}), k)
-        samples = part if samples is None else samples.unionByName(part)
-    if all(bound is None for bound in bounds.values()):
-        return samples
-    samples = cut_lineage(samples)
-    counts = samples.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    found = {r["column_name"]: r["n"] for r in counts.collect()}
-    short = [c for c, bound in bounds.items() if bound is not None and found.get(c, 0) < k]
-    if short:
-        again = _bottom(_values_below(df, {c: None for c in short}), k)
-        samples = samples.filter(~F.col("column_name").isin(short)).unionByName(again)
-    return samples
+
+    def run(batches):
+        kept: list[list[tuple[str, str]]] = [[] for _ in names]
+        for batch in batches:
+            for i, smallest in enumerate(kept):
+                for value in pc.unique(batch.column(i).drop_null()).to_pylist():
+                    entry = hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest(), value
+                    if len(smallest) < k or entry < smallest[-1]:
+                        at = bisect(smallest, entry)
+                        if not at or smallest[at - 1] != entry:
+                            insort(smallest, entry)
+                            del smallest[k:]
+        rows = [(name, value, digest) for name, smallest in zip(names, kept, strict=True) for digest, value in smallest]
+        columns = [pa.array([row[i] for row in rows], type=pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["column_name", "value", "hash"])
+
+    return run
+
+
+def column_samples(df: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
+    """The ``k`` distinct values with the smallest MD5 per column: a repeatable sample, from one scan.
+
+    Each task holds k values per column and hands on no more, so what is shuffled follows the number of tasks and not
+    the rows or the distinct values.
+    """
+    texts = df.select(*[_col(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    found = texts.mapInArrow(_smallest(df.columns, k), "column_name string, value string, hash string").distinct()
+    order = Window.partitionBy("column_name").orderBy("hash", "value")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def sample_hashes(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -176,12 +233,10 @@ EMPTY_SAMPLE = ""
 def column_signatures(df: DataFrame) -> DataFrame:
     """Long signature: the statistics of every column with its sample hash.
 
-    The statistics are a handful of rows per table and also steer the sampling,
-    so they are computed once and kept.
+    Two scans, one for the statistics and one for the samples; nothing comes to the driver.
     """
-    stats = cut_lineage(column_stats(df))
-    distinct = {r["column_name"]: r["distinct_count"] for r in stats.collect()}
-    hashes = sample_hashes(column_samples(df, distinct=distinct))
+    stats = column_stats(df)
+    hashes = sample_hashes(column_samples(df))
     empty = F.sha2(F.lit(EMPTY_SAMPLE), 256)
     return stats.join(hashes, "column_name", "left").withColumn(
         "sample_hash", F.coalesce("sample_hash", empty)
@@ -212,6 +267,29 @@ def dataset_signature(columns: DataFrame, name: str) -> DataFrame:
     )
 
 
+def stored_signatures(columns: DataFrame) -> DataFrame:
+    """One signature per dataset from long column signatures ``dataset_id, name_base, column_name, data_type, sample_hash``.
+
+    Statistics are kept where ``columns`` has them.
+    """
+    stats = {"min": "double", "max": "double", "mean": "double", "std": "double", "distinct_count": "bigint"}
+    values = [
+        (F.col(c) if c in columns.columns else F.lit(None)).cast(kind).alias("ndist" if c == "distinct_count" else c)
+        for c, kind in stats.items()
+    ]
+    entry = F.struct(
+        F.col("column_name").alias("key"),
+        F.struct(F.col("data_type").alias("dtype"), *values, "sample_hash").alias("value"),
+    )
+    names = F.array_sort(F.collect_list(F.concat_ws(":", "column_name", "data_type")))
+    return columns.groupBy("dataset_id").agg(
+        F.min("name_base").alias("name_base"),
+        F.count(F.lit(1)).cast("int").alias("columns_count"),
+        F.sha2(F.array_join(names, ","), 256).alias("structure_hash"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("columns"),
+    )
+
+
 def latest_signatures(signatures: DataFrame) -> DataFrame:
     """The newest stored signature of every dataset (ties by id)."""
     fields = [c for c in signatures.columns if c != "dataset_id"]

@@ -44,21 +44,17 @@ EPSILON = 1e-9
 def dataset_profiles(signatures: DataFrame) -> DataFrame:
     """``project_id, dataset_id, profile_id, name_base, columns`` per dataset.
 
-    ``profile_id`` digests the base name and the whole column signature.
+    ``profile_id`` digests the base name and the whole column signature as JSON, in which no two signatures look alike.
     """
     column = F.struct("column_name", "data_type", "sample_hash")
     columns = F.array_sort(F.collect_set(column))
     per_dataset = signatures.groupBy("project_id", "dataset_id", "name_base").agg(
         columns.alias("columns")
     )
-    text = F.transform(
-        F.col("columns"),
-        lambda c: F.concat_ws(":", c["column_name"], c["data_type"], c["sample_hash"]),
-    )
     return per_dataset.select(
         "project_id",
         "dataset_id",
-        F.sha2(F.concat_ws("\n", "name_base", F.array_join(text, "\n")), 256).alias("profile_id"),
+        F.sha2(F.to_json(F.struct("name_base", "columns")), 256).alias("profile_id"),
         "name_base",
         "columns",
     )

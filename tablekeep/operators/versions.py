@@ -7,7 +7,8 @@ a version without external id is a draft.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.operators.chains import follow_chains
+from tablekeep.functions.joins import lookup
+from tablekeep.operators.chains import extend_chains, follow_chains
 
 DRAFT_COMMENT = "Version temporaire (en attente de push)"
 PUSH_COMMENT = "Push depuis "
@@ -33,6 +34,23 @@ def chain_positions(versions: DataFrame) -> DataFrame:
     return follow_chains(links, order=["version_number"])
 
 
+def chain_state(versions: DataFrame) -> DataFrame:
+    """:func:`chain_positions` with the links they come from, to be stored and moved on by :func:`extend_chain_state`."""
+    links = versions.select("id", F.col("parent_version_id").alias("parent_id"), "version_number")
+    return links.join(follow_chains(links, order=["version_number"]), "id")
+
+
+def extend_chain_state(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of :func:`chain_state` that a batch of versions adds or changes."""
+    links = batch.select("id", F.col("parent_version_id").alias("parent_id"), "version_number")
+    return extend_chains(state, links, order=["version_number"])
+
+
+def _spread(rows: DataFrame) -> list[str]:
+    """Columns by which rows without a parent are dealt out."""
+    return [c for c in ("dataset_id", "id") if c in rows.columns] or [c for c in rows.columns if c != "parent_version_id"]
+
+
 def next_process_version(pushes: DataFrame, chain: DataFrame) -> DataFrame:
     """Add ``process_version`` and ``process_name`` to ``parent_version_id`` of new pushes.
 
@@ -41,7 +59,7 @@ def next_process_version(pushes: DataFrame, chain: DataFrame) -> DataFrame:
     depth = chain.select(F.col("id").alias("parent_version_id"), F.col("depth").alias("_depth"))
     version = F.coalesce("_depth", F.lit(0)) + 1
     return (
-        pushes.join(depth, "parent_version_id", "left")
+        lookup(pushes, depth, ["parent_version_id"], _spread(pushes))
         .withColumn("process_version", version)
         .withColumn("process_name", F.concat(F.lit("Reupload v"), version.cast("string")))
         .drop("_depth")
@@ -69,7 +87,7 @@ def next_version_numbers(pushes: DataFrame, versions: DataFrame) -> DataFrame:
     )
     by_own = F.coalesce("_own", F.lit(0)) + 1
     return (
-        pushes.join(parents, "parent_version_id", "left")
+        lookup(pushes, parents, ["parent_version_id"], ["dataset_id"])
         .join(own, "dataset_id", "left")
         .withColumn("next_version", F.coalesce(by_parent, by_own))
         .drop("_parent_number", "_own", "_own_published")
@@ -126,14 +144,25 @@ def version_edges(versions: DataFrame) -> DataFrame:
 
 
 def process_records(numbered: DataFrame, operation: str = "TRANSFORMATION") -> DataFrame:
-    """Process edges of versions that came from a parent (rows with ``process_name``)."""
+    """Process edges of versions that came from a parent (rows with ``process_name``).
+
+    ``created_by``, ``execution_time_ms`` and ``parent_name`` are taken over where they are given; the name of the
+    parent stands in ``metadata``.
+    """
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in numbered.columns else F.lit(None).cast(kind)
+
     return numbered.filter(F.col("parent_version_id").isNotNull()).select(
         F.concat_ws("_to_", "parent_version_id", F.col("id").cast("string")).alias("process_id"),
         "process_name",
         F.lit(operation).alias("operation_type"),
         F.col("parent_version_id").alias("input_version_id"),
         F.col("id").alias("output_version_id"),
+        given("created_by", "string").alias("created_by"),
+        given("execution_time_ms", "int").alias("execution_time_ms"),
         F.lit("SUCCESS").alias("status"),
+        F.to_json(F.struct(given("parent_name", "string").alias("parent_qn"))).alias("metadata"),
     )
 
 

@@ -180,10 +180,14 @@ oracle(
     "double_lineitem",
     """
 SELECT CAST(sum(n) - count(*) AS BIGINT) AS duplicates, CAST(sum(n) AS BIGINT) AS rows,
-       least(5, count(*) FILTER (WHERE n > 1)) AS examples
-FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
-             l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, count(*) AS n
-      FROM double_lineitem GROUP BY ALL)""",
+       coalesce(string_agg(l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber
+                           || '/' || l_returnflag, '|' ORDER BY place)
+                FILTER (WHERE n > 1 AND place <= 5), '') AS examples
+FROM (SELECT *, row_number() OVER (ORDER BY n DESC, l_orderkey || ',', l_partkey || ',', l_suppkey || ',',
+                                   l_linenumber || ',') AS place
+      FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+                   l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, count(*) AS n
+            FROM double_lineitem GROUP BY ALL))""",
 )
 
 oracle(
@@ -242,6 +246,25 @@ SELECT *, CASE WHEN error_count = 0 THEN 'passed' ELSE 'failed' END AS status,
 FROM ({_VALIDATE})""",
 )
 
+oracle(
+    "dq_faults",
+    "contacts",
+    f"""
+SELECT *, CASE WHEN error_count = 0 THEN 'passed' ELSE 'failed' END AS status,
+       error_count || '/' || total_count AS ratio
+FROM ({" UNION ALL ".join([
+    _counted("r001", "completeness", "word", _BLANK_WORDS, _ALL_ROWS),
+    _counted("r002", "min", "age", _ALL_ROWS, _ALL_ROWS),
+    _counted("r003", "max", "c_custkey", "0", _ALL_ROWS),
+    _counted("r004", "allowed_values", "age", _ALL_ROWS, _ALL_ROWS),
+    _pattern("r005", "email", "email"),
+    _counted("r006", "regex_numeric", "age", _ALL_ROWS, _ALL_ROWS),
+    _counted("r007", "column_duplicates", "age", _ALL_ROWS, _ALL_ROWS),
+    _counted("r008", "column_duplicates", "day", _repeated("day"), _ALL_ROWS),
+    _counted("r009", "row_duplicates", "", _ALL_ROWS, _ALL_ROWS),
+])})""",
+)
+
 oracle(
     "dq_rule_sets",
     "version_columns",
@@ -474,16 +497,25 @@ _DOCUMENTS = [
 ]
 
 
+def _numbers(column: str, kind: str) -> str:
+    return ", ".join(
+        (f"CAST(round({f}({column}), 4) AS DOUBLE)" if kind == "numeric" else "CAST(-1 AS DOUBLE)") + f" AS {name}"
+        for f, name in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_samp", "std"))
+    )
+
+
 def _signature(table: str, columns: list[tuple[str, str]]) -> str:
     structure = ",".join(sorted(f"{c}:{k}" for c, k in columns))
-    kinds = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS kind" for c, k in columns)
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS dtype, count(*) AS rows_count, {_numbers(c, k)} FROM {table}"
+        for c, k in columns
+    )
     hashes = " UNION ALL ".join(_sample_hash(table, c) for c, _ in columns)
     return f"""
-SELECT '{table}' AS name_base, CAST({len(columns)} AS BIGINT) AS columns_count,
-       (SELECT count(*) FROM {table}) AS rows_count, sha256('{structure}') AS structure_hash,
-       (SELECT string_agg(column_name || ':' || kind || ':' || sample_hash, '|'
-                          ORDER BY column_name)
-        FROM ({kinds}) JOIN ({hashes}) USING (column_name)) AS columns"""
+SELECT '{table}' AS name_base, CAST({len(columns)} AS BIGINT) AS columns_count, rows_count,
+       sha256('{structure}') AS structure_hash, column_name, dtype, min, max, mean, std,
+       CAST(1 AS BIGINT) AS close, sample_hash
+FROM ({rows}) JOIN ({hashes}) USING (column_name)"""
 
 
 oracle(
@@ -491,6 +523,88 @@ oracle(
     "",
     _signature("lineitem", _LINEITEM) + " UNION ALL " + _signature("documents", _DOCUMENTS),
 )
+oracle(
+    "profile_listing",
+    "",
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{k}' AS data_type, count({c}) AS filled FROM documents"
+        for i, (c, k) in enumerate(_DOCUMENTS)
+    ),
+)
+_ORDER_KINDS = ["numeric", "numeric", "string", "numeric", "datetime", "string"]
+oracle(
+    "profile_merged",
+    "",
+    " UNION ALL ".join(
+        f"""
+SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{k}' AS data_type, count(*) AS rows_count,
+       {_numbers(c, k)}, count(DISTINCT {c}) AS distinct_count, CAST(1 AS BIGINT) AS close FROM orders"""
+        for i, (c, k) in enumerate(zip(_ORDERS, _ORDER_KINDS, strict=True))
+    ),
+)
+oracle(
+    "ds_content",
+    "",
+    """
+SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS length,
+       sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS hash
+FROM customer GROUP BY c_nationkey""",
+)
+oracle(
+    "ds_register",
+    "version_columns",
+    """
+SELECT left(sha256('p7|/data/' || o_orderkey || '.csv|' || sha256(CAST(o_orderkey AS VARCHAR))), 32) AS dataset_id,
+       o_orderkey || '.csv' AS name, '/data/' || o_orderkey || '.csv' AS file_path,
+       sha256(CAST(o_orderkey AS VARCHAR)) AS hash, columns_list, 'ann' AS owner_employee_id, 'p7' AS project_id,
+       'orders of a customer' AS description
+FROM orders JOIN (SELECT version_id, string_agg(column_name, '|' ORDER BY position) AS columns_list
+                  FROM version_columns GROUP BY version_id) ON version_id = o_orderkey""",
+)
+oracle(
+    "ds_signature_rows",
+    "signatures",
+    """
+SELECT left(sha256(dataset_id || '|' || structure_hash || '|' || CAST(o_orderdate AS VARCHAR)), 32) AS id,
+       dataset_id, structure_hash, name_base, columns, columns_count, CAST(o_custkey AS BIGINT) AS rows_count,
+       'v1' AS algo_version, o_orderdate AS created_at
+FROM (SELECT dataset_id, min(name_base) AS name_base, count(*) AS columns_count,
+             sha256(string_agg(column_name || ':' || data_type, ',' ORDER BY column_name || ':' || data_type))
+                 AS structure_hash,
+             string_agg(column_name || ':' || data_type || ':' || sample_hash, '|'
+                        ORDER BY column_name || ':' || data_type || ':' || sample_hash) AS columns
+      FROM signatures GROUP BY dataset_id) JOIN orders ON o_orderkey = dataset_id""",
+)
+# The forms of each type, as in the types of CSV columns.
+_FORMS = {
+    "int": ("^[+-]?[0-9]{1,10}$", "INTEGER"),
+    "bigint": ("^[+-]?[0-9]{1,19}$", "BIGINT"),
+    "double": ("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$", "DOUBLE"),
+    "date": ("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "DATE"),
+    "timestamp": ("^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?$", "TIMESTAMP"),
+    "boolean": ("^(true|false)$", "BOOLEAN"),
+}
+
+
+def _misfits(column: str) -> str:
+    text = f"trim(CAST({column} AS VARCHAR))"
+    counts = ", ".join(
+        f"count(*) FILTER (WHERE {column} IS NOT NULL AND NOT (regexp_matches({text}, '{form}')"
+        f" AND TRY_CAST({text} AS {kind}) IS NOT NULL)) AS not_{name}"
+        for name, (form, kind) in _FORMS.items()
+    )
+    return f"SELECT '{column}' AS column_name, count({column}) AS filled, {counts} FROM contacts"
+
+
+oracle(
+    "ds_csv_types",
+    "contacts",
+    "SELECT *, CASE "
+    + " ".join(f"WHEN filled > 0 AND not_{name} = 0 THEN '{name}'" for name in _FORMS)
+    + " ELSE 'string' END AS type FROM ("
+    + " UNION ALL ".join(_misfits(c) for c in ("c_custkey", "email", "phone", "postal_code", "digits", "word", "day", "ip"))
+    + ")",
+)
 
 oracle(
     "profile_latest",
@@ -571,9 +685,9 @@ oracle(
 _SCORED = f"""
 sizes AS (
     SELECT project_id, dataset_id, name_base, count(*) AS n,
-           sha256(name_base || chr(10) || string_agg(
-               column_name || ':' || data_type || ':' || sample_hash, chr(10)
-               ORDER BY column_name)) AS profile_id
+           sha256('{{"name_base":"' || name_base || '","columns":[' || string_agg(
+               '{{"column_name":"' || column_name || '","data_type":"' || data_type
+               || '","sample_hash":"' || sample_hash || '"}}', ',' ORDER BY column_name) || ']}}') AS profile_id
     FROM signatures GROUP BY project_id, dataset_id, name_base
 ),
 names AS (SELECT DISTINCT name_base FROM signatures),
@@ -723,6 +837,55 @@ FROM (
     _MATCH,
     recursive=True,
 )
+# Pairs in their order, taken one by one: a list of ends that are gone grows along the pairs of a version.
+oracle(
+    "col_assign",
+    _MATCH_TABLES,
+    """
+SELECT c.version_id, c.column_name, coalesce(f.logical_id, g.logical_id, left(sha256(c.qualified_name || '.' || c.column_name), 32))
+           AS logical_id,
+       CASE WHEN f.logical_id IS NOT NULL THEN 'existing' ELSE coalesce(g.strategy, 'new') END AS strategy
+FROM child_columns c
+LEFT JOIN firsts f ON f.version_id = c.version_id AND f.column_name = c.column_name
+LEFT JOIN taken g ON g.version_id = c.version_id AND g.column_name = c.column_name""",
+    f"""{_MATCH},
+firsts AS (
+    SELECT version_id, existing_id AS logical_id, arg_min(column_name, position) AS column_name
+    FROM child_columns WHERE existing_id IS NOT NULL GROUP BY version_id, existing_id
+),
+open_columns AS (SELECT * FROM child_columns WHERE existing_id IS NULL AND parent_version_id IS NOT NULL),
+offers AS (
+    SELECT c.version_id, c.column_name, u.logical_id, 1 AS rank, -1.0 AS ratio, c.position, u.position AS place
+    FROM open_columns c JOIN usable u ON u.version_id = c.parent_version_id AND u.column_name = c.column_name
+    UNION ALL
+    SELECT c.version_id, c.column_name, u.logical_id, 2, -1.0, c.position, u.position
+    FROM open_columns c JOIN usable u ON u.version_id = c.parent_version_id AND u.position = c.position
+    UNION ALL
+    SELECT c.version_id, c.column_name, u.logical_id, 3, -2.0 * n / (len(s) + len(t)), c.position, u.position
+    FROM open_columns c JOIN usable u ON u.version_id = c.parent_version_id
+    JOIN lcs ON s = lower(c.column_name) AND t = lower(u.column_name)
+    WHERE n * 200 >= 82 * (len(s) + len(t))
+),
+ordered AS (
+    SELECT version_id, list([column_name, logical_id, CAST(rank AS VARCHAR)]
+                            ORDER BY rank, ratio, position, place, logical_id) AS pairs
+    FROM offers o
+    WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.version_id = o.version_id AND f.logical_id = o.logical_id)
+    GROUP BY version_id
+),
+walked AS (
+    SELECT version_id, list_reduce(list_prepend(CAST([] AS VARCHAR[]), pairs), lambda gone, x:
+        CASE WHEN list_contains(gone, 'c' || x[1]) OR list_contains(gone, 'p' || x[2]) THEN gone
+             ELSE list_concat(gone, ['c' || x[1], 'p' || x[2], 'r' || x[3]]) END) AS gone
+    FROM ordered
+),
+taken AS (
+    SELECT version_id, substr(gone[3 * i + 1], 2) AS column_name, substr(gone[3 * i + 2], 2) AS logical_id,
+           CASE gone[3 * i + 3] WHEN 'r1' THEN 'exact_name' WHEN 'r2' THEN 'position' ELSE 'fuzzy' END AS strategy
+    FROM (SELECT version_id, gone, unnest(range(len(gone) // 3)) AS i FROM walked)
+)""",
+    recursive=True,
+)
 oracle(
     "col_match_counts",
     _MATCH_TABLES,
@@ -783,11 +946,12 @@ linked AS (
 )"""
 oracle(
     "col_lineage",
-    _MATCH_TABLES,
+    f"{_MATCH_TABLES} version_columns",
     """
-SELECT dataset_version_id, column_name, logical_column_id,
-       coalesce(parent_column_id, '') AS parent_column_id
-FROM linked""",
+SELECT left(sha256('{"version_id":"' || dataset_version_id || '","column_name":"' || linked.column_name || '"}'), 32) AS id,
+       dataset_version_id, linked.column_name, logical_column_id, coalesce(parent_column_id, '') AS parent_column_id,
+       type AS data_type
+FROM linked JOIN version_columns v ON v.version_id = dataset_version_id AND v.column_name = linked.column_name""",
     _LINEAGE,
     recursive=True,
 )
@@ -855,6 +1019,8 @@ FROM up LEFT JOIN rooted ON rooted.node = id LEFT JOIN newest ON newest.ancestor
     recursive=True,
 )
 
+ORACLES["version_chain_delta"] = ORACLES["version_chain"]
+
 _NUMBERED = """
 own AS (
     SELECT dataset_id, max(version_number) AS highest,
@@ -886,7 +1052,9 @@ oracle(
 SELECT parent_version_id || '_to_' || id AS process_id,
        'Reupload v' || (coalesce(depth, 0) + 1) AS process_name,
        'TRANSFORMATION' AS operation_type, parent_version_id AS input_version_id,
-       id AS output_version_id, 'SUCCESS' AS status
+       id AS output_version_id, CAST(dataset_id AS VARCHAR) AS created_by,
+       CAST(version_number * 10 AS BIGINT) AS execution_time_ms, 'SUCCESS' AS status,
+       '{"parent_qn":"v' || parent_version_id || '"}' AS metadata
 FROM versions LEFT JOIN rooted ON node = parent_version_id
 WHERE parent_version_id IS NOT NULL""",
     _CHAIN,
@@ -982,10 +1150,17 @@ oracle(
     "desc_upsert_text",
     "",
     """
-SELECT conv_id AS version_id, role AS column_name, arg_max(trim(text), turn) AS description,
-       CAST(min(turn) AS VARCHAR) AS created_by,
-       CASE WHEN count(*) > 1 THEN CAST(max(turn) AS VARCHAR) ELSE '' END AS updated_by
-FROM conversations WHERE trim(text) <> '' GROUP BY conv_id, role""",
+SELECT coalesce(s.conv_id, e.conv_id) AS version_id, coalesce(s.role, e.role) AS column_name,
+       coalesce(last_text, first_text) AS description,
+       CASE WHEN s.conv_id IS NOT NULL THEN '0' ELSE CAST(first_turn AS VARCHAR) END AS created_by,
+       CASE WHEN n > 1 OR (n = 1 AND s.conv_id IS NOT NULL) THEN CAST(last_turn AS VARCHAR) ELSE '' END
+           AS updated_by
+FROM (SELECT conv_id, role, arg_min(text, turn) AS first_text FROM conversations
+      WHERE conv_id % 2 = 0 GROUP BY conv_id, role) s
+FULL JOIN (SELECT conv_id, role, count(*) AS n, arg_max(trim(text), turn) AS last_text,
+                  min(turn) AS first_turn, max(turn) AS last_turn
+           FROM conversations WHERE trim(text) <> '' GROUP BY conv_id, role) e
+  ON s.conv_id = e.conv_id AND s.role = e.role""",
 )
 oracle(
     "desc_latest",
@@ -1120,6 +1295,16 @@ FROM customer
 LEFT JOIN valid ON entity_id = c_custkey AND entity_type = 'DATASET' AND place = 1""",
     _VALID,
 )
+oracle(
+    "class_allowed_strict",
+    "class_log",
+    """
+SELECT c_custkey AS dataset_id, coalesce(classification, '') AS security_class,
+       CASE WHEN classification IS NULL THEN '' ELSE 'PII|SENSITIVE' END AS allowed
+FROM customer
+LEFT JOIN valid ON entity_id = c_custkey AND entity_type = 'DATASET' AND place = 1""",
+    _VALID,
+)
 oracle(
     "class_consistency",
     "class_log",
@@ -1345,7 +1530,10 @@ GROUP BY hash HAVING count(*) > 1""",
 oracle(
     "ds_csv_import",
     "",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+       strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, 'int|int|string|double|timestamp|string' AS kinds
+FROM orders""",
 )
 oracle(
     "access_overview",
@@ -1447,7 +1635,7 @@ oracle(
     """
 SELECT * EXCLUDE (o_custkey, o_orderdate),
        CAST(data_quality_checks > 0 AS BIGINT) AS quality_summary_added,
-       CAST(0 AS BIGINT) AS dataset_existed
+       CAST(dataset_id % 2 = 0 AS BIGINT) AS dataset_existed
 FROM report""",
     _PUSH,
     recursive=True,
@@ -1468,3 +1656,123 @@ FROM documents""",
     _PUSH,
     recursive=True,
 )
+
+oracle(
+    "dq_dead_letters",
+    "checks",
+    """
+SELECT 'checks' AS kind, 'run' || version_id AS document, n AS rows FROM runs WHERE version_id % 5 > 2
+UNION ALL
+SELECT 'no run', '{"dataset_version_id":"' || version_id || '"}', 1 FROM runs WHERE version_id % 5 = 2
+UNION ALL
+SELECT kind, '{"dag_run_id": "run' || version_id || '", "checks": [', 1
+FROM runs, (VALUES ('unreadable'), ('listed')) AS kinds(kind) WHERE version_id % 5 = 0""",
+    "runs AS (SELECT version_id, count(*) AS n FROM checks GROUP BY version_id)",
+)
+
+# All customers go on from the published end of their chains, or from their newest published version.
+_LINKED = f"""{_CHAIN},
+own_published AS (
+    SELECT dataset_id, arg_max(id, version_number) AS own, max(version_number) AS published
+    FROM versions WHERE external_id IS NOT NULL GROUP BY dataset_id
+),
+highest AS (SELECT dataset_id, max(version_number) AS highest FROM versions GROUP BY dataset_id),
+parents AS (
+    SELECT o.dataset_id, published,
+           CASE WHEN r.depth IS NOT NULL AND e.external_id IS NOT NULL THEN e.id ELSE own END AS parent_id
+    FROM own_published o LEFT JOIN rooted r ON r.node = own LEFT JOIN newest n ON n.ancestor = own
+    LEFT JOIN versions e ON e.id = n.latest_id
+),
+placed AS (
+    SELECT c.*, p.parent_id, v.external_id AS parent_node, v.version_number AS parent_number,
+           CASE WHEN p.parent_id IS NOT NULL THEN greatest(v.version_number + 1, p.published + 1)
+                ELSE coalesce(h.highest, 0) + 1 END AS next_version
+    FROM customer c LEFT JOIN parents p ON p.dataset_id = c_custkey LEFT JOIN versions v ON v.id = p.parent_id
+    LEFT JOIN highest h ON h.dataset_id = c_custkey
+),
+pushed AS (
+    SELECT p.*, d.id AS draft_id, d.parent_version_id AS draft_parent, f.first_draft,
+           c_nationkey || '_' || md5(c_name) || '_v' || next_version AS qualified_name,
+           left(sha256(c_nationkey || '_' || md5(c_name) || '_v' || next_version), 32) AS node_id,
+           coalesce(CAST(d.id AS VARCHAR),
+                    left(sha256(c_nationkey || '_' || md5(c_name) || '_v' || next_version), 32)) AS push_id,
+           c_nationkey || '_' || md5(c_name) || '_v' || parent_number AS parent_name
+    FROM placed p
+    LEFT JOIN versions d ON d.dataset_id = c_custkey AND d.external_id IS NULL AND d.version_number = next_version
+    LEFT JOIN (SELECT dataset_id, arg_min(id, version_number) AS first_draft FROM versions
+               WHERE external_id IS NULL GROUP BY dataset_id) f ON f.dataset_id = c_custkey
+)"""
+oracle(
+    "push_versions",
+    "versions",
+    """
+SELECT CAST(v.id AS VARCHAR) AS id, v.dataset_id, CAST(v.version_number AS BIGINT) AS version_number,
+       coalesce(v.external_id, '') AS external_id, coalesce(CAST(v.parent_version_id AS VARCHAR), '') AS parent_version_id,
+       'Version temporaire (en attente de push)' AS change_comment
+FROM versions v WHERE v.id NOT IN (SELECT draft_id FROM pushed WHERE draft_id IS NOT NULL)
+UNION ALL
+SELECT push_id, c_custkey, CAST(next_version AS BIGINT), node_id,
+       coalesce(CAST(CASE WHEN draft_id IS NULL THEN parent_id ELSE draft_parent END AS VARCHAR), ''),
+       'Push depuis /data/' || c_name || '.csv'
+FROM pushed""",
+    _LINKED,
+    recursive=True,
+)
+oracle(
+    "push_nodes",
+    "versions version_columns users",
+    """
+SELECT node_id, qualified_name, c_name || '.csv' AS name,
+       CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'Dataset importé depuis /data/' || c_name || '.csv' END
+           AS description,
+       CASE WHEN parent_id IS NULL THEN 'Version initiale' ELSE 'Version dérivée de ' || parent_name END
+           AS version_comment,
+       coalesce(columns_count, 0) AS columns_count, coalesce(columns_list, '') AS columns_list,
+       CAST(c_custkey AS VARCHAR) AS owner, CAST(c_nationkey AS VARCHAR) AS project,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'PUBLIC' ELSE 'RESTRICTED' END AS classification,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'ENTERPRISE' ELSE 'DEPARTMENT' END AS scope,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE department END AS department,
+       CAST(c_custkey AS VARCHAR) AS last_modified_by
+FROM pushed JOIN users ON employee_id = c_custkey
+LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS newest_order FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+LEFT JOIN (SELECT version_id, count(*) AS columns_count, string_agg(column_name, '|' ORDER BY position) AS columns_list
+           FROM version_columns GROUP BY version_id) ON version_id = newest_order""",
+    _LINKED,
+    recursive=True,
+)
+oracle(
+    "push_results",
+    "versions checks",
+    """
+SELECT md5(CAST(version_id AS VARCHAR)) AS dag_run_uuid, push_id AS dataset_version_id, rule_type AS check_type,
+       coalesce(column_name, '') AS column_name, {mapped} AS status, error_count,
+       round(CASE WHEN ratio IN ('junk', '', '1/2/3') OR ratio IS NULL THEN 0.0
+            WHEN ratio = '0.5' THEN 0.5 WHEN split_part(ratio, '/', 2) = '0' THEN 0.0
+            ELSE CAST(split_part(ratio, '/', 1) AS DOUBLE) / CAST(split_part(ratio, '/', 2) AS DOUBLE) END, 6) AS ratio,
+       CAST({mapped} = 'failed' AS BIGINT) AS alert, '["' || example || '"]' AS examples
+FROM checks JOIN (SELECT o_custkey, max(o_orderkey) AS newest_order FROM orders GROUP BY o_custkey) ON newest_order = version_id
+JOIN pushed ON c_custkey = o_custkey WHERE version_id % 3 <> 0""".format(mapped=_mapped("status")),
+    _LINKED,
+    recursive=True,
+)
+oracle(
+    "push_descriptions",
+    "versions descriptions",
+    """
+SELECT push_id AS version_id, column_name, d.description, created_by, TIMESTAMP '2024-01-01' AS created_at,
+       CAST(c_custkey AS VARCHAR) AS updated_by, TIMESTAMP '2024-02-01' AS updated_at
+FROM pushed JOIN descriptions d ON d.version_id = first_draft WHERE draft_id IS NULL""",
+    _LINKED,
+    recursive=True,
+)
+oracle(
+    "push_processes",
+    "versions",
+    """
+SELECT parent_id || '_to_' || push_id AS process_id, 'Reupload v' || (coalesce(depth, 0) + 1) AS process_name,
+       CAST(parent_id AS VARCHAR) AS input_version_id, push_id AS output_version_id,
+       CAST(c_custkey AS VARCHAR) AS created_by, 'SUCCESS' AS status, parent_name
+FROM pushed LEFT JOIN rooted ON node = parent_id WHERE parent_id IS NOT NULL""",
+    _LINKED,
+    recursive=True,
+)

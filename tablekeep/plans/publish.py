@@ -7,13 +7,16 @@ or a million.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablekeep.functions.joins import lookup
 from tablekeep.functions.lineage import cut_lineage
+from tablekeep.functions.vocab import DATASET
+from tablekeep.operators import classifications, graph, profile, results, similarity, versions
 from tablekeep.operators import columns as col
-from tablekeep.operators import graph, results, similarity, versions
-from tablekeep.sources.files import push_history_rows
+from tablekeep.sources import commits
+from tablekeep.sources.files import push_history_rows, signature_rows
 
 
 @dataclass
@@ -24,8 +27,13 @@ class Catalogue:
     ``signatures``: long column signatures of all datasets, pending ones included;
     ``columns``: ``version_id, column_name, position, logical_id, external_id``;
     ``lineage``: ``id, dataset_version_id, logical_column_id, column_name``;
-    ``descriptions``: ``version_id, column_name, description``;
-    ``nodes``: the ``qualified_name`` of the dataset nodes that exist.
+    ``descriptions``: ``version_id, column_name, description``, and who created them when
+    (``created_by, created_at``), where that is known;
+    ``nodes``: the ``qualified_name`` of the dataset nodes that exist, and their ``node_id``;
+    ``runs``: ``id, dag_run_id`` of the known runs; results of other runs are not stored;
+    ``users``: ``employee_id, department``, for the scope of security classes;
+    ``chains``: the stored :func:`versions.chain_state` of ``versions``. Without it all chains
+    are followed once; with it only those that the push touches.
     """
 
     versions: DataFrame
@@ -34,6 +42,9 @@ class Catalogue:
     lineage: DataFrame
     descriptions: DataFrame
     nodes: DataFrame
+    runs: DataFrame | None = None
+    users: DataFrame | None = None
+    chains: DataFrame | None = None
 
 
 @dataclass
@@ -41,11 +52,19 @@ class Published:
     """Rows to append, and the report of the push.
 
     ``drafts`` are no new rows: the drafts in ``versions`` that the push published, with
-    their external id and comment, for :func:`versions.publish_versions`.
+    their external id and comment, for :func:`versions.publish_versions`. ``chains`` supersedes
+    rows of the stored chain state by id, ``registry`` what is known of a dataset.
     """
 
     versions: DataFrame
     drafts: DataFrame
+    chains: DataFrame
+    registry: DataFrame
+    signatures: DataFrame
+    dataset_nodes: DataFrame
+    classes: DataFrame
+    descriptions: DataFrame
+    results: DataFrame
     column_nodes: DataFrame
     check_nodes: DataFrame
     lineage: DataFrame
@@ -94,7 +113,9 @@ def new_versions(pending: DataFrame, catalogue: Catalogue) -> DataFrame:
     The id of a reused draft is kept; a fresh id and the external id are derived from
     the qualified name, so a push that is run again gives the same rows.
     """
-    chains = cut_lineage(versions.chain_positions(catalogue.versions))
+    chains = catalogue.chains
+    if chains is None:
+        chains = cut_lineage(versions.chain_state(catalogue.versions))
     placed = cut_lineage(find_push_parents(pending, catalogue, chains))
     numbered = versions.next_version_numbers(placed, catalogue.versions)
     numbered = versions.plan_drafts(numbered, catalogue.versions)
@@ -106,27 +127,91 @@ def new_versions(pending: DataFrame, catalogue: Catalogue) -> DataFrame:
         F.col("version_number").alias("parent_version_number"),
     )
     known = catalogue.nodes.select("qualified_name", F.lit(True).alias("_known")).distinct()
+    if "node_id" in catalogue.nodes.columns:
+        names = catalogue.nodes.groupBy(F.col("node_id").alias("parent_external_id")).agg(
+            F.min("qualified_name").alias("_parent_name")
+        )
+        parent = parent.join(names, "parent_external_id", "left")
+    else:
+        parent = parent.withColumn("_parent_name", F.lit(None).cast("string"))
+    parent = parent.withColumn("parent_name", F.coalesce("_parent_name", "parent_external_id")).drop("_parent_name")
     return (
-        numbered.withColumn("qualified_name", name)
-        .withColumn("external_id", F.substring(F.sha2("qualified_name", 256), 1, 32))
-        .withColumn("version_id", F.coalesce(F.col("draft_id").cast("string"), "external_id"))
-        .join(parent, "parent_version_id", "left")
+        lookup(
+            numbered.withColumn("qualified_name", name)
+            .withColumn("external_id", F.substring(F.sha2("qualified_name", 256), 1, 32))
+            .withColumn("version_id", F.coalesce(F.col("draft_id").cast("string"), "external_id")),
+            parent,
+            ["parent_version_id"],
+            ["dataset_id"],
+        )
         .join(known, "qualified_name", "left")
         .withColumn("dataset_existed", F.coalesce("_known", F.lit(False)))
         .drop("_known")
     )
 
 
+def _completed(pending: DataFrame) -> DataFrame:
+    """``pending`` with the columns it may leave out: the file is named by its hash, the pusher owns it."""
+    defaults = [
+        ("file_path", lambda: F.col("hash").cast("string")),
+        ("name", lambda: F.element_at(F.split("file_path", "/"), -1)),
+        ("owner_employee_id", lambda: F.col("pushed_by")),
+        ("description", lambda: F.lit(None).cast("string")),
+        ("is_public", lambda: F.lit(False)),
+        ("execution_time_ms", lambda: F.lit(None).cast("int")),
+    ]
+    for name, value in defaults:
+        if name not in pending.columns:
+            pending = pending.withColumn(name, value())
+    return pending
+
+
+def _moved_descriptions(pushed: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Texts of replaced drafts as rows of the new versions: creators stay, the pusher is the last to touch them."""
+    kinds = {"created_by": "string", "created_at": "timestamp"}
+    known = [c if c in descriptions.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+    texts = descriptions.select(F.col("version_id").alias("transfer_from"), "column_name", "description", *known)
+    return (
+        pushed.filter(F.col("transfer_from").isNotNull())
+        .select("version_id", "transfer_from", "pushed_by", "pushed_at")
+        .join(texts, "transfer_from")
+        .select(
+            "version_id",
+            "column_name",
+            "description",
+            *kinds,
+            F.col("pushed_by").alias("updated_by"),
+            F.col("pushed_at").alias("updated_at"),
+        )
+    )
+
+
+def _security_classes(pushed: DataFrame, users: DataFrame | None) -> DataFrame:
+    """The class of every dataset node with its attributes: PUBLIC if asked for, else RESTRICTED."""
+    requests = pushed.select(
+        F.lit(DATASET).alias("entity_type"),
+        F.col("external_id").alias("entity_id"),
+        F.when(F.col("is_public"), F.lit("PUBLIC")).otherwise(F.lit("RESTRICTED")).alias("classification"),
+        F.col("pushed_by").alias("applied_by"),
+        F.col("pushed_at").alias("applied_at"),
+        F.lit(None).cast("map<string,string>").alias("attributes"),
+    )
+    if users is None:
+        users = requests.select(F.col("applied_by").alias("employee_id"), F.lit(None).cast("string").alias("department")).limit(0)
+    return classifications.with_default_attributes(requests, users)
+
+
 def publish(
     pending: DataFrame, columns: DataFrame, checks: DataFrame, catalogue: Catalogue
 ) -> Published:
     """Publish all pending datasets.
 
-    ``pending``: ``dataset_id, project_id, hash, rows_count, pushed_by, pushed_at``;
+    ``pending``: ``dataset_id, project_id, hash, rows_count, pushed_by, pushed_at``, and if
+    known ``file_path, name, owner_employee_id, description, is_public, execution_time_ms``;
     ``columns``: ``dataset_id, column_name, position, type``; ``checks``:
     ``dataset_id, dag_run_id`` and a standard check of the dataset's own runs.
     """
-    pushed = cut_lineage(new_versions(pending, catalogue))
+    pushed = cut_lineage(new_versions(_completed(pending), catalogue))
     children = columns.join(
         pushed.select(
             "dataset_id",
@@ -146,8 +231,9 @@ def publish(
     texts = source.join(
         catalogue.descriptions.withColumnRenamed("version_id", "source_version"), "source_version"
     ).drop("source_version")
-    nodes = graph.column_nodes(
-        matched.withColumn("existing_description", F.lit(None).cast("string")), texts
+    # Read by the edges, the checks and the caller: written once.
+    nodes = cut_lineage(
+        graph.column_nodes(matched.withColumn("existing_description", F.lit(None).cast("string")), texts)
     )
 
     lineage = col.lineage_rows(matched, catalogue.lineage)
@@ -206,6 +292,7 @@ def publish(
             F.col("summary_text").isNotNull().alias("quality_summary_added"),
             "pushed_by",
             "pushed_at",
+            "execution_time_ms",
         )
     )
     version_rows = pushed.filter(F.col("draft_id").isNull()).select(
@@ -213,24 +300,119 @@ def publish(
         "dataset_id",
         F.col("next_version").alias("version_number"),
         "external_id",
-        "parent_version_id",
+        F.col("parent_version_id").cast("string").alias("parent_version_id"),
+        F.concat(F.lit(versions.PUSH_COMMENT), F.col("file_path")).alias("change_comment"),
     )
-    origin = F.col("file_path" if "file_path" in pushed.columns else "hash")
-    drafts = pushed.filter(F.col("draft_id").isNotNull()).select(
+    # A reused draft keeps its place in the chain.
+    place = catalogue.versions.select(F.col("id").alias("draft_id"), F.col("parent_version_id").alias("_own_parent"))
+    drafts = pushed.filter(F.col("draft_id").isNotNull()).join(place, "draft_id").select(
         F.col("version_id").alias("id"),
+        "dataset_id",
+        F.col("next_version").alias("version_number"),
         "external_id",
-        F.concat(F.lit(versions.PUSH_COMMENT), origin).alias("change_comment"),
+        F.col("_own_parent").cast("string").alias("parent_version_id"),
+        F.concat(F.lit(versions.PUSH_COMMENT), F.col("file_path")).alias("change_comment"),
     )
+    # A version that goes on from itself under another id is no process.
+    derived = pushed.filter(F.col("parent_external_id").isNull() | (F.col("parent_external_id") != F.col("external_id")))
     processes = versions.process_records(
-        pushed.withColumn("id", F.col("version_id")).withColumn(
-            "parent_version_id", F.col("parent_version_id").cast("string")
-        )
+        derived.withColumn("id", F.col("version_id"))
+        .withColumn("created_by", F.col("pushed_by"))
+        .withColumn("parent_version_id", F.col("parent_version_id").cast("string"))
     )
-    history = push_history_rows(
-        report.withColumn("error_message", F.lit(None).cast("string")).withColumn(
-            "execution_time_ms", F.lit(None).cast("int")
-        )
+    history = push_history_rows(report.withColumn("error_message", F.lit(None).cast("string")))
+
+    listed = F.array_sort(F.collect_list(F.struct("position", "column_name")))
+    names = columns.groupBy("dataset_id").agg(F.transform(listed, lambda c: c["column_name"]).alias("columns_list"))
+    owned = pushed.select("dataset_id", "name", "hash", "file_path", "project_id", "owner_employee_id", "description")
+    numbered = pushed.select("dataset_id", "external_id", F.col("next_version").alias("version_number"), "parent_name")
+    dataset_nodes = graph.dataset_nodes(
+        numbered,
+        owned.join(names, "dataset_id", "left").withColumn("columns_list", F.coalesce("columns_list", F.array().cast("array<string>"))),
+    )
+    registry = pushed.select(
+        "dataset_id",
+        "external_id",
+        F.col("pushed_by").alias("last_modified_by"),
+        F.col("pushed_at").alias("last_modified_at"),
     )
+    stamped = pushed.select("dataset_id", "rows_count", "pushed_at")
+    signatures = profile.stored_signatures(catalogue.signatures.join(stamped.select("dataset_id"), "dataset_id", "left_semi"))
+    signatures = signature_rows(signatures.join(stamped, "dataset_id"), "dataset_id", F.col("pushed_at"))
+    if catalogue.runs is None:
+        stored = own_checks.limit(0).withColumn("dataset_version_id", F.lit(None).cast("string"))
+        runs = own_checks.select(F.col("dag_run_id").alias("id"), "dag_run_id").limit(0)
+    else:
+        stored = checks.join(pushed.select("dataset_id", F.col("version_id").alias("dataset_version_id")), "dataset_id")
+        runs = catalogue.runs
+    moved_chains = _moved_chains(version_rows, catalogue)
     return Published(
-        version_rows, drafts, nodes, check_nodes, lineage, processes, edges, summary, report, history
+        versions=version_rows,
+        drafts=drafts,
+        chains=moved_chains,
+        registry=registry,
+        signatures=signatures,
+        dataset_nodes=dataset_nodes,
+        classes=_security_classes(pushed, catalogue.users),
+        descriptions=_moved_descriptions(pushed, catalogue.descriptions),
+        results=results.stored_results(stored, runs),
+        column_nodes=nodes,
+        check_nodes=check_nodes,
+        lineage=lineage,
+        processes=processes,
+        edges=edges,
+        summary=summary,
+        report=report,
+        history=history,
     )
+
+
+def _moved_chains(version_rows: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """Rows of the chain state that new versions add or change; a published draft was in its chain before."""
+    state = versions.chain_state(catalogue.versions) if catalogue.chains is None else catalogue.chains
+    return versions.extend_chain_state(state, version_rows)
+
+
+# --- storing a push ----------------------------------------------------------------------------
+
+#: Tables of a push in which a later row of the same key supersedes an earlier one.
+KEYS = {
+    "versions": ["id"],
+    "chains": ["id"],
+    "registry": ["dataset_id"],
+    "signatures": ["id"],
+    "dataset_nodes": ["node_id"],
+    "classes": ["entity_id"],
+    "descriptions": ["version_id", "column_name"],
+    "results": [],
+    "column_nodes": ["node_id"],
+    "check_nodes": ["node_id"],
+    "lineage": ["id"],
+    "processes": ["process_id"],
+    "edges": ["edge_type", "source", "target"],
+    "history": [],
+}
+
+
+def stored_tables(published: Published) -> dict[str, DataFrame]:
+    """The tables a push stores, by name; published drafts supersede their rows among the versions."""
+    return {
+        "versions": published.versions.unionByName(published.drafts),
+        **{name: getattr(published, name) for name in KEYS if name != "versions"},
+    }
+
+
+def store_push(
+    spark: SparkSession, root: str, batch: str, published: Published, only: list[str] | None = None
+) -> bool:
+    """Commit all tables of a push, or those named, as one batch; False if the batch is stored already.
+
+    Rows depend on the push alone, so an attempt that was killed is run again under the same name.
+    """
+    tables = stored_tables(published)
+    return commits.commit(spark, root, batch, {n: t for n, t in tables.items() if only is None or n in only})
+
+
+def stored_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """What all committed pushes made of a table."""
+    return commits.read(spark, root, name, KEYS[name])

@@ -23,9 +23,9 @@ from tablekeep.operators import results as res
 from tablekeep.operators import rules as rul
 from tablekeep.operators import similarity as sim
 from tablekeep.operators import versions as ver
-from tablekeep.plans.publish import Catalogue, publish
+from tablekeep.plans.publish import Catalogue, Published, publish, store_push, stored_table
 from tablekeep.plans.star_catalogue import catalogue
-from tablekeep.sources import files
+from tablekeep.sources import commits, files
 from tablekeep.streaming import pickup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +102,7 @@ BROKEN_RULES = {
 }
 
 
-def _results(frame: DataFrame) -> DataFrame:
+def _results(frame: DataFrame, *more: str) -> DataFrame:
     return frame.select(
         "rule_id",
         "check_name",
@@ -111,6 +111,7 @@ def _results(frame: DataFrame) -> DataFrame:
         "error_count",
         "total_count",
         "ratio",
+        *more,
     )
 
 
@@ -161,17 +162,18 @@ def dq_column_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dq_row_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-7: surplus copies of whole rows."""
+    """R-7, R-8: surplus copies of whole rows, with the rows of the most copies as examples."""
     found = chk.duplicate_rows(catalogue(spark, sf_dir, "double_lineitem"))
-    return found.select("duplicates", "rows", F.size("examples").cast("bigint").alias("examples"))
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    shown = F.transform("examples", lambda e: F.concat_ws("/", *[F.get_json_object(e, f"$.{c}") for c in columns]))
+    return found.select("duplicates", "rows", F.array_join(shown, "|").alias("examples"))
 
 
 @query
 def dq_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-11, R-12: rules that cannot run on a table."""
     orders = catalogue(spark, sf_dir, "dirty_orders")
-    found = chk.validate(orders, BROKEN_RULES)
-    return _results(found).join(found.select("rule_id", "message"), "rule_id")
+    return _results(chk.validate(orders, BROKEN_RULES), "message")
 
 
 @query
@@ -186,6 +188,25 @@ def dq_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(chk.validate(contacts, rules))
 
 
+@query
+def dq_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-13: rules that raise over the data fail alone; all others keep their results."""
+    contacts = catalogue(spark, sf_dir, "contacts")
+    fault = F.raise_error(F.lit("no age")).cast("bigint")
+    contacts = contacts.withColumn("age", F.when(F.col("c_custkey") % 9 == 0, fault).otherwise(F.col("c_custkey")))
+    rules = {
+        "deequ": [
+            {"type": "completeness", "column": "word"},
+            {"type": "min", "column": "age", "threshold": 10},
+            {"type": "max", "column": "c_custkey", "threshold": 1e12},
+            {"type": "allowed_values", "column": "age", "values": ["1"]},
+        ],
+        "regex": {"email": ["email"], "numeric": ["age"]},
+        "duplicates": {"sensitive": ["age", "day"], "full_row": True},
+    }
+    return _results(chk.validate(contacts, rules))
+
+
 @query
 def dq_rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-10 to R-12 for many stored rule sets, each bound to its own columns."""
@@ -330,6 +351,32 @@ def dq_stream_pickup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(pickup.picked_up_checks(spark, target))
 
 
+@query
+def dq_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-9, S-11: of broken, empty and good documents in one folder the good are picked up, the broken kept apart."""
+    folder, target = scratch_path(spark, "pending"), scratch_path(spark, "results")
+    key = F.col("version_id")
+    documents = _documents(spark, sf_dir).withColumn("version_id", F.col("dataset_version_id").cast("bigint"))
+    text = F.to_json(F.struct("dag_run_id", "dataset_version_id", "execution_date", "checks"))
+    broken = F.concat(F.lit('{"dag_run_id": "run'), key.cast("string"), F.lit('", "checks": ['))
+    nameless = F.concat(F.lit('{"dataset_version_id":"'), key.cast("string"), F.lit('"}'))
+    line = F.when(key % 5 == 0, broken).when(key % 5 == 1, F.lit("")).when(key % 5 == 2, nameless).otherwise(text)
+    documents.select(line.alias("value")).write.text(folder)
+    for _ in range(2):
+        pickup.pick_up_results(spark, folder, target, f"{target}-state")
+    letters = pickup.unread_documents(spark, target).select(
+        F.col("reason").alias("kind"), "document", F.lit(1).cast("bigint").alias("rows")
+    )
+    checks = pickup.picked_up_checks(spark, target).groupBy(F.col("dag_run_id").alias("document"))
+    read = files.unreadable_documents(spark, folder).select(F.lit("listed").alias("kind"), "document", F.lit(1).cast("bigint").alias("rows"))
+    return (
+        checks.agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit("checks").alias("kind"), "document", "rows")
+        .unionByName(letters)
+        .unionByName(read)
+    )
+
+
 # --- datasets and profiles ---------------------------------------------------------------------
 
 
@@ -359,13 +406,80 @@ def ds_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.identical_uploads(uploads[0].unionByName(uploads[1]))
 
 
+@query
+def ds_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4: fingerprints of files whose content is known: the customers of every nation, one file each."""
+    folder = scratch_path(spark, "contents")
+    lines = catalogue(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_custkey")
+    ordered = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(folder)
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("bigint").alias("nation")
+    return files.content_hashes(spark, folder).select(nation, "length", "hash")
+
+
+@query
+def ds_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-5: registry rows of uploaded files with the columns of their stored tables; an upload sent twice is one row."""
+    key = F.col("o_orderkey").cast("string")
+    path = F.concat(F.lit("/data/"), key, F.lit(".csv"))
+    uploads = catalogue(spark, sf_dir, "orders").select(path.alias("path"), F.sha2(key, 256).alias("hash"))
+    columns = catalogue(spark, sf_dir, "version_columns").withColumnRenamed("version_id", "o_orderkey")
+    listed = columns.select(path.alias("path"), "column_name", "position")
+    root = scratch_path(spark, "registry")
+    for batch in ("first", "again", "first"):
+        rows = files.dataset_rows(uploads, listed, "p7", "ann", "orders of a customer")
+        commits.commit(spark, root, batch, {"registry": rows})
+    stored = commits.read(spark, root, "registry", ["dataset_id"])
+    return stored.withColumn("columns_list", F.array_join("columns_list", "|"))
+
+
+@query
+def ds_signature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-12: signatures in their stored form, and read again from it."""
+    signatures = pro.stored_signatures(catalogue(spark, sf_dir, "signatures"))
+    stamped = catalogue(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("dataset_id"), "o_orderdate", F.col("o_custkey").cast("bigint").alias("rows_count")
+    )
+    rows = files.signature_rows(signatures.join(stamped, "dataset_id"), "dataset_id", F.col("o_orderdate"))
+    path = scratch_path(spark, "signatures")
+    files.append_table(rows, path)
+    stored = files.read_table(spark, path)
+    entries = F.map_entries(F.from_json(F.get_json_object("signature", "$.columns"), "map<string,struct<dtype:string,sample_hash:string>>"))
+    shown = F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["dtype"], e["value"]["sample_hash"]))
+    return stored.select(
+        "id",
+        "dataset_id",
+        "structure_hash",
+        F.get_json_object("signature", "$.name_base").alias("name_base"),
+        F.array_join(F.array_sort(shown), "|").alias("columns"),
+        _long("columns_count"),
+        "rows_count",
+        "algo_version",
+        "created_at",
+    )
+
+
 @query
 def ds_csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-1, S-2, S-3: a whole table written as CSV with a header, imported and read back."""
+    """S-1, S-2, S-3: a whole table written as CSV with a header, its types found, imported and read back."""
     source, target = scratch_path(spark, "upload"), scratch_path(spark, "imported")
-    orders = catalogue(spark, sf_dir, "orders").drop("o_orderdate")
-    orders.write.option("header", True).csv(source)
-    return files.import_csv(spark, source, target, orders.schema)
+    catalogue(spark, sf_dir, "orders").write.option("header", True).csv(source)
+    orders = files.import_csv(spark, source, target)
+    kinds = "|".join(f.dataType.simpleString() for f in orders.schema.fields)
+    return orders.select(
+        _long("o_orderkey"), _long("o_custkey"), "o_orderstatus", "o_totalprice", "o_orderpriority",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.lit(kinds).alias("kinds"),
+    )
+
+
+@query
+def ds_csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-1: narrowest type of every column of a table of texts, and how many values do not fit the others."""
+    contacts = catalogue(spark, sf_dir, "contacts")
+    texts = contacts.select(*[F.col(c).cast("string").alias(c) for c in contacts.columns])
+    return files.column_types(texts).select(
+        "column_name", "type", "filled", *[F.col("misfits")[kind].alias(f"not_{kind}") for kind in files.LATTICE]
+    )
 
 
 @query
@@ -391,16 +505,46 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _close(estimate: str) -> Column:
+    """Whether an estimate of distinct values is within a tenth of the exact number."""
+    return _long(F.abs(F.col(estimate) - F.col("distinct_count")) <= F.col("distinct_count") * 0.1, "close")
+
+
+@query
+def profile_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-7: columns of a table with their classes, and how many of their values are there."""
+    documents = catalogue(spark, sf_dir, "documents")
+    listing = pro.column_listing(documents).select(_long("position"), "column_name", "data_type")
+    filled = documents.agg(*[F.count(c).alias(c) for c in documents.columns])
+    return listing.join(filled.unpivot([], documents.columns, "column_name", "filled"), "column_name")
+
+
 @query
 def profile_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-3: exact distinct counts, and whether the estimate is within 10 %."""
+    """P-3: exact distinct counts, and whether the operator's own estimate is within 10 %."""
     orders = catalogue(spark, sf_dir, "orders")
     exact = pro.column_stats(orders, exact_distinct=True).select("column_name", "distinct_count")
-    estimate = orders.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in orders.columns])
-    long = estimate.unpivot([], orders.columns, "column_name", "estimate")
-    close = F.abs(F.col("estimate") - F.col("distinct_count")) <= F.col("distinct_count") * 0.1
-    return exact.join(long, "column_name").select(
-        "column_name", "distinct_count", _long(close, "close")
+    own = pro.column_stats(orders).select("column_name", F.col("distinct_count").alias("estimate"))
+    return exact.join(own, "column_name").select("column_name", "distinct_count", _close("estimate"))
+
+
+@query
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-2 to P-4: the profile of a table from stored profiles of its parts, without its rows."""
+    orders = catalogue(spark, sf_dir, "orders")
+    path = scratch_path(spark, "sketches")
+    files.append_table(pro.column_sketches(orders, ["o_orderstatus"]), path)
+    merged = pro.merge_sketches(files.read_table(spark, path))
+    exact = pro.column_stats(orders, exact_distinct=True).select("column_name", "distinct_count")
+    joined = merged.withColumnRenamed("distinct_count", "estimate").join(exact, "column_name")
+    return joined.select(
+        _long("position"),
+        "column_name",
+        "data_type",
+        "rows_count",
+        *[_double(c, digits=4) for c in ("min", "max", "mean", "std")],
+        "distinct_count",
+        _close("estimate"),
     )
 
 
@@ -415,19 +559,22 @@ def profile_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-7 to P-9: whole signatures of two tables."""
     out = None
     for name in ("lineitem", "documents"):
-        columns = pro.column_signatures(catalogue(spark, sf_dir, name))
-        one = pro.dataset_signature(columns, f"{name.title()}.v1.csv")
-        out = one if out is None else out.unionByName(one)
-    entries = F.transform(
-        F.map_entries("columns"),
-        lambda e: F.concat_ws(":", e["key"], e["value"]["dtype"], e["value"]["sample_hash"]),
-    )
+        table = catalogue(spark, sf_dir, name)
+        one = pro.dataset_signature(pro.column_signatures(table), f"{name.title()}.v1.csv")
+        exact = pro.column_stats(table, exact_distinct=True).select("column_name", "distinct_count")
+        fields = one.select("name_base", "columns_count", "rows_count", "structure_hash", F.explode("columns").alias("column_name", "x"))
+        fields = fields.join(exact, "column_name")
+        out = fields if out is None else out.unionByName(fields)
     return out.select(
         "name_base",
         _long("columns_count"),
         "rows_count",
         "structure_hash",
-        F.array_join(F.array_sort(entries), "|").alias("columns"),
+        "column_name",
+        F.col("x.dtype").alias("dtype"),
+        *[_double(F.col(f"x.{c}"), c, digits=4) for c in ("min", "max", "mean", "std")],
+        _close("x.ndist"),
+        F.col("x.sample_hash").alias("sample_hash"),
     )
 
 
@@ -552,6 +699,13 @@ def col_match_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("version_id", "column_name", "logical_id", "strategy")
 
 
+@query
+def col_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-10 as an assignment: the best pair of a version first, then the next best of what is left."""
+    assigned = col.assign_columns(catalogue(spark, sf_dir, "child_columns"), catalogue(spark, sf_dir, "known_columns"))
+    return assigned.select("version_id", "column_name", "logical_id", "strategy")
+
+
 @query
 def col_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-14: ids taken over and new ones per version."""
@@ -588,15 +742,16 @@ def col_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = col.lineage_rows(_matched(spark, sf_dir), catalogue(spark, sf_dir, "lineage"))
-    return found.drop("id", "data_type")
+    kinds = catalogue(spark, sf_dir, "version_columns").select("version_id", "column_name", "type")
+    matched = _matched(spark, sf_dir).join(kinds, ["version_id", "column_name"])
+    return col.lineage_rows(matched, catalogue(spark, sf_dir, "lineage"))
 
 
 @query
 def col_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V-11: lineage rows linked to the parent version's rows."""
     return _lineage(spark, sf_dir).select(
-        "dataset_version_id", "column_name", "logical_column_id", _text("parent_column_id")
+        "id", "dataset_version_id", "column_name", "logical_column_id", _text("parent_column_id"), "data_type"
     )
 
 
@@ -622,6 +777,22 @@ def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def version_chain_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V-1, V-2 kept as a table: the first versions of all datasets are known, all later ones come as a batch."""
+    versions = catalogue(spark, sf_dir, "versions")
+    root = scratch_path(spark, "chains")
+    known = ver.chain_state(versions.filter("version_number <= 3"))
+    commits.commit(spark, root, "known", {"chains": known})
+    state = commits.read(spark, root, "chains", ["id"])
+    moved = ver.extend_chain_state(state, versions.filter("version_number > 3"))
+    commits.commit(spark, root, "batch", {"chains": moved})
+    chain = commits.read(spark, root, "chains", ["id"])
+    return chain.select(
+        "id", _long("root_id"), _long("depth"), _long("latest_id"), _long("is_cyclic")
+    )
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ver.next_version_numbers(
         catalogue(spark, sf_dir, "pushes"), catalogue(spark, sf_dir, "versions")
@@ -643,7 +814,12 @@ def version_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V-13: process edges of the versions that come from a parent."""
     versions = catalogue(spark, sf_dir, "versions")
     numbered = ver.next_process_version(versions, ver.chain_positions(versions))
-    return ver.process_records(numbered)
+    numbered = (
+        numbered.withColumn("created_by", F.col("dataset_id"))
+        .withColumn("execution_time_ms", F.col("version_number") * 10)
+        .withColumn("parent_name", F.concat(F.lit("v"), F.col("parent_version_id").cast("string")))
+    )
+    return ver.process_records(numbered).withColumn("execution_time_ms", _long("execution_time_ms"))
 
 
 @query
@@ -744,7 +920,7 @@ def desc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def desc_upsert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-1 on long texts: the last turn of every role of a conversation wins."""
+    """D-1 on long texts: the last turn of every role of a conversation wins, over stored texts too."""
     turns = catalogue(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("version_id"),
         F.col("role").alias("column_name"),
@@ -753,8 +929,15 @@ def desc_upsert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn").cast("timestamp").alias("submitted_at"),
         F.col("turn").alias("seq"),
     )
-    none = _descriptions(spark, sf_dir).filter(F.lit(False))
-    merged = dsc.upsert_descriptions(none, turns)
+    # every other conversation has the first text of each role already
+    stored = turns.filter("version_id % 2 = 0").groupBy("version_id", "column_name").agg(
+        F.min_by("description", "seq").alias("description"),
+        F.lit("0").alias("created_by"),
+        F.to_timestamp(F.lit("2024-01-01")).alias("created_at"),
+        F.lit(None).cast("string").alias("updated_by"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+    merged = dsc.upsert_descriptions(stored, turns)
     return merged.select("version_id", "column_name", "description", "created_by", _text("updated_by"))
 
 
@@ -901,6 +1084,15 @@ def class_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowed.select("dataset_id", "security_class", _list("allowed"))
 
 
+@query
+def class_allowed_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-6 in the form that offers nothing to a dataset without a class."""
+    datasets = catalogue(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dataset_id"))
+    active = cls.active_classifications(catalogue(spark, sf_dir, "class_log"))
+    allowed = cls.allowed_column_classes(datasets, active, default=None)
+    return allowed.select("dataset_id", _text("security_class"), _list("allowed"))
+
+
 @query
 def class_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-2: column classes asked for that the dataset's class does not admit."""
@@ -1174,7 +1366,10 @@ def _publish(spark: SparkSession, sf_dir: str):
     )
     checks = _checks(spark, sf_dir).withColumnRenamed("version_id", "dataset_id")
     texts = catalogue(spark, sf_dir, "descriptions").select(text_id, "column_name", "description")
-    nodes = pending.select(ver.qualified_name("hash", "project_id", F.lit(9)).alias("qualified_name"))
+    # some of the nodes exist already: a push that was not recorded
+    nodes = pending.filter("dataset_id % 2 = 0").select(
+        ver.qualified_name("hash", "project_id", F.lit(2)).alias("qualified_name")
+    )
     known_now = Catalogue(
         versions, catalogue(spark, sf_dir, "signatures"), known, lineage, texts, nodes
     )
@@ -1231,3 +1426,131 @@ def push_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         _double("similarity_score"),
         _long("propagated_columns_count"),
     )
+
+
+def _linked_push(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Published]:
+    """All customers pushed at once: most go on from their own chains, some reuse or replace a draft.
+
+    Gives the versions before the push, and the push.
+    """
+    versions = catalogue(spark, sf_dir, "versions").select(
+        F.col("id").cast("string").alias("id"),
+        "dataset_id",
+        "version_number",
+        "external_id",
+        F.col("parent_version_id").cast("string").alias("parent_version_id"),
+        F.lit(ver.DRAFT_COMMENT).alias("change_comment"),
+    )
+    customers = catalogue(spark, sf_dir, "customer")
+    pending = customers.select(
+        F.col("c_custkey").alias("dataset_id"),
+        F.col("c_nationkey").alias("project_id"),
+        F.md5("c_name").alias("hash"),
+        F.concat(F.lit("/data/"), F.col("c_name"), F.lit(".csv")).alias("file_path"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("description"),
+        (F.col("c_mktsegment") == "BUILDING").alias("is_public"),
+        F.col("c_custkey").alias("rows_count"),
+        F.col("c_custkey").cast("string").alias("pushed_by"),
+        F.to_timestamp(F.lit("2024-02-01")).alias("pushed_at"),
+    )
+    newest = catalogue(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("dataset_id")).agg(F.max("o_orderkey").alias("version_id"))
+    columns = catalogue(spark, sf_dir, "version_columns").join(newest, "version_id")
+    checks = _checks(spark, sf_dir).join(newest, "version_id").drop("version_id")
+    runs = catalogue(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(
+        F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("dag_run_id"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("id"),
+    )
+    texts = _descriptions(spark, sf_dir).withColumn("version_id", F.col("version_id").cast("string"))
+    named = versions.filter("external_id IS NOT NULL").join(pending.select("dataset_id", "hash", "project_id"), "dataset_id")
+    nodes = named.select(
+        ver.qualified_name("hash", "project_id", "version_number").alias("qualified_name"), F.col("external_id").alias("node_id")
+    )
+    users = catalogue(spark, sf_dir, "users").withColumn("employee_id", F.col("employee_id").cast("string"))
+    nothing = {
+        "signatures": "project_id int, dataset_id bigint, name_base string, column_name string, data_type string, sample_hash string",
+        "columns": "version_id string, column_name string, position int, logical_id string, external_id string",
+        "lineage": "id string, dataset_version_id string, logical_column_id string, column_name string",
+    }
+    empty = {name: spark.createDataFrame([], ddl) for name, ddl in nothing.items()}
+    known = Catalogue(versions, descriptions=texts, nodes=nodes, runs=runs, users=users, **empty)
+    return versions, publish(pending, columns.select("dataset_id", "column_name", "position", "type"), checks, known)
+
+
+def _stored_push(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Tables of a push that was killed once, stored, and sent again."""
+    versions, pushed = _linked_push(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    commits.commit(spark, root, "before", {"versions": versions})
+    lost = {"versions": versions.withColumn("change_comment", F.lit("staged and never committed"))}
+    commits.stage(root, "killed", lost)
+    commits.stage(root, "push", lost)
+    for _ in range(2):
+        store_push(spark, root, "push", pushed, only=[*names])
+    return [stored_table(spark, root, name) for name in names]
+
+
+@query
+def push_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6, V-7: the versions after a stored push; reused drafts are published, replaced ones stay."""
+    (versions,) = _stored_push(spark, sf_dir, "versions")
+    return versions.select(
+        "id", "dataset_id", _long("version_number"), _text("external_id"), _text("parent_version_id"), "change_comment"
+    )
+
+
+@query
+def push_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6, G-1, C-7: dataset nodes of a stored push with their security classes."""
+    nodes, classes, registry = _stored_push(spark, sf_dir, "dataset_nodes", "classes", "registry")
+    joined = nodes.join(classes, F.col("node_id") == F.col("entity_id")).join(
+        registry.select(F.col("external_id").alias("node_id"), "last_modified_by"), "node_id"
+    )
+    return joined.select(
+        "node_id",
+        "qualified_name",
+        "name",
+        "description",
+        "version_comment",
+        _long("columns_count"),
+        _list("columns_list"),
+        "owner",
+        F.col("project").cast("string").alias("project"),
+        "classification",
+        F.col("attributes")["visibility_scope"].alias("scope"),
+        _text(F.col("attributes")["department"], "department"),
+        "last_modified_by",
+    )
+
+
+@query
+def push_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6, S-10: typed results of a stored push, of the runs that are known."""
+    (results,) = _stored_push(spark, sf_dir, "results")
+    return results.select(
+        "dag_run_uuid",
+        "dataset_version_id",
+        "check_type",
+        _text("column_name"),
+        "status",
+        "error_count",
+        _double("ratio"),
+        _long("alert"),
+        "examples",
+    )
+
+
+@query
+def push_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6, D-6: descriptions that a stored push moved from replaced drafts to the new versions."""
+    (moved,) = _stored_push(spark, sf_dir, "descriptions")
+    return moved.select("version_id", "column_name", "description", "created_by", "created_at", "updated_by", "updated_at")
+
+
+@query
+def push_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-6, V-13: process records of a stored push, with who made them and the parent's name."""
+    (processes,) = _stored_push(spark, sf_dir, "processes")
+    return processes.select(
+        "process_id", "process_name", "input_version_id", "output_version_id", "created_by", "status",
+        F.get_json_object("metadata", "$.parent_qn").alias("parent_name"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekeep.functions.lineage import cut_lineage
+from tablekeep.functions.lineage import cut_lineage, ship_package
 from tablekeep.operators.results import RUN_SCHEMA
 
 PREVIEW_ROWS = 100
@@ -20,12 +20,59 @@ TASK_BYTES = 1 << 30
 CHUNK_BYTES = 4 << 20
 
 
+#: Types a column of texts may have, narrowest first; the first that fits every value is taken, else string.
+LATTICE = ("int", "bigint", "double", "date", "timestamp", "boolean")
+
+
+def column_types(texts: DataFrame) -> DataFrame:
+    """``position, column_name, type, filled`` and ``misfits`` of a table of texts, from one aggregate.
+
+    ``misfits`` counts for every type of LATTICE the values that do not fit it; the type is the first without any. A
+    column without values is a string. The counts merge, so a file of any size is one pass with a small result.
+    """
+    names, aggs, rows = texts.columns, [], []
+    for i, name in enumerate(names):
+        value = F.trim(F.col("`" + name.replace("`", "``") + "`"))
+        aggs.append(F.count(value).alias(f"n{i}"))
+        aggs += [F.count_if(value.isNotNull() & ~_fits(value, kind)).alias(f"{kind}{i}") for kind in LATTICE]
+        kind = F.lit("string")
+        for name_of_type in reversed(LATTICE):
+            kind = F.when((F.col(f"{name_of_type}{i}") == 0) & (F.col(f"n{i}") > 0), F.lit(name_of_type)).otherwise(kind)
+        counts = F.create_map(*[x for k in LATTICE for x in (F.lit(k), F.col(f"{k}{i}"))])
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(name).alias("column_name"),
+                kind.alias("type"),
+                F.col(f"n{i}").alias("filled"),
+                counts.alias("misfits"),
+            )
+        )
+    return texts.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _fits(value: Column, kind: str) -> Column:
+    """Whether a text is a value of the type: numbers and dates in their usual form, not any text that casts."""
+    forms = {
+        "int": r"^[+-]?[0-9]{1,10}$",
+        "bigint": r"^[+-]?[0-9]{1,19}$",
+        "double": r"(?i)^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$|^nan$|^[+-]?inf(inity)?$",
+        "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+        "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$",
+        "boolean": r"(?i)^(true|false)$",
+    }
+    return value.rlike(forms[kind]) & value.try_cast(kind).isNotNull()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; types are inferred (one more scan) unless a schema is given."""
+    """CSV with a header; without a schema the types come from all values of each column (one more scan)."""
     reader = spark.read.option("header", True)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    texts = reader.csv(path)
+    kinds = {r.column_name: r.type for r in column_types(texts).collect()}
+    columns = [("`" + c.replace("`", "``") + "`", c) for c in texts.columns]
+    return texts.select(*[F.trim(F.col(q)).try_cast(kinds[c]).alias(c) if kinds[c] != "string" else F.col(q) for q, c in columns])
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -84,7 +131,12 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, length`` of all files below the paths, listed in tasks, one level of folders after the other."""
+    """``path, length`` of all files below the paths, listed in tasks, one level of folders after the other.
+
+    Spark's own listing leaves out empty files, which are uploads too. The store must be one that both Spark and
+    pyarrow know: local files, HDFS, S3, GCS or Azure.
+    """
+    ship_package(spark)
     paths = [path] if isinstance(path, str) else path
     level = spark.createDataFrame([(p,) for p in paths], "path string")
     found = None
@@ -181,15 +233,28 @@ def write_run_documents(documents: DataFrame, folder: str, per_run: bool = True)
     keyed.write.mode("append").partitionBy("part").json(folder)
 
 
+#: Column in which Spark keeps the text of a document it cannot read.
+BROKEN = "_corrupt_record"
+
+
+def unreadable_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, document`` of the lines that stand among the run documents and are no JSON object of a run."""
+    schema = T.StructType([*RUN_SCHEMA.fields, T.StructField(BROKEN, T.StringType())])
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": BROKEN})
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"), parsed[BROKEN].alias("broken"))
+    return rows.filter(F.col("broken").isNotNull()).drop("broken")
+
+
 def read_run_documents(
     spark: SparkSession, folder: str, run_id: str | None = None, part: str | None = None
 ) -> DataFrame:
-    """Run documents, or only one run's; an unknown run gives no rows.
+    """Run documents, or only one run's; an unknown run gives no rows, as does a document that is no JSON object.
 
     ``part`` limits the scan to one folder: that of a run, or of an execution date that many runs share.
     """
     schema = T.StructType([*RUN_SCHEMA.fields, T.StructField("part", T.StringType())])
-    documents = spark.read.schema(schema).json(folder)
+    documents = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
     if run_id is not None:
         documents = documents.filter(F.col("dag_run_id") == run_id)
     if part is not None:

@@ -1,6 +1,8 @@
 import random
 
-from tablekeep.operators.chains import follow_chains
+from tablekeep.operators import chains
+from tablekeep.operators.chains import extend_chains, follow_chains
+from tests.helpers import rows
 
 
 def _follow(spark, links):
@@ -50,3 +52,38 @@ def test_random_forest_against_brute_force_with_a_hot_parent(spark):
         assert row.latest_id == f"{max(below)[1]:03d}"
     latest = {i: found[i].latest_id for i in found}
     assert all(latest[latest[i]] == latest[i] for i in latest)
+
+
+def _state(spark, links):
+    nodes = spark.createDataFrame([(i, p, i % 5) for i, p in links], "id int, parent_id int, rank int")
+    return nodes.join(follow_chains(nodes, ["rank"]), "id")
+
+
+def test_extended_state_equals_the_full_walk(spark):
+    rng = random.Random(4)
+    links = [(i, rng.choice([None, rng.randrange(60), rng.randrange(max(i, 1))])) for i in range(60)]
+    for cut in (0, 15, 40, 59):
+        order = rng.sample(links, len(links))
+        state, batch = _state(spark, order[:cut]), order[cut:]
+        new = spark.createDataFrame([(i, p, i % 5) for i, p in batch], "id int, parent_id int, rank int")
+        delta = extend_chains(state, new, ["rank"])
+        merged = state.join(delta, "id", "left_anti").unionByName(delta)
+        assert rows(merged) == rows(_state(spark, links).select(merged.columns))
+    # a batch that repeats nodes moves them
+    state = _state(spark, [(1, None), (2, 1), (3, 2), (8, None)])
+    moved = spark.createDataFrame([(2, 8, 0), (1, 3, 0)], "id int, parent_id int, rank int")
+    delta = extend_chains(state, moved, ["rank"])
+    merged = state.join(delta, "id", "left_anti").unionByName(delta)
+    assert rows(merged, "id", "root_id", "depth", "latest_id") == [(1, 8, 4, 1), (2, 8, 2, 1), (3, 8, 3, 1), (8, 8, 1, 1)]
+
+
+def test_untouched_chains_are_not_followed(spark, monkeypatch):
+    links = [(i, None if i % 10 == 0 else i - 1) for i in range(200)]
+    state = _state(spark, links)
+    seen = []
+    follow = chains.follow_chains
+    monkeypatch.setattr(chains, "follow_chains", lambda nodes, order=None: seen.append(nodes.count()) or follow(nodes, order))
+    batch = spark.createDataFrame([(1000, 59, 0), (1001, None, 0)], "id int, parent_id int, rank int")
+    delta = extend_chains(state, batch, ["rank"])
+    assert seen == [12] and delta.count() == 12
+    assert {r.latest_id for r in delta.filter("root_id = 50").collect()} == {1000}

@@ -4,6 +4,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablekeep.operators import checks as chk
 from tablekeep.operators.rules import CONSTRAINT, Rule, bind_rules, parse_rules
@@ -175,3 +176,38 @@ def test_row_duplicates_need_no_nested_loop(spark):
     table = spark.createDataFrame([(1,), (1,), (2,)], "a int")
     plan = chk.duplicate_rows(table)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rules_that_raise_fail_alone(spark, monkeypatch):
+    """Bisection: the good rules share few runs, each bad one is reported with every row as an error."""
+    fault = F.raise_error(F.lit("broken value\nand more")).cast("int")
+    frame = spark.range(20).select("id", F.when(F.col("id") == 7, fault).otherwise(F.col("id").cast("int")).alias("bad"))
+    rules = {
+        "deequ": [{"type": "max", "column": "id", "threshold": i} for i in range(12)]
+        + [{"type": "min", "column": "bad", "threshold": 0}]
+        + [{"type": "completeness", "column": "id"}],
+        "duplicates": {"sensitive": ["id", "bad"], "full_row": False},
+    }
+    runs = []
+    plain = chk.constraint_results
+    monkeypatch.setattr(chk, "constraint_results", lambda df, some: runs.append(len(some)) or plain(df, some))
+    found = chk.validate(frame, rules).collect()
+    assert len(found) == 16 and len({r.rule_id for r in found}) == 16
+    bad = [r for r in found if r.column_name == "bad"]
+    assert {(r.status, r.ratio) for r in bad} == {("failed", "20/20")}
+    assert all("broken value" in r.message and r.examples == [r.message] for r in bad)
+    good = [r for r in found if r.column_name == "id"]
+    assert [r.error_count for r in sorted(good, key=lambda r: r.rule_id)] == [*range(19, 7, -1), 0, 0]
+    assert runs[0] == 14 and len(runs) <= 9
+    assert next(r for r in good if r.rule_id == "r001").examples == ["1", "10", "11", "12", "13"]
+
+
+def test_faults_of_the_cluster_are_raised(spark, monkeypatch):
+    def lost(df, rules):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(chk, "constraint_results", lost)
+    with pytest.raises(RuntimeError):
+        chk.validate(spark.range(3), {"deequ": [{"type": "max", "column": "id", "threshold": 1}]})
+    with pytest.raises(ValueError):
+        chk.validate(spark.range(3), [])

@@ -83,3 +83,62 @@ def test_parent_lookup_by_prefix_with_dots_in_names(spark):
     )
     found = {tuple(r) for r in col.parent_columns(owners, columns).collect()}
     assert found == {("d1", "a"), ("d2", "x.y")}
+
+
+def _greedy(children, parents):
+    """Pairs one by one: strategy, ratio, positions."""
+    usable = {}
+    for version, name, position, logical in parents:
+        if logical:
+            usable.setdefault(version, []).append((name, position, logical))
+    out = {}
+    for version in {c[0] for c in children}:
+        own = sorted((c for c in children if c[0] == version), key=lambda c: c[4])
+        gone, taken = set(), {}
+        for c in own:
+            if c[5] and c[5] not in gone:
+                gone.add(c[5])
+                taken[c[3]] = (c[5], "existing")
+        pairs = []
+        for c in own:
+            if c[5]:
+                continue
+            for name, position, logical in usable.get(c[1], []):
+                if name == c[3]:
+                    pairs.append((1, -1.0, c[4], position, logical, c[3], "exact_name"))
+                if position == c[4]:
+                    pairs.append((2, -1.0, c[4], position, logical, c[3], "position"))
+                a, b = c[3].lower(), name.lower()
+                if lcs(a, b) * 200 >= (len(a) + len(b)) * 82:
+                    pairs.append((3, -2.0 * lcs(a, b) / (len(a) + len(b)), c[4], position, logical, c[3], "fuzzy"))
+        for _, _, _, _, logical, name, strategy in sorted(pairs):
+            if logical not in gone and name not in taken:
+                gone.add(logical)
+                taken[name] = (logical, strategy)
+        for c in own:
+            out[version, c[3]] = taken.get(c[3], (None, "new"))
+    return out
+
+
+def test_assignment_equals_greedy(spark):
+    rng = random.Random(6)
+    names = ["amount", "amounts", "amount_eur", "amount_usd", "id", "ids", "customer", "customers", "date", "dates", "Date"]
+    parents, children = [], []
+    for version in range(12):
+        for position, name in enumerate(rng.sample(names, rng.randint(1, 9))):
+            parents.append((f"v{version}", name, position, None if rng.random() < 0.15 else f"L{version}.{position}"))
+        parent = None if version % 5 == 4 else f"v{version}"
+        for position, name in enumerate(rng.sample(names, rng.randint(1, 9))):
+            existing = rng.choice([None, None, None, "", "E1", f"L{version}.0"])
+            children.append((f"c{version}", parent, f"q{version}", name, position, existing))
+    frames = (
+        spark.createDataFrame(children, "version_id string, parent_version_id string, qualified_name string, column_name string, position int, existing_id string"),
+        spark.createDataFrame(parents, "version_id string, column_name string, position int, logical_id string"),
+    )
+    found = {(r.version_id, r.column_name): (r.logical_id, r.strategy) for r in col.assign_columns(*frames).collect()}
+    want = _greedy(children, parents)
+    assert set(found) == set(want)
+    for key, (logical, strategy) in want.items():
+        assert found[key][1] == strategy and (strategy == "new" or found[key][0] == logical)
+    assert len({(k[0], x[0]) for k, x in found.items()}) == len(found)
+    assert col.assign_columns(frames[0].limit(0), frames[1]).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tablekeep.operators import profile as pro
 from tablekeep.operators import results as res
 from tablekeep.sources import files
-from tablekeep.streaming.pickup import pick_up_results, picked_up_checks
+from tablekeep.streaming.pickup import pick_up_results, picked_up_checks, unread_documents
 from tests.helpers import rows
 
 
@@ -104,3 +104,44 @@ def test_signature_rows_and_history(spark, tmp_path):
     assert (history["d1"].status, history["d1"].parent_found) == ("SUCCESS", True)
     assert (history["d2"].status, len(history["d2"].error_message)) == ("FAILED", 500)
     assert history["d2"].columns_count is None
+
+
+def test_column_types(spark):
+    texts = {
+        "i": ["1", "-2", None, " 3 "],
+        "l": ["1", "3000000000", None, None],
+        "x": ["1", "2.5", "1e3", "-.5"],
+        "d": ["2024-01-31", "2024-02-29", None, None],
+        "t": ["2024-01-31", "2024-01-31T10:00:00.000Z", "2024-01-31 10:00", None],
+        "b": ["true", "FALSE", None, None],
+        "s": ["2024-02-30", "2024-01-01", None, None],
+        "n": [None, None, None, None],
+        "mixed `x`": ["1", "a", None, None],
+    }
+    frame = spark.createDataFrame(list(zip(*texts.values(), strict=True)), ", ".join(f"`{c.replace('`', '``')}` string" for c in texts))
+    found = {r.column_name: r for r in files.column_types(frame).collect()}
+    want = ["int", "bigint", "double", "date", "timestamp", "boolean", "string", "string", "string"]
+    assert [found[c].type for c in texts] == want
+    assert found["i"].filled == 3 and found["x"].misfits["int"] == 3 and found["mixed `x`"].misfits["int"] == 1
+    assert files.column_types(frame.limit(0)).filter("type = 'string'").count() == len(texts)
+
+
+def test_broken_documents_are_kept_apart(spark, tmp_path):
+    folder, target = tmp_path / "pending", str(tmp_path / "results")
+    folder.mkdir()
+    good = '{"dag_run_id": "r1", "dataset_version_id": "v", "execution_date": "d", "checks": [{"rule_type": "min"}]}'
+    (folder / "a.json").write_text(good + "\n\n{\"dag_run_id\": \"r2\", \"che\n[1]\n")
+    (folder / "b.json").write_text("")
+    (folder / "c.json").write_text('{"checks": []}\n{"dag_run_id": "r3", "checks": []}\n')
+    for _ in range(2):
+        pick_up_results(spark, str(folder), target, str(tmp_path / "state"))
+    assert rows(picked_up_checks(spark, target), "dag_run_id", "rule_type") == [("r1", "min")]
+    letters = unread_documents(spark, target)
+    assert rows(letters, "reason", "document") == [
+        ("no run", '{"checks":[]}'), ("unreadable", "[1]"), ("unreadable", '{"dag_run_id": "r2", "che'),
+    ]
+    assert {r.file.rsplit("/", 1)[-1] for r in letters.collect()} == {"a.json", "c.json"}
+    listed = files.unreadable_documents(spark, str(folder))
+    assert rows(listed, "document") == [("[1]",), ('{"dag_run_id": "r2", "che',)]
+    assert rows(files.read_run_documents(spark, str(folder)).filter("dag_run_id IS NOT NULL"), "dag_run_id") == [("r1",), ("r3",)]
+    assert unread_documents(spark, str(tmp_path / "none")).count() == 0

@@ -41,15 +41,38 @@ def _expected(values, k):
     return sorted(texts, key=lambda t: (hashlib.md5(t.encode()).hexdigest(), t))[:k]
 
 
-def test_sample_is_bottom_k_whatever_the_estimate(spark):
+def test_sample_is_bottom_k_from_one_scan(spark, tmp_path):
     rows = [(i, i % 7, "hot" if i % 3 else f"v{i}") for i in range(5000)]
     frame = spark.createDataFrame(rows, "a int, b int, c string").repartition(6)
     expected = {name: _expected([r[i] for r in rows], 20) for i, name in enumerate("abc")}
-    # Good estimates, and far too large ones that leave too few values below the bound.
-    for distinct in (None, {"a": 10**9, "b": 10**9, "c": 10**9}):
-        samples = pro.column_samples(frame, distinct=distinct).orderBy("rank").collect()
-        for name in "abc":
-            assert [r.value for r in samples if r.column_name == name] == expected[name]
+    frame.write.parquet(str(tmp_path / "t"))
+    found = pro.column_samples(spark.read.parquet(str(tmp_path / "t")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    samples = found.orderBy("rank").collect()
+    for name in "abc":
+        assert [r.value for r in samples if r.column_name == name] == expected[name]
+    assert pro.column_samples(frame.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "é\x00", 1.5)] * 3, "`a.b` int, `c d` string, e double")
+    assert sorted((r.column_name, r.value) for r in pro.column_samples(odd).collect()) == [("c d", "é\x00"), ("e", "1.5")]
+
+
+def test_merged_profiles_equal_the_profile_of_the_union(spark):
+    rows = [(i % 5, 1e9 + i / 3, i, None if i % 4 else f"v{i % 50}") for i in range(3000)] + [(9, None, None, None)]
+    frame = spark.createDataFrame(rows, "part int, x double, n bigint, s string").withColumn("d", F.lit("2024-01-01").cast("date"))
+    parts = pro.column_sketches(frame, ["part"])
+    merged = {r.column_name: r for r in pro.merge_sketches(parts).collect()}
+    whole = {r.column_name: r for r in pro.column_stats(frame, exact_distinct=True).collect()}
+    assert set(merged) == set(whole)
+    for name, row in whole.items():
+        mine = merged[name]
+        assert (mine.rows_count, mine.data_type, mine.min, mine.max, mine.position) == (row.rows_count, row.data_type, row.min, row.max, row.position)
+        assert abs(mine.distinct_count - row.distinct_count) <= 0.05 * row.distinct_count
+        for stat in ("mean", "std"):
+            assert mine[stat] == row[stat] or abs(mine[stat] - row[stat]) <= 1e-7 * abs(row[stat])
+    again = pro.merge_sketches(parts.unionByName(pro.column_sketches(frame.limit(0), ["part"])))
+    assert again.count() == len(whole)
+    alone = pro.merge_sketches(pro.column_sketches(frame.limit(1))).filter("column_name = 'x'").first()
+    assert (alone.mean, alone.std, alone.distinct_count) == (1e9, None, 1)
 
 
 def test_signature_of_a_table(spark):

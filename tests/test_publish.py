@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tablekeep.operators import versions as ver
-from tablekeep.plans.publish import Catalogue, publish
+from tablekeep.plans.publish import KEYS, Catalogue, publish, store_push, stored_table, stored_tables
+from tablekeep.sources import commits
 from tests.helpers import rows
 
 VERSIONS = "id string, dataset_id int, version_number int, external_id string, parent_version_id string, change_comment string"
@@ -65,3 +66,33 @@ def test_two_pushes_on_the_stored_output(spark):
     assert rows(second.report, "dataset_id", "version_number", "parent_version_id")[0] == (1, 3, "a2")
     assert second.drafts.count() == 0
     assert rows(second.lineage.filter("parent_column_id is null")) == []
+
+
+def test_a_killed_push_is_stored_whole(spark, tmp_path):
+    """Every table of a push counts at once; running it again, killed or not, changes nothing."""
+    root = str(tmp_path / "store")
+    versions = spark.createDataFrame(
+        [("a1", 1, 1, "ga1", None, "x"), ("a2", 1, 2, None, "a1", ver.DRAFT_COMMENT), ("b1", 2, 7, None, None, "x")], VERSIONS
+    )
+    commits.commit(spark, root, "before", {"versions": versions})
+    lineage = spark.createDataFrame(
+        [], "id string, dataset_version_id string, logical_column_id string, column_name string, parent_column_id string, data_type string"
+    )
+    columns = spark.createDataFrame([], "version_id string, column_name string, position int, logical_id string, external_id string")
+    pushed = _push(spark, versions, lineage, columns, "h")
+    tables = stored_tables(pushed)
+    assert set(tables) == set(KEYS)
+    # killed after some tables were staged
+    commits.stage(root, "push", {n: tables[n] for n in ("versions", "edges", "results")})
+    assert rows(stored_table(spark, root, "versions"), "id") == [("a1",), ("a2",), ("b1",)]
+    assert store_push(spark, root, "push", pushed)
+    first = {name: rows(stored_table(spark, root, name)) for name in KEYS if name not in ("signatures", "classes")}
+    assert not store_push(spark, root, "push", pushed)
+    assert {name: rows(stored_table(spark, root, name)) for name in first} == first
+    assert {i: x for i, _, _, x, *_ in first["versions"]}["a2"] is not None and len(first["versions"]) == 4
+    assert len(first["dataset_nodes"]) == 2 and stored_table(spark, root, "classes").count() == 2
+    assert [r.classification for r in stored_table(spark, root, "classes").collect()] == ["RESTRICTED"] * 2
+    assert stored_table(spark, root, "signatures").count() == 2
+    chains = stored_table(spark, root, "chains")
+    full = ver.chain_state(stored_table(spark, root, "versions"))
+    assert rows(chains, "id", "depth", "latest_id") == rows(full.join(chains.select("id"), "id"), "id", "depth", "latest_id")

@@ -71,3 +71,24 @@ def test_qualified_names(spark):
     names = frame.select(ver.qualified_name("hash", "project", "n", "at").alias("q"))
     assert rows(names) == [("h",), ("p_h_v2_1704067200",)]
     assert rows(frame.select(ver.qualified_name("hash", "project", "n").alias("q"))) == [("h",), ("p_h_v2",)]
+
+
+def test_missing_parents_are_dealt_out(spark):
+    """Rows without a parent do not meet in the task of the null key."""
+    from pyspark.sql import functions as F
+
+    from tablekeep.functions.joins import lookup
+
+    left = spark.range(4000).select(F.col("id").alias("dataset_id"), F.when(F.col("id") < 3, F.col("id")).alias("parent"))
+    right = spark.range(2).select(F.col("id").alias("parent"), (F.col("id") * 10).alias("number"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(left, right, ["parent"], ["dataset_id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1000
+        assert rows(joined.filter("number IS NOT NULL"), "dataset_id", "number") == [(0, 0), (1, 10)]
+        assert joined.columns == ["parent", "dataset_id", "number"] and joined.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
