@@ -25,7 +25,7 @@ AT = 6
 #: Words of more symbols than this are merged one by one.
 SHORT = 32
 #: Text that is encoded at once: words that it repeats are merged once.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 #: White space of Unicode.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _GAPS = regex.compile(f"[{_SPACE}]+")
@@ -41,6 +41,33 @@ COLUMNS = {
 }
 
 
+#: First and last letters and numbers that the library's tables have beyond those of Unicode 15.1.
+_KNOWN = [
+    (0x1C8A, 0x1C8A), (0xA7CD, 0xA7CD), (0xA7DB, 0xA7DB), (0x105C0, 0x105F3), (0x10D40, 0x10D4F), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0),
+    (0x11BF0, 0x11BF9), (0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79),
+    (0x16FF4, 0x16FF6), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+#: Capital letters beyond Unicode 15.1 with their small ones, and rows of such letters.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+@lru_cache(maxsize=1)
+def _newer() -> regex.Pattern:
+    """Characters that ``regex`` takes for letters or numbers and the library does not know yet."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    known = {c for a, b in _KNOWN for c in range(a, b + 1)}
+    codes = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    first = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    last = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
+    return regex.compile(f"[{ranges}]" if ranges else r"(?!)")
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -236,6 +263,8 @@ class WordBpe:
         """Words between white space of a normalised text."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _CAPITAL.search(text):
+                text = text.translate(_SMALL)
         text = text.lower()
         return [c for c in _GAPS.split(text) if c] if _ODD.search(text) else text.split()
 
@@ -253,7 +282,10 @@ class WordBpe:
             return [word]
         if word[-1] in ",." and word[:-1].isalpha():
             return [word[:-1], word[-1]]
-        return self.pieces.findall(word)
+        if word.isascii() or not _newer().search(word):
+            return self.pieces.findall(word)
+        # a character that is nothing to the pattern stands for each of them
+        return [word[slice(*m.span())] for m in self.pieces.finditer(_newer().sub("\ufdd0", word))]
 
     def encode_words(self, words: list[str]) -> "Ragged":
         """Ids of each word or marked special token; pieces shared by words are merged once."""

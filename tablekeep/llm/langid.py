@@ -100,18 +100,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learn from rows with a language whose crc32 of the id, modulo FOLDS, is not HELD_OUT.
 
     Document frequencies come from all of them, the centroids from ``sample`` texts per language, chosen by a
-    hash of the id, which come to the driver.
+    hash of the id (of rows that share one, by the order of their texts), which come to the driver. Repeated rows count
+    each. A table without such rows gives a model that knows no language.
     """
     train = docs.select("doc_id", "text", "lang").filter(
         (crc_rest(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * sample / n) * (1 << 20))).otherwise(share)
+    share = F.least(F.lit(1.0), F.lit(1.2 * sample) / F.count(F.lit(1))) * (1 << 20)
+    shares = train.groupBy("lang").agg(F.floor(share).alias("share"))
+    # ids meet the shares, so no text is shuffled; at most some 1.2 * sample ids per language are chosen
+    ids = train.select("doc_id", "lang", at.alias("at")).join(shares, "lang").filter("at < share")
+    wanted = {(r.doc_id, r.lang): r.at for r in ids.collect()}
+    found = train.filter(F.col("doc_id").isin(list({i for i, _ in wanted}))).collect()
     chosen: dict[str, list] = {}
-    for r in sorted(train.withColumn("at", at).filter(at < share).collect(), key=lambda r: (r.at, r.doc_id)):
+    for r in sorted((r for r in found if (r.doc_id, r.lang) in wanted), key=lambda r: (wanted[r.doc_id, r.lang], r.doc_id, r.text)):
         if _LETTER.search(r.text):
             chosen.setdefault(r.lang, []).append(r.text)
     frequencies, n = _document_frequencies(train)
@@ -135,7 +138,8 @@ def identify(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataF
     """``docs`` with ``nearest``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
     ``nearest`` is UNKNOWN with score 0 for a null text, a text without a letter, or a model without languages.
-    Ties go to the language that comes first by name.
+    Ties go to the language that comes first by name. Repeated rows are scored each; columns named like these three are
+    replaced, others are passed on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

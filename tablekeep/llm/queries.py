@@ -21,7 +21,7 @@ from tablekeep.llm import (
     sharding,
     wrappers,
 )
-from tablekeep.llm.common import SPACES, crc_rest, split_words, staged, table
+from tablekeep.llm.common import SPACES, crc_rest, split_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 16
@@ -103,7 +103,6 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
         F.sha2(secrets.listing(base), 256).alias("base_sha256"),
         secrets.listing(F.col("found")).alias("spans"),
-        "refused",
     )
 
 
@@ -196,7 +195,7 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every text and of its edited text, and the class of near duplicates it belongs to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = staged(minhash.compared_with_next(docs), "fingerprints")
+    rows = minhash.compared_with_next(docs)
     classes = minhash.near_classes(docs, rows.select("text_id", "bands"))
     return rows.join(classes, "text_id", "left").select(
         "doc_id",

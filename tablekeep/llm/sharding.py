@@ -28,22 +28,31 @@ def _running_start(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def interleave(rows: DataFrame, shards: int, key: Column, source: str = "source") -> DataFrame:
-    """Add shard and slot to ``rows``; the sizes of shards differ by one row at most.
+    """``rows`` with ``shard`` and ``slot``; the sizes of shards differ by one row at most.
 
-    ``key`` is the seeded shuffle key: text of hexadecimal digits. Ties are broken by doc_id. A null source is a
-    source of its own. An empty table gives no rows. Repeated rows are placed like any other rows.
+    ``key`` is the seeded shuffle key: text of hexadecimal digits. Ties, such as rows that share an id, stand in the
+    order of doc_id and then of a hash of the whole row; rows without a key are dealt by that hash. A null source is a
+    source of its own. An empty table gives no rows, repeated rows are placed like any other rows. Columns named shard
+    or slot are replaced; all others, whatever their names, are passed on.
     """
-    keyed = rows.withColumn("shuffle_key", F.coalesce(key, F.lit("")))
-    sizes = staged(
-        keyed.groupBy(F.col(source).alias("stratum")).agg(F.count(F.lit(1)).alias("stratum_rows")),
-        "strata",
+    names = rows.columns
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    # columns go by numbers inside, so no name of theirs can meet one of these
+    kept = [(i, n) for i, n in enumerate(names) if n == source or n.lower() not in ("shard", "slot")]
+    row_hash = F.xxhash64(*quoted)
+    keyed = rows.select(
+        *[c.alias(f"c{i}") for i, c in enumerate(quoted)],
+        row_hash.alias("row_hash"),
+        F.coalesce(key, F.md5(row_hash.cast("string"))).alias("shuffle_key"),
     )
+    own, doc_id = f"c{names.index(source)}", f"c{names.index('doc_id')}"
+    sizes = staged(keyed.groupBy(F.col(own).alias("stratum")).agg(F.count(F.lit(1)).alias("stratum_rows")), "strata")
     total = sizes.agg(F.coalesce(F.sum("stratum_rows"), F.lit(0)).alias("n")).first().n
     buckets = max(1, min(total // BUCKET_ROWS, math.isqrt(total)))
     # first ranking: inside each source, by the shuffle key
     spread = F.coalesce(F.conv(F.substring("shuffle_key", 1, DIGITS), 16, 10).cast("long"), F.lit(0))
     keyed = keyed.withColumn("bucket", F.floor(spread * buckets / 16**DIGITS).cast("long"))
-    counts = keyed.groupBy(F.col(source).alias("stratum"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = keyed.groupBy(F.col(own).alias("stratum"), "bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = (
         _running_start(counts, ["stratum"])
         .join(
@@ -51,23 +60,23 @@ def interleave(rows: DataFrame, shards: int, key: Column, source: str = "source"
         )
         .select("stratum", "bucket", "start", "stratum_rows")
     )
-    inside = Window.partitionBy(F.col(source), "bucket").orderBy("shuffle_key", "doc_id")
+    inside = Window.partitionBy(own, "bucket").orderBy("shuffle_key", doc_id, "row_hash")
     ranked = (
         keyed.withColumn("inside", F.row_number().over(inside))
         .join(
             starts.withColumnRenamed("bucket", "start_bucket"),
-            F.col(source).eqNullSafe(F.col("stratum")) & (F.col("bucket") == F.col("start_bucket")),
+            F.col(own).eqNullSafe(F.col("stratum")) & (F.col("bucket") == F.col("start_bucket")),
         )
         .withColumn("rank", F.col("start") + F.col("inside"))
         .withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("stratum_rows")))
-        .drop("bucket", "start_bucket", "start", "inside", "stratum")
+        .select(*[f"c{i}" for i, _ in kept], "rank", "fraction")
     )
     # second ranking: over all sources, by the fractional rank
     placed = staged(
         ranked.withColumn("bucket", F.floor(F.col("fraction") * buckets).cast("long")), "ranked"
     )
     starts = _running_start(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [])
-    inside = Window.partitionBy("bucket").orderBy("fraction", source, "rank")
+    inside = Window.partitionBy("bucket").orderBy("fraction", own, "rank")
     at = placed.withColumn("inside", F.row_number().over(inside)).join(
         starts.select("bucket", "start"), "bucket"
     )
@@ -79,5 +88,5 @@ def interleave(rows: DataFrame, shards: int, key: Column, source: str = "source"
             "slot",
             F.expr(f"position - (cast(shard as bigint) * {total} + {shards - 1}) div {shards}"),
         )
-        .drop("bucket", "start", "inside", "n", "shuffle_key", "stratum_rows")
+        .select(*[F.col(f"c{i}").alias(n) for i, n in kept], "shard", "slot")
     )

@@ -1,8 +1,10 @@
 """HTML extraction by union-free regular-expression inference.
 
-Each page is a stream of tags and text slots. Adjacent repetitions become repeated groups, which leaves few
-different streams per host; they are counted in the shuffle and aligned one after the other: equal parts stay,
-what only one side has becomes an optional group, and repetitions that appear by alignment are folded again. The
+Each page is a stream of tags and text slots. Adjacent repetitions of any length become repeated groups, which leaves
+few different streams per host; they are counted in the shuffle and aligned one after the other: equal parts stay,
+what only one side has becomes an optional group, and repetitions that appear by alignment are folded again. Two
+streams are aligned on what stands in each of them once, in the same order, and between such places on the rest, so
+the work grows little faster than the pages. The streams of a host are aligned in a tree of groups of FAN. The
 resulting wrapper, a regular expression without unions, names the element that holds the main text of the host's
 pages. Extraction then reads every page once and takes the text blocks of that element, without menus and the like.
 """
@@ -11,6 +13,8 @@ import difflib
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,10 +22,13 @@ from pyspark.sql import functions as F
 
 from tablekeep.llm.common import ship_package, staged, text_columns
 
-#: First step of the alignment: streams of a host are spread over so many groups, whose wrappers are then aligned.
-SPREAD = 16
-#: Longest group of tags, in tokens, that is looked for as a repetition.
-LONGEST_GROUP = 12
+#: Streams of a host that one task aligns; their wrappers are aligned again, until a host has one.
+FAN = 32
+#: Groups of up to so many tokens are tried everywhere; longer repetitions are found by the next places of a token.
+SHORT_GROUP = 12
+NEXT_PLACES = 8
+#: Parts of two streams without a common unique token are compared node by node up to this product of their lengths.
+SMALL = 250_000
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|/?[A-Za-z](?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>)",
@@ -116,22 +123,28 @@ def _key(node) -> str:
 
 def _regroup(nodes: list, other: list) -> list:
     """Single occurrences of what the other wrapper repeats, as groups."""
-    for body in sorted((n[1] for n in other if isinstance(n, list) and n[0] == "+"), key=len, reverse=True):
+    bodies = sorted((n[1] for n in other if isinstance(n, list) and n[0] == "+"), key=len, reverse=True)
+    changed = False
+    for body in bodies:
+        first, size = body[0], len(body)
+        if first not in nodes:
+            continue
         out, i = [], 0
         while i < len(nodes):
-            if nodes[i : i + len(body)] == body:
+            if nodes[i] == first and nodes[i : i + size] == body:
                 out.append(["+", body])
-                i += len(body)
+                i += size
+                changed = True
             else:
                 out.append(nodes[i])
                 i += 1
         nodes = out
-    return fold(nodes)
+    return fold(nodes) if changed else nodes
 
 
 def fold(nodes: list) -> list:
     """Adjacent repetitions as repeated groups, the shortest groups first."""
-    for size in range(1, LONGEST_GROUP + 1):
+    for size in range(1, SHORT_GROUP + 1):
         out, i = [], 0
         while i < len(nodes):
             group = nodes[i : i + size]
@@ -153,7 +166,49 @@ def fold(nodes: list) -> list:
                 out.append(nodes[i])
                 i += 1
         nodes = out
-    return nodes
+    return _fold_long(nodes)
+
+
+def _fold_long(nodes: list) -> list:
+    """Repetitions longer than SHORT_GROUP: a group starts again where its first token stands next.
+
+    Nodes are numbers and stretches are compared by the hash of their numbers, so a place costs NEXT_PLACES looks.
+    """
+    if len(nodes) <= 2 * SHORT_GROUP:
+        return nodes
+    numbers: dict[str, int] = {}
+    ids = [numbers.setdefault(n if isinstance(n, str) else json.dumps(n), len(numbers) + 1) for n in nodes]
+    places: dict[int, list[int]] = {}
+    for i, number in enumerate(ids):
+        places.setdefault(number, []).append(i)
+    prime, base = (1 << 61) - 1, 1_000_003
+    hashes, powers = [0], [1]
+    for number in ids:
+        hashes.append((hashes[-1] * base + number) % prime)
+        powers.append(powers[-1] * base % prime)
+
+    def same(i: int, j: int, size: int) -> bool:
+        if j + size > len(ids):
+            return False
+        one = (hashes[i + size] - hashes[i] * powers[size]) % prime
+        return one == (hashes[j + size] - hashes[j] * powers[size]) % prime and nodes[i : i + size] == nodes[j : j + size]
+
+    out, i = [], 0
+    while i < len(nodes):
+        own = places[ids[i]]
+        at = bisect_left(own, i)
+        for j in own[at + 1 : at + 1 + NEXT_PLACES]:
+            size = j - i
+            if size > SHORT_GROUP and same(i, j, size):
+                while same(i, j, size):
+                    j += size
+                out.append(["+", nodes[i : i + size]])
+                i = j
+                break
+        else:
+            out.append(nodes[i])
+            i += 1
+    return out if len(out) < len(nodes) else nodes
 
 
 def stream(page: str) -> list:
@@ -186,19 +241,83 @@ def align(a: list, b: list) -> list:
 
     a, b = _regroup(a, b), _regroup(b, a)
     fresh: list = []
-    matcher = difflib.SequenceMatcher(None, [_key(n) for n in a], [_key(n) for n in b], autojunk=False)
-    for op, i, j, k, m in matcher.get_opcodes():
-        if op == "equal":
-            for x, y in zip(a[i:j], b[k:m], strict=True):
-                out.append(_same(x, y))
-            continue
+    i = k = 0
+    for j, m in [*matches([_key(n) for n in a], [_key(n) for n in b]), (len(a), len(b))]:
         fresh = []
         optional(a[i:j])
         fresh = []
         optional(b[k:m])
+        if j < len(a) and m < len(b):
+            out.append(_same(a[j], b[m]))
+        i, k = j + 1, m + 1
     return fold(out)
 
 
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal keys that go up in both rows.
+
+    Equal ends are matched first, then the longest rising row of keys that stand once on both sides, and so on
+    between these. A part that has none is compared node by node if it is small; of larger parts only the keys that
+    are as frequent on both sides are matched, each with the one of its turn.
+    """
+    out: list[tuple[int, int]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i, j, k, m = work.pop()
+        while i < j and k < m and a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        mine, theirs = Counter(a[i:j]), Counter(b[k:m])
+        if (j - i) * (m - k) <= SMALL:
+            blocks = difflib.SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_matching_blocks()
+            out += [(i + x + d, k + y + d) for x, y, n in blocks for d in range(n)]
+            continue
+        once = {key for key, n in mine.items() if n == 1 and theirs[key] == 1}
+        turns = once or {key for key, n in mine.items() if theirs[key] == n}
+        place: dict[tuple[str, int], int] = {}
+        seen: Counter = Counter()
+        for y in range(k, m):
+            if b[y] in turns:
+                place[b[y], seen[b[y]]] = y
+                seen[b[y]] += 1
+        seen.clear()
+        pairs = []
+        for x in range(i, j):
+            if a[x] in turns:
+                pairs.append((x, place[a[x], seen[a[x]]]))
+                seen[a[x]] += 1
+        chain = _rising(pairs)
+        if not chain:
+            continue
+        out += chain
+        if once:
+            ends = [(i - 1, k - 1), *chain, (j, m)]
+            work += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(ends, ends[1:], strict=False)]
+    return sorted(out)
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest row of pairs that goes up on both sides; ``pairs`` goes up on the first."""
+    tops: list[int] = []
+    last: list[int] = []
+    before: list[int | None] = []
+    for number, (_, y) in enumerate(pairs):
+        at = bisect_left(tops, y)
+        before.append(last[at - 1] if at else None)
+        tops[at : at + 1] = [y]
+        last[at : at + 1] = [number]
+    out, at = [], last[-1] if last else None
+    while at is not None:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
 def _same(x, y):
     if x == y:
         return x
@@ -336,15 +455,16 @@ def host(url: Column) -> Column:
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON), element and pages for every host, from all its pages.
 
-    Different streams are counted per task first. Their number depends on a site's templates, not on its pages,
-    and they are aligned in two steps so that no group holds all of a large site.
+    Different streams are counted per task first. Groups of FAN streams of a host are aligned in a task each, then
+    their wrappers, until every host has one, so no group holds all of a large site.
     """
 
     def make():
         return lambda texts: [[json.dumps(stream(t or "")) for t in texts]]
 
     streams = text_columns(pages.select(host(F.col("url")).alias("host"), "html"), "stream string", make, "html", ("html",))
-    counted = streams.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"))
+    schema = "host string, stream string, pages bigint"
+    found = staged(streams.groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages")), "streams")
     ship_package(pages.sparkSession)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -353,36 +473,49 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             {"host": [group["host"].iloc[0]], "stream": [json.dumps(wrapper)], "pages": [int(group["pages"].sum())]}
         )
 
-    schema = "host string, stream string, pages bigint"
-    spread = F.pmod(F.xxhash64("stream"), F.lit(SPREAD))
-    parts = counted.groupBy("host", spread.alias("part")).applyInPandas(merge, schema)
+    def most() -> int:
+        return found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+
+    left = most()
+    while left > 1:
+        sizes = found.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("stream"), F.col("parts"))
+        dealt = found.join(sizes, "host").withColumn("part", F.when(F.lit(left <= FAN), F.lit(0)).otherwise(part))
+        found = staged(dealt.groupBy("host", "part").applyInPandas(merge, schema), "wrapped")
+        before, left = left, most()
+        if left == before:  # one stream a part, by chance
+            break
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        out = merge(group)
-        out["element"] = [main_element(json.loads(s)) for s in out["stream"]]
-        return out
+    def finish(batches):
+        for batch in batches:
+            batch["element"] = [main_element(json.loads(s)) for s in batch["stream"]]
+            yield batch[["host", "stream", "element", "pages"]]
 
-    return (
-        parts.groupBy("host").applyInPandas(finish, f"{schema}, element string").withColumnRenamed("stream", "wrapper")
-    )
+    if left > 1:
+        found = found.groupBy("host").applyInPandas(merge, schema)
+    return found.mapInPandas(finish, "host string, stream string, element string, pages bigint").withColumnRenamed("stream", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` without html and with ``text``: the blocks of the main text, joined by line feeds.
 
-    A null or empty page has an empty text. Pages without a host share one wrapper. Existing columns named text
-    or host are replaced.
+    A null or empty page has an empty text. Pages without a host share one wrapper, as do hosts that differ in case
+    only. Repeated pages are extracted each, an empty table gives no rows. Existing columns named text or host are
+    replaced; all others, whatever their names, are passed on.
     """
     elements = staged(infer_wrappers(pages).select("host", "element"), "wrappers")
-    kept = [c for c in pages.columns if c not in ("host", "text", "html")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "text", "html")]
+    # columns go by numbers inside, so no name of theirs can meet one of these
+    numbered = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(kept)]
     page = F.struct(F.col("html"), F.coalesce("element", F.lit("")).alias("element"))
     joined = (
-        pages.select(*kept, "html", host(F.col("url")).alias("host"))
+        pages.select(*numbered, "html", host(F.col("url")).alias("host"))
         .join(elements, "host", "left")
-        .select(*kept, page.alias("page"))
+        .select(*[f"c{i}" for i in range(len(kept))], page.alias("page"))
     )
 
     def make():
         return lambda rows: [[main_text(r["html"] or "", r["element"]) for r in rows]]
 
-    return text_columns(joined, "text string", make, "page", ("page",))
+    found = text_columns(joined, "text string", make, "page", ("page",))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "text")

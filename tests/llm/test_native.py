@@ -65,6 +65,21 @@ def test_shards(spark):
     assert sorted((r.shard, r.slot) for r in sharding.interleave(same, 3, key).collect()) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ("start", "stratum", "stratum_rows", "n", "bucket", "inside", "rank", "position", "fraction", "shuffle_key", "c0", "a.b", "Shard", "slot")
+    docs = documents(spark, ["t"] * 30, source=["a", "b", None] * 10).drop("score")
+    for name in names:
+        docs = docs.withColumn(name, F.col("doc_id") * 2)
+    docs = docs.union(docs.limit(5)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    placed = sharding.interleave(docs, 4, F.md5(F.col("doc_id").cast("string")))
+    assert placed.columns == [*[c for c in docs.columns if c not in ("Shard", "slot")], "shard", "slot"]
+    rows = placed.collect()
+    assert len(rows) == 38 and sorted(Counter(r.shard for r in rows).values()) == [9, 9, 10, 10]
+    assert all(r.rank == r["a.b"] == r.c0 and (r.doc_id is None or r.rank == 2 * r.doc_id) for r in rows)
+    again = sharding.interleave(docs.repartition(5), 4, F.md5(F.col("doc_id").cast("string"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
 def test_rules(spark):
     rng = random.Random(3)
     run = sentence(rng, 6)
