@@ -13,6 +13,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]
     Such rows match nothing, but a plain join sends all of them to the task of the null key.
     """
     missing = reduce(or_, [F.col(k).isNull() for k in keys])
-    dealt = F.when(missing, F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
-    salted = left.withColumn("_salt", dealt)
-    return salted.join(right.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left").drop("_salt")
+    # zero, but not to the optimizer, which would take a constant out of the keys again
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
+    salted = left.withColumn("_salt", F.when(missing, F.xxhash64(*spread)).otherwise(zero))
+    return salted.join(right.withColumn("_salt", zero), [*keys, "_salt"], "left").drop("_salt")

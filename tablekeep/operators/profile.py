@@ -19,8 +19,8 @@ SAMPLE_SIZE = 20
 ALGO_VERSION = "v1"
 # Columns per aggregate; a columnar scan of each group reads only its own columns.
 COLUMNS_PER_PASS = 40
-# Relative error of an estimate of distinct values, and the size of the sketches that are stored, as a power of two.
-DISTINCT_ERROR = 0.02
+# Size of the sketches that estimate distinct values, as a power of two: 1.6 % off on average, and stored ones 0.8 %.
+ESTIMATE_BITS = 12
 SKETCH_BITS = 14
 
 
@@ -53,11 +53,17 @@ def _col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _countable(field: T.StructField) -> Column:
+    """A column as a type that sketches take; others are counted by their text."""
+    known = isinstance(field.dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType))
+    return _col(field.name) if known else _col(field.name).cast("string")
+
+
 def _group_stats(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:
     aggs, rows = [F.count(F.lit(1)).alias("rows_count")], []
     for i, field in columns:
         column, kind = _col(field.name), column_class(field.dataType)
-        aggs.append(F.approx_count_distinct(column, DISTINCT_ERROR).alias(f"d{i}"))
+        aggs.append(F.hll_sketch_estimate(F.hll_sketch_agg(_countable(field), ESTIMATE_BITS)).alias(f"d{i}"))
         if kind == NUMERIC:
             aggs += [
                 F.min(column).cast("double").alias(f"min{i}"),
@@ -85,7 +91,7 @@ def _group_stats(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> Dat
 def column_stats(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: class, min, max, mean, sample deviation, distinct count, rows.
 
-    Distinct counts are HyperLogLog++ estimates unless ``exact_distinct``: then one more scan counts the values of all
+    Distinct counts are HyperLogLog estimates unless ``exact_distinct``: then one more scan counts the values of all
     columns together, merged inside the tasks before anything is shuffled.
     """
     fields = list(enumerate(df.schema.fields))
@@ -119,11 +125,7 @@ def column_sketches(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         aggs, rows = [F.count(F.lit(1)).alias("rows_count")], []
         for i, field in fields[start : start + COLUMNS_PER_PASS]:
             column, kind = _col(field.name), column_class(field.dataType)
-            known = isinstance(field.dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType))
-            aggs += [
-                F.count(column).alias(f"n{i}"),
-                F.hll_sketch_agg(column if known else column.cast("string"), SKETCH_BITS).alias(f"s{i}"),
-            ]
+            aggs += [F.count(column).alias(f"n{i}"), F.hll_sketch_agg(_countable(field), SKETCH_BITS).alias(f"s{i}")]
             stats = {name: F.lit(None).cast("double") for name in ("min", "max", "mean", "deviations")}
             if kind == NUMERIC:
                 number = column.cast("double")
