@@ -18,7 +18,7 @@ from tablekeep.functions.lineage import scratch_path
 SPACES = r"\x20\x09-\x0D"
 
 #: Text that is handled at once in a task, in bytes, beside a single longer text.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
 
@@ -40,8 +40,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches on the way to Python workers, unless the session has limits of its own: rows of long texts are large.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application, through a file in the shared folder."""
+    """Give Python workers this package, once per application, through a file in the shared folder, and small batches."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -136,6 +143,8 @@ def text_columns(
                 arrays = [piece.column(i) for i in places]
                 arrays += [pa.array(x, type=t) for x, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added.names])
+        # workers live on between tasks: what this one held goes back
+        pa.default_memory_pool().release_unused()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

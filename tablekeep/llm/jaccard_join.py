@@ -249,23 +249,34 @@ def _sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
     blocks = (1 << SKETCH_BITS) // SKETCH_BLOCK
 
     def count(batches):
-        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), False
+        # counters met so far with their counts; few of all counters in a task of usual size
+        at, times, held = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint32), []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([at, *[x for x, _ in held]])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else order
+            sums = np.add.reduceat(np.concatenate([times, *[x for _, x in held]])[order], heads) if len(every) else times
+            return every[heads], sums
+
         for batch in batches:
             step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
             for start in range(0, batch.num_rows, step):
                 sets = shingle_sets(batch.column(0).slice(start, step).to_pylist(), rule.words)
-                at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                counts[at] += times.astype(np.uint32)
-                seen = True
-        if seen:
-            used = np.flatnonzero(counts)
+                found = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                held.append(tuple(x.astype(np.uint32) for x in found))
+                if sum(len(x) for x, _ in held) > len(at) + SKETCH_BLOCK:
+                    (at, times), held = summed(), []
+        used, counts = summed()
+        if len(used):
             cuts = np.searchsorted(used, np.arange(blocks + 1) * SKETCH_BLOCK)
-            found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                gaps = np.diff(used[a:b], prepend=used[a : a + 1] // SKETCH_BLOCK * SKETCH_BLOCK)
-                found.append(zlib.compress(np.concatenate([gaps.astype(np.uint32), counts[used[a:b]]]).tobytes(), 1))
+            packed = []
+            for number, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                gaps = np.diff(used[a:b], prepend=np.uint32(number * SKETCH_BLOCK))
+                packed.append(zlib.compress(np.concatenate([gaps, counts[a:b]]).astype(np.uint32).tobytes(), 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks), type=pa.int32()), pa.array(found, type=pa.binary())], names=["block", "counts"]
+                [pa.array(range(blocks), type=pa.int32()), pa.array(packed, type=pa.binary())], names=["block", "counts"]
             )
 
     def add(batches):

@@ -10,13 +10,15 @@ A pair of words is hashed by the difference of its words, so that a word followi
 feature, whatever the word.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekeep.llm.common import crc_rest, text_columns
+from tablekeep.llm.common import crc_rest, ship_package
 from tablekeep.llm.features import bucket, byte_grams, means, pack, word_hashes
 
 SAMPLE = 3000
@@ -30,6 +32,8 @@ BATCH = 32
 RATE = 0.3
 THRESHOLD = 0.3
 FOLDS = 5
+#: Bytes of texts that are turned into buckets together; a task's memory is some forty times that, or the longest text.
+PIECE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -40,42 +44,41 @@ class Model:
     bias: float
 
 
-def _parts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per kind of feature: all buckets, and where each text starts and ends among them."""
+def _parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One kind of feature after the other: all its buckets, and where each text starts and ends among them."""
     data, starts, ends = pack([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     words, first, last = word_hashes(data, starts, ends)
-    pairs = np.zeros(len(words), dtype=np.uint64)
-    pairs[1:] = words[1:] - words[:-1]
-    out = [
-        (bucket(words, WORD_BITS), first, last),
-        (bucket(pairs, WORD_BITS) + (1 << WORD_BITS), np.minimum(first + 1, last), last),
-    ]
+    yield bucket(words, WORD_BITS).astype(np.uint16), first, last
+    words[1:] -= words[:-1].copy()
+    words[:1] = 0
+    yield bucket(words, WORD_BITS).astype(np.uint16) + np.uint16(1 << WORD_BITS), np.minimum(first + 1, last), last
+    del words
     base = 2 << WORD_BITS
     for i, n in enumerate(GRAMS):
-        grams = byte_grams(data, n, GRAM_BITS) + base + i * (1 << GRAM_BITS)
-        out.append((grams, starts, np.maximum(ends - n + 1, starts)))
-    return out
+        grams = byte_grams(data, n, GRAM_BITS).astype(np.uint16) + np.uint16(base + i * (1 << GRAM_BITS))
+        yield grams, starts, np.maximum(ends - n + 1, starts)
 
 
-def averages(texts: list[str | None]) -> np.ndarray:
-    """One row per text: the share of each bucket among the text's features of that kind."""
-    rows = np.zeros((len(texts), SIZE), dtype=np.float32)
+def averages(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the buckets it has, and the share of each among the text's features of that kind."""
+    found: list[list] = [[] for _ in texts]
     for values, starts, ends in _parts(texts):
-        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        for row, a, b in zip(found, starts.tolist(), ends.tolist(), strict=True):
             if b > a:
-                rows[i] += np.bincount(values[a:b], minlength=SIZE) / np.float32(b - a)
-    return rows
+                kinds, counts = np.unique(values[a:b], return_counts=True)
+                row.append((kinds, (counts / np.float32(b - a)).astype(np.float32)))
+    none = np.empty(0, dtype=np.uint16), np.empty(0, dtype=np.float32)
+    return [(np.concatenate([k for k, _ in row]), np.concatenate([v for _, v in row])) if row else none for row in found]
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Fit on labelled texts; without any, a model that scores 0.5 throughout.
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+    """Fit on the averages of labelled texts; without any, a model that scores 0.5 throughout.
 
-    Texts are turned into averages in small batches, so memory follows SAMPLE and not the texts.
+    Only the buckets that a text has are held; a step of the descent sees BATCH whole rows.
     """
-    if not texts:
+    if not rows:
         return Model(np.zeros(SIZE, dtype=np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    x = np.concatenate([averages(texts[i : i + 64]) for i in range(0, len(texts), 64)])
     y = np.array(labels, dtype=np.int64)
     vectors = rng.normal(0, 0.1, (SIZE, DIMENSIONS)).astype(np.float32)
     outputs = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
@@ -84,14 +87,17 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for start in range(0, len(y), BATCH):
-            rows = order[start : start + BATCH]
-            hidden = x[rows] @ vectors
+            chosen = order[start : start + BATCH]
+            x = np.zeros((len(chosen), SIZE), dtype=np.float32)
+            for k, row in enumerate(chosen.tolist()):
+                x[k, rows[row][0]] = rows[row][1]
+            hidden = x @ vectors
             logits = hidden @ outputs + bias
             shares = np.exp(logits - logits.max(axis=1, keepdims=True))
             shares /= shares.sum(axis=1, keepdims=True)
-            shares[np.arange(len(rows)), y[rows]] -= 1
-            shares /= len(rows)
-            steps = (x[rows].T @ (shares @ outputs.T), hidden.T @ shares, shares.sum(axis=0))
+            shares[np.arange(len(chosen)), y[chosen]] -= 1
+            shares /= len(chosen)
+            steps = (x.T @ (shares @ outputs.T), hidden.T @ shares, shares.sum(axis=0))
             for value, step, square in zip((vectors, outputs, bias), steps, squares, strict=True):
                 square += step * step
                 value -= RATE * step / np.sqrt(square)
@@ -106,11 +112,38 @@ def log_odds(model: Model, texts: list[str | None]) -> np.ndarray:
     return total
 
 
+def _pieces(column: pa.Array) -> Iterator[list[str | None]]:
+    """Texts of an Arrow column, some PIECE_BYTES at a time."""
+    step = max(1, int(len(column) * PIECE_BYTES / max(1, column.nbytes)))
+    for start in range(0, len(column), step):
+        yield column.slice(start, step).to_pylist()
+
+
+def _sampled_averages(docs: DataFrame, ids: list) -> list[tuple]:
+    """doc_id and averages of the documents with these ids; of rows that share an id the one of the least text hash."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [row for texts in _pieces(batch.column(2)) for row in averages(texts)]
+            packed = [pa.array([row[i].tobytes() for row in rows], type=pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["doc_id", "at", "kinds", "shares"])
+
+    ship_package(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter(F.col("doc_id").isin(ids)).select("doc_id", F.xxhash64("text").alias("at"), "text")
+    found = {}
+    for r in texts.mapInArrow(run, f"doc_id {kind}, at bigint, kinds binary, shares binary").collect():
+        if r.doc_id not in found or r.at < found[r.doc_id][0]:
+            found[r.doc_id] = r.at, np.frombuffer(r.kinds, dtype=np.uint16), np.frombuffer(r.shares, dtype=np.float32)
+    return [(i, (kinds, shares)) for i, (_, kinds, shares) in sorted(found.items())]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled documents whose crc32 of the id, modulo FOLDS, is not 0.
 
-    At most ``sample`` of them, chosen by a hash of the id: their ids and then their texts come to the driver.
-    Rows without an id or label are left out; of several labels of an id the greatest counts.
+    At most ``sample`` of them, chosen by a hash of the id: their ids and then the averages of their texts come to
+    the driver, at most six bytes a bucket. Rows without an id or label are left out; of several labels of an id the
+    greatest counts, of several texts that of the least hash. Without labelled rows every score is 0.5.
     """
     known = (
         labels.filter((crc_rest(F.col("doc_id"), FOLDS) != 0) & F.col("quality").isin(0, 1))
@@ -125,20 +158,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     label_of = {r.doc_id: r.quality for r in rows}
     if not label_of:
         return train([], [])
-    found = docs.filter(F.col("doc_id").isin(list(label_of))).select("doc_id", "text").collect()
-    texts = sorted({r.doc_id: r.text for r in found}.items())
-    return train([t for _, t in texts], [label_of[i] for i, _ in texts])
+    rows = _sampled_averages(docs, list(label_of))
+    return train([row for _, row in rows], [label_of[i] for i, _ in rows])
 
 
 def score(
     docs: DataFrame, model: Model, drop: tuple[str, ...] = (), name: str = "score"
 ) -> DataFrame:
-    """``docs`` with column ``name``, the share of label 1. Null and empty texts get the score of the bias."""
+    """``docs`` with column ``name``, the share of label 1; a column of that name is replaced.
 
-    def make():
-        def compute(texts: list) -> list[list]:
-            return [(1 / (1 + np.exp(-log_odds(model, texts)))).tolist()]
+    Null and empty texts get the score of the bias. Equal texts get equal scores, an empty table no rows. Other
+    columns, whatever their names, are passed on. Only the texts travel to Python; the rows stay where they are.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-        return compute
+    def share(text: pa.Array) -> pa.Array:
+        found = [1 / (1 + np.exp(-log_odds(shared.value, texts))) for texts in _pieces(text)]
+        return pa.array(np.concatenate(found) if found else [], type=pa.float64())
 
-    return text_columns(docs, f"{name} double", make, drop=drop)
+    return docs.withColumn(name, F.arrow_udf(share, "double")("text")).drop(*drop)

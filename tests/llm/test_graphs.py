@@ -1,4 +1,4 @@
-"""Jaccard join, context tree and pipeline, against plain Python."""
+"""Jaccard join and context tree, against plain Python."""
 
 import math
 import random
@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tablekeep.llm import context_tree, jaccard_join
 from tests.llm.helpers import LOWER, WORD, documents, odd_texts, sentence
 
@@ -228,34 +227,3 @@ def test_context_tree_keeps_every_decision(spark):
         assert (known[at] == want).all()
         total += np.log10(np.where((keys >> (7 - k)) & 1, p[at], 1 - p[at])).sum()
     assert row.score == pytest.approx(total, rel=1e-4)
-
-
-# --- pipeline --------------------------------------------------------------------------------------
-
-
-def test_pipeline(spark):
-    sf_dir = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, sf_dir)
-        assert after.columns == docs.columns
-        assert after.join(kept, "doc_id", "left_anti").count() == 0
-        if stage is corpus_pipeline.drop_near_duplicates:
-            texts = [r.text for r in kept.orderBy("doc_id").collect()]
-            ids = [r.doc_id for r in kept.orderBy("doc_id").select("doc_id").collect()]
-            first = {ids[x] for _, x in brute_components(texts, 5, 80, 100)}
-            assert {r.doc_id for r in after.select("doc_id").collect()} == first
-        kept = after
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    final = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in final} == ids and all(r.n_tokens == len(r.ids) // 4 for r in final)
-
-
-def test_stages_on_odd_rows(spark):
-    docs = documents(spark, odd_texts() * 2)
-    docs = docs.union(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("bigint")))
-    for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, rows, "/root/testdata/sf0.001")
-            assert out.count() <= rows.count() and "doc_id" in out.columns
