@@ -1,16 +1,19 @@
 """Phrase collocations, counted in burst tries whose subtrees are spilled as sorted runs.
 
-1. Words are counted per language. A phrase can only be frequent if all its words are, so a bit set of fixed size of
-   the frequent words tells tasks which words separate phrases; a false positive costs work, never a result.
-2. A task puts the windows of up to LONGEST words that start at each frequent word into a trie of word numbers. Its
+1. Words are counted per language, then pairs of frequent words by the steps below, then longer phrases. A phrase can
+   only be frequent if all its words and pairs are, so bit sets of fixed size of the frequent words and pairs tell
+   tasks where phrases end; a false positive costs work, never a result.
+2. A task puts the windows of two, or up to LONGEST, words that start at each word into a trie of word numbers. Its
    upper nodes are language and first word; below stand hash containers of the rest of the windows with their counts.
    A container of more than BURST windows bursts into a node with one container per next word. A trie of more than
    TRIE_WINDOWS windows is spilled: every subtree of a language and two words is written in sorted order to the run
    of its prefix partition, which carries its own small dictionary.
-3. The runs of a prefix partition are merged level by level: windows that share their first d words are one phrase of
+3. A spill goes to FAN partitions at most. Where more are needed, the runs of one are merged and split again, so a run
+   stays long and its dictionary small, however many partitions there are.
+4. The runs of a prefix partition are merged level by level: windows that share their first d words are one phrase of
    d words, and windows whose prefix is too rare leave the merge. A partition that one frequent pair of words makes
    too large for a task is not merged there; its phrases are summed up by an aggregate over phrases instead.
-4. Scores, containment and ranks are joins over the frequent phrases.
+5. Scores, containment and ranks are joins over the frequent phrases.
 """
 
 import zlib
@@ -31,16 +34,21 @@ UNKNOWN = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 #: Bytes of texts that are cut into words together.
-PIECE_BYTES = 2 << 20
-#: Bits of the filter of frequent words: two megabytes.
+PIECE_BYTES = 1 << 20
+#: Bits of the filters of frequent words and pairs: two megabytes each.
 FILTER_BITS = 1 << 24
+#: Factors and modulus of the hash of a pair.
+_LANG, _FIRST, _SECOND, _PRIME = 268_435_399, 402_653_189, 536_870_909, 2_147_483_629
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 1 << 19
-#: Windows of a container, of a trie, and of a prefix partition on average and at most.
+#: Windows of a container and of a trie, windows of the corpus for each prefix partition, and distinct ones of it at most.
 BURST = 1 << 13
-TRIE_WINDOWS = 1 << 19
+TRIE_WINDOWS = 1 << 18
 PARTITION_WINDOWS = 1 << 19
-LARGEST_PARTITION = 1 << 22
+LARGEST_PARTITION = 1 << 20
+#: Partitions that a spill, or a partition that is split again, is dealt to, and windows that are merged before that.
+FAN = 64
+MERGED_WINDOWS = 1 << 20
 
 _BIG = np.dtype(">i4")
 _ENDS = np.zeros(256, dtype=bool)
@@ -167,46 +175,76 @@ def _packed(rows: np.ndarray) -> list[bytes]:
 
 
 def _spilled(trie: Trie, names: list[bytes], partitions: int, schema: pa.Schema) -> pa.RecordBatch:
-    """One row per prefix partition: its number, windows, words, and the sorted run of windows with counts."""
+    """The runs of a trie, whose word number n is names[n]."""
     keys, counts = [], []
     for some, n in trie.subtrees():
         keys += some
         counts += n
-    windows = np.frombuffer(b"".join(keys), dtype=_BIG).reshape(len(keys), LONGEST + 1).astype(np.int32)
+    windows = np.frombuffer(b"".join(keys), dtype=_BIG).reshape(len(keys), -1).astype(np.int32)
     del keys
     # numbers in the order of the words, so that runs of all tasks are sorted alike
     order = sorted(range(1, len(names)), key=names.__getitem__)
     place = np.zeros(len(names), dtype=np.int32)
     place[order] = np.arange(1, len(names))
-    names = [b"", *[names[i] for i in order]]
-    windows = place[windows]
-    code = np.array([zlib.crc32(w) for w in names], dtype=np.uint64)
-    mixed = (code[windows[:, 0]] * np.uint64(31) + code[windows[:, 1]]) * np.uint64(0x9E3779B97F4A7C15) + code[windows[:, 2]]
-    part = ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % partitions
-    order = np.lexsort((*windows.T[::-1], part))
-    windows, part, counts = windows[order], part[order], np.array(counts, dtype=np.int64)[order]
+    return _runs(place[windows].T, np.array(counts, dtype=np.int64), [names[i] for i in order], partitions, schema)
+
+
+def _runs(windows: np.ndarray, counts: np.ndarray, names: list[bytes], partitions: int, schema: pa.Schema) -> pa.RecordBatch:
+    """One row per prefix partition: its number, windows, and the packed run: words, then sorted windows with counts.
+
+    ``windows`` has a row per level, ``names[n - 1]`` is word n and names are sorted. Equal windows are added up.
+    """
+    code = np.array([0, *[zlib.crc32(w) for w in names]], dtype=np.uint64)
+    mixed = (code[windows[0]] * np.uint64(31) + code[windows[1]]) * np.uint64(0x9E3779B97F4A7C15) + code[windows[2]]
+    # ranges of a hash: a partition of few is a row of neighbouring partitions of many
+    part = ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) * partitions >> 31
+    order = np.lexsort((*windows[::-1], part))
+    windows, part, counts = windows[:, order], part[order], counts[order]
+    heads = np.flatnonzero(np.append(True, (windows[:, 1:] != windows[:, :-1]).any(axis=0)))
+    windows, part, counts = windows[:, heads], part[heads], np.add.reduceat(counts, heads)
     bounds = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
     rows: dict[str, list] = {f.name: [] for f in schema}
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        used, local = np.unique(windows[low:high], return_inverse=True)
-        local = local.reshape(-1, LONGEST + 1) + int(used[0] != 0)
-        own = [names[i] for i in used.tolist() if i]
-        run = local.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).T.tobytes() + counts[low:high].astype(np.uint32 if counts[low:high].max() < 1 << 32 else np.uint64).tobytes()
+        used, local = np.unique(windows[:, low:high], return_inverse=True)
+        local = local.reshape(len(windows), -1) + int(used[0] != 0)
+        own = b"\n".join([names[i - 1] for i in used.tolist() if i])
+        # columns one after the other: sorted and small numbers pack well
+        kind = np.dtype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+        head = np.array([len(own), len(windows), kind.itemsize], dtype=np.int64).tobytes()
+        raw = head + own + local.astype(kind).tobytes() + counts[low:high].tobytes()
         rows["part"].append(int(part[low]))
         rows["windows"].append(high - low)
-        rows["words"].append(b"\n".join(own))
-        rows["run"].append(run)
+        rows["size"].append(len(raw))
+        rows["run"].append(pa.compress(raw, codec="zstd", asbytes=True))
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def _read_run(windows: int, words: bytes, run: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Windows as rows of word numbers, counts, and the words from number 1 on."""
-    names = words.split(b"\n")
-    kind = np.uint16 if len(names) < 1 << 16 else np.uint32
-    size = windows * (LONGEST + 1) * np.dtype(kind).itemsize
-    rows = np.frombuffer(run[:size], dtype=kind).reshape(LONGEST + 1, windows)
-    counts = np.frombuffer(run[size:], dtype=np.uint32 if len(run) - size == 4 * windows else np.uint64)
-    return rows.astype(np.int32), counts.astype(np.int64), names
+def _read_run(windows: int, size: int, run: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Windows with a row per level, counts, and the words from number 1 on."""
+    raw = pa.decompress(run, size, codec="zstd", asbytes=True)
+    length, levels, width = np.frombuffer(raw, dtype=np.int64, count=3).tolist()
+    end = 24 + length
+    rows = np.frombuffer(raw, dtype=f"u{width}", count=windows * levels, offset=end).reshape(levels, windows)
+    return rows, np.frombuffer(raw, dtype=np.int64, offset=size - 8 * windows), raw[24:end].split(b"\n")
+
+
+def _together(runs: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Packed runs (windows, size, run) as one: windows, counts and sorted words."""
+    total = sum(n for n, _, _ in runs)
+    names = sorted({w for n, size, run in runs for w in _read_run(n, size, run)[2]})
+    numbers = {w: i + 1 for i, w in enumerate(names)}
+    levels = len(_read_run(*runs[0])[0])
+    windows, counts, at = np.empty((levels, total), dtype=np.int32), np.empty(total, dtype=np.int64), 0
+    for n, size, run in runs:
+        rows, own, some = _read_run(n, size, run)
+        windows[:, at : at + n] = np.array([0, *[numbers[w] for w in some]], dtype=np.int32)[rows]
+        counts[at : at + n] = own
+        at += n
+    return windows, counts, names
+
+
+def _packed_runs(batch) -> list[tuple[int, int, bytes]]:
+    return list(zip(*[batch.column(c).to_pylist() for c in ("windows", "size", "run")], strict=True))
 
 
 def _phrases(columns: np.ndarray, counts: np.ndarray, size: int, least: int):
@@ -215,7 +253,7 @@ def _phrases(columns: np.ndarray, counts: np.ndarray, size: int, least: int):
     Level by level: windows of equal prefix get equal numbers, and those of a rare prefix leave.
     """
     prefix = columns[0].astype(np.int64)
-    for depth in range(1, LONGEST + 1):
+    for depth in range(1, len(columns)):
         inside = columns[depth] > 0
         columns, counts, prefix = columns[:, inside], counts[inside], prefix[inside]
         if not len(prefix):
@@ -235,7 +273,7 @@ def _phrases(columns: np.ndarray, counts: np.ndarray, size: int, least: int):
 
 
 _COUNTS = "lang string, phrase string, words int, n bigint"
-_RUNS = "part int, windows bigint, words binary, run binary"
+_RUNS = "part int, windows bigint, size bigint, run binary"
 
 
 def _count_batch(columns: np.ndarray, counts: np.ndarray, names: list[bytes], least: int) -> pa.RecordBatch:
@@ -253,34 +291,27 @@ def _count_batch(columns: np.ndarray, counts: np.ndarray, names: list[bytes], le
     )
 
 
-def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Counts of all phrases of one to LONGEST words that occur ``least`` times or more, and of all words, per language.
-
-    The first has lang, phrase, words and n, the second lang and total. Both are written to the shared folder.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    counted = texts.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = staged(counted.filter(F.col("word").isNull() | (F.col("n") >= least)), "words")
-    totals = counted.filter("word is null").select("lang", F.col("n").alias("total"))
-    words = counted.filter("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
-
-    bit = F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(b"\0"), F.encode("phrase", "utf-8"))) % FILTER_BITS
-    bits = (
-        words.select(F.shiftright(bit, 5).cast("int").alias("at"), bit.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
+def _bit_set(slots: DataFrame) -> np.ndarray:
+    """Bits of the column ``slot``, as words of 32 bits; not more than FILTER_BITS come to the driver."""
+    rows = (
+        slots.select(F.shiftright("slot", 5).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bits"))
         .groupBy("at")
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .agg(F.bit_or("bits").alias("bits"))
         .toArrow()
     )
     table = np.zeros(FILTER_BITS // 32, dtype=np.int64)
-    table[bits["at"].to_numpy()] = bits["bits"].to_numpy()
-    frequent = spark.sparkContext.broadcast(table)
-    total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first().n
-    partitions = max(1, total // PARTITION_WINDOWS)
-    schema = arrow_schema(_RUNS)
+    table[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return table
+
+
+def _bytes(column: str):
+    return F.encode(column, "utf-8")
 
-    def fill(batches):
+
+def _filler(words, pairs, longest: int, partitions: int, schema: pa.Schema):
+    """Task side of counting: the runs of all windows of ``longest`` words, or of three and more if ``pairs`` is given."""
+
+    def run(batches):
         trie, numbers, names = Trie(), {}, [b""]
 
         def number(name: bytes) -> int:
@@ -290,63 +321,124 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             return numbers[name]
 
         for piece in pieces(batches, PIECE_BYTES):
-            words, lang, begins, langs = _tokens(piece)
-            if len(words.ids) < 2:
+            tokens, lang, begins, langs = _tokens(piece)
+            if len(tokens.ids) < 2:
                 continue
-            own = words.names.to_pylist()
-            ids = np.zeros((len(langs), len(own)), dtype=np.int32)
-            pairs = np.unique(lang.astype(np.int64) * len(own) + words.ids)
+            own = tokens.names.to_pylist()
             known = [name.encode() for name in langs]
-            for k, w in zip((pairs // len(own)).tolist(), (pairs % len(own)).tolist(), strict=True):
+            ids = np.zeros((len(langs), len(own)), dtype=np.int32)
+            distinct = np.unique(lang.astype(np.int64) * len(own) + tokens.ids)
+            for k, w in zip((distinct // len(own)).tolist(), (distinct % len(own)).tolist(), strict=True):
                 slot = _slot(known[k], own[w])
-                if frequent.value[slot >> 5] >> (slot & 31) & 1:
+                if words.value[slot >> 5] >> (slot & 31) & 1:
                     ids[k, w] = number(own[w])
             # a blank in front tells languages from words, and hexadecimal digits hold no line feed
             heads = np.array([number(b" " + name.hex().encode()) for name in known], dtype=np.int32)
-            coded = ids[lang, words.ids]
-            padded = np.append(coded, np.zeros(LONGEST, dtype=np.int32))
-            windows = np.zeros((len(coded), LONGEST + 1), dtype=np.int32)
-            windows[:, 0], windows[:, 1] = heads[lang], coded
-            going, cut = coded > 0, np.append(begins, np.ones(LONGEST, dtype=bool))
-            for d in range(1, LONGEST):
-                after = padded[d : d + len(coded)]
-                going = going & (after > 0) & ~cut[d : d + len(coded)]
-                windows[:, d + 1] = np.where(going, after, 0)
-            trie.add(windows[windows[:, 2] > 0])
+            coded = ids[lang, tokens.ids]
+            # whether a word and the next one can stand in one phrase
+            tied = (coded[:-1] > 0) & (coded[1:] > 0) & ~begins[1:]
+            if pairs is not None:
+                code = np.array([zlib.crc32(w) for w in own], dtype=np.int64)[tokens.ids]
+                langs_code = np.array([zlib.crc32(name) for name in known], dtype=np.int64)[lang]
+                slot = (langs_code[:-1] * _LANG + code[:-1] * _FIRST + code[1:] * _SECOND) % _PRIME % FILTER_BITS
+                tied &= pairs.value[slot >> 5] >> (slot & 31) & 1 == 1
+            starts = np.flatnonzero(tied if pairs is None else tied[:-1] & tied[1:])
+            windows = np.zeros((len(starts), longest + 1), dtype=np.int32)
+            windows[:, 0], windows[:, 1] = heads[lang[starts]], coded[starts]
+            tied = np.append(tied, np.zeros(longest, dtype=bool))
+            padded = np.append(coded, np.zeros(longest, dtype=np.int32))
+            going = np.ones(len(starts), dtype=bool)
+            for d in range(1, longest):
+                going &= tied[starts + d - 1]
+                windows[:, d + 1] = np.where(going, padded[starts + d], 0)
+            trie.add(windows)
             if trie.size > TRIE_WINDOWS:
                 yield _spilled(trie, names, partitions, schema)
                 trie, numbers, names = Trie(), {}, [b""]
         if trie.size:
             yield _spilled(trie, names, partitions, schema)
 
-    runs = staged(texts.mapInArrow(fill, _RUNS), "runs")
+    return run
+
+
+def _counted(texts: DataFrame, longest: int, words, pairs, windows: int, least: int) -> DataFrame:
+    """Phrases of two words, or of three to ``longest`` with ``pairs``, that occur ``least`` times or more.
+
+    ``windows`` is how many there are to count; it only says how many partitions they are dealt to.
+    """
+    spark = texts.sparkSession
+    entry = PARTITION_WINDOWS * (LONGEST + 1) // (longest + 1)
+    wide = max(1, windows // entry)
+    partitions = min(wide, FAN)
+    schema = arrow_schema(_RUNS)
+
+    def split_again(partitions: int):
+        def run(batches):
+            held: dict[int, list[tuple[int, int, bytes]]] = {}
+            size = 0
+            for batch in batches:
+                for part, packed in zip(batch.column("part").to_pylist(), _packed_runs(batch), strict=True):
+                    held.setdefault(part, []).append(packed)
+                    size += packed[0]
+                    if size > MERGED_WINDOWS:
+                        for some in held.values():
+                            yield _runs(*_together(some), partitions, schema)
+                        held, size = {}, 0
+            for some in held.values():
+                yield _runs(*_together(some), partitions, schema)
+
+        return run
+
+    runs = texts.mapInArrow(_filler(words, pairs, longest, partitions, schema), _RUNS)
+    while partitions < wide:
+        # runs of one partition meet in a few tasks, so one that holds much is no single task's work
+        tasks = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        partitions *= min(FAN, -(-wide // partitions))
+        runs = runs.repartition(tasks, "part", F.pmod(F.xxhash64("run"), F.lit(4))).mapInArrow(split_again(partitions), _RUNS)
+    runs = staged(runs, "runs")
 
     def merge(group: pa.Table) -> pa.Table:
-        columns, counts, read = [], [], []
-        for row in group.select(["windows", "words", "run"]).to_pylist():
-            read.append(_read_run(row["windows"], row["words"], row["run"]))
-        names = sorted({w for _, _, some in read for w in some})
-        numbers = {w: i + 1 for i, w in enumerate(names)}
-        for rows, n, some in read:
-            columns.append(np.array([0, *[numbers[w] for w in some]], dtype=np.int32)[rows])
-            counts.append(n)
-        batch = _count_batch(np.concatenate(columns, axis=1), np.concatenate(counts), names, least)
-        return pa.Table.from_batches([batch])
+        return pa.Table.from_batches([_count_batch(*_together(_packed_runs(group)), least)])
 
     def unfold(batches):
         for batch in batches:
-            for row in batch.select(["windows", "words", "run"]).to_pylist():
-                yield _count_batch(*_read_run(row["windows"], row["words"], row["run"]), 1)
+            for packed in _packed_runs(batch):
+                yield _count_batch(*_read_run(*packed), 1)
 
     weights = runs.groupBy("part").agg(F.sum("windows").alias("weight"))
-    large = weights.filter(F.col("weight") > LARGEST_PARTITION).select("part")
+    large = weights.filter(F.col("weight") > LARGEST_PARTITION * (LONGEST + 1) // (longest + 1)).select("part")
     if large.isEmpty():
         found = runs.groupBy("part").applyInArrow(merge, _COUNTS)
     else:
         spread = runs.join(large, "part", "left_semi").mapInArrow(unfold, _COUNTS)
         spread = spread.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         found = runs.join(large, "part", "left_anti").groupBy("part").applyInArrow(merge, _COUNTS).union(spread)
-    return staged(words.union(found), "phrases"), totals
+    return staged(found if pairs is None else found.filter("words > 2"), "phrases")
+
+
+def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of all phrases of one to LONGEST words that occur ``least`` times or more, and of all words, per language.
+
+    The first has lang, phrase, words and n, the second lang and total. Both are written to the shared folder.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
+    counted = texts.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = staged(counted.filter(F.col("word").isNull() | (F.col("n") >= least)), "words")
+    totals = counted.filter("word is null").select("lang", F.col("n").alias("total"))
+    words = counted.filter("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
+    slot = F.crc32(F.concat(_bytes("lang"), F.lit(b"\0"), _bytes("phrase"))) % FILTER_BITS
+    known = spark.sparkContext.broadcast(_bit_set(words.select(slot.alias("slot"))))
+    total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first().n
+    two = _counted(texts, 2, known, None, total, least)
+
+    word = [F.crc32(F.encode(F.split("phrase", " ")[i], "utf-8")) for i in (0, 1)]
+    slot = (F.crc32(_bytes("lang")) * _LANG + word[0] * _FIRST + word[1] * _SECOND) % _PRIME % FILTER_BITS
+    tied = spark.sparkContext.broadcast(_bit_set(two.select(slot.alias("slot"))))
+    total = two.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    more = _counted(texts, LONGEST, known, tied, total, least)
+    return words.union(two).union(more), totals
 
 
 def _part(phrase: str, start, length):

@@ -122,7 +122,7 @@ def test_collocations_equal_brute_force(spark, phrase_rows, limits):
 def test_collocations_in_small_tries_and_large_partitions(spark, phrase_rows, monkeypatch):
     """Containers burst, tries are spilled in many runs, and one partition is summed up apart."""
     texts, langs = phrase_rows
-    for name, value in (("BURST", 4), ("TRIE_WINDOWS", 300), ("PIECE_BYTES", 2000), ("PARTITION_WINDOWS", 500), ("LARGEST_PARTITION", 400), ("COUNTED_WORDS", 50)):
+    for name, value in (("BURST", 4), ("TRIE_WINDOWS", 300), ("PIECE_BYTES", 2000), ("PARTITION_WINDOWS", 100), ("LARGEST_PARTITION", 150), ("COUNTED_WORDS", 50), ("FAN", 4), ("MERGED_WINDOWS", 200)):
         monkeypatch.setattr(collocations, name, value)
     rows = list(zip(langs, texts, strict=True))
     held = []
