@@ -22,7 +22,12 @@ def test_query_equals_sql(spark, name):
     columns = sorted(theirs.columns)
     assert sorted(mine.columns) == columns
 
+    def text(value):
+        # pandas holds whole numbers beside nulls as floats
+        return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+
     def plain(frame):
-        return sorted(tuple(None if pd.isna(v) else str(v) for v in row) for row in frame[columns].itertuples(index=False))
+        rows = (tuple(None if pd.isna(v) else text(v) for v in row) for row in frame[columns].itertuples(index=False))
+        return sorted(rows, key=str)
 
     assert plain(mine) == plain(theirs)
