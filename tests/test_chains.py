@@ -87,3 +87,14 @@ def test_untouched_chains_are_not_followed(spark, monkeypatch):
     delta = extend_chains(state, batch, ["rank"])
     assert seen == [12] and delta.count() == 12
     assert {r.latest_id for r in delta.filter("root_id = 50").collect()} == {1000}
+
+
+def test_nodes_without_links_take_part_in_no_round(spark, monkeypatch):
+    seen = []
+    double = chains._double
+    monkeypatch.setattr(chains, "_double", lambda state, order: seen.append(state.count()) or double(state, order))
+    links = [(f"lone{i}", "gone" if i % 2 else None) for i in range(50)] + [("a", None), ("b", "a"), ("c", "b")]
+    found = _follow(spark, links)
+    assert seen and max(seen) == 3
+    assert (found["c"].root_id, found["c"].depth, found["a"].latest_id) == ("a", 3, "c")
+    assert (found["lone1"].root_id, found["lone1"].depth, found["lone1"].latest_id, found["lone1"].is_cyclic) == ("lone1", 1, "lone1", False)

@@ -1,13 +1,14 @@
 import random
 
 from tablekeep.operators import columns as col
-from tests.helpers import lcs
+from tests.helpers import lcs, rows
 
 CHILD = (
     "version_id string, parent_version_id string, qualified_name string, column_name string, "
     "position int, existing_id string"
 )
 PARENT = "version_id string, column_name string, position int, logical_id string"
+LINEAGE = "id string, dataset_version_id string, logical_column_id string, column_name string"
 
 
 def test_cascade(spark):
@@ -142,3 +143,29 @@ def test_assignment_equals_greedy(spark):
         assert found[key][1] == strategy and (strategy == "new" or found[key][0] == logical)
     assert len({(k[0], x[0]) for k, x in found.items()}) == len(found)
     assert col.assign_columns(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_every_side_is_shuffled_once(spark):
+    children = spark.createDataFrame([("c", "p", "q", "a", 0, None), ("c", "p", "q", "b", 1, None)], CHILD)
+    parents = spark.createDataFrame([("p", "a", 0, "L0"), ("p", "a", 1, "L1")], PARENT)
+    lineage = spark.createDataFrame([("r", "p", "L0", "a"), ("q", "p", "L1", "b")], LINEAGE)
+    matched = col.match_columns(children, parents, parent_lineage=lineage)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    # a name that stands twice in the parent gives two rows, as a join does
+    found = rows(matched, "column_name", "logical_id", "strategy", "parent_column_id")
+    assert found == [
+        ("a", "L0", "exact_name", "r"),
+        ("a", "L1", "exact_name", "q"),
+        ("b", "L1", "position", "q"),
+    ]
+    one, two = col.lineage_rows(matched), col.lineage_rows(matched.drop("parent_column_id"), lineage)
+    assert rows(one) == rows(two)
+
+
+def test_rows_without_a_parent_or_a_name(spark):
+    children = spark.createDataFrame(
+        [("c", None, "q", "a", 0, None), ("d", "p", "q", None, None, None), ("d", "p", "q", "", 7, None)], CHILD
+    )
+    parents = spark.createDataFrame([("p", "a", 0, "L0"), ("p", None, None, "L1"), (None, "a", 0, "L2")], PARENT)
+    assert {r.strategy for r in col.match_columns(children, parents).collect()} == {"new"}

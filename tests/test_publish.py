@@ -96,3 +96,16 @@ def test_a_killed_push_is_stored_whole(spark, tmp_path):
     chains = stored_table(spark, root, "chains")
     full = ver.chain_state(stored_table(spark, root, "versions"))
     assert rows(chains, "id", "depth", "latest_id") == rows(full.join(chains.select("id"), "id"), "id", "depth", "latest_id")
+
+
+def test_tables_that_nobody_asks_for_are_not_made(spark, monkeypatch):
+    versions = spark.createDataFrame([("a1", 1, 1, "ga1", None, "x")], VERSIONS)
+    lineage = spark.createDataFrame([], "id string, dataset_version_id string, logical_column_id string, column_name string")
+    columns = spark.createDataFrame([], "version_id string, column_name string, position int, logical_id string, external_id string")
+
+    def made(*_, **__):
+        raise AssertionError("column nodes were made")
+
+    monkeypatch.setattr("tablekeep.plans.publish.graph.column_nodes", made)
+    pushed = _push(spark, versions, lineage, columns, "h")
+    assert pushed.versions.count() == 2 and pushed.report.count() == 2
