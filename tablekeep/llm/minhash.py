@@ -9,7 +9,8 @@ Near duplicates: a signature is cut into BANDS bands, and texts that agree on a
 becomes pairs: its members are compared with one of them, by the exact Jaccard similarity of their shingles: the one that
 meets most others over all its buckets, as an original does.
 Members that are not like it go on in a smaller bucket with a member of their own, as long as a round finds a
-link anywhere. Texts of exactly THRESHOLD share a bucket with probability 0.95, more alike ones nearly always.
+link anywhere. At last all pairs of a bucket that are still of two classes are compared, so no link of two texts that
+share a bucket is lost. Texts of exactly THRESHOLD share a bucket with probability 0.95, more alike ones nearly always.
 """
 
 import hashlib
@@ -280,8 +281,8 @@ def near_classes(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     """text_id and near_class, the least text id reachable by links, of every text that is linked with another text.
 
     ``signed`` has the columns text_id and bands of the rows of ``docs``; it is made if it is not given. Equal texts
-    are one text; texts without words have no links. A link is an exact similarity of THRESHOLD at least between a
-    member of a bucket and its chosen member; see the module for what a bucket that holds several classes does.
+    are one text; texts without words have no links. A link is an exact similarity of THRESHOLD at least between two
+    members of a bucket; those that others already connect need not be compared.
     """
     signed = signed_texts(docs) if signed is None else signed
     texts = signed.groupBy("text_id").agg(F.any_value("bands").alias("bands"))
@@ -291,16 +292,34 @@ def near_classes(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     # how much company a text has: the one that many others come from has most
     company = shared.groupBy("text_id").agg(F.sum("size").alias("company"))
     open_rows = shared.select("text_id", "key").join(company, "text_id")
-    links = None
+    links, compared = None, None
     while True:
         lead = open_rows.groupBy("key").agg(F.max_by("text_id", F.struct("company", "text_id")).alias("b"))
         asked = staged(open_rows.withColumnRenamed("text_id", "a").join(lead, "key").filter("a <> b"), "asked")
         found = staged(_verified(docs, asked.select("a", "b").distinct()), "links")
+        compared = asked.select("a", "b") if compared is None else compared.union(asked.select("a", "b"))
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         # who is not like the chosen member of its bucket goes on among its own kind
         open_rows = asked.join(found, ["a", "b"], "left_anti").select("key", F.col("a").alias("text_id"), "company")
+    # Members of two classes may still be linked with each other, if not with the chosen ones: all such pairs are compared.
+    classes = shared.select("text_id", "key")
+    if links is None:
+        classes = classes.withColumn("label", F.col("text_id"))
+    else:
+        known = components(links).withColumnRenamed("node", "text_id")
+        classes = classes.join(known, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    mixed = classes.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    rest = staged(classes.join(mixed.select("key"), "key", "left_semi"), "mixed")
+    one = rest.select("key", F.col("text_id").alias("a"), F.col("label").alias("label_a"))
+    other = rest.select("key", F.col("text_id").alias("b"), F.col("label").alias("label_b"))
+    pairs = one.join(other, "key").filter("a < b AND label_a <> label_b").select("a", "b").distinct()
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = staged(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        found = staged(_verified(docs, pairs), "links")
+        links = found if links is None else links.union(found)
     if links is None:
         return signed.select("text_id", F.col("text_id").alias("near_class")).filter("false")
     return components(links).select(F.col("node").alias("text_id"), F.col("label").alias("near_class"))

@@ -231,3 +231,22 @@ def test_signatures_are_minima_of_the_permutations():
             least = min((((int(minhash._A[j]) * x + int(minhash._B[j])) % (1 << 64)) >> 32 for x in own), default=0xFFFFFFFF)
             assert signed[k, j] == least
     assert zlib.crc32(signed[0].tobytes()) == zlib.crc32(signed[3].tobytes())
+
+
+def test_links_inside_a_bucket_are_kept_whoever_is_chosen(spark):
+    """A text like a linked member, but not like the chosen one; and two alike in the bucket of a third that is not."""
+
+    def words(*marks):
+        return " ".join(f"w{i}{marks[0] if i < 9 else marks[2] if i > 90 else marks[1]}" for i in range(100))
+
+    hub, near, far = words("a", "m", "a"), words("a", "m", "z"), words("y", "m", "z")
+    other, one, two = words("k", "l", "k"), words("u", "v", "a"), words("u", "v", "z")
+    lone = [words(f"x{i}", f"x{i}", "x") for i in range(2)]
+    texts = [hub, near, far, other, one, two, *lone]
+    docs = documents(spark, texts)
+    ids = [minhash._text_id(t.encode()) for t in texts]
+    # the hub and the stranger have most company and are chosen
+    bands = [[1, 3, 4], [1], [1], [2, 5, 6], [2], [2], [3, 5], [4, 6]]
+    signed = spark.createDataFrame(list(zip(ids, bands, strict=True)), "text_id bigint, bands array<bigint>")
+    found = {r.text_id: r.near_class for r in minhash.near_classes(docs, signed).collect()}
+    assert found == {**dict.fromkeys(ids[:3], min(ids[:3])), **dict.fromkeys(ids[4:6], min(ids[4:6]))}
