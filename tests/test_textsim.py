@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tablekeep.functions.textsim import indel_ratio, lcs_length, partial_ratio
+from tablekeep.plans.queries import QUERIES
 from tests.helpers import indel, lcs, partial
 
 
@@ -42,3 +43,17 @@ def test_known_values(spark):
 def test_null_stays_null(spark):
     frame = spark.createDataFrame([(None, "a")], "a string, b string")
     assert frame.select(partial_ratio(F.col("a"), F.col("b")).alias("p")).first().p is None
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = [(i, f"name {i}", "TYPE", f"brand {i}") for i in range(64)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    found = QUERIES["text_partial_ratio"](spark, str(tmp_path))
+    assert found.count() == 64 and found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_partial_ratio_of_missing_texts(spark):
+    frame = spark.createDataFrame([(None, "x"), ("x", None), (None, None), ("", "")], "a string, b string")
+    assert [r[0] for r in frame.select(partial_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, None, 1.0]
