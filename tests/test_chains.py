@@ -98,3 +98,40 @@ def test_nodes_without_links_take_part_in_no_round(spark, monkeypatch):
     assert seen and max(seen) == 3
     assert (found["c"].root_id, found["c"].depth, found["a"].latest_id) == ("a", 3, "c")
     assert (found["lone1"].root_id, found["lone1"].depth, found["lone1"].latest_id, found["lone1"].is_cyclic) == ("lone1", 1, "lone1", False)
+
+
+def test_groups_are_followed_alone_unless_a_link_or_an_id_is_shared(spark, monkeypatch):
+    rng = random.Random(4)
+    links = []
+    for g in range(60):
+        members = list(range(g * 10, g * 10 + rng.randint(1, 10)))
+        for place, i in enumerate(members):
+            choice = rng.random()
+            parent = members[rng.randrange(place)] if place and choice < 0.8 else None
+            if g % 6 == 0 and choice > 0.85:
+                parent = rng.randrange(600)  # another group, or none that is known
+            if g % 7 == 0 and not place:
+                parent = members[-1]
+            links.append((f"{i}", None if parent is None else f"{parent}", rng.choice([None, 1, 2]), g))
+    links += [("0", None, 1, 59), (None, "10", 1, 58), ("n1", None, 1, None), ("n2", "n1", 1, None), ("in", "55", 1, None)]
+    nodes = spark.createDataFrame(links, "id string, parent_id string, rank int, grp int")
+    plain = nodes.drop("grp").join(follow_chains(nodes, ["rank"]), "id").distinct()
+    for limit in (chains.GROUP_NODES, 9):
+        monkeypatch.setattr(chains, "GROUP_NODES", limit)
+        closed, others = chains.follow_grouped(nodes, "grp", ["rank"])
+        assert closed.count() > 150 and others.count() > 20
+        assert closed.count() + others.count() == len(links)
+        both = closed.unionByName(others.join(follow_chains(others, ["rank"]), "id").distinct().select(*closed.columns))
+        assert rows(both.distinct()) == rows(plain.select(*both.columns))
+
+
+def test_versions_that_stay_in_their_datasets_take_no_round(spark, monkeypatch):
+    from tablekeep.operators import versions as ver
+
+    monkeypatch.setattr(ver, "follow_chains", None)
+    listed = [(f"{d}-{i}", d, i, f"{d}-{i - 1}" if i else None) for d in range(40) for i in range(5)]
+    versions = spark.createDataFrame(listed, "id string, dataset_id int, version_number int, parent_version_id string")
+    found = {r.id: r for r in ver.chain_state(versions).collect()}
+    assert len(found) == 200
+    assert (found["7-2"].root_id, found["7-2"].depth, found["7-2"].latest_id, found["7-2"].parent_id) == ("7-0", 3, "7-4", "7-1")
+    assert len(ver.chain_positions(versions).collect()) == 200
