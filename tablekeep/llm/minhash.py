@@ -6,11 +6,12 @@ the shingles. Two texts agree on one with the probability of their Jaccard simil
 estimates it. A fingerprint holds the lower 16 bits of every value.
 
 Near duplicates: a signature is cut into BANDS bands, and texts that agree on a band share a bucket. A bucket never
-becomes pairs: its members are compared with one of them, by the exact Jaccard similarity of their shingles: the one that
-meets most others over all its buckets, as an original does.
-Members that are not like it go on in a smaller bucket with a member of their own, as long as a round finds a
-link anywhere. At last all pairs of a bucket that are still of two classes are compared, so no link of two texts that
-share a bucket is lost. Texts of exactly THRESHOLD share a bucket with probability 0.95, more alike ones nearly always.
+becomes rows of pairs: its members are compared with one of them, by the exact Jaccard similarity of their shingles: the
+one that meets most others over all its buckets, as an original does.
+Members that are not like it go on in a smaller bucket with a member of their own, as long as a round settles a tenth
+of what it asks and leaves a bucket that is more than one task's work. Buckets that still hold two classes are then
+compared in blocks inside tasks, which give links only, so no link of two texts that share a bucket is lost. Texts of
+exactly THRESHOLD share a bucket with probability 0.95, more alike ones nearly always.
 """
 
 import hashlib
@@ -34,8 +35,11 @@ ROWS, BANDS = 8, 16
 PERMUTATIONS = ROWS * BANDS
 #: Bytes of texts that are signed together.
 PIECE_BYTES = 1 << 20
-#: Bits of the filter that says which bands several texts share.
+#: Bits of the filter that says which texts share a bucket or a class with others.
 FILTER_BITS = 1 << 23
+#: Texts, and bytes of texts, of a block of a bucket: a task compares two blocks at a time.
+BLOCK = 512
+BLOCK_BYTES = 8 << 20
 
 _RANDOM = random.Random(13)
 _A = [np.uint64(_RANDOM.getrandbits(64) | 1) for _ in range(PERMUTATIONS)]
@@ -171,17 +175,14 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     def pack(batches):
         for piece in pieces(batches, PIECE_BYTES):
             texts = [t or b"" for t in piece.column(2).cast(pa.binary()).to_pylist()]
-            packed = pa.array([pa.compress(t, codec="zstd", asbytes=True) + len(t).to_bytes(8, "little") for t in texts], type=pa.binary())
+            packed = pa.array([_pack(t) for t in texts], type=pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), packed], names=["doc_id", "at", "packed"])
 
-    def unpack(blob: bytes) -> bytes:
-        return pa.decompress(blob[:-8], int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True)
-
     def walk(batches):
         part, held = TaskContext.get().partitionId(), None
         for piece in pieces(batches, PIECE_BYTES // 3):
             ids, blobs = piece.column(0).to_pylist(), piece.column(2).to_pylist()
-            texts = [unpack(b) for b in blobs]
+            texts = [_unpack(b) for b in blobs]
             if held is None:
                 yield _row_batch({"doc_id": ids[:1], "part": [part], "edge": [1], "packed": blobs[:1]}, row_schema)
             else:
@@ -195,7 +196,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
 
     def meet(batches):
         for piece in pieces(batches, PIECE_BYTES // 3):
-            texts, following = ([unpack(b) for b in piece.column(i).to_pylist()] for i in (1, 2))
+            texts, following = ([_unpack(b) for b in piece.column(i).to_pylist()] for i in (1, 2))
             found = dict(zip(_NAMES, _compared(texts, following), strict=True))
             yield _row_batch({"doc_id": piece.column(0).to_pylist(), **found}, out_schema)
 
@@ -245,36 +246,134 @@ def _filter_of(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text ids whose shingles are alike by THRESHOLD at least."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _pack(text: bytes) -> bytes:
+    return pa.compress(text, codec="zstd", asbytes=True) + len(text).to_bytes(8, "little")
+
+
+def _unpack(blob: bytes) -> bytes:
+    return pa.decompress(blob[:-8], int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True)
+
+
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Distinct shingles of every text, sorted."""
+    values, offsets = shingles(pa.array(texts, type=pa.large_binary()))
+    return [np.unique(values[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
+
+
+def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text_id, packed and n_bytes of the texts whose ids the column ``key`` of ``ids`` lists, and of a few others."""
     present = _filter_of(ids)
 
     def fetch(batches):
         for piece in pieces(batches, PIECE_BYTES):
-            texts = [t or b"" for t in piece.column(0).cast(pa.binary()).to_pylist()]
-            known = {_text_id(t): t for t in texts}
-            at = {k: k % FILTER_BITS for k in known}
-            known = {k: t for k, t in known.items() if present.value[at[k] >> 5] >> (at[k] & 31) & 1}
-            if known:
-                values, offsets = shingles(pa.array(known.values(), type=pa.large_binary()))
-                sets = [np.unique(values[a:b]).tobytes() for a, b in itertools.pairwise(offsets.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(known.keys(), type=pa.int64()), pa.array(sets, type=pa.binary())], names=["text_id", "set"])
+            texts = {_text_id(t): t for t in (t or b"" for t in piece.column(0).cast(pa.binary()).to_pylist())}
+            at = {k: k % FILTER_BITS for k in texts}
+            texts = {k: t for k, t in texts.items() if present.value[at[k] >> 5] >> (at[k] & 31) & 1}
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(texts.keys(), type=pa.int64()),
+                    pa.array([_pack(t) for t in texts.values()], type=pa.binary()),
+                    pa.array([len(t) for t in texts.values()], type=pa.int64()),
+                ],
+                names=["text_id", "packed", "n_bytes"],
+            )
+
+    found = docs.select("text").mapInArrow(fetch, "text_id bigint, packed binary, n_bytes bigint")
+    return staged(found.groupBy("text_id").agg(F.any_value("packed").alias("packed"), F.any_value("n_bytes").alias("n_bytes")), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text ids whose shingles are alike by THRESHOLD at least."""
 
     def verify(batches):
-        for piece in pieces(batches, PIECE_BYTES):
+        for piece in pieces(batches, PIECE_BYTES // 4):
+            blobs = list(dict.fromkeys([*piece.column(2).to_pylist(), *piece.column(3).to_pylist()]))
+            sets = dict(zip(blobs, _sets([_unpack(b) for b in blobs]), strict=True))
             good = []
-            for one, other in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
-                one, other = np.frombuffer(one, dtype=np.uint64), np.frombuffer(other, dtype=np.uint64)
+            for a, b in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
+                one, other = sets[a], sets[b]
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 good.append(common >= THRESHOLD * (len(one) + len(other) - common))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    sets = docs.select("text").mapInArrow(fetch, "text_id bigint, set binary")
-    sets = staged(sets.groupBy("text_id").agg(F.any_value("set").alias("set")), "sets")
-    one = sets.select(F.col("text_id").alias("a"), F.col("set").alias("set_a"))
-    other = sets.select(F.col("text_id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
+    one = texts.select(F.col("text_id").alias("a"), F.col("packed").alias("packed_a"))
+    other = texts.select(F.col("text_id").alias("b"), F.col("packed").alias("packed_b"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _block_links(labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of linked texts of two labels, one in each block if ``sides`` has both; labels that are linked become one.
+
+    Shingles that all stand in texts of one label are in no link, which bounds what a text can share with those of
+    other labels; only texts whose bounds reach THRESHOLD are compared.
+    """
+    labels, links = labels.copy(), []
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    offsets = np.append(0, np.cumsum(sizes))
+    _, flat_ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    alive = np.ones(len(sets), dtype=bool)
+    across = len(set(sides.tolist())) > 1
+    while True:
+        rows = np.flatnonzero(alive[owner])
+        least = np.full(flat_ids.max() + 1, np.iinfo(np.int64).max)
+        most = np.full(len(least), np.iinfo(np.int64).min)
+        np.minimum.at(least, flat_ids[rows], labels[owner[rows]])
+        np.maximum.at(most, flat_ids[rows], labels[owner[rows]])
+        shared = np.bincount(owner[rows], weights=(least < most)[flat_ids[rows]], minlength=len(sets)).astype(np.int64)
+        kept = alive & (shared >= THRESHOLD * sizes)
+        if (kept == alive).all():
+            break
+        alive = kept
+    has = np.zeros(len(least), dtype=np.int64)
+    for i in np.flatnonzero(alive).tolist():
+        if across and sides[i]:
+            continue
+        bound = np.minimum(shared[i], shared)
+        others = alive & (labels != labels[i]) & (bound >= THRESHOLD * (sizes[i] + sizes - bound))
+        others &= sides == 1 if across else np.arange(len(sets)) > i
+        if not others.any():
+            continue
+        has[flat_ids[offsets[i] : offsets[i + 1]]] = 1
+        for j in np.flatnonzero(others).tolist():
+            if labels[i] == labels[j]:
+                continue
+            common = has[flat_ids[offsets[j] : offsets[j + 1]]].sum()
+            if common >= THRESHOLD * (sizes[i] + sizes[j] - common):
+                links.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+        has[flat_ids[offsets[i] : offsets[i + 1]]] = 0
+    return links
+
+
+def _mixed_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the labels of a bucket; ``rows`` has the columns key, text_id and label of mixed buckets.
+
+    Buckets are cut into blocks by a hash of the text, and every pair of blocks of a bucket meets in a group of its own.
+    """
+    # what a text takes here is its bytes, however well it packs
+    sized = rows.join(texts.select("text_id", "n_bytes"), "text_id")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
+    cells = (
+        rows.join(sized.groupBy("key").agg(blocks.alias("blocks")), "key")
+        .withColumn("own", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "text_id", "label",
+            (F.col("own") > F.col("other")).cast("int").alias("side"),
+        )
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, labels, sides = (group.column(c).to_numpy() for c in ("text_id", "label", "side"))
+        own = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        found = []
+        if len(np.unique(labels)) > 1 and (own or len(np.unique(sides)) > 1):
+            found = _block_links(labels, sides, _sets([_unpack(b) for b in group.column("packed").to_pylist()]))
+        return pa.table({c: pa.array([int(ids[pair[k]]) for pair in found], type=pa.int64()) for k, c in enumerate("ab")})
+
+    full = cells.join(texts.select("text_id", "packed"), "text_id").select("key", "low", "high", "text_id", "label", "side", "packed")
+    return full.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
@@ -284,42 +383,55 @@ def near_classes(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     are one text; texts without words have no links. A link is an exact similarity of THRESHOLD at least between two
     members of a bucket; those that others already connect need not be compared.
     """
+    ship_package(docs.sparkSession)
     signed = signed_texts(docs) if signed is None else signed
     texts = signed.groupBy("text_id").agg(F.any_value("bands").alias("bands"))
     members = texts.select("text_id", F.explode("bands").alias("key"))
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = staged(members.join(groups, "key"), "shared")
+    if shared.isEmpty():
+        return signed.select("text_id", F.col("text_id").alias("near_class")).filter("false")
+    packed = _packed_texts(docs, shared.select(F.col("text_id").alias("key")).distinct())
     # how much company a text has: the one that many others come from has most
     company = shared.groupBy("text_id").agg(F.sum("size").alias("company"))
     open_rows = shared.select("text_id", "key").join(company, "text_id")
-    links, compared = None, None
+    links = None
     while True:
         lead = open_rows.groupBy("key").agg(F.max_by("text_id", F.struct("company", "text_id")).alias("b"))
         asked = staged(open_rows.withColumnRenamed("text_id", "a").join(lead, "key").filter("a <> b"), "asked")
-        found = staged(_verified(docs, asked.select("a", "b").distinct()), "links")
-        compared = asked.select("a", "b") if compared is None else compared.union(asked.select("a", "b"))
+        found = staged(_verified(packed, asked.select("a", "b").distinct()), "links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         # who is not like the chosen member of its bucket goes on among its own kind
         open_rows = asked.join(found, ["a", "b"], "left_anti").select("key", F.col("a").alias("text_id"), "company")
-    # Members of two classes may still be linked with each other, if not with the chosen ones: all such pairs are compared.
+        still = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        if (still.most or 0) <= BLOCK or 10 * still.n > 9 * asked.count():
+            break
+    # Members of two classes may still be linked with each other, if not with the chosen ones.
     classes = shared.select("text_id", "key")
     if links is None:
         classes = classes.withColumn("label", F.col("text_id"))
     else:
         known = components(links).withColumnRenamed("node", "text_id")
         classes = classes.join(known, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    classes = staged(classes, "classes")
     mixed = classes.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     rest = staged(classes.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    one = rest.select("key", F.col("text_id").alias("a"), F.col("label").alias("label_a"))
-    other = rest.select("key", F.col("text_id").alias("b"), F.col("label").alias("label_b"))
-    pairs = one.join(other, "key").filter("a < b AND label_a <> label_b").select("a", "b").distinct()
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        found = staged(_verified(docs, pairs), "links")
-        links = found if links is None else links.union(found)
-    if links is None:
-        return signed.select("text_id", F.col("text_id").alias("near_class")).filter("false")
+    found = staged(_mixed_links(rest, packed), "links")
+    links = found if links is None else links.union(found)
     return components(links).select(F.col("node").alias("text_id"), F.col("label").alias("near_class"))
+
+
+def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the near_class of their text_id, null without one.
+
+    Most texts are in no class: a bit set of fixed size, broadcast as rows, tells which rows need not meet the classes.
+    """
+    bit = F.pmod(F.col("text_id"), F.lit(FILTER_BITS))
+    here = F.expr(f"shiftleft(1L, cast(pmod(text_id, {FILTER_BITS}) & 31 as int))")
+    bits = classes.select(F.shiftright(bit, 5).cast("int").alias("_at"), here.alias("bit")).groupBy("_at").agg(F.bit_or("bit").alias("_bits"))
+    marked = rows.withColumn("_at", F.shiftright(bit, 5).cast("int")).join(F.broadcast(bits), "_at", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(here), F.lit(0)) != 0
+    found = marked.filter(maybe).drop("_at", "_bits").join(classes, "text_id", "left")
+    return found.unionByName(marked.filter(~maybe).drop("_at", "_bits").withColumn("near_class", F.lit(None).cast("bigint")))

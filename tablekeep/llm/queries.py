@@ -197,7 +197,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = minhash.compared_with_next(docs)
     classes = minhash.near_classes(docs, rows.select("text_id", "bands"))
-    return rows.join(classes, "text_id", "left").select(
+    return minhash.with_classes(rows, classes).select(
         "doc_id",
         "n_chars",
         "edited_sha256",

@@ -250,3 +250,42 @@ def test_links_inside_a_bucket_are_kept_whoever_is_chosen(spark):
     signed = spark.createDataFrame(list(zip(ids, bands, strict=True)), "text_id bigint, bands array<bigint>")
     found = {r.text_id: r.near_class for r in minhash.near_classes(docs, signed).collect()}
     assert found == {**dict.fromkeys(ids[:3], min(ids[:3])), **dict.fromkeys(ids[4:6], min(ids[4:6]))}
+
+
+def test_buckets_become_no_pairs_and_blocks_lose_no_link(spark, monkeypatch):
+    """Links of a bucket that no chosen member has, over several blocks; what is asked of rows grows with the bucket."""
+    rng = random.Random(14)
+
+    def varied(base, edits):
+        words = list(base)
+        for i in rng.sample(range(len(words)), edits):
+            words[i] = f"v{rng.randrange(10**6)}"
+        return words
+
+    base = [f"w{i}" for i in range(120)]
+    kin = [varied(base, 6) for _ in range(30)]
+    texts = [" ".join(words) for words in [*kin, *(varied(words, 1) for words in kin[:12])]]
+    docs = documents(spark, texts)
+    ids = [minhash._text_id(t.encode()) for t in texts]
+    signed = spark.createDataFrame([(i, [1, 2 + k % 2]) for k, i in enumerate(ids)], "text_id bigint, bands array<bigint>")
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= minhash.THRESHOLD:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    least = {c: min(ids[i] for i in range(len(ids)) if label[i] == c) for c in label}
+    true = {ids[i]: least[label[i]] for i in range(len(ids)) if label.count(label[i]) > 1}
+    assert len(set(true.values())) > 5
+    asked = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda docs, pairs: asked.append(pairs.count()) or verified(docs, pairs))
+    for block in (512, 10):
+        monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+        asked.clear()
+        assert {r.text_id: r.near_class for r in minhash.near_classes(docs, signed).collect()} == true
+        assert sum(asked) <= 8 * len(texts)
+    rows = docs.select("doc_id").withColumn("text_id", F.element_at(F.array(*map(F.lit, ids)), F.col("doc_id").cast("int") + 1))
+    classes = minhash.near_classes(docs, signed)
+    assert {r.text_id: r.near_class for r in minhash.with_classes(rows, classes).collect()} == {i: true.get(i) for i in ids}
