@@ -47,7 +47,7 @@ TRIE_WINDOWS = 1 << 18
 PARTITION_WINDOWS = 1 << 19
 LARGEST_PARTITION = 1 << 20
 #: Partitions that a spill, or a partition that is split again, is dealt to, and windows that are merged before that.
-FAN = 64
+FAN = 128
 MERGED_WINDOWS = 1 << 20
 
 _BIG = np.dtype(">i4")
@@ -99,8 +99,11 @@ def _word_counts(batches):
         yield from merged().combine_chunks().to_batches()
 
 
-def _slot(lang: bytes, word: bytes) -> int:
-    return zlib.crc32(word, zlib.crc32(lang + b"\0")) % FILTER_BITS
+def _slots(langs: list[bytes], words: list[bytes], langs_of: list[int], words_of: list[int]) -> np.ndarray:
+    """Bits of the filter of frequent words, for pairs of places in both lists."""
+    seeds = [zlib.crc32(lang + b"\0") for lang in langs]
+    crc = zlib.crc32
+    return np.array([crc(words[w], seeds[k]) for k, w in zip(langs_of, words_of, strict=True)], dtype=np.int64) % FILTER_BITS
 
 
 class Trie:
@@ -291,6 +294,28 @@ def _count_batch(columns: np.ndarray, counts: np.ndarray, names: list[bytes], le
     )
 
 
+def _merged_in_portions(least: int):
+    """Task side of merging runs sorted by partition: counts, and whether they are of a portion of a partition only."""
+
+    def counted(held: list, portion: bool) -> pa.RecordBatch:
+        batch = _count_batch(*_together(held), 1 if portion else least)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([portion] * batch.num_rows, pa.bool_())], names=[*batch.schema.names, "portion"])
+
+    def run(batches):
+        part, held, size, first = None, [], 0, True
+        for batch in batches:
+            for number, packed in zip(batch.column("part").to_pylist(), _packed_runs(batch), strict=True):
+                if held and (number != part or size + packed[0] > 2 * LARGEST_PARTITION):
+                    yield counted(held, number == part or not first)
+                    first, held, size = number != part, [], 0
+                part, size = number, size + packed[0]
+                held.append(packed)
+        if held:
+            yield counted(held, not first)
+
+    return run
+
+
 def _bit_set(slots: DataFrame) -> np.ndarray:
     """Bits of the column ``slot``, as words of 32 bits; not more than FILTER_BITS come to the driver."""
     rows = (
@@ -328,10 +353,11 @@ def _filler(words, pairs, longest: int, partitions: int, schema: pa.Schema):
             known = [name.encode() for name in langs]
             ids = np.zeros((len(langs), len(own)), dtype=np.int32)
             distinct = np.unique(lang.astype(np.int64) * len(own) + tokens.ids)
-            for k, w in zip((distinct // len(own)).tolist(), (distinct % len(own)).tolist(), strict=True):
-                slot = _slot(known[k], own[w])
-                if words.value[slot >> 5] >> (slot & 31) & 1:
-                    ids[k, w] = number(own[w])
+            langs_of, words_of = distinct // len(own), distinct % len(own)
+            slots = _slots(known, own, langs_of.tolist(), words_of.tolist())
+            frequent = words.value[slots >> 5] >> (slots & 31) & 1 == 1
+            langs_of, words_of = langs_of[frequent], words_of[frequent]
+            ids[langs_of, words_of] = [number(own[w]) for w in words_of.tolist()]
             # a blank in front tells languages from words, and hexadecimal digits hold no line feed
             heads = np.array([number(b" " + name.hex().encode()) for name in known], dtype=np.int32)
             coded = ids[lang, tokens.ids]
@@ -367,7 +393,8 @@ def _counted(texts: DataFrame, longest: int, words, pairs, windows: int, least:
     ``windows`` is how many there are to count; it only says how many partitions they are dealt to.
     """
     spark = texts.sparkSession
-    entry = PARTITION_WINDOWS * (LONGEST + 1) // (longest + 1)
+    # a spill holds a pair once, however often it was met, so partitions of pairs stay smaller than what was counted into them
+    entry = PARTITION_WINDOWS * (LONGEST + 1) // (longest + 1) * (2 if pairs is None else 1)
     wide = max(1, windows // entry)
     partitions = min(wide, FAN)
     schema = arrow_schema(_RUNS)
@@ -395,6 +422,11 @@ def _counted(texts: DataFrame, longest: int, words, pairs, windows: int, least:
         tasks = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
         partitions *= min(FAN, -(-wide // partitions))
         runs = runs.repartition(tasks, "part", F.pmod(F.xxhash64("run"), F.lit(4))).mapInArrow(split_again(partitions), _RUNS)
+    if pairs is None:
+        # a pair of words is in a run once, so none makes its partition large: runs are merged as they arrive and not written before
+        found = staged(runs.repartition("part").sortWithinPartitions("part").mapInArrow(_merged_in_portions(least), f"{_COUNTS}, portion boolean"), "phrases")
+        whole, portions = found.filter("NOT portion").drop("portion"), found.filter("portion")
+        return whole.union(portions.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     runs = staged(runs, "runs")
 
     def merge(group: pa.Table) -> pa.Table:
@@ -413,7 +445,7 @@ def _counted(texts: DataFrame, longest: int, words, pairs, windows: int, least:
         spread = runs.join(large, "part", "left_semi").mapInArrow(unfold, _COUNTS)
         spread = spread.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         found = runs.join(large, "part", "left_anti").groupBy("part").applyInArrow(merge, _COUNTS).union(spread)
-    return staged(found if pairs is None else found.filter("words > 2"), "phrases")
+    return staged(found.filter("words > 2"), "phrases")
 
 
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

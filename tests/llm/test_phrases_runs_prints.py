@@ -289,3 +289,17 @@ def test_buckets_become_no_pairs_and_blocks_lose_no_link(spark, monkeypatch):
     rows = docs.select("doc_id").withColumn("text_id", F.element_at(F.array(*map(F.lit, ids)), F.col("doc_id").cast("int") + 1))
     classes = minhash.near_classes(docs, signed)
     assert {r.text_id: r.near_class for r in minhash.with_classes(rows, classes).collect()} == {i: true.get(i) for i in ids}
+
+
+def test_runs_of_pairs_are_merged_in_portions_and_written_once(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [("en", " ".join(rng.choice("abcdefgh") for _ in range(60))) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    seen = []
+    written = collocations.staged
+    monkeypatch.setattr(collocations, "staged", lambda df, name: seen.append(name) or written(df, name))
+    for largest in (1 << 20, 20):
+        monkeypatch.setattr(collocations, "LARGEST_PARTITION", largest)
+        seen.clear()
+        assert sorted(tuple(r) for r in collocations.collocations(docs, 5).collect()) == brute_collocations(rows, 5, 2000, 100)
+        assert seen.count("runs") == 1
