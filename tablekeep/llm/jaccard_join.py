@@ -8,7 +8,10 @@ Texts are sets of hashed word shingles; equal sets are one point. The join works
    unrelated texts are all at distance one from them, and the windows would copy every text into every cell.
    At low thresholds a class holds few shingles, and passages of many texts would tie unrelated ones. A rule with
    ``rare`` ties sets by their rarest shingles instead: n - ceil(t n) + 1 of them, in one order for all sets, must
-   share one if two sets are linked. The order is by counts of all texts, in a sketch of fixed size.
+   share one if two sets are linked. The order is by counts of all texts, in a sketch of fixed size. When it fills up,
+   unrelated texts meet by the phrases that any two large texts share. So a few shingles more are taken than one must
+   be shared of, and a set that has not as many shingles in common with others as each of its links would need is in
+   no region.
 2. Inside a region: pivots create Voronoi cells. A set whose distance to another pivot exceeds that to its own by
    no more than twice the radius is copied into that cell too (triangle inequality), so every linked pair meets in
    a cell. Cells are split again until they are small and then joined exactly. Regions that are too large for a
@@ -24,9 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekeep.functions.lineage import forget, shuffles_dropped
 from tablekeep.llm.common import PIECE_BYTES, ship_package, staged, text_columns
 from tablekeep.llm.features import pack, word_hashes
 
@@ -80,6 +84,15 @@ class Rule:
             low = high + 1
         return out
 
+    def extra(self, size: int) -> int:
+        """Rare shingles taken of a set beyond those of which it may share none with a linked set."""
+        return 1 + self.num * size // (8 * self.den)
+
+    def needed(self, size: Column) -> Column:
+        """Rare shingles that a set of this size shares with every linked set: as many as the smaller of both has extra."""
+        least = F.floor((size * self.num + (self.den - 1)) / self.den)
+        return 1 + F.floor(least * self.num / (8 * self.den))
+
     @property
     def smallest(self) -> int:
         """Sets of fewer shingles link only with equal sets."""
@@ -135,8 +148,8 @@ def region_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def rare_keys(shingles: np.ndarray, rule: Rule, sketch: np.ndarray) -> np.ndarray:
-    """The rarest shingles, of which two linked sets share one. Equal counts go by hash."""
-    kept = len(shingles) + rule.num * len(shingles) // -rule.den + 1
+    """The rarest shingles, of which two linked sets share some (:meth:`Rule.needed`). Equal counts go by hash."""
+    kept = len(shingles) + rule.num * len(shingles) // -rule.den + rule.extra(len(shingles))
     order = np.argsort(sketch[shingles >> np.uint64(64 - SKETCH_BITS)], kind="stable")
     return shingles[order[:kept]].view(np.int64)
 
@@ -291,7 +304,8 @@ def _sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
         )
 
     schema = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    with shuffles_dropped(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
     sketch = np.zeros((blocks, SKETCH_BLOCK), dtype=np.uint8)
     for block, grades in zip(rows["block"].to_pylist(), rows["counts"], strict=True):
         sketch[block] = np.frombuffer(grades.as_buffer(), dtype=np.uint8)
@@ -299,12 +313,12 @@ def _sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def _key_batches(rule: Rule, parts: int, key_of: Callable[[np.ndarray], np.ndarray]):
-    """Keys and set ids of a task, dealt to parts; sets that agree inside the task are tied at once."""
+    """Keys and set ids of a task, dealt to parts; unless the keys are rare, sets that agree inside the task are tied at once."""
 
     def hand_on(keys: list, ids: list) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys)
         own = np.repeat(np.array(ids, dtype=np.int64), [len(k) for k in keys])
-        first, ties = _tie(key, own)
+        first, ties = (np.arange(len(key)), np.empty((0, 2), dtype=np.int64)) if rule.rare else _tie(key, own)
         part = (key[first].view(np.uint64) >> np.uint64(11)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
@@ -357,8 +371,42 @@ def _tie(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, pairs
 
 
-def _ties(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Different pairs (a, b) of tied sets: b is the smallest id that shares some key with a."""
+def _shared(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (key, id) of keys that more than one id has."""
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])) if len(key) else np.empty(0, dtype=bool)
+    key, own = key[new], own[new]
+    same = key[1:] == key[:-1]
+    several = np.append(False, same) | np.append(same, False) if len(key) else np.empty(0, dtype=bool)
+    return key[several], own[several]
+
+
+def _pruned(shared: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """The (key, id) left when ids that share too few keys to be linked are left out, again as long as many go.
+
+    Two linked sets share the keys they need with each other, so neither of them ever goes.
+    """
+    before = shared.count()
+    while before:
+        enough = F.col("n") >= rule.needed(F.col("n_shingles"))
+        able = shared.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "id").filter(enough).select("id")
+        rows = shared.join(able, "id", "left_semi")
+        several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        left = staged(rows.join(several, "key", "left_semi"), "shared")
+        forget(shared)
+        shared, n = left, left.count()
+        if n > 0.9 * before:
+            break
+        before = n
+    return shared
+
+
+def _ties(docs: DataFrame, rule: Rule, members: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of tied sets: b is the smallest id that shares some key with a.
+
+    ``members`` holds ``set_id, n_shingles`` of all texts.
+    """
     spark = docs.sparkSession
     if rule.rare:
         sketch = spark.sparkContext.broadcast(_sketch(docs, rule))
@@ -372,6 +420,18 @@ def _ties(docs: DataFrame, rule: Rule) -> DataFrame:
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     packed = docs.select("text").mapInArrow(_key_batches(rule, parts, key_of), "part int, keys binary, ids binary, ties binary")
+    if rule.rare:
+
+        def share(group: pd.DataFrame) -> pd.DataFrame:
+            key = np.frombuffer(b"".join(group["keys"]), dtype=np.int64)
+            key, own = _shared(key, np.frombuffer(b"".join(group["ids"]), dtype=np.int64))
+            return pd.DataFrame({"key": key, "id": own})
+
+        sizes = members.select(F.col("set_id").alias("id"), "n_shingles").distinct()
+        shared = staged(packed.groupBy("part").applyInPandas(share, "key bigint, id bigint"), "shared")
+        shared = _pruned(shared, sizes, rule)
+        least = shared.groupBy("key").agg(F.min("id").alias("b"))
+        return shared.join(least, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
     def tie(group: pd.DataFrame) -> pd.DataFrame:
         key = np.frombuffer(b"".join(group["keys"]), dtype=np.int64)
@@ -405,9 +465,10 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = staged(
+        last, edges = edges, staged(
             small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges"
         )
+        forget(last)
 
 
 def _tied_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -531,7 +592,7 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
     texts = docs.select("doc_id", "text")
     named = text_columns(texts, "n_shingles bigint, set_id bigint", make)
     members = staged(named.drop("text"), "members")
-    regions = staged(components(_ties(texts, rule)), "regions")
+    regions = staged(components(_ties(texts, rule, members)), "regions")
     # The weight of a region is known from the sizes of its sets, before any shingles are sent.
     sizes = members.select(F.col("set_id").alias("node"), "n_shingles").distinct()
     sized = regions.join(sizes, "node")
@@ -546,7 +607,9 @@ def jaccard_components(docs: DataFrame, rule: Rule) -> DataFrame:
     task = F.when(F.col("weight") <= SMALL_SHINGLES, F.pmod(F.xxhash64("label"), F.lit(packs))).otherwise(F.col("label"))
     joined, links = rows(fits).select(task.alias("task"), F.col("label").alias("region"), "set_id", "shingles"), None
     if not large.isEmpty():
-        pieces, links = _shells(staged(rows(large).select("label", "set_id", "shingles"), "tied"), rule)
+        tied = staged(rows(large).select("label", "set_id", "shingles"), "tied")
+        pieces, links = _shells(tied, rule)
+        forget(tied)
         joined = joined.union(pieces.select(F.col("region").alias("task"), "region", "set_id", "shingles"))
     found = joined.groupBy("task").applyInPandas(_region_links(rule), "a bigint, b bigint")
     labels = components(found if links is None else found.union(links))

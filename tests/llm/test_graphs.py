@@ -118,6 +118,46 @@ def test_linked_sets_share_a_rare_key():
             assert set(jaccard_join.rare_keys(left, rule, sketch)) & set(jaccard_join.rare_keys(right, rule, sketch))
 
 
+def test_linked_sets_share_as_many_rare_keys_as_both_need(spark):
+    rng = np.random.default_rng(6)
+    sketch = rng.integers(0, 3, 1 << jaccard_join.SKETCH_BITS, dtype=np.uint8)
+    for num, size in [(20, 60), (50, 90), (80, 5), (80, 37), (80, 640), (90, 250)]:
+        rule = jaccard_join.Rule(5, num, 100, rare=True)
+        needs = {r.n: r.needed for r in spark.range(1, 800).select(F.col("id").alias("n"), rule.needed(F.col("id")).alias("needed")).collect()}
+        for _ in range(30):
+            both = np.unique(rng.integers(0, 2**63, size * 2, dtype=np.uint64))
+            # a part of the larger set, or sets of one size
+            small = -(-size * num // 100)
+            changed = size * (100 - num) // (100 + num)
+            for other in (both[:small], np.sort(np.concatenate([both[changed:size], both[size : size + changed]]))):
+                left, right = both[:size], other
+                common = len(np.intersect1d(left, right))
+                assert rule.linked(np.array(common), len(left), len(right))
+                keys = set(jaccard_join.rare_keys(left, rule, sketch)) & set(jaccard_join.rare_keys(right, rule, sketch))
+                assert len(keys) >= max(needs[len(left)], needs[len(right)])
+
+
+def test_a_full_sketch_ties_no_texts_that_share_phrases_only(spark, monkeypatch):
+    rng, word = random.Random(7), (f"w{i}" for i in range(100_000))
+    phrases = [[next(word) for _ in range(5)] for _ in range(60)]
+    texts = []
+    for i in range(60):
+        own = [next(word) for _ in range(45)]
+        for k, phrase in enumerate((phrases[i], phrases[i - 1], phrases[i - 2])):
+            own[15 * k : 15 * k] = phrase
+        texts.append(" ".join(own))
+    texts.append(texts[0] + " end")
+    noise = np.array([rng.randrange(4) for _ in range(1 << 16)], dtype=np.uint8)
+    full = np.tile(noise, (1 << jaccard_join.SKETCH_BITS) >> 16)
+    tied, written = {}, jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "_sketch", lambda docs, rule: full)
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name: tied.setdefault(name, written(df, name)) if name == "regions" else written(df, name))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = jaccard_join.jaccard_components(docs, jaccard_join.Rule(5, 80, 100, rare=True)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 60 for i in range(61)}
+    assert tied["regions"].count() == 2
+
+
 def test_sketch_counts_all_texts(spark):
     texts = near_texts()[:60] + [None, "", "short text"]
     rule = jaccard_join.Rule(5, 80, 100, rare=True)
